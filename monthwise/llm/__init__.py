@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from . import chat, mixing, sharding
 
-def queries() -> dict:
-    from .chat import op1_chat_format
 
-    return {"op1_chat_format": op1_chat_format}
+def queries() -> dict:
+    return {
+        "op1_chat_format": chat.op1_chat_format,
+        "op2_sharding": sharding.op2_sharding,
+        "op5_mixing": mixing.op5_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    from .chat import OP1_SQL
-
-    return {"op1_chat_format": OP1_SQL}
+    return {"op1_chat_format": chat.OP1_SQL, "op5_mixing": mixing.OP5_SQL}
