@@ -5,11 +5,13 @@ needed: the whole part of that ratio is allocated to every document as certain
 copies, the rest is a fixed-size sample. Documents are ranked by their random odds
 divided by their inclusion odds, and the sample is the front of that ranking up to
 the missing words. Inclusion probabilities grow with the square root of a
-document's words, so long documents are preferred mildly. After the front, the
-gap to the target is filled by at most one document for each power of two of
-size, the best ranked that fits. A document is repeated at most ``max_epochs`` times.
+document's words, so long documents are preferred mildly. A document that would
+pass the target ends the front; ``FRONTS - 1`` more fronts go on behind it with
+documents that still fit, and the last gap is filled by at most one document for
+each power of two of size, the best ranked that fits. A document is repeated at
+most ``max_epochs`` times.
 
-No source is sorted: the cut in the ranking is found by two rounds of histograms
+No source is sorted: the end of a front is found by two rounds of histograms
 with a fixed number of bins and one of the values inside the last bin, each a
 pre-aggregated shuffle of (source, bin) rows. What is decided per source is one
 row, and documents are judged row by row against it; texts are not shuffled.
@@ -30,6 +32,7 @@ from .store import cut
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 BINS = 4096
+FRONTS = 3
 WEIGHTS = (3, 1, 2)
 ADDED = ("size", "source_size", "target", "copies", "taken")
 
@@ -77,48 +80,64 @@ def _same_source(rows: DataFrame, plan: DataFrame, how: str = "inner") -> DataFr
     return rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source")), how).drop("plan_source")
 
 
+def _onto(plan: DataFrame, found: DataFrame) -> DataFrame:
+    found = found.withColumnRenamed("source", "found_source")
+    return plan.join(found, F.col("source").eqNullSafe(F.col("found_source")), "left").drop("found_source")
+
+
 def mixing_plan(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, max_epochs: int = 2, seed: int = 7) -> DataFrame:
-    """One row per source: source_size, target, whole copies, scale, last value taken, fillers."""
+    """One row per source: source_size, target, whole copies, scale, fronts and fillers.
+
+    A front (last, limit) takes the documents of at most ``limit`` words that rank
+    up to ``last``. The first ends at the first document that would pass the
+    target; the next goes on behind it with the documents that still fit.
+    """
     plan = source_targets(sizes, weights, share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    plan = plan.withColumn("whole", whole.cast("int")).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan = cut(plan.withColumn("scale", F.when(F.col("mass") > 0, F.col("need") / F.col("mass")).otherwise(0.0)).withColumn("low", F.lit(0.0)).withColumn("width", F.lit(1.0)).withColumn("used", F.lit(0).cast("long")))
-    valued = lambda p: _same_source(sizes.where("size > 0"), p).withColumn("v", order_value(F.col("size"), uniform(F.col("doc_id"), seed), F.col("scale")))
-    for last in (False, False, True):
-        rows = valued(plan.select("source", "scale", "low", "width", "used", "need")).where("v >= low and v < low + width")
-        place = F.col("v") if last else F.least(F.floor((F.col("v") - F.col("low")) / F.col("width") * BINS), F.lit(BINS - 1)).cast("double")
-        bins = rows.groupBy("source", place.alias("place")).agg(F.sum("size").alias("n"), F.first("used").alias("used"), F.first("need").alias("need"))
-        run = F.sum("n").over(W.partitionBy("source").orderBy("place"))
-        bins = bins.withColumn("run", run + F.col("used"))
-        if last:  # the last value that still fits
-            found = bins.where("run <= need").groupBy("source").agg(F.max("place").alias("new_low"), F.max("run").alias("new_used"))
-            plan = plan.withColumnRenamed("source", "s").join(found, F.col("s").eqNullSafe(F.col("source")), "left").drop("source").withColumnRenamed("s", "source")
-            plan = plan.withColumn("used", F.coalesce("new_used", "used")).withColumn("last", F.coalesce("new_low", F.col("low") - F.lit(1e-300)))
-        else:  # the first bin that passes the need, else the whole source is taken
-            found = bins.where("run > need").groupBy("source").agg(F.min("place").alias("place"), F.min_by(F.col("run") - F.col("n"), "place").alias("new_used"))
-            plan = plan.withColumnRenamed("source", "s").join(found, F.col("s").eqNullSafe(F.col("source")), "left").drop("source").withColumnRenamed("s", "source")
-            step = F.col("width") / BINS
-            plan = plan.withColumn("low", F.when(F.col("place").isNull(), F.col("low")).otherwise(F.col("low") + F.col("place") * step)).withColumn("width", F.when(F.col("place").isNull(), F.col("width")).otherwise(step)).withColumn("used", F.coalesce("new_used", "used"))
-        plan = cut(plan.drop("place", "new_used", "new_low"))
-    gaps = plan.select("source", "scale", "last", (F.col("need") - F.col("used")).alias("gap"))
-    rows = valued(gaps).where("v > last and size <= gap and v < 1")
+    plan = plan.withColumn("whole", whole.cast("int")).withColumn("gap", F.col("target") - F.col("whole") * F.col("source_size"))
+    plan = plan.withColumn("scale", F.when(F.col("mass") > 0, F.col("gap") / F.col("mass")).otherwise(0.0)).withColumn("last", F.lit(-1.0))
+    plan = cut(plan.withColumn("fronts", F.array().cast("array<struct<last:double,limit:double>>")))
+    ranked = _same_source(sizes.where("size > 0"), plan.select("source", "scale"))
+    ranked = cut(ranked.withColumn("v", order_value(F.col("size"), uniform(F.col("doc_id"), seed), F.col("scale"))).where("v < 1").select("doc_id", "source", "size", "v"))
+    for _ in range(FRONTS):
+        plan = plan.withColumn("low", F.lit(0.0)).withColumn("width", F.lit(1.0)).withColumn("used", F.lit(0).cast("long"))
+        for last in (False, False, True):
+            rows = _same_source(ranked, plan.select("source", "low", "width", "used", "gap", "last"))
+            rows = rows.where("size <= gap and v > last and v >= low and v < low + width")
+            place = F.col("v") if last else F.least(F.floor((F.col("v") - F.col("low")) / F.col("width") * BINS), F.lit(BINS - 1)).cast("double")
+            bins = rows.groupBy("source", place.alias("place")).agg(F.sum("size").alias("n"), F.first("used").alias("used"), F.first("gap").alias("room"))
+            bins = bins.withColumn("run", F.sum("n").over(W.partitionBy("source").orderBy("place")) + F.col("used"))
+            if last:  # the last value that still fits
+                found = bins.where("run <= room").groupBy("source").agg(F.max("place").alias("place"), F.max("run").alias("new_used"))
+                below = F.greatest(F.col("last"), F.col("low") * (1 - 2**-52))  # all of the bins before, none of this one
+                plan = _onto(plan, found).withColumn("last", F.coalesce(F.col("place"), F.when(F.col("low") > 0, below), F.col("last")))
+                plan = plan.withColumn("fronts", F.concat("fronts", F.array(F.struct("last", F.col("gap").alias("limit")))))
+                plan = plan.withColumn("gap", F.col("gap") - F.coalesce("new_used", "used"))
+            else:  # the first bin that passes the room; none: all bins fit
+                found = bins.where("run > room").groupBy("source").agg(F.min("place").alias("place"), F.min_by(F.col("run") - F.col("n"), "place").alias("new_used"))
+                step = F.col("width") / BINS
+                plan = _onto(plan, found).withColumn("low", F.when(F.col("place").isNull(), F.col("low")).otherwise(F.col("low") + F.col("place") * step))
+                plan = plan.withColumn("width", F.when(F.col("place").isNull(), F.col("width")).otherwise(step)).withColumn("used", F.coalesce("new_used", "used"))
+            plan = cut(plan.drop("place", "new_used"))
+    rows = _same_source(ranked, plan.select("source", "last", "gap")).where("v > last and size <= gap")
     kind = F.floor(F.log2(F.col("size").cast("double"))).cast("int")
     best = rows.groupBy("source", kind.alias("kind")).agg(F.min_by(F.struct("size", "v"), F.struct("v", "doc_id")).alias("doc"), F.first("gap").alias("gap"))
-    first = F.struct(F.first("gap").alias("gap"), F.array().cast("array<double>").alias("fillers"))
-    gathered = best.groupBy("source").agg(F.reverse(F.sort_array(F.collect_list(F.struct("kind", "doc")))).alias("docs"), first.alias("zero"))  # a row for each power of two
+    zero = F.struct(F.first("gap").alias("gap"), F.array().cast("array<double>").alias("fillers"))
+    gathered = best.groupBy("source").agg(F.reverse(F.sort_array(F.collect_list(F.struct("kind", "doc")))).alias("docs"), zero.alias("zero"))  # a row for each power of two
     fits = lambda acc, x: F.when(x["doc"]["size"] <= acc["gap"], F.struct((acc["gap"] - x["doc"]["size"]).alias("gap"), F.concat(acc["fillers"], F.array(x["doc"]["v"])).alias("fillers"))).otherwise(acc)
-    fillers = gathered.select(F.col("source").alias("s"), F.aggregate("docs", F.col("zero"), fits, lambda acc: acc["fillers"]).alias("fillers"))
-    plan = plan.join(fillers, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    return cut(plan.withColumn("fillers", F.coalesce("fillers", F.array().cast("array<double>"))).select("source", "source_size", "target", "whole", "scale", "last", "fillers"))
+    fillers = gathered.select("source", F.aggregate("docs", F.col("zero"), fits, lambda acc: acc["fillers"]).alias("fillers"))
+    plan = _onto(plan, fillers).withColumn("fillers", F.coalesce("fillers", F.array().cast("array<double>")))
+    return cut(plan.select("source", "source_size", "target", "whole", "scale", "fronts", "fillers"))
 
 
 def apply_plan(rows: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
     """Adds source_size, target, copies and taken to rows that have doc_id, source and size."""
     out = _same_source(rows, plan)
     v = order_value(F.col("size"), uniform(F.col("doc_id"), seed), F.col("scale"))
-    extra = F.when((F.col("size") > 0) & ((v <= F.col("last")) | F.array_contains("fillers", v)), 1).otherwise(0)
+    front = F.exists("fronts", lambda f: (v <= f["last"]) & (F.col("size") <= f["limit"]))
+    extra = F.when((F.col("size") > 0) & (v < 1) & (front | F.array_contains("fillers", v)), 1).otherwise(0)
     out = out.withColumn("copies", (F.col("whole") + extra).cast("int")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("whole", "scale", "last", "fillers")
+    return out.drop("whole", "scale", "fronts", "fillers")
 
 
 def mix_sources(documents: DataFrame, weights=WEIGHTS, share: float = 1.5, max_epochs: int = 2, seed: int = 7) -> DataFrame:
@@ -160,16 +179,12 @@ WITH RECURSIVE docs AS (
   FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
 ), ranked AS (
   SELECT *, CASE WHEN p > 0 THEN q / (1 + q) ELSE 1.0 END AS v FROM valued
-), summed AS (
-  SELECT *, CASE WHEN size > 0 THEN sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY v) END AS run FROM ranked
-), front AS (
-  SELECT *, coalesce(size > 0 AND p > 0 AND run <= need, false) AS chosen FROM summed
-), gaps AS (
-  SELECT source, max(need) - coalesce(sum(size) FILTER (chosen), 0) AS gap FROM front GROUP BY source
+__FRONTS__), gaps AS (
+  SELECT source, max(room) - coalesce(sum(size) FILTER (c3), 0) AS gap, max(CASE WHEN c3 THEN v ELSE last2 END) AS last FROM front3 GROUP BY source
 ), best AS (
   SELECT f.source, CAST(floor(log2(size)) AS INT) AS kind, arg_min({'doc_id': doc_id, 'size': size}, (v, doc_id)) AS doc
-  FROM front f JOIN gaps g ON f.source IS NOT DISTINCT FROM g.source
-  WHERE size > 0 AND NOT chosen AND size <= gap AND v < 1 GROUP BY ALL
+  FROM front3 f JOIN gaps g ON f.source IS NOT DISTINCT FROM g.source
+  WHERE size > 0 AND v > g.last AND size <= gap AND v < 1 GROUP BY ALL
 ), fill AS (
   SELECT source, 63 AS kind, CAST(gap AS DOUBLE) AS gap, CAST(NULL AS BIGINT) AS doc_id FROM gaps
   UNION ALL
@@ -178,6 +193,22 @@ WITH RECURSIVE docs AS (
   WHERE f.kind > 0
 )
 SELECT doc_id, size, source_size, target,
-  CAST((whole + CASE WHEN chosen OR doc_id IN (SELECT doc_id FROM fill WHERE doc_id IS NOT NULL) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
-FROM front
+  CAST((whole + CASE WHEN c1 OR c2 OR c3 OR doc_id IN (SELECT doc_id FROM fill WHERE doc_id IS NOT NULL) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM front3
 """
+
+_FRONT = """), run{i} AS (
+  SELECT *, size > 0 AND v < 1 AND v > last{h} AND size <= room AS in{i}, sum(CASE WHEN size > 0 AND v < 1 AND v > last{h} AND size <= room THEN size ELSE 0 END)
+    OVER (PARTITION BY source ORDER BY v) AS run FROM {of}
+), cut{i} AS (
+  SELECT * EXCLUDE (run), coalesce(in{i} AND run <= room, false) AS c{i} FROM run{i}
+), front{i} AS (
+  SELECT * EXCLUDE (room), {room} AS room, max(CASE WHEN c{i} THEN v ELSE last{h} END) OVER (PARTITION BY source) AS last{i} FROM cut{i}
+"""
+OP5_SQL = OP5_SQL.replace(
+    "__FRONTS__",
+    "".join(
+        _FRONT.format(i=i, h=i - 1, of=f"front{i - 1}" if i > 1 else "(SELECT *, need AS room, -1.0 AS last0 FROM ranked)", room="room" if i == FRONTS else f"room - coalesce(sum(size) FILTER (c{i}) OVER (PARTITION BY source), 0)")
+        for i in range(1, FRONTS + 1)
+    ),
+)
