@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, sharding
+from . import chat, mixing, sharding, similarity
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat.op1_chat_format,
         "op2_sharding": sharding.op2_sharding,
+        "op3_jaccard_join": similarity.op3_jaccard_join,
         "op5_mixing": mixing.op5_mixing,
     }
 
