@@ -90,7 +90,7 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         at = to
 
 
-def _runs(texts: Texts, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(texts: Texts, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text of each run of ``inside`` bytes; no run crosses a text."""
     n = len(inside)
     begins, ends = inside.copy(), inside.copy()
@@ -113,13 +113,13 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool =
 
 
 def words(texts: Texts, fold: bool = True) -> Words:
-    start, end, text = _runs(texts, ~_SPACE[texts.data])
+    start, end, text = runs(texts, ~_SPACE[texts.data])
     return Words(span_hash(texts.data, start, end, fold), text, start, end)
 
 
 def lines(texts: Texts) -> Words:
     """The \\n-separated lines that hold a word."""
-    start, end, text = _runs(texts, texts.data != 10)
+    start, end, text = runs(texts, texts.data != 10)
     w = np.concatenate([[0], np.cumsum(~_SPACE[texts.data])])
     some = w[end] > w[start]
     start, end, text = start[some], end[some], text[some]
