@@ -1,8 +1,68 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: toxicity, near duplicates, benchmark leaks, mixing, shards.
 
-STAGES = []
+Each stage takes all documents that the stage before kept and returns the columns
+of ``documents``; the last adds a shard and a slot. Between stages the documents
+are Parquet in the folder that all executors share.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from monthwise.llm import decontamination, mixing, sharding, similarity, store
+from monthwise.llm import toxicity as toxic
+
+N_SHARDS = 8
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores below its threshold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxic.toxicity(docs, labels, ~toxic.held_out(F.col("doc_id")))
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of similar documents."""
+    return similarity.deduplicate(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy that the mix takes of a document."""
+    mixed = mixing.mix_sources(docs).where("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with size, text_crc32, law, shard, slot and grown_shard."""
+    return sharding.assign_shards(docs, N_SHARDS)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("benchmark_decontamination", drop_benchmark_leaks),
+    ("mixing", mix),
+    ("sharding", shard),
+]
+
+#: Shingle components, hashed features and heap scheduling have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{store.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, sharding, similarity, toxicity
+from . import chat, decontamination, mixing, sharding, similarity, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_sharding": sharding.op2_sharding,
         "op3_jaccard_join": similarity.op3_jaccard_join,
         "op5_mixing": mixing.op5_mixing,
+        "op8_decontamination": decontamination.op8_decontamination,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 

@@ -36,6 +36,7 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels
@@ -73,7 +74,7 @@ def _delta(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=_U(0))
 
 
-def _chunk_rows(chunk: int, ids: np.ndarray, known: np.ndarray, tokens: np.ndarray, doc: np.ndarray, n_ranges: int):
+def _chunk_rows(chunk: int, ids: np.ndarray, known: np.ndarray, keys: np.ndarray, tokens: np.ndarray, doc: np.ndarray, n_ranges: int):
     """The messages of one chunk: (range, chunk, kind, payload). Kind 0 heads the chunk, kind 1 holds postings."""
     n = len(ids)
     both = np.unique(((tokens >> _U(16)) << _U(16)) | doc.astype(np.uint64))  # 48 bits of token, 16 of document
@@ -89,7 +90,7 @@ def _chunk_rows(chunk: int, ids: np.ndarray, known: np.ndarray, tokens: np.ndarr
     first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
     uniq, local = tok[first], np.diff(np.concatenate([first, [len(tok)]]))
     frequent = np.repeat(local >= LOCAL, local)
-    rows = [(chunk % n_ranges, chunk, 0, _pack(ids, known, count.astype(np.uint32), *marks, tok[frequent], doc[frequent]))]
+    rows = [(chunk % n_ranges, chunk, 0, _pack(ids, known, keys, count.astype(np.uint32), *marks, tok[frequent], doc[frequent]))]
     where = ((uniq >> _U(16)) * _U(n_ranges)) >> _U(32)
     cuts = np.searchsorted(where, np.arange(n_ranges + 1, dtype=np.uint64))
     starts = np.concatenate([first, [len(tok)]])
@@ -109,6 +110,7 @@ def _messages(batches, n_ranges: int):
         column = batch.column(batch.schema.get_field_index("text"))
         ids = batch.column(batch.schema.get_field_index("doc_id"))
         known = np.asarray(ids.is_valid()).astype(np.uint8)
+        keys = np.asarray(batch.column(batch.schema.get_field_index("row_key"))).astype(np.int64)
         ids = np.asarray(ids.fill_null(0)).astype(np.int64)
         held: list = []
         size = docs = 0
@@ -116,9 +118,8 @@ def _messages(batches, n_ranges: int):
 
         def flush():
             nonlocal chunk
-            tokens = np.concatenate([t for t, _, _, _ in held])
-            doc = np.concatenate([d for _, d, _, _ in held])
-            rows.extend(_chunk_rows(chunk, np.concatenate([i for *_, i, _ in held]), np.concatenate([k for *_, k in held]), tokens, doc, n_ranges))
+            tokens, doc, *own = (np.concatenate(x) for x in zip(*held, strict=True))
+            rows.extend(_chunk_rows(chunk, *own, tokens, doc, n_ranges))
             held.clear()
             chunk += 1
 
@@ -131,7 +132,7 @@ def _messages(batches, n_ranges: int):
                     size = docs = 0
                 sh, at = kernels.shingle_sets(part, SHINGLE)
                 span = slice(part.first, part.first + len(part))
-                held.append((sh, at + docs, ids[span], known[span]))
+                held.append((sh, at + docs, ids[span], known[span], keys[span]))
                 size, docs = size + len(part.data), docs + len(part)
         if held:
             flush()
@@ -162,7 +163,7 @@ def _count_range(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array(cols[0], pa.int64()), "kind": pa.array(cols[1], pa.int32()), "payload": pa.array(cols[2], pa.binary())})
 
 
-SETS = "doc_id long, n long, mark_a long, mark_b long, tokens array<long>"
+SETS = "doc_id long, row_key long, n long, mark_a long, mark_b long, tokens array<long>"
 
 
 def _chunk_sets(table: pa.Table) -> pa.Table:
@@ -184,7 +185,7 @@ def _chunk_sets(table: pa.Table) -> pa.Table:
     order = np.argsort(frequent)
     frequent, often = frequent[order], often[order]
     rows = []
-    for ids, known, n, mark_a, mark_b, ftok, fdoc in heads:
+    for ids, known, keys, n, mark_a, mark_b, ftok, fdoc in heads:
         fdf = often[np.searchsorted(frequent, ftok)] if len(ftok) else np.zeros(0, np.uint32)
         tok, df, doc = np.concatenate([*toks, ftok]), np.concatenate([*dfs, fdf]), np.concatenate([*docs, fdoc])
         repeated = np.bincount(doc, minlength=len(ids))
@@ -196,21 +197,25 @@ def _chunk_sets(table: pa.Table) -> pa.Table:
         ends = np.cumsum(np.where(able, repeated, 0))
         offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
         tokens = pa.ListArray.from_arrays(offsets, pa.array(tok, pa.int64()))
-        rows.append(pa.table({"doc_id": pa.array(ids, mask=known == 0), "n": n.astype(np.int64), "mark_a": mark_a.view(np.int64), "mark_b": mark_b.view(np.int64), "tokens": tokens}))
-    empty = {"doc_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "mark_a": pa.array([], pa.int64()), "mark_b": pa.array([], pa.int64()), "tokens": pa.array([], pa.list_(pa.int64()))}
+        rows.append(pa.table({"doc_id": pa.array(ids, mask=known == 0), "row_key": keys, "n": n.astype(np.int64), "mark_a": mark_a.view(np.int64), "mark_b": mark_b.view(np.int64), "tokens": tokens}))
+    empty = {"doc_id": pa.array([], pa.int64()), "row_key": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "mark_a": pa.array([], pa.int64()), "mark_b": pa.array([], pa.int64()), "tokens": pa.array([], pa.list_(pa.int64()))}
     return pa.concat_tables(rows) if rows else pa.table(empty)
 
 
 def shingle_sets(documents: DataFrame) -> DataFrame:
-    """doc_id, n (set size), mark_a, mark_b (equal for equal sets), tokens (empty if no partner is possible)."""
+    """doc_id, row_key, n (set size), mark_a, mark_b (equal for equal sets), tokens (empty if no partner is possible)."""
     spark = documents.sparkSession
     n_ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key().alias("row_key"))
     sent = rows.mapInArrow(lambda batches: _messages(batches, n_ranges), MESSAGES)
     counted = sent.groupBy("range").applyInArrow(_count_range, "chunk long, kind int, payload binary")
     return counted.groupBy("chunk").applyInArrow(_chunk_sets, SETS)
 
 
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
 def _needed(n: Column) -> Column:
     """The least size of a linked set, and of what both share."""
     return F.ceil(n * PERCENT / F.lit(100)).cast("long")
@@ -275,17 +280,30 @@ def similarity_links(sets: DataFrame) -> DataFrame:
 
 
 def similarity_components(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of ``documents``."""
+    """doc_id, row_key, n_shingles, component_id, first_key: one row per row of ``documents``.
+
+    ``first_key`` is the row_key of the row that stands for the component.
+    """
     marks = ["n", "mark_a", "mark_b"]
     sets = cut(shingle_sets(documents))
     able = sets.where("n > 0 and size(tokens) > 0").dropDuplicates(marks)
     links = similarity_links(cut(able.select(_node().alias("rep"), "n", "tokens")))
     found = connected_components(links)
-    rows = sets.select("doc_id", "n", F.when(F.col("n") > 0, _node()).alias("node")).join(found, "node", "left")
-    rows = cut(rows.select("doc_id", "n", F.coalesce("component", "node").alias("component")))
-    first = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("first"))
+    rows = sets.select("doc_id", "row_key", "n", F.when(F.col("n") > 0, _node()).alias("node")).join(found, "node", "left")
+    rows = cut(rows.select("doc_id", "row_key", "n", F.coalesce("component", "node").alias("component")))
+    first = rows.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first"))
     out = rows.join(first, "component", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = F.col("n") == 0
+    component, first = F.when(own, F.col("doc_id")).otherwise(F.col("first.doc_id")), F.when(own, F.col("row_key")).otherwise(F.col("first.row_key"))
+    return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), component.alias("component_id"), first.alias("first_key"))
+
+
+def deduplicate(documents: DataFrame) -> DataFrame:
+    """The rows of ``documents`` less all but the first document of each component."""
+    kept = similarity_components(documents).where("row_key = first_key").select(F.col("row_key").alias("_kept")).distinct()
+    rows = documents.withColumn("_row_key", row_key()).join(kept, F.col("_row_key") == F.col("_kept"), "left_semi")
+    again = F.row_number().over(W.partitionBy("_row_key", "doc_id").orderBy("_row_key"))
+    return rows.withColumn("_again", again).where("_again = 1").select(*documents.columns)
 
 
 def _node() -> Column:
@@ -294,4 +312,4 @@ def _node() -> Column:
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return similarity_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return similarity_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
