@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, mixing, sharding, similarity, toxicity
+from . import chat, decontamination, langid, mixing, quality, sharding, similarity, toxicity
 
 
 def queries() -> dict:
@@ -11,7 +11,9 @@ def queries() -> dict:
         "op2_sharding": sharding.op2_sharding,
         "op3_jaccard_join": similarity.op3_jaccard_join,
         "op5_mixing": mixing.op5_mixing,
+        "op7_language_id": langid.op7_language_id,
         "op8_decontamination": decontamination.op8_decontamination,
+        "op9_quality_rules": quality.op9_quality_rules,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 

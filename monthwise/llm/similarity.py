@@ -9,15 +9,17 @@ result is one row per document with the component of the link graph it is in.
    document only can never match and stop here, the rest returns to its chunk. A
    token that is frequent inside a chunk sends its count alone and leaves its
    postings with the chunk, so a hot token costs a range one entry per chunk.
-2. Classes. Equal sets are one class, named by a 128-bit digest of the set. Only
+2. Classes. Equal sets are one class, named by a 64-bit digest of the set. Only
    classes whose repeated tokens reach 80 % of their set go on.
 3. Prefixes. With tokens from rare to frequent, two linked sets share a token in
    their first ``n - ceil(0.8 n) + 1``. These (token, class) rows are the index.
-4. Anchors. Every class is compared with the smallest class of each list it is
-   in: a star for each list, never its pairs. Verified links give labels.
+4. Anchors. Every class is compared with one class of each list it is in: a star
+   for each list, never its pairs. Verified links give labels; a few more rounds
+   with other anchors compare what differs in label from its anchor.
 5. Rest. Lists with one label hold no new link for components and are skipped
-   whole; the others are joined between labels, by blocks of similar set size and
-   with the positional bound. A pair's answer is derived from the answer of the
+   whole. In the others, the classes of a large label form blocks that are skipped
+   or met as one; what is left is joined between labels, by blocks of similar set
+   size and with the positional bound. A pair's answer is derived from the answer of the
    sets its two sides were matched to before wherever that answer, plus or minus
    the known differences, already decides; the others are intersected.
 6. Components of all links by repeated minimum over neighbours and pointer jumps.
@@ -33,6 +35,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -47,7 +50,11 @@ PERCENT = 80
 SHINGLE = 5
 #: A token of at least so many documents of a chunk leaves its postings there.
 LOCAL = 32
-CHUNK_DOCS, CHUNK_BYTES = 4000, 8 << 20
+#: Rounds in which every class meets one class of each of its lists.
+STARS = 4
+#: Labels of at least LARGE classes are met in blocks of about BLOCK classes.
+LARGE, BLOCK = 16, 256
+CHUNK_DOCS, CHUNK_BYTES = 4000, 4 << 20
 _U = np.uint64
 _WIDE = _U(48)
 
@@ -233,6 +240,59 @@ def _shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.withColumn("shared", F.size(F.array_intersect("ta", "tb")).cast("long")).drop("ta", "tb")
 
 
+def _named(index: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The index with each class's component so far."""
+    if labels is None:
+        return index.withColumn("label", F.col("rep"))
+    return index.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+
+def _block_links(named: DataFrame, labels: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) from classes to labels of many classes, one for each class and block of such a label.
+
+    The classes of a label that share a list are one entry of it, with the widest
+    of their bounds: a class whose bounds miss the entry's skips the block whole.
+    The others are intersected with the block's classes in one task.
+    """
+    entry = [F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max(F.col("n") - F.col("pos")).alias("left_max")]
+    blocks = named.where("part is not null").groupBy("token", F.col("label").alias("to"), F.col("part").alias("to_part")).agg(*entry)
+    rows = named.join(blocks, "token").where((F.col("label") != F.col("to")) & (F.col("part").isNull() | (F.col("label") < F.col("to"))))
+    fits = (F.col("n") * 100 >= F.col("n_min") * PERCENT) & (F.col("n_max") * 100 >= F.col("n") * PERCENT)
+    least = F.ceil((F.col("n") + F.greatest(F.col("n_min"), _needed(F.col("n")))) * PERCENT / F.lit(100 + PERCENT))
+    met = rows.where(fits & (F.least(F.col("n") - F.col("pos"), F.col("left_max")) >= least)).select("rep", "to", "to_part").distinct()
+    many = met.groupBy("to", "to_part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("shares"))
+    met = cut(met)
+    guests = met.join(many, ["to", "to_part"]).join(sets, "rep").select("to", "to_part", F.pmod(F.xxhash64("rep", F.lit(98)), F.col("shares")).cast("int").alias("share"), "rep", "n", "tokens")
+    part = F.pmod(F.xxhash64("rep", F.lit(99)), F.ceil(F.col("members") / BLOCK)).cast("int")
+    hosts = labels.join(sizes, "label").select("rep", F.col("label").alias("to"), part.alias("to_part")).join(many, ["to", "to_part"]).join(sets, "rep")
+    hosts = hosts.select("to", "to_part", F.explode(F.sequence(F.lit(0), F.col("shares").cast("int") - 1)).alias("share"), "rep", "n", "tokens")
+    key = ["to", "to_part", "share"]
+    return guests.groupBy(*key).cogroup(hosts.groupBy(*key)).applyInArrow(_meet, "a long, b long")
+
+
+def _meet(guests: pa.Table, hosts: pa.Table) -> pa.Table:
+    """For each guest the first host it links to, by counting the hosts of each of its tokens."""
+    out = []
+    if guests.num_rows and hosts.num_rows:
+        lists = hosts.column("tokens").combine_chunks()
+        lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+        token, n_hosts = np.asarray(lists.flatten()), hosts.num_rows
+        host = np.repeat(np.arange(n_hosts), np.asarray(pc.list_value_length(lists)))
+        order = np.argsort(token, kind="stable")
+        token, host = token[order], host[order]
+        n, names = np.asarray(hosts.column("n")), np.asarray(hosts.column("rep"))
+        for rep, m, own in zip(guests.column("rep").to_pylist(), guests.column("n").to_pylist(), guests.column("tokens"), strict=True):
+            own = np.asarray(own.values)
+            lo, hi = np.searchsorted(token, own), np.searchsorted(token, own, side="right")
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
+            shared = np.bincount(host[at], minlength=n_hosts)
+            linked = np.flatnonzero(100 * shared >= PERCENT * (n + m - shared))
+            if len(linked):
+                out.append((rep, int(names[linked[0]])))
+    cols = list(zip(*out, strict=True)) or [[], []]
+    return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
+
+
 def similarity_links(sets: DataFrame) -> DataFrame:
     """Verified links (a, b) between class representatives that connect what any link connects.
 
@@ -243,24 +303,37 @@ def similarity_links(sets: DataFrame) -> DataFrame:
     own = sets.where(front > 0).withColumn("front", F.slice("tokens", 1, front.cast("int")))
     index = own.select("rep", "n", (F.col("n") - F.size("tokens")).alias("alone"), F.posexplode("front").alias("pos", "token"))
     index = cut(index.select("token", "rep", "n", (F.col("alone") + F.col("pos")).alias("pos")))
-    lists = index.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("head"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    stars = index.join(lists.select("token", F.col("head.rep").alias("b"), F.col("head.n").alias("nb")), "token").where("rep <> b")
-    near = (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * PERCENT)
-    stars = stars.where(near).select(F.col("rep").alias("a"), "b").distinct()
-    stars = cut(_shared(stars, sets).where(_linked(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b", "na", "nb", "shared"))
-    labels = cut(connected_components(stars.select("a", "b")))
+    near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT
+    labels, links = None, None
+    for turn in range(STARS):
+        named = _named(index, labels)
+        head = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("at"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))).alias("head")
+        lists = named.groupBy("token").agg(head, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "head.*")
+        pairs = named.join(lists, "token").where((F.col("label") != F.col("lb")) & near("n", "nb"))
+        found = _shared(pairs.select(F.col("rep").alias("a"), "b").distinct(), sets).where(_linked(F.col("shared"), F.col("na"), F.col("nb")))
+        found = cut(found.select("a", "b", "na", "nb", "shared"))
+        links = found if links is None else links.unionByName(found)
+        old = labels
+        labels = cut(connected_components(links.select("a", "b")).select(F.col("node").alias("rep"), F.col("component").alias("label")))
+        if old is not None and not found.head(1):
+            break
     # what is left: lists that hold more than one label
-    named = index.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= LARGE)
+    named = _named(index, labels)
     mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    part = F.when(F.col("members").isNotNull(), F.pmod(F.xxhash64("rep", F.lit(99)), F.ceil(F.col("members") / BLOCK))).cast("int")
+    named = cut(named.join(mixed, "token").join(sizes, "label", "left").withColumn("part", part).drop("members"))
+    links = links.unionByName(_block_links(named, labels, sizes, sets), allowMissingColumns=True)
+    named = named.where("part is null")  # both sides small
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)))
-    left = named.join(mixed, "token").withColumn("block", block.cast("int"))
+    left = named.withColumn("block", block.cast("int"))
     right = left.select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
     n, m = F.col("n"), F.col("n2")
     least = F.ceil((n + m) * PERCENT / F.lit(100 + PERCENT))  # shared tokens of a linked pair
     bound = 1 + F.least(n - F.col("pos"), m - F.col("pos2")) - 1
-    rest = left.join(right, ["token", "block"]).where((F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2")) & (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT) & (bound >= least))
+    rest = left.join(right, ["token", "block"]).where((F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2")) & near("n", "n2") & (bound >= least))
     rest = cut(rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct())
-    best = stars.groupBy("a").agg(F.max_by(F.struct("b", "na", "nb", "shared"), F.struct("shared", "b")).alias("m"))
+    best = links.where("na is not null").groupBy("a").agg(F.max_by(F.struct("b", "na", "nb", "shared"), F.struct("shared", "b")).alias("m"))
     match = best.select("a", F.col("m.b").alias("to"), (F.col("m.na") - F.col("m.shared")).alias("less"), (F.col("m.nb") - F.col("m.shared")).alias("more"))
     size = sets.groupBy("rep").agg(F.max("n").alias("n"))
     for side, name in (("a", "x"), ("b", "y")):
@@ -276,7 +349,7 @@ def similarity_links(sets: DataFrame) -> DataFrame:
     yes, no = _linked(fewest, F.col("x_n"), F.col("y_n")), ~_linked(most, F.col("x_n"), F.col("y_n"))
     rest = cut(rest.withColumn("known", F.when(F.col("shared").isNull(), F.lit(None)).when(yes, True).when(no, False)).select("a", "b", "known"))
     checked = _shared(rest.where("known is null").select("a", "b"), sets).where(_linked(F.col("shared"), F.col("na"), F.col("nb")))
-    return stars.select("a", "b").unionByName(rest.where("known").select("a", "b")).unionByName(checked.select("a", "b"))
+    return links.select("a", "b").unionByName(rest.where("known").select("a", "b")).unionByName(checked.select("a", "b"))
 
 
 def similarity_components(documents: DataFrame) -> DataFrame:
@@ -308,7 +381,7 @@ def deduplicate(documents: DataFrame) -> DataFrame:
 
 def _node() -> Column:
     """The name of a class of equal sets."""
-    return F.concat(F.hex("mark_a"), F.lit("-"), F.hex("mark_b"))
+    return F.col("mark_a")
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -63,7 +63,7 @@ def got(spark, rows, parts=3):
 
 
 def test_equals_brute_force(spark):
-    rows = corpus(1) + [(None, "a b c d e f", 0, ""), (4, "A b c d e F", 0, ""), (4, "x y", 0, ""), (2, "x y", 0, ""), (6, None, 0, ""), (8, "", 0, ""), (10, " \n ", 0, ""), (12, "ü Ü é", 0, ""), (14, "ü ü é", 0, "")]
+    rows = corpus(1, 400) + [(None, "a b c d e f", 0, ""), (4, "A b c d e F", 0, ""), (4, "x y", 0, ""), (2, "x y", 0, ""), (6, None, 0, ""), (8, "", 0, ""), (10, " \n ", 0, ""), (12, "ü Ü é", 0, ""), (14, "ü ü é", 0, "")]
     rows += [(16, "long " * 30_000 + "tail", 0, ""), (18, "long " * 30_000 + "tail", 0, "")]
     assert got(spark, rows) == brute(rows)
 
@@ -82,3 +82,18 @@ def test_components_of_chains_and_cycles(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (300, 200), (300, 250)]
     out = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100, 200: 200, 250: 200, 300: 200}
+
+
+def test_large_group_and_its_outliers(spark, monkeypatch):
+    from monthwise.llm import similarity
+
+    monkeypatch.setattr(similarity, "LARGE", 4)
+    monkeypatch.setattr(similarity, "BLOCK", 5)
+    rng = random.Random(9)
+    base, rows = [f"b{i}" for i in range(150)], []
+    for i in range(160):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 2, 3, 3, 4])):
+            w[rng.randrange(150)] = f"x{rng.randrange(60)}"
+        rows.append((i, " ".join(w), 0, ""))
+    assert got(spark, rows) == brute(rows)
