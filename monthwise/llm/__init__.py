@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, langid, mixing, quality, sharding, similarity, toxicity
+from . import chat, decontamination, langid, mixing, pii, quality, sharding, similarity, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_chat_format": chat.op1_chat_format,
         "op2_sharding": sharding.op2_sharding,
         "op3_jaccard_join": similarity.op3_jaccard_join,
+        "op4_pii": pii.op4_pii,
         "op5_mixing": mixing.op5_mixing,
         "op7_language_id": langid.op7_language_id,
         "op8_decontamination": decontamination.op8_decontamination,
