@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, langid, mixing, pii, quality, sharding, similarity, toxicity
+from . import chat, decontamination, langid, mixing, pii, quality, sharding, similarity, substring, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_jaccard_join": similarity.op3_jaccard_join,
         "op4_pii": pii.op4_pii,
         "op5_mixing": mixing.op5_mixing,
+        "op6_substring_dedup": substring.op6_substring_dedup,
         "op7_language_id": langid.op7_language_id,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_quality_rules": quality.op9_quality_rules,

@@ -112,6 +112,13 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool =
     return mix((sums[end] - sums[start]) * _power("down", len(data) + 1)[start] + (end - start).astype(np.uint64))
 
 
+def run_hash(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs values[first:last], equal for equal runs."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _power("up", len(values)), out=sums[1:])
+    return mix((sums[last] - sums[first]) * _power("down", len(values) + 1)[first] + (last - first).astype(np.uint64))
+
+
 def words(texts: Texts, fold: bool = True) -> Words:
     start, end, text = runs(texts, ~_SPACE[texts.data])
     return Words(span_hash(texts.data, start, end, fold), text, start, end)
