@@ -215,7 +215,11 @@ def pseudonymise(documents: DataFrame, key: str = KEY, kinds: tuple[str, ...] =
     return out.withColumn("n_replaced", F.size("found").cast("long")).drop(hits)
 
 
+def _found(kind: str) -> Column:
+    return F.size(F.filter("found", lambda h: h["kind"] == kind)).cast("long")
+
+
 def op4_pii(spark, sf_dir: str) -> DataFrame:
     """doc_id, the pseudonymised text, how many values it replaces, and per kind how many."""
     out = pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select("doc_id", "text", "n_replaced", *(F.size(F.filter("found", lambda h, k=k: h["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS))
+    return out.select("doc_id", "text", "n_replaced", *(_found(k).alias(f"n_{k}") for k in KINDS))

@@ -111,3 +111,8 @@ def test_numbers_are_permuted(spark):
 
 def test_an_empty_table(spark):
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_the_query_counts_kinds(spark):
+    out = pii.op4_pii(spark, "/root/testdata/sf0.001").agg(F.sum("n_replaced"), *(F.sum(f"n_{k}") for k in pii.KINDS)).first()
+    assert out[0] == sum(out[1:]) > 0
