@@ -22,7 +22,8 @@ result is one row per document with the component of the link graph it is in.
    size and with the positional bound. A pair's answer is derived from the answer of the
    sets its two sides were matched to before wherever that answer, plus or minus
    the known differences, already decides; the others are intersected.
-6. Components of all links by repeated minimum over neighbours and pointer jumps.
+6. Links found in a round join labels: components are searched in the graph of labels alone,
+   by repeated minimum over neighbours, and classes get the label their label now has.
 
 Defined results: a null, empty or blank text has 0 shingles and is its own
 component, as is any text without a link; equal texts with words link. Every row
@@ -248,7 +249,7 @@ def _named(index: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _block_links(named: DataFrame, labels: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) from classes to labels of many classes, one for each class and block of such a label.
+    """Pairs of labels (la, lb) linked by a class of one and a class of the other, which has many classes.
 
     The classes of a label that share a list are one entry of it, with the widest
     of their bounds: a class whose bounds miss the entry's skips the block whole.
@@ -259,19 +260,19 @@ def _block_links(named: DataFrame, labels: DataFrame, sizes: DataFrame, sets: Da
     rows = named.join(blocks, "token").where((F.col("label") != F.col("to")) & (F.col("part").isNull() | (F.col("label") < F.col("to"))))
     fits = (F.col("n") * 100 >= F.col("n_min") * PERCENT) & (F.col("n_max") * 100 >= F.col("n") * PERCENT)
     least = F.ceil((F.col("n") + F.greatest(F.col("n_min"), _needed(F.col("n")))) * PERCENT / F.lit(100 + PERCENT))
-    met = rows.where(fits & (F.least(F.col("n") - F.col("pos"), F.col("left_max")) >= least)).select("rep", "to", "to_part").distinct()
+    met = rows.where(fits & (F.least(F.col("n") - F.col("pos"), F.col("left_max")) >= least)).select("rep", "label", "to", "to_part").distinct()
     many = met.groupBy("to", "to_part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("shares"))
     met = cut(met)
-    guests = met.join(many, ["to", "to_part"]).join(sets, "rep").select("to", "to_part", F.pmod(F.xxhash64("rep", F.lit(98)), F.col("shares")).cast("int").alias("share"), "rep", "n", "tokens")
+    guests = met.join(many, ["to", "to_part"]).join(sets, "rep").select("to", "to_part", F.pmod(F.xxhash64("rep", F.lit(98)), F.col("shares")).cast("int").alias("share"), "label", "n", "tokens")
     part = F.pmod(F.xxhash64("rep", F.lit(99)), F.ceil(F.col("members") / BLOCK)).cast("int")
     hosts = labels.join(sizes, "label").select("rep", F.col("label").alias("to"), part.alias("to_part")).join(many, ["to", "to_part"]).join(sets, "rep")
-    hosts = hosts.select("to", "to_part", F.explode(F.sequence(F.lit(0), F.col("shares").cast("int") - 1)).alias("share"), "rep", "n", "tokens")
+    hosts = hosts.select("to", "to_part", F.explode(F.sequence(F.lit(0), F.col("shares").cast("int") - 1)).alias("share"), "n", "tokens")
     key = ["to", "to_part", "share"]
-    return guests.groupBy(*key).cogroup(hosts.groupBy(*key)).applyInArrow(_meet, "a long, b long")
+    return guests.groupBy(*key).cogroup(hosts.groupBy(*key)).applyInArrow(_meet, "la long, lb long").distinct()
 
 
 def _meet(guests: pa.Table, hosts: pa.Table) -> pa.Table:
-    """For each guest the first host it links to, by counting the hosts of each of its tokens."""
+    """The labels of guests that link to a host, by counting the hosts of each of their tokens."""
     out = []
     if guests.num_rows and hosts.num_rows:
         lists = hosts.column("tokens").combine_chunks()
@@ -280,25 +281,30 @@ def _meet(guests: pa.Table, hosts: pa.Table) -> pa.Table:
         host = np.repeat(np.arange(n_hosts), np.asarray(pc.list_value_length(lists)))
         order = np.argsort(token, kind="stable")
         token, host = token[order], host[order]
-        n, names = np.asarray(hosts.column("n")), np.asarray(hosts.column("rep"))
-        for rep, m, own in zip(guests.column("rep").to_pylist(), guests.column("n").to_pylist(), guests.column("tokens"), strict=True):
+        n, to = np.asarray(hosts.column("n")), hosts.column("to")[0].as_py()
+        for label, m, own in zip(guests.column("label").to_pylist(), guests.column("n").to_pylist(), guests.column("tokens"), strict=True):
             own = np.asarray(own.values)
             lo, hi = np.searchsorted(token, own), np.searchsorted(token, own, side="right")
             at = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
             shared = np.bincount(host[at], minlength=n_hosts)
-            linked = np.flatnonzero(100 * shared >= PERCENT * (n + m - shared))
-            if len(linked):
-                out.append((rep, int(names[linked[0]])))
+            if (100 * shared >= PERCENT * (n + m - shared)).any():
+                out.append((label, to))
     cols = list(zip(*out, strict=True)) or [[], []]
-    return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
+    return pa.table({"la": pa.array(cols[0], pa.int64()), "lb": pa.array(cols[1], pa.int64())})
 
 
-def similarity_links(sets: DataFrame) -> DataFrame:
-    """Verified links (a, b) between class representatives that connect what any link connects.
+def _relabelled(labels: DataFrame | None, linked: DataFrame) -> DataFrame:
+    """(rep, label) after labels (la, lb) were found linked: only the graph of labels is searched for components."""
+    merged = connected_components(linked, "la", "lb")
+    if labels is None:
+        return cut(merged.select(F.col("node").alias("rep"), F.col("component").alias("label")))
+    moved = labels.join(merged.withColumnRenamed("node", "label"), "label", "left").select("rep", F.coalesce("component", "label").alias("label"))
+    fresh = merged.join(labels, F.col("node") == F.col("rep"), "left_anti").select(F.col("node").alias("rep"), F.col("component").alias("label"))
+    return cut(moved.unionByName(fresh))
 
-    ``sets`` has rep, n and tokens. Links between sets that are connected without
-    them are left out.
-    """
+
+def similarity_labels(sets: DataFrame) -> DataFrame:
+    """(rep, label) of every linked class: label is the smallest rep it reaches. ``sets`` has rep, n and tokens."""
     front = F.col("n") - _needed(F.col("n")) + 1 - (F.col("n") - F.size("tokens"))
     own = sets.where(front > 0).withColumn("front", F.slice("tokens", 1, front.cast("int")))
     index = own.select("rep", "n", (F.col("n") - F.size("tokens")).alias("alone"), F.posexplode("front").alias("pos", "token"))
@@ -310,20 +316,19 @@ def similarity_links(sets: DataFrame) -> DataFrame:
         head = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("at"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))).alias("head")
         lists = named.groupBy("token").agg(head, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "head.*")
         pairs = named.join(lists, "token").where((F.col("label") != F.col("lb")) & near("n", "nb"))
-        found = _shared(pairs.select(F.col("rep").alias("a"), "b").distinct(), sets).where(_linked(F.col("shared"), F.col("na"), F.col("nb")))
-        found = cut(found.select("a", "b", "na", "nb", "shared"))
+        found = _shared(pairs.select(F.col("rep").alias("a"), "b", F.col("label").alias("la"), "lb").distinct(), sets).where(_linked(F.col("shared"), F.col("na"), F.col("nb")))
+        found = cut(found.select("a", "b", "na", "nb", "shared", "la", "lb"))
         links = found if links is None else links.unionByName(found)
-        old = labels
-        labels = cut(connected_components(links.select("a", "b")).select(F.col("node").alias("rep"), F.col("component").alias("label")))
-        if old is not None and not found.head(1):
+        if labels is not None and not found.head(1):
             break
+        labels = _relabelled(labels, found)
     # what is left: lists that hold more than one label
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= LARGE)
     named = _named(index, labels)
     mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     part = F.when(F.col("members").isNotNull(), F.pmod(F.xxhash64("rep", F.lit(99)), F.ceil(F.col("members") / BLOCK))).cast("int")
     named = cut(named.join(mixed, "token").join(sizes, "label", "left").withColumn("part", part).drop("members"))
-    links = links.unionByName(_block_links(named, labels, sizes, sets), allowMissingColumns=True)
+    blocks = _block_links(named, labels, sizes, sets)
     named = named.where("part is null")  # both sides small
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)))
     left = named.withColumn("block", block.cast("int"))
@@ -332,8 +337,8 @@ def similarity_links(sets: DataFrame) -> DataFrame:
     least = F.ceil((n + m) * PERCENT / F.lit(100 + PERCENT))  # shared tokens of a linked pair
     bound = 1 + F.least(n - F.col("pos"), m - F.col("pos2")) - 1
     rest = left.join(right, ["token", "block"]).where((F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2")) & near("n", "n2") & (bound >= least))
-    rest = cut(rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct())
-    best = links.where("na is not null").groupBy("a").agg(F.max_by(F.struct("b", "na", "nb", "shared"), F.struct("shared", "b")).alias("m"))
+    rest = cut(rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b"), F.col("label").alias("la"), F.col("label2").alias("lb")).distinct())
+    best = links.groupBy("a").agg(F.max_by(F.struct("b", "na", "nb", "shared"), F.struct("shared", "b")).alias("m"))
     match = best.select("a", F.col("m.b").alias("to"), (F.col("m.na") - F.col("m.shared")).alias("less"), (F.col("m.nb") - F.col("m.shared")).alias("more"))
     size = sets.groupBy("rep").agg(F.max("n").alias("n"))
     for side, name in (("a", "x"), ("b", "y")):
@@ -347,9 +352,10 @@ def similarity_links(sets: DataFrame) -> DataFrame:
     most = F.col("shared") + F.col("x_less") + F.col("y_less")
     fewest = F.col("shared") - F.col("x_more") - F.col("y_more")
     yes, no = _linked(fewest, F.col("x_n"), F.col("y_n")), ~_linked(most, F.col("x_n"), F.col("y_n"))
-    rest = cut(rest.withColumn("known", F.when(F.col("shared").isNull(), F.lit(None)).when(yes, True).when(no, False)).select("a", "b", "known"))
-    checked = _shared(rest.where("known is null").select("a", "b"), sets).where(_linked(F.col("shared"), F.col("na"), F.col("nb")))
-    return links.select("a", "b").unionByName(rest.where("known").select("a", "b")).unionByName(checked.select("a", "b"))
+    rest = cut(rest.withColumn("known", F.when(F.col("shared").isNull(), F.lit(None)).when(yes, True).when(no, False)).select("a", "b", "la", "lb", "known"))
+    checked = _shared(rest.where("known is null").drop("known"), sets).where(_linked(F.col("shared"), F.col("na"), F.col("nb")))
+    last = cut(blocks.unionByName(rest.where("known").select("la", "lb")).unionByName(checked.select("la", "lb")).distinct())
+    return _relabelled(labels, last) if last.head(1) else labels
 
 
 def similarity_components(documents: DataFrame) -> DataFrame:
@@ -360,8 +366,7 @@ def similarity_components(documents: DataFrame) -> DataFrame:
     marks = ["n", "mark_a", "mark_b"]
     sets = cut(shingle_sets(documents))
     able = sets.where("n > 0 and size(tokens) > 0").dropDuplicates(marks)
-    links = similarity_links(cut(able.select(_node().alias("rep"), "n", "tokens")))
-    found = connected_components(links)
+    found = similarity_labels(cut(able.select(_node().alias("rep"), "n", "tokens"))).select(F.col("rep").alias("node"), F.col("label").alias("component"))
     rows = sets.select("doc_id", "row_key", "n", F.when(F.col("n") > 0, _node()).alias("node")).join(found, "node", "left")
     rows = cut(rows.select("doc_id", "row_key", "n", F.coalesce("component", "node").alias("component")))
     first = rows.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first"))
