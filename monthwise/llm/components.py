@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .store import cut
 
+EDGES_PER_TASK = 250_000
+
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every linked node; component is the smallest node it reaches.
@@ -17,19 +19,22 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     pre-aggregated, so a hub costs no more than its edges. Joins are sort-merge at
     every size: what is joined has been dealt out by its key, and nothing passes the driver.
     """
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    edges = cut(edges)
-    before = None
-    while True:
+    edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    state, before = _state(edges), None
+    while state != before:
+        tasks = 1 + state["n"] // EDGES_PER_TASK  # a graph of few edges is not worth a file for each partition
+        edges = edges.coalesce(tasks)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == before:
-            break
-        before = state
+        edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
+        before, state = state, _state(edges)
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _state(edges: DataFrame):
+    """What changes with any edge: their number and the sum of their hashes."""
+    return edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
