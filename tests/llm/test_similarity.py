@@ -2,6 +2,8 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
+
 from monthwise.llm.components import connected_components
 from monthwise.llm.similarity import similarity_components
 
@@ -84,6 +86,38 @@ def test_components_of_chains_and_cycles(spark):
     assert out == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100, 200: 200, 250: 200, 300: 200}
 
 
+def test_components_in_rounds_of_many_tasks(spark, monkeypatch):
+    from monthwise.llm import components
+
+    monkeypatch.setattr(components, "EDGES_PER_TASK", 12)
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 260), rng.randrange(100, 260)) for _ in range(110)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    out = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()}
+    assert out == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_contraction_holds_a_bounded_part(monkeypatch):
+    from monthwise.llm import components
+
+    monkeypatch.setattr(components, "EDGES_PER_TASK", 10)
+    edges = [(i + 1, i) for i in range(50)] + [(100 + 2 * i, 101 + 2 * i) for i in range(40)]
+    batches = [pa.record_batch([pa.array([a for a, _ in part]), pa.array([b for _, b in part])], ["u", "v"]) for part in (edges[i : i + 7] for i in range(0, len(edges), 7))]
+    out = [(r["u"], r["v"]) for b in components._contracted(batches) for r in b.to_pylist()]
+    assert len(out) <= len(edges) and all(v < u for u, v in out)
+    assert {v for _, v in out if v >= 100} == {100 + 2 * i for i in range(40)}
+    assert list(components._contracted([])) == []
+
+
 def test_large_group_and_its_outliers(spark, monkeypatch):
     from monthwise.llm import similarity
 
