@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -146,17 +147,22 @@ def train_toxicity(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, n_featur
     expected = F.col("n") * F.lit(toxic / n)
     telling = F.pow(F.col("t") - expected, F.lit(2.0)) / (expected * F.lit(1 - toxic / n) * F.lit(1.0))
     chosen = [r[0] for r in seen.orderBy(telling.desc(), "feature").limit(min(n_features, 3 * n // 2)).select("feature").collect()]
-    place = {f: i for i, f in enumerate(chosen)}
+    place = np.zeros(1 << BITS, dtype=np.int32)
+    place[chosen] = np.arange(len(chosen))
     wanted = labelled.sparkSession.createDataFrame([(chosen,)], "wanted array<int>")  # one row of n_features numbers
     kept = sample.join(F.broadcast(wanted)).select("row", "kind", "toxic", F.array_intersect("features", "wanted").alias("features"))
-    y, own, pairs, index = [], [], [], {}
-    got = kept.collect()  # sample_rows rows of at most n_features numbers
-    for r in got:
-        if r["kind"] == 0:
-            index[r["row"]] = len(y)
-            y.append(r["toxic"])
-            own.append(np.array([place[f] for f in r["features"]], dtype=np.int64))
-    pairs = [(index[r["row"]], np.array([place[f] for f in r["features"]], dtype=np.int64)) for r in got if r["kind"] == 1 and r["row"] in index]
+    y, own, twins, index = [], [], [], {}
+    for batch in kept.toArrow().to_batches():  # sample_rows rows of at most n_features numbers
+        lists = batch.column("features")
+        parts = np.split(place[np.asarray(lists.flatten())], np.cumsum(np.asarray(pc.list_value_length(lists)))[:-1])
+        for row, kind, toxic_row, part in zip(*(batch.column(c).to_pylist() for c in ("row", "kind", "toxic")), parts, strict=False):
+            if kind == 0:
+                index[row] = len(y)
+                y.append(toxic_row)
+                own.append(part)
+            else:
+                twins.append((row, part))
+    pairs = [(index[row], part) for row, part in twins if row in index]
     w, b = _fit(np.array(y, dtype=float), own, pairs, len(chosen), l2 / n, swap_penalty)
     weights[chosen] = w
     return weights, float(b)
