@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import apart, cut
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 BINS = 4096
@@ -142,9 +142,10 @@ def apply_plan(rows: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
 
 def mix_sources(documents: DataFrame, weights=WEIGHTS, share: float = 1.5, max_epochs: int = 2, seed: int = 7) -> DataFrame:
     """``documents`` with size, source_size, target, copies and taken; a copy count of 0 leaves a document out."""
-    rows = documents.drop(*ADDED).withColumn("size", word_count(F.col("text")))
+    base, of, columns = apart(documents.drop(*ADDED))
+    rows = base.withColumns({"doc_id": of["doc_id"], "source": of["source"], "size": word_count(of["text"])})
     plan = mixing_plan(cut(rows.select("doc_id", "source", "size")), weights, share, max_epochs, seed)
-    return apply_plan(rows, plan, seed).select(*rows.drop("size").columns, *ADDED)
+    return apply_plan(rows, plan, seed).select(*columns, *ADDED)
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

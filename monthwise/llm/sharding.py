@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .store import apart
+
 GRAIN = 512
 ROWS_PER_RANGE = 20_000
 ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -56,15 +58,14 @@ def assign_shards(documents: DataFrame, n_shards: int = 8, grain: int = GRAIN) -
     """The rows of ``documents`` with size, text_crc32, law, shard, slot and grown_shard."""
     spark = documents.sparkSession
     bound = n_shards * grain
-    base = documents.drop(*ADDED)
-    names = {c.lower() for c in base.columns}
-    key, row, place = ((f"_{x}" if f"_{x}" not in names else f"_{x}_{len(names)}") for x in ("key", "row", "range"))
+    base, of, columns = apart(documents.drop(*ADDED))
+    key, row, place = "key", "row", "range"
     own = {
-        "size": text_size(F.col("text")),
-        "text_crc32": F.crc32(F.encode(F.col("text"), "UTF-8")),
+        "size": text_size(of["text"]),
+        "text_crc32": F.crc32(F.encode(of["text"], "UTF-8")),
         "law": F.lit("bytes"),
-        key: text_key(F.col("text")),
-        row: F.xxhash64("doc_id", "text"),
+        key: text_key(of["text"]),
+        row: F.xxhash64(of["doc_id"], of["text"]),
     }
     rows = base.withColumns(own)
     groups = rows.groupBy(key).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
@@ -75,7 +76,7 @@ def assign_shards(documents: DataFrame, n_shards: int = 8, grain: int = GRAIN) -
     name = F.when(large, F.col(key)).otherwise(bundle)
     items = groups.groupBy(large.alias("alone"), name.alias("name")).agg(F.sum("bytes").alias("bytes")).collect()  # at most 2 * bound rows
     placed = schedule([(r["bytes"], (r["alone"], r["name"])) for r in items], n_shards)
-    alone = spark.createDataFrame([(n, s) for (a, n), s in placed.items() if a] or [], f"`{key}` long, alone_shard int")
+    alone = spark.createDataFrame([(n, s) for (a, n), s in placed.items() if a] or [], f"{key} long, alone_shard int")
     small = spark.createDataFrame([(n, s) for (a, n), s in placed.items() if not a] or [], "bundle long, bundle_shard int")
     rows = rows.join(F.broadcast(alone), key, "left").withColumn("bundle", bundle).join(F.broadcast(small), "bundle", "left")
     rows = rows.withColumn("shard", F.coalesce("alone_shard", "bundle_shard")).drop("bundle", "alone_shard", "bundle_shard", key)
@@ -84,10 +85,10 @@ def assign_shards(documents: DataFrame, n_shards: int = 8, grain: int = GRAIN) -
     counts = rows.groupBy("shard", place).agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(W.partitionBy("shard").orderBy(place).rowsBetween(W.unboundedPreceding, -1))
     starts = counts.select("shard", place, F.coalesce(before, F.lit(0)).alias("start"))
-    inside = F.row_number().over(W.partitionBy("shard", place).orderBy(row, "doc_id"))
+    inside = F.row_number().over(W.partitionBy("shard", place).orderBy(row, of["doc_id"]))
     out = rows.withColumn("inside", inside).join(starts, ["shard", place])
     out = out.withColumn("slot", (F.col("start") + F.col("inside") - 1).cast("long")).withColumn("grown_shard", F.lit(None).cast("int"))
-    return out.select(*base.columns, *ADDED)
+    return out.select(*columns, *ADDED)
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:

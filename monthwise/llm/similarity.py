@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from . import kernels
 from .components import connected_components
-from .store import cut
+from .store import apart, cut
 
 PERCENT = 80
 SHINGLE = 5
@@ -378,10 +378,11 @@ def similarity_components(documents: DataFrame) -> DataFrame:
 
 def deduplicate(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` less all but the first document of each component."""
-    kept = similarity_components(documents).where("row_key = first_key").select(F.col("row_key").alias("_kept")).distinct()
-    rows = documents.withColumn("_row_key", row_key()).join(kept, F.col("_row_key") == F.col("_kept"), "left_semi")
-    again = F.row_number().over(W.partitionBy("_row_key", "doc_id").orderBy("_row_key"))
-    return rows.withColumn("_again", again).where("_again = 1").select(*documents.columns)
+    kept = similarity_components(documents).where("row_key = first_key").select("row_key").distinct()
+    base, of, columns = apart(documents)
+    rows = base.withColumn("row_key", F.xxhash64(of["doc_id"], of["text"])).join(kept, "row_key", "left_semi")
+    again = F.row_number().over(W.partitionBy("row_key", of["doc_id"]).orderBy("row_key"))
+    return rows.withColumn("again", again).where("again = 1").select(*columns)
 
 
 def _node() -> Column:

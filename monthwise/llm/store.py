@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,5 +22,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def apart(df: DataFrame) -> tuple[DataFrame, dict[str, Column], list[Column]]:
+    """``df`` with columns that clash with no working column, each by its old name, and the columns as they were."""
+    inner = [f"in_{i}" for i in range(len(df.columns))]
+    return df.toDF(*inner), {c.lower(): F.col(i) for c, i in zip(df.columns, inner, strict=True)}, [F.col(i).alias(c) for c, i in zip(df.columns, inner, strict=True)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
