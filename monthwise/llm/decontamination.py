@@ -1,19 +1,19 @@
-"""Benchmark decontamination by SimHash windows.
-
-Every benchmark item is cut into windows of (about) its own size and of half of
-it, at all offsets, and every document into windows of the same lengths, a quarter
-of a window apart. A window's fingerprint is the 64-bit SimHash of its five-word
-shingles. Window lengths are chosen such that a copied item always holds a whole
-document window, and that window equals one of the item's. Fingerprints are looked
-up in four blocks of 16 bits: two that differ in at most ``RADIUS`` = 3 bits agree in
-one block, so the lookup finds every pair within the radius. A candidate gives an
-alignment; there the shingles of the item are compared with those of the
-item-sized stretch of the document, a quarter of the item wider on both sides:
-``similarity`` is the weight of the item's shingles that are found, as a share of
-all, and a shingle weighs ``1 + ln(items / items that hold it)``.
+"""Benchmark decontamination by the rarest shingles of each item.
+
+An item is the set of its five-word shingles, and a shingle weighs ``1 + ln(items /
+items that hold it)``. ``similarity`` is the weight of the item's shingles that
+stand in an item-sized stretch of a document, a quarter of the item wider on both
+sides, as a share of all; it is the largest over all stretches of the document.
+
+A stretch that reaches ``SIMILARITY`` misses a fifth at most of the item's weight.
+So it holds one at least of any shingles that weigh more than a fifth together: each
+item is entered in the index under its heaviest (rarest) shingles up to that weight,
+and a document that holds none of them cannot hold the item. The lookup thus finds
+every pair that brute force does, wherever words were changed. A candidate's
+stretches are then compared exactly.
 
 The documents are read once for each ``ITEMS_PER_BLOCK`` items, the most that a
-task gets, and neither shuffled nor widened: all windows of a document are seen in
+task gets, and neither shuffled nor widened: all shingles of a document are seen in
 the task that reads it.
 
 Defined results: a null or empty text has no leak; items with fewer than
@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 
 from . import kernels
 
-SHINGLE, RADIUS, SIMILARITY = 5, 3, 0.8
+SHINGLE, SIMILARITY = 5, 0.8
 MIN_ITEM_WORDS = 8
 ITEMS_PER_BLOCK = 4000
-_U = np.uint64
+_EPS = 1e-12
 
 
 def ladder(n: float) -> int:
@@ -47,35 +47,12 @@ def ladder(n: float) -> int:
     return best
 
 
-def window_lengths(n_words: int) -> set[int]:
-    return {ladder(0.8 * (n_words + 1)), ladder(0.45 * n_words)}
-
-
-def fingerprints(shingle_hashes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """SimHash of ``width`` shingles from each start."""
-    bits = np.unpackbits(shingle_hashes.view(np.uint8).reshape(-1, 8), axis=1)
-    ones = np.zeros((len(bits) + 1, 64), np.uint8)  # counts modulo 256: a window that is wider is summed in parts
-    np.cumsum(bits, axis=0, dtype=np.uint8, out=ones[1:])
-    return _sign(ones, starts, width)
-
-
-def _sign(ones: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    if width < 256:
-        most = (ones[starts + width] - ones[starts]) > width // 2
-    else:
-        total = np.zeros((len(starts), 64), np.int32)
-        for a in range(0, width, 255):
-            total += ones[starts + min(a + 255, width)] - ones[starts + a]
-        most = total > width // 2
-    return np.packbits(most, axis=1).view(np.uint64).ravel()
-
-
 class Index:
-    """Fingerprints of a block of items by window length, in four tables of 16 bits."""
+    """The shingles of a block of items, and the items by their rarest shingles."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.shingles, self.weights, self.words, self.ids = [], [], [], []
-        prints: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        self.own, self.offsets, self.weights, self.words, self.ids = [], [], [], [], []
+        shingles = []
         texts = [t for t in kernels.slices(pa.array([text for _, text in items], pa.string()), 1 << 62)]
         if texts:
             w = kernels.words(texts[0])
@@ -84,74 +61,98 @@ class Index:
                 own = w.hash[cuts[i] : cuts[i + 1]]
                 if len(own) < MIN_ITEM_WORDS:
                     continue
-                k = len(self.ids)
                 sh, _, _ = kernels.shingles(own, np.zeros(len(own), np.int64), SHINGLE)
+                sh, offset = np.unique(sh, return_index=True)
                 self.ids.append(item_id)
                 self.words.append(len(own))
-                self.shingles.append(np.unique(sh))
-                for length in window_lengths(len(own)):
-                    at = np.arange(len(own) - length + 1)
-                    prints.setdefault(length, []).append((fingerprints(sh, at, length - SHINGLE + 1), np.full(len(at), k), at))
-        held, count = np.unique(np.concatenate(self.shingles) if self.shingles else np.zeros(0, np.uint64), return_counts=True)
-        for s in self.shingles:
-            self.weights.append(1 + np.log(len(self.ids) / count[np.searchsorted(held, s)]))
-        self.tables = {}
-        for length, parts in prints.items():
-            value, item, offset = (np.concatenate(x) for x in zip(*parts, strict=True))
-            blocks = []
-            for b in range(4):
-                key = (value >> _U(16 * b)).astype(np.int64) & 0xFFFF
-                order = np.argsort(key, kind="stable")
-                blocks.append((order, np.searchsorted(key[order], np.arange(65537))))
-            self.tables[length] = (value, item, offset, blocks)
-
-    def near(self, length: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in values, print) of all pairs within the radius."""
-        own, _, _, blocks = self.tables[length]
-        found = []
-        for b, (order, starts) in enumerate(blocks):
-            key = (values >> _U(16 * b)).astype(np.int64) & 0xFFFF
-            n = starts[key + 1] - starts[key]
-            at = np.flatnonzero(n)
-            n = n[at]
-            place = np.repeat(at, n)
-            inside = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
-            entry = order[np.repeat(starts[key[at]], n) + inside]
-            close = np.bitwise_count(values[place] ^ own[entry]) <= RADIUS
-            found.append((place[close], entry[close]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+                self.offsets.append(offset)
+                shingles.append(sh)
+        self.held, count = np.unique(np.concatenate(shingles) if shingles else np.zeros(0, np.uint64), return_counts=True)
+        rare, item = [], []
+        for k, sh in enumerate(shingles):
+            own = np.searchsorted(self.held, sh)
+            weights = 1 + np.log(len(shingles) / count[own])
+            order = np.argsort(-weights, kind="stable")
+            left = weights.sum() - np.cumsum(weights[order])  # the most that a document without these can hold
+            first = order[: 1 + int(np.argmax(left < (SIMILARITY - 1e-9) * weights.sum()))]
+            rare.append(own[first])
+            item.append(np.full(len(first), k))
+            self.own.append(own)
+            self.weights.append(weights)
+        rare, item = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rare, item))
+        order = np.argsort(rare, kind="stable")
+        self.items, self.starts = item[order], np.searchsorted(rare[order], np.arange(len(self.held) + 1))
+        self.mask = np.uint64((1 << max(10, (16 * len(self.held)).bit_length())) - 1)
+        self.some = np.zeros(int(self.mask) + 1, bool)  # nearly all shingles of a document end here
+        self.some[self.held & self.mask] = True
 
     def leaks(self, texts: kernels.Texts) -> Iterator[tuple[int, int, float, int, int]]:
         """(text, item_id, similarity, first word, words) of the best stretch of each item in each text."""
-        if not self.tables:
+        if not self.ids:
             return
         w = kernels.words(texts)
-        sh, text, at = kernels.shingles(w.hash, w.text, SHINGLE)
-        if not len(sh):
-            return
-        begin = np.searchsorted(text, np.arange(len(texts) + 1))  # a text's shingles are consecutive
-        inside = np.arange(len(sh)) - begin[text]
-        ones = np.zeros((len(sh) + 1, 64), np.uint8)
-        np.cumsum(np.unpackbits(sh.view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.uint8, out=ones[1:])
-        pairs = []
-        for length in self.tables:
-            width, step = length - SHINGLE + 1, max(1, length // 4)
-            starts = np.flatnonzero((inside % step == 0) & (begin[text + 1] - begin[text] - inside >= width))
-            for a in range(0, len(starts), 1 << 17):
-                part = starts[a : a + (1 << 17)]
-                place, entry = self.near(length, _sign(ones, part, width))
-                _, item, offset, _ = self.tables[length]
-                pairs.append(np.stack([part[place] - offset[entry], item[entry], text[part[place]]], axis=1))
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for start, item, doc in np.unique(np.concatenate(pairs), axis=0).tolist():
-            n = self.words[item]
-            lo, hi = max(begin[doc], start - n // 4), min(begin[doc + 1], start + n - SHINGLE + 1 + n // 4)
-            own = self.weights[item]
-            got = float(own[np.isin(self.shingles[item], sh[lo:hi])].sum() / own.sum())
-            if got >= SIMILARITY - 1e-12 and got > best.get((doc, item), (0, 0, 0))[0]:
-                best[doc, item] = (got, max(0, int(start - begin[doc])), n)
-        for (doc, item), found in best.items():
-            yield doc, self.ids[item], *found
+        sh, text, _ = kernels.shingles(w.hash, w.text, SHINGLE)
+        at = np.flatnonzero(self.some[sh & self.mask])
+        key = np.minimum(np.searchsorted(self.held, sh[at]), len(self.held) - 1)
+        hit = self.held[key] == sh[at]
+        at, key = at[hit], key[hit]
+        doc = text[at]
+        begin = np.searchsorted(text, np.arange(len(texts)))  # a text's shingles are consecutive
+        cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
+        for d, item in self._candidates(doc, key):
+            own = self.own[item]
+            keys = key[cuts[d] : cuts[d + 1]]
+            j = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+            mine = own[j] == keys
+            found = self._best(item, at[cuts[d] : cuts[d + 1]][mine] - begin[d], j[mine])
+            if found is not None:
+                yield d, self.ids[item], *found, self.words[item]
+
+    def _candidates(self, doc: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(text, item) of each text that holds one of the item's rarest shingles."""
+        rare = self.starts[key + 1] > self.starts[key]
+        seen = np.unique(np.stack([doc[rare], key[rare]], axis=1), axis=0)
+        n = self.starts[seen[:, 1] + 1] - self.starts[seen[:, 1]]
+        for a, b in _parts(n, 1 << 20, seen[:, 0]):
+            own = n[a:b]
+            entry = np.repeat(self.starts[seen[a:b, 1]], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+            yield from np.unique(np.stack([np.repeat(seen[a:b, 0], own), self.items[entry]], axis=1), axis=0).tolist()
+
+    def _best(self, item: int, at: np.ndarray, j: np.ndarray) -> tuple[float, int] | None:
+        """Similarity and first word of the best stretch, from the places and numbers of the item's shingles in a text."""
+        weights, n = self.weights[item], self.words[item]
+        total, width = weights.sum(), n - SHINGLE + 1 + 2 * (n // 4)
+        share = lambda own: float(weights[np.unique(own)].sum() / total)
+        if share(j) < SIMILARITY - _EPS:
+            return None
+        a, b = 0, len(at)
+        if at[-1] - at[0] >= width:
+            most, got, lo, held, weight = -1.0, 0.0, 0, np.zeros(len(weights), np.int64).tolist(), weights.tolist()
+            places, numbers = at.tolist(), j.tolist()
+            for hi, (place, k) in enumerate(zip(places, numbers, strict=True)):
+                while place - places[lo] >= width:
+                    held[numbers[lo]] -= 1
+                    got -= 0 if held[numbers[lo]] else weight[numbers[lo]]
+                    lo += 1
+                got += 0 if held[k] else weight[k]
+                held[k] += 1
+                if got > most + 1e-9:
+                    most, a, b = got, lo, hi + 1
+        similarity = share(j[a:b])
+        if similarity < SIMILARITY - _EPS:
+            return None
+        start, times = np.unique(at[a:b] - self.offsets[item][j[a:b]], return_counts=True)
+        return similarity, max(0, int(start[np.argmax(times)]))
+
+
+def _parts(n: np.ndarray, limit: int, group: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of whole groups with about ``limit`` in n each."""
+    ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group)) if len(group) else []
+    total, a = np.cumsum(n), 0
+    for b in ends:
+        if b == len(group) or total[b - 1] - (total[a - 1] if a else 0) >= limit:
+            yield a, b
+            a = b
 
 
 def item_blocks(benchmark: DataFrame, per_block: int = ITEMS_PER_BLOCK) -> Iterator[Index]:

@@ -82,3 +82,26 @@ def test_empty_tables(spark):
 
 def test_ladder():
     assert [ladder(n) for n in (6, 7, 8, 11, 12, 15, 16, 23, 24, 31, 32, 48, 64)] == [6, 6, 8, 8, 12, 12, 16, 16, 24, 24, 32, 48, 64]
+
+
+def test_changes_spread_over_an_item(spark):
+    """Every copy with words changed evenly or at random is found exactly where brute force finds it."""
+    rng = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(2000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(n)), "n") for i, n in enumerate([15, 22, 29, 30, 34, 45, 59, 90, 150, 250, 400])]
+    docs, starts = [], {}
+    for i, text, _ in items:
+        own = text.split()
+        for changed in (1, 2, 3, len(own) // 25, len(own) // 20):
+            for evenly in (True, False):
+                w = list(own)
+                for k in range(changed):
+                    w[(k + 1) * len(w) // (changed + 1) if evenly else rng.randrange(len(w))] = f"x{rng.random()}"
+                before, after = ([rng.choice(vocabulary) for _ in range(rng.randrange(60))] for _ in range(2))
+                starts[len(docs), i] = len(before)
+                docs.append((len(docs), " ".join(before + w + after), i))
+    want = brute(docs, items)
+    found = benchmark_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in found} == want
+    assert {(r.doc_id, r.item_id): r.first_word for r in found} == {k: starts[k] for k in want}
+    assert len(want) > 60
