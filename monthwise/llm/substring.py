@@ -1,6 +1,11 @@
 """Removal of repeated lines and passages by unit hashing.
 
-A text's units are its lines, and the sentences of a line that has several. A unit
+A text's units are its lines, and the sentences of a line that has several. With
+``runs`` they are its lines and the runs of whole sentences, over lines too, that
+just reach ``min_sentence`` words, counted on from each sentence and back from each:
+of a repeated stretch with that many words every whole sentence goes, however short,
+and a short sentence that is repeated alone stays. Runs overlap, so a word that goes
+has an earlier copy that stays, but a run need not stay in one piece. A unit
 is normalised to its words, with A-Z as a-z and any white space between them, and
 stands for itself by a 128-bit digest. Units of fewer than ``min_words`` words
 (``min_sentence`` for sentences) are never removed. Of the units with one digest in
@@ -44,8 +49,8 @@ _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 
 
-def units(texts: kernels.Texts, min_words: int = MIN_WORDS, min_sentence: int = MIN_SENTENCE) -> dict[str, np.ndarray]:
-    """text, a, b, start, length (code points) of each line and each sentence that is long enough."""
+def units(texts: kernels.Texts, min_words: int = MIN_WORDS, min_sentence: int = MIN_SENTENCE, runs: bool = False) -> dict[str, np.ndarray]:
+    """text, a, b, start, length (code points) of each line and each sentence or run of sentences that is long enough."""
     w = kernels.words(texts)
     n = len(w.hash)
     if not n:
@@ -59,6 +64,14 @@ def units(texts: kernels.Texts, min_words: int = MIN_WORDS, min_sentence: int =
     for begins, least in ((new_line, min_words), (new_sentence, min_sentence)):
         first = np.flatnonzero(begins)
         last = np.append(first[1:], n)
+        if runs and begins is new_sentence:
+            to = np.searchsorted(last, first + least)  # from each sentence the fewest that have enough words
+            on = np.flatnonzero(to < len(last))
+            start = np.searchsorted(first, last - least, side="right") - 1  # and up to each
+            back = np.flatnonzero(start >= 0)
+            first, last = np.concatenate([first[on], first[start[back]]]), np.concatenate([last[to[on]], last[back]])
+            same = w.text[first] == w.text[last - 1]
+            first, last = first[same], last[same]
         long = last - first >= least
         spans.append(np.stack([first[long], last[long]]))
     both = np.unique(np.concatenate(spans, axis=1), axis=1)
@@ -73,14 +86,14 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def document_units(documents: DataFrame, min_words: int = MIN_WORDS, min_sentence: int = MIN_SENTENCE) -> DataFrame:
+def document_units(documents: DataFrame, min_words: int = MIN_WORDS, min_sentence: int = MIN_SENTENCE, runs: bool = False) -> DataFrame:
     """row_key, doc_id, a, b (digest), start, length: a row per unit."""
     rows = documents.select(row_key().alias("row_key"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def found(batches):
         for batch in batches:
             for texts in kernels.slices(batch.column(2)):
-                u = units(texts, min_words, min_sentence)
+                u = units(texts, min_words, min_sentence, runs)
                 at = pa.array(u["text"] + texts.first)
                 own = [pa.array(u[k]) for k in ("a", "b")] + [pa.array(u[k].astype(np.int32)) for k in ("start", "length")]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *own], [x.split()[0] for x in UNITS.split(", ")])
@@ -115,10 +128,10 @@ def _without(text: str, spans: list[dict]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def deduplicate_units(documents: DataFrame, min_words: int = MIN_WORDS, min_sentence: int = MIN_SENTENCE) -> DataFrame:
+def deduplicate_units(documents: DataFrame, min_words: int = MIN_WORDS, min_sentence: int = MIN_SENTENCE, runs: bool = False) -> DataFrame:
     """``documents`` with kept_text, n_removed and removed (start, length of each removed stretch)."""
     base = documents.drop(*ADDED)
-    found = document_units(base, min_words, min_sentence)
+    found = document_units(base, min_words, min_sentence, runs)
     repeats = cut(repeated_units(found))
     gone = found.join(repeats, ["a", "b"]).where((F.col("row_key") != F.col("first_key")) | (F.col("start") != F.col("first_start")))
     spans = F.sort_array(F.collect_set(F.struct("start", "length")))
@@ -146,4 +159,4 @@ def deduplicate_units(documents: DataFrame, min_words: int = MIN_WORDS, min_sent
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, the text without what stands earlier elsewhere, and what was removed by its original offsets."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return deduplicate_units(documents).select("doc_id", F.col("kept_text").alias("text"), "n_removed", "removed")
+    return deduplicate_units(documents, runs=True).select("doc_id", F.col("kept_text").alias("text"), "n_removed", "removed")

@@ -100,3 +100,51 @@ def test_on_the_documents(spark):
 
 def test_an_empty_table(spark):
     assert substring.deduplicate_units(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def run_units(text):
+    """Lines, and all runs of whole sentences from the first to the last of any that have enough words."""
+    words, ends = list(WORD.finditer(text or "")), []
+    for i, w in enumerate(words):
+        gap = text[w.end() : words[i + 1].start()] if i + 1 < len(words) else "\n"
+        if w.group()[-1] in ".!?" or "\n" in gap:
+            ends.append(i + 1)
+    starts = [0, *ends][: len(ends)]
+    out = {u for u in plain_units(text) if "\n" not in text[u[0] : u[1]]}
+    for a in starts:
+        for b in ends:
+            if b - a >= substring.MIN_SENTENCE:
+                out.add((words[a].start(), words[b - 1].end(), tuple(w.group().lower() for w in words[a:b])))
+    return out
+
+
+def test_runs_of_short_sentences_go(spark):
+    """A passage of short sentences inside a line goes whole, equal to brute force over all runs; short sentences alone stay."""
+    rng = __import__("random").Random(7)
+    sentence = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) + "."
+    passages = [[sentence(n) for n in lengths] for lengths in ((3, 4, 5, 6, 3, 7, 8, 2, 9, 6), (20, 3, 14, 2), (2, 18, 4, 4, 5), (6, 6), (5, 6))]
+    rows = []
+    for i in range(30):
+        parts = [sentence(rng.choice([4, 9, 16])) for _ in range(4)]
+        at = rng.randrange(5)
+        rows.append((i, " ".join([*parts[:at], *passages[i % 5], *parts[at:], "Thank you."]).replace(". ", ".\n", i % 3)))
+    first, want = {}, {}
+    for doc, text in rows:
+        for start, _, key in run_units(text):
+            first[key] = min(first.get(key, (doc, start)), (doc, start))
+    for doc, text in rows:
+        gone = [False] * len(text)
+        for start, end, key in run_units(text):
+            if first[key] != (doc, start):
+                gone[start:end] = [True] * (end - start)
+        want[doc] = gone
+    got = substring.deduplicate_units(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), runs=True).collect()
+    for r in got:
+        mask = [False] * len(r["text"])
+        for s in r["removed"]:
+            mask[s["start"] : s["start"] + s["length"]] = [True] * s["length"]
+        assert mask == want[r["doc_id"]], r["doc_id"]
+        whole = " ".join(passages[r["doc_id"] % 5])
+        if r["doc_id"] >= 5:
+            assert (whole.split()[0] in r["kept_text"]) == (len(whole.split()) < substring.MIN_SENTENCE)
+    assert sum("Thank you." in r["kept_text"] for r in got) > 25
