@@ -4,10 +4,12 @@ Every text is measured once. The shares of symbols, of repeated words and of
 duplicate lines and the mean word length of the texts that pass the base rule go
 into mergeable quantile sketches (KLL) per language and source; the sketches of a
 language's sources merge into the language's, and those into one of all texts. A
-group of fewer than ``MIN_ROWS`` texts takes the thresholds of the next wider one.
-A threshold lies ``SPREAD`` times the width of the upper (lower) part of a
-group's distribution beyond its quantile, and at least ``SLACK`` beyond it, so
-that a group without any variation doesn't reject what is barely different. The
+threshold lies ``SPREAD`` times the distance of the quartile from the median beyond
+the quartile, and at least ``SLACK``, so that a group without any variation doesn't
+reject what is barely different. It lies at most ``STEP`` beyond the wider group's
+threshold, or beyond the group's own median if that is further out (for all texts:
+beyond the median), so that junk in up to half of a group doesn't set its limit. A
+group of n texts weighs n / (n + ``MIN_ROWS``) against the wider one. The
 thresholds are joined back by language and source, and every text is kept whose
 values lie within. Sketches are partial aggregates: a hot source costs a sketch
 per task. Thresholds are rounded to two digits, which hides the sketches' noise.
@@ -32,12 +34,12 @@ from .store import cut
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-#: name: ((low, high) quantiles, spread, slack)
+#: name: (has a lower limit, spread, slack, step)
 RULES = {
-    "word_length": ((0.05, 0.95), 4.0, 1.0),
-    "symbol_share": ((None, 0.9), 4.0, 0.25),
-    "dup_line_share": ((None, 0.95), 4.0, 0.25),
-    "repeat_share": ((None, 0.95), 4.0, 0.1),
+    "word_length": (True, 12.0, 1.0, 3.0),
+    "symbol_share": (False, 12.0, 0.25, 0.5),
+    "dup_line_share": (False, 12.0, 0.25, 0.25),
+    "repeat_share": (False, 12.0, 0.1, 0.1),
 }
 MIN_ROWS = 200
 SKETCH_K = 400
@@ -106,23 +108,30 @@ def thresholds(measured: DataFrame) -> DataFrame:
     by_lang = groups.groupBy("lang").agg(F.sum("rows").alias("rows"), *merged)
     overall = by_lang.agg(F.sum("rows").alias("rows"), *merged)
 
-    def limits(df: DataFrame, prefix: str) -> DataFrame:
-        columns = []
-        for rule, ((low, high), spread, slack) in RULES.items():
-            mid = F.kll_sketch_get_quantile_double(rule, F.lit(0.5))
-            up = F.kll_sketch_get_quantile_double(rule, F.lit(high))
-            columns.append(F.round(up + F.greatest(spread * (up - mid), F.lit(slack)), 2).alias(f"{prefix}{rule}_max"))
-            if low is None:
-                columns.append(F.lit(None).cast("double").alias(f"{prefix}{rule}_min"))
-            else:
-                down = F.kll_sketch_get_quantile_double(rule, F.lit(low))
-                columns.append(F.round(down - F.greatest(spread * (mid - down), F.lit(slack)), 2).alias(f"{prefix}{rule}_min"))
-        return df.select(*[c for c in ("lang", "source") if c in df.columns], (F.col("rows") >= MIN_ROWS).alias(f"{prefix}enough"), *columns)
-
-    own, lang, whole = limits(groups, "s_"), limits(by_lang, "l_").withColumnRenamed("lang", "lang_of"), limits(overall, "a_")
+    def quartiles(df: DataFrame, prefix: str) -> DataFrame:
+        at = [(r, q) for r in RULES for q in (25, 50, 75)]
+        columns = [F.kll_sketch_get_quantile_double(r, F.lit(q / 100)).alias(f"{prefix}{r}_{q}") for r, q in at]
+        return df.select(*[c for c in ("lang", "source") if c in df.columns], F.col("rows").alias(f"{prefix}rows"), *columns)
+
+    def limit(rule: str, side: int, prefix: str, wider: Column | None) -> Column:
+        """The largest value (side 1) or the least (side -1) of a group, within a step of the wider one's."""
+        _, spread, slack, step = RULES[rule]
+        mid, quartile = (side * F.col(f"{prefix}{rule}_{q}") for q in (50, 50 + 25 * side))
+        bound = mid if wider is None else F.greatest(side * wider, mid)
+        own = F.least(quartile + F.greatest(spread * (quartile - mid), F.lit(slack)), bound + step)
+        if wider is not None:
+            weight = F.col(f"{prefix}rows") / (F.col(f"{prefix}rows") + MIN_ROWS)
+            own = weight * own + (1 - weight) * side * wider
+        return side * own
+
+    own, lang, whole = quartiles(groups, "s_"), quartiles(by_lang, "l_").withColumnRenamed("lang", "lang_of"), quartiles(overall, "a_")
     wide = own.join(lang, F.col("lang").eqNullSafe(F.col("lang_of")), "left").join(F.broadcast(whole), how="left")  # one row
-    pick = lambda name: F.when(F.col("s_enough"), F.col(f"s_{name}")).when(F.col("l_enough"), F.col(f"l_{name}")).otherwise(F.col(f"a_{name}"))
-    return cut(wide.select("lang", "source", *(pick(f"{r}_{side}").alias(f"{r}_{side}") for r in RULES for side in ("min", "max"))))
+    columns = []
+    for rule, (low, *_) in RULES.items():
+        for name, side in (("min", -1), ("max", 1)):
+            value = limit(rule, side, "s_", limit(rule, side, "l_", limit(rule, side, "a_", None)))
+            columns.append((F.round(value, 2) if side > 0 or low else F.lit(None).cast("double")).alias(f"{rule}_{name}"))
+    return cut(wide.select("lang", "source", *columns))
 
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:

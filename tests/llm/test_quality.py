@@ -53,3 +53,16 @@ def test_base_rule_and_empty(spark):
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
         assert not (r.base_failed and r.kept)
     assert quality(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_junk_does_not_set_its_own_limit(spark):
+    """A source with 15 or 30 % symbol junk loses all of it; a source that is full of symbols by nature stays."""
+    rng, docs = random.Random(2), []
+    for source, junk, usual in (("fifteen", 0.15, 0.0), ("thirty", 0.3, 0.0), ("clean", 0.0, 0.0), ("code", 0.0, 0.9)):
+        for i in range(400):
+            bad = i < junk * 400
+            w = [f"w{rng.randrange(10**6)}" + ("###" if bad and rng.random() < 0.9 else "#" if rng.random() < usual else "") for _ in range(50)]
+            docs.append((len(docs), "en", source, " ".join(w), "junk" if bad else "good"))
+    got = quality(spark.createDataFrame(docs, "doc_id long, lang string, source string, text string, truth string")).collect()
+    assert not [r.source for r in got if r.kept and r.truth == "junk"]
+    assert sum(r.kept for r in got if r.truth == "good") > 0.99 * sum(r.truth == "good" for r in got)
