@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that are worked on at a time; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -29,11 +29,15 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def _power(which: str, n: int) -> np.ndarray:
-    if len(_powers[which]) < n:
-        steps = np.full(max(n, SLICE_BYTES), _U(_BASE if which == "up" else _BASE_INV))
-        steps[0] = 1
-        _powers[which] = np.multiply.accumulate(steps)
-    return _powers[which][:n]
+    """The first n powers; those of a usual slice are kept, those of a longer text are not."""
+    if len(_powers[which]) >= n:
+        return _powers[which][:n]
+    steps = np.full(max(n, SLICE_BYTES + 1), _U(_BASE if which == "up" else _BASE_INV))
+    steps[0] = 1
+    steps = np.multiply.accumulate(steps, out=steps)
+    if n <= SLICE_BYTES + 1:
+        _powers[which] = steps
+    return steps[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
