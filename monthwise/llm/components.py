@@ -14,8 +14,8 @@ EDGES_PER_TASK = 250_000
 EDGE = "u long, v long"
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every linked node; component is the smallest node it reaches.
+def component_stars(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame | None:
+    """(node, component) for every linked node that is not the smallest it reaches, which is its component; None without links.
 
     Each round contracts the edges of every task to stars, then links every node to
     the smallest node around it, first from the larger side (large star) and then
@@ -27,11 +27,12 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     state, before = _state(edges), None
+    if not state["n"]:
+        return None
     while state != before:
         tasks = 1 + state["n"] // EDGES_PER_TASK  # a graph of few edges is not worth a file for each partition
         edges = edges.coalesce(tasks).mapInArrow(_contracted, EDGE)
         if tasks == 1:
-            edges = cut(edges)
             break
         edges = cut(edges)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -41,8 +42,16 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
         before, state = state, _state(edges)
-    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) for every linked node; component is the smallest node it reaches."""
+    stars = component_stars(links, a, b)
+    if stars is None:
+        return links.sparkSession.createDataFrame([], "node long, component long")
+    stars = cut(stars)
+    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 
 
 def _contracted(batches):

@@ -1,12 +1,17 @@
-"""Exact join of documents on the Jaccard similarity of their word shingles.
+"""Join of documents on the Jaccard similarity of their word shingles.
 
-Two documents link when ``100 * |A & B| >= 80 * |A | B|``. The join is exact; its
-result is one row per document with the component of the link graph it is in.
+Two documents link when ``100 * |A & B| >= 80 * |A | B|``. Every such pair is found
+and no other, up to clashes of hashes: a shingle stands by 52 bits of a hash, so of
+10^11 distinct shingles one in 45,000 is taken for another, and a class of equal sets
+by 64 bits of a sum. The result is one row per document with the component of the
+link graph it is in.
 
 1. Sets. Tasks hash the shingles of a few hundred documents at a time (a chunk)
    and send each token's local postings, packed and compressed, to the token's
    range. There the number of documents of each token is known; tokens of one
-   document only can never match and stop here, the rest returns to its chunk. A
+   document only can never match and stop here, the rest returns to its chunk. The
+   number of ranges follows the bytes of text. The head of a chunk (its documents)
+   goes past the ranges, and the order of a task's rows must not change when it is run again. A
    token that is frequent inside a chunk sends its count alone and leaves its
    postings with the chunk, so a hot token costs a range one entry per chunk.
 2. Classes. Equal sets are one class, named by a 64-bit digest of the set. Only
@@ -44,7 +49,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels
-from .components import connected_components
+from .components import component_stars
 from .store import apart, cut
 
 PERCENT = 80
@@ -56,8 +61,11 @@ STARS = 4
 #: Labels of at least LARGE classes are met in blocks of about BLOCK classes.
 LARGE, BLOCK = 16, 256
 CHUNK_DOCS, CHUNK_BYTES = 4000, 4 << 20
+#: Text whose postings meet in one range, about.
+RANGE_BYTES = 8 << 20
+#: Bits of a chunk's document number and of a token, together 64. 12 bits are room for CHUNK_DOCS.
+DOC_BITS, TOKEN_BITS = 12, 52
 _U = np.uint64
-_WIDE = _U(48)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -83,10 +91,10 @@ def _delta(x: np.ndarray) -> np.ndarray:
 
 
 def _chunk_rows(chunk: int, ids: np.ndarray, known: np.ndarray, keys: np.ndarray, tokens: np.ndarray, doc: np.ndarray, n_ranges: int):
-    """The messages of one chunk: (range, chunk, kind, payload). Kind 0 heads the chunk, kind 1 holds postings."""
+    """The messages of one chunk: (range, chunk, kind, payload). Kind 0 heads the chunk and is a range of its own, kind 1 holds postings."""
     n = len(ids)
-    both = np.unique(((tokens >> _U(16)) << _U(16)) | doc.astype(np.uint64))  # 48 bits of token, 16 of document
-    tok, doc = both >> _U(16), (both & _U(0xFFFF)).astype(np.uint16)
+    both = np.unique(((tokens >> _U(DOC_BITS)) << _U(DOC_BITS)) | doc.astype(np.uint64))
+    tok, doc = both >> _U(DOC_BITS), (both & _U((1 << DOC_BITS) - 1)).astype(np.uint16)
     count = np.bincount(doc, minlength=n)
     order = np.argsort(doc, kind="stable")
     ends = np.concatenate([[0], np.cumsum(count)])
@@ -98,8 +106,8 @@ def _chunk_rows(chunk: int, ids: np.ndarray, known: np.ndarray, keys: np.ndarray
     first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
     uniq, local = tok[first], np.diff(np.concatenate([first, [len(tok)]]))
     frequent = np.repeat(local >= LOCAL, local)
-    rows = [(chunk % n_ranges, chunk, 0, _pack(ids, known, keys, count.astype(np.uint32), *marks, tok[frequent], doc[frequent]))]
-    where = ((uniq >> _U(16)) * _U(n_ranges)) >> _U(32)
+    rows = [(-1 - chunk, chunk, 0, _pack(ids, known, keys, count.astype(np.uint32), *marks, tok[frequent], doc[frequent]))]
+    where = ((uniq >> _U(TOKEN_BITS - 32)) * _U(n_ranges)) >> _U(32)
     cuts = np.searchsorted(where, np.arange(n_ranges + 1, dtype=np.uint64))
     starts = np.concatenate([first, [len(tok)]])
     for r in np.flatnonzero(np.diff(cuts)).tolist():
@@ -109,7 +117,7 @@ def _chunk_rows(chunk: int, ids: np.ndarray, known: np.ndarray, keys: np.ndarray
     return rows
 
 
-MESSAGES = "range int, chunk long, kind int, payload binary"
+MESSAGES = "range long, chunk long, kind int, payload binary"
 
 
 def _messages(batches, n_ranges: int):
@@ -122,30 +130,27 @@ def _messages(batches, n_ranges: int):
         ids = np.asarray(ids.fill_null(0)).astype(np.int64)
         held: list = []
         size = docs = 0
-        rows: list = []
 
         def flush():
-            nonlocal chunk
+            nonlocal chunk, size, docs
             tokens, doc, *own = (np.concatenate(x) for x in zip(*held, strict=True))
-            rows.extend(_chunk_rows(chunk, *own, tokens, doc, n_ranges))
+            rows = _chunk_rows(chunk, *own, tokens, doc, n_ranges)
             held.clear()
-            chunk += 1
+            chunk, size, docs = chunk + 1, 0, 0
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["range", "chunk", "kind", "payload"])
 
         for texts in kernels.slices(column):
             for a in range(0, len(texts), CHUNK_DOCS):
                 b = min(len(texts), a + CHUNK_DOCS)
                 part = kernels.Texts(texts.data[texts.offsets[a] : texts.offsets[b]], texts.offsets[a : b + 1] - texts.offsets[a], texts.first + a)
                 if held and (size + len(part.data) > CHUNK_BYTES or docs + len(part) > CHUNK_DOCS):
-                    flush()
-                    size = docs = 0
+                    yield flush()
                 sh, at = kernels.shingle_sets(part, SHINGLE)
                 span = slice(part.first, part.first + len(part))
                 held.append((sh, at + docs, ids[span], known[span], keys[span]))
                 size, docs = size + len(part.data), docs + len(part)
         if held:
-            flush()
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["range", "chunk", "kind", "payload"])
+            yield flush()
 
 
 def _count_range(table: pa.Table) -> pa.Table:
@@ -212,16 +217,17 @@ def _chunk_sets(table: pa.Table) -> pa.Table:
 
 def shingle_sets(documents: DataFrame) -> DataFrame:
     """doc_id, row_key, n (set size), mark_a, mark_b (equal for equal sets), tokens (empty if no partner is possible)."""
-    spark = documents.sparkSession
-    n_ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key().alias("row_key"))
+    n_bytes = documents.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    n_ranges = 1 + n_bytes // RANGE_BYTES
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key(F.col("doc_id"), F.col("text")).alias("row_key"))
     sent = rows.mapInArrow(lambda batches: _messages(batches, n_ranges), MESSAGES)
     counted = sent.groupBy("range").applyInArrow(_count_range, "chunk long, kind int, payload binary")
     return counted.groupBy("chunk").applyInArrow(_chunk_sets, SETS)
 
 
-def row_key() -> Column:
-    return F.xxhash64("doc_id", "text")
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Equal for rows of equal doc_id and text, null or not."""
+    return F.xxhash64(doc_id.cast("long"), text.cast("string"), doc_id.isNull(), text.isNull())
 
 
 def _needed(n: Column) -> Column:
@@ -241,13 +247,6 @@ def _shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.withColumn("shared", F.size(F.array_intersect("ta", "tb")).cast("long")).drop("ta", "tb")
 
 
-def _named(index: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The index with each class's component so far."""
-    if labels is None:
-        return index.withColumn("label", F.col("rep"))
-    return index.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-
-
 def _block_links(named: DataFrame, labels: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of labels (la, lb) linked by a class of one and a class of the other, which has many classes.
 
@@ -293,57 +292,59 @@ def _meet(guests: pa.Table, hosts: pa.Table) -> pa.Table:
     return pa.table({"la": pa.array(cols[0], pa.int64()), "lb": pa.array(cols[1], pa.int64())})
 
 
-def _relabelled(labels: DataFrame | None, linked: DataFrame) -> DataFrame:
-    """(rep, label) after labels (la, lb) were found linked: only the graph of labels is searched for components."""
-    merged = connected_components(linked, "la", "lb")
-    if labels is None:
-        return cut(merged.select(F.col("node").alias("rep"), F.col("component").alias("label")))
-    moved = labels.join(merged.withColumnRenamed("node", "label"), "label", "left").select("rep", F.coalesce("component", "label").alias("label"))
-    fresh = merged.join(labels, F.col("node") == F.col("rep"), "left_anti").select(F.col("node").alias("rep"), F.col("component").alias("label"))
-    return cut(moved.unionByName(fresh))
+def _relabelled(labels: DataFrame, linked: DataFrame) -> DataFrame | None:
+    """(rep, label) after labels (la, lb) were found linked, None if none was: only the graph of labels is searched for components."""
+    stars = component_stars(linked, "la", "lb")
+    if stars is None:
+        return None
+    moved = labels.join(stars.withColumnRenamed("node", "label"), "label", "left")
+    return cut(moved.select("rep", F.coalesce("component", "label").alias("label")))
 
 
 def similarity_labels(sets: DataFrame) -> DataFrame:
-    """(rep, label) of every linked class: label is the smallest rep it reaches. ``sets`` has rep, n and tokens."""
+    """(rep, label) of every class: label is the smallest rep it reaches. ``sets`` has rep, n and tokens."""
     front = F.col("n") - _needed(F.col("n")) + 1 - (F.col("n") - F.size("tokens"))
     own = sets.where(front > 0).withColumn("front", F.slice("tokens", 1, front.cast("int")))
     index = own.select("rep", "n", (F.col("n") - F.size("tokens")).alias("alone"), F.posexplode("front").alias("pos", "token"))
     index = cut(index.select("token", "rep", "n", (F.col("alone") + F.col("pos")).alias("pos")))
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT
-    labels, links = None, None
+    labels, links = sets.select("rep", F.col("rep").alias("label")), None
     for turn in range(STARS):
-        named = _named(index, labels)
+        named = index.join(labels, "rep") if turn else index.withColumn("label", F.col("rep"))
         head = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("at"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))).alias("head")
         lists = named.groupBy("token").agg(head, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "head.*")
         pairs = named.join(lists, "token").where((F.col("label") != F.col("lb")) & near("n", "nb"))
         found = _shared(pairs.select(F.col("rep").alias("a"), "b", F.col("label").alias("la"), "lb").distinct(), sets).where(_linked(F.col("shared"), F.col("na"), F.col("nb")))
         found = cut(found.select("a", "b", "na", "nb", "shared", "la", "lb"))
         links = found if links is None else links.unionByName(found)
-        if labels is not None and not found.head(1):
+        moved = _relabelled(labels, found)
+        if moved is None:
             break
-        labels = _relabelled(labels, found)
+        labels = moved
     # what is left: lists that hold more than one label
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= LARGE)
-    named = _named(index, labels)
+    named = index.join(labels, "rep")
     mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     part = F.when(F.col("members").isNotNull(), F.pmod(F.xxhash64("rep", F.lit(99)), F.ceil(F.col("members") / BLOCK))).cast("int")
     named = cut(named.join(mixed, "token").join(sizes, "label", "left").withColumn("part", part).drop("members"))
     blocks = _block_links(named, labels, sizes, sets)
     named = named.where("part is null")  # both sides small
-    block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)))
-    left = named.withColumn("block", block.cast("int"))
-    right = left.select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
+    # of a list's (size, position) values, however many classes have them, the pairs that can still meet the bound
+    block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("int")
+    values = named.groupBy("token", "n", "pos").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).withColumn("block", block)
+    others = values.select("token", F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
     n, m = F.col("n"), F.col("n2")
     least = F.ceil((n + m) * PERCENT / F.lit(100 + PERCENT))  # shared tokens of a linked pair
-    bound = 1 + F.least(n - F.col("pos"), m - F.col("pos2")) - 1
-    rest = left.join(right, ["token", "block"]).where((F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2")) & near("n", "n2") & (bound >= least))
-    rest = cut(rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b"), F.col("label").alias("la"), F.col("label2").alias("lb")).distinct())
+    bound = F.least(n - F.col("pos"), m - F.col("pos2"))
+    differ = (F.col("lo") != F.col("hi")) | (F.col("lo2") != F.col("hi2")) | (F.col("lo") != F.col("lo2"))
+    values = values.join(others, ["token", "block"]).where(differ & near("n", "n2") & (bound >= least)).select("token", "n", "pos", "n2", "pos2")
+    right = named.select("token", F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("lb"))
+    rest = named.join(values, ["token", "n", "pos"]).join(right, ["token", "n2", "pos2"]).where((F.col("rep") < F.col("b")) & (F.col("label") != F.col("lb")))
+    rest = cut(rest.select(F.col("rep").alias("a"), "b", F.col("label").alias("la"), "lb", F.col("n").alias("na"), F.col("n2").alias("nb")).distinct())
     best = links.groupBy("a").agg(F.max_by(F.struct("b", "na", "nb", "shared"), F.struct("shared", "b")).alias("m"))
     match = best.select("a", F.col("m.b").alias("to"), (F.col("m.na") - F.col("m.shared")).alias("less"), (F.col("m.nb") - F.col("m.shared")).alias("more"))
-    size = sets.groupBy("rep").agg(F.max("n").alias("n"))
     for side, name in (("a", "x"), ("b", "y")):
         rest = rest.join(match.select(F.col("a").alias(side), F.col("to").alias(f"{name}_to"), F.col("less").alias(f"{name}_less"), F.col("more").alias(f"{name}_more")), side, "left")
-        rest = rest.join(size.select(F.col("rep").alias(side), F.col("n").alias(f"{name}_n")), side)
         rest = rest.withColumn(f"{name}_to", F.coalesce(f"{name}_to", side)).na.fill(0, [f"{name}_less", f"{name}_more"])
     matched = rest.where("x_to <> a or y_to <> b")
     known = _shared(matched.select(F.col("x_to").alias("a"), F.col("y_to").alias("b")).distinct(), sets)
@@ -351,11 +352,12 @@ def similarity_labels(sets: DataFrame) -> DataFrame:
     rest = rest.join(known, ["x_to", "y_to"], "left")
     most = F.col("shared") + F.col("x_less") + F.col("y_less")
     fewest = F.col("shared") - F.col("x_more") - F.col("y_more")
-    yes, no = _linked(fewest, F.col("x_n"), F.col("y_n")), ~_linked(most, F.col("x_n"), F.col("y_n"))
+    yes, no = _linked(fewest, F.col("na"), F.col("nb")), ~_linked(most, F.col("na"), F.col("nb"))
     rest = cut(rest.withColumn("known", F.when(F.col("shared").isNull(), F.lit(None)).when(yes, True).when(no, False)).select("a", "b", "la", "lb", "known"))
     checked = _shared(rest.where("known is null").drop("known"), sets).where(_linked(F.col("shared"), F.col("na"), F.col("nb")))
-    last = cut(blocks.unionByName(rest.where("known").select("la", "lb")).unionByName(checked.select("la", "lb")).distinct())
-    return _relabelled(labels, last) if last.head(1) else labels
+    last = blocks.unionByName(rest.where("known").select("la", "lb")).unionByName(checked.select("la", "lb"))
+    moved = _relabelled(labels, last)
+    return labels if moved is None else moved
 
 
 def similarity_components(documents: DataFrame) -> DataFrame:
@@ -377,12 +379,17 @@ def similarity_components(documents: DataFrame) -> DataFrame:
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` less all but the first document of each component."""
-    kept = similarity_components(documents).where("row_key = first_key").select("row_key").distinct()
+    """The rows of ``documents`` less all but the first document of each component.
+
+    Keys are decided on narrow rows. Texts are dealt out once to meet them and are
+    not sorted, but for rows that repeat both doc_id and text, of which one stays.
+    """
+    kept = cut(similarity_components(documents).where("row_key = first_key").groupBy("row_key").agg(F.count(F.lit(1)).alias("times")))
     base, of, columns = apart(documents)
-    rows = base.withColumn("row_key", F.xxhash64(of["doc_id"], of["text"])).join(kept, "row_key", "left_semi")
-    again = F.row_number().over(W.partitionBy("row_key", of["doc_id"]).orderBy("row_key"))
-    return rows.withColumn("again", again).where("again = 1").select(*columns)
+    rows = base.withColumn("row_key", row_key(of["doc_id"], of["text"]))
+    single, again = (rows.join(kept.where(which).select("row_key").hint("shuffle_hash"), "row_key") for which in ("times = 1", "times > 1"))
+    again = again.withColumn("again", F.row_number().over(W.partitionBy("row_key", of["doc_id"]).orderBy("row_key"))).where("again = 1")
+    return single.unionByName(again.drop("again")).select(*columns)
 
 
 def _node() -> Column:
