@@ -6,14 +6,15 @@ copies, the rest is a fixed-size sample. Documents are ranked by their random od
 divided by their inclusion odds, and the sample is the front of that ranking up to
 the missing words. Inclusion probabilities grow with the square root of a
 document's words, so long documents are preferred mildly. A document that would
-pass the target ends the front; ``FRONTS - 1`` more fronts go on behind it with
+pass the target ends the front; another front goes on behind it with
 documents that still fit, and the last gap is filled by at most one document for
 each power of two of size, the best ranked that fits. A document is repeated at
 most ``max_epochs`` times.
 
-No source is sorted: the end of a front is found by two rounds of histograms
-with a fixed number of bins and one of the values inside the last bin, each a
-pre-aggregated shuffle of (source, bin) rows. What is decided per source is one
+No source is sorted: the end of a front is found by a histogram with a fixed
+number of bins and by the values inside the last bin, each a pre-aggregated
+shuffle of (source, bin) rows. What is summed as doubles is made of whole numbers,
+so that reruns agree. What is decided per source is one
 row, and documents are judged row by row against it; texts are not shuffled.
 
 Defined results: a null or blank text has size 0 and takes 0 words; a null source
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 from .store import apart, cut
 
 WORD = "[^\\x20\\x09-\\x0D]+"
-BINS = 4096
-FRONTS = 3
+#: A source's documents are counted by this many bins of their order; the last of a front is looked up inside one bin.
+BINS = 1 << 16
+FRONTS = 2
 WEIGHTS = (3, 1, 2)
 ADDED = ("size", "source_size", "target", "copies", "taken")
 
@@ -54,7 +56,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max
     order of cap / weight, the level if the first k are capped rises up to the
     true k and falls after it, so the level is the largest of them.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.pow(F.col("size").cast("double"), F.lit(1.5))).alias("mass"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), (F.sum(F.floor(F.col("size") * F.sqrt(F.col("size").cast("double")) * 1024).cast("decimal(38,0)")).cast("double") / 1024).alias("mass"))
     by_name = W.orderBy(F.col("source").asc_nulls_last())
     per = per.withColumn("rank", F.row_number().over(by_name))
     per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("double"))
@@ -101,7 +103,7 @@ def mixing_plan(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, max_epoch
     ranked = cut(ranked.withColumn("v", order_value(F.col("size"), uniform(F.col("doc_id"), seed), F.col("scale"))).where("v < 1").select("doc_id", "source", "size", "v"))
     for _ in range(FRONTS):
         plan = plan.withColumn("low", F.lit(0.0)).withColumn("width", F.lit(1.0)).withColumn("used", F.lit(0).cast("long"))
-        for last in (False, False, True):
+        for last in (False, True):
             rows = _same_source(ranked, plan.select("source", "low", "width", "used", "gap", "last"))
             rows = rows.where("size <= gap and v > last and v >= low and v < low + width")
             place = F.col("v") if last else F.least(F.floor((F.col("v") - F.col("low")) / F.col("width") * BINS), F.lit(BINS - 1)).cast("double")
@@ -159,7 +161,7 @@ WITH RECURSIVE docs AS (
     (CAST(CAST('0x' || substr(md5('7:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u
   FROM documents
 ), per AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, sum(pow(CAST(size AS DOUBLE), 1.5)) AS mass,
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(CAST(floor(size * sqrt(CAST(size AS DOUBLE)) * 1024) AS HUGEINT)) AS DOUBLE) / 1024 AS mass,
     row_number() OVER (ORDER BY source NULLS LAST) AS rank
   FROM docs GROUP BY source
 ), weighed AS (
@@ -181,10 +183,10 @@ WITH RECURSIVE docs AS (
 ), ranked AS (
   SELECT *, CASE WHEN p > 0 THEN q / (1 + q) ELSE 1.0 END AS v FROM valued
 __FRONTS__), gaps AS (
-  SELECT source, max(room) - coalesce(sum(size) FILTER (c3), 0) AS gap, max(CASE WHEN c3 THEN v ELSE last2 END) AS last FROM front3 GROUP BY source
+  SELECT source, max(room) - coalesce(sum(size) FILTER (c2), 0) AS gap, max(CASE WHEN c2 THEN v ELSE last1 END) AS last FROM front2 GROUP BY source
 ), best AS (
   SELECT f.source, CAST(floor(log2(size)) AS INT) AS kind, arg_min({'doc_id': doc_id, 'size': size}, (v, doc_id)) AS doc
-  FROM front3 f JOIN gaps g ON f.source IS NOT DISTINCT FROM g.source
+  FROM front2 f JOIN gaps g ON f.source IS NOT DISTINCT FROM g.source
   WHERE size > 0 AND v > g.last AND size <= gap AND v < 1 GROUP BY ALL
 ), fill AS (
   SELECT source, 63 AS kind, CAST(gap AS DOUBLE) AS gap, CAST(NULL AS BIGINT) AS doc_id FROM gaps
@@ -194,8 +196,8 @@ __FRONTS__), gaps AS (
   WHERE f.kind > 0
 )
 SELECT doc_id, size, source_size, target,
-  CAST((whole + CASE WHEN c1 OR c2 OR c3 OR doc_id IN (SELECT doc_id FROM fill WHERE doc_id IS NOT NULL) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
-FROM front3
+  CAST((whole + CASE WHEN c1 OR c2 OR doc_id IN (SELECT doc_id FROM fill WHERE doc_id IS NOT NULL) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM front2
 """
 
 _FRONT = """), run{i} AS (
