@@ -2,34 +2,40 @@
 
 Every text is measured once. The shares of symbols, of repeated words and of
 duplicate lines and the mean word length of the texts that pass the base rule go
-into mergeable quantile sketches (KLL) per language and source; the sketches of a
-language's sources merge into the language's, and those into one of all texts. A
-threshold lies ``SPREAD`` times the distance of the quartile from the median beyond
-the quartile, and at least ``SLACK``, so that a group without any variation doesn't
-reject what is barely different. It lies at most ``STEP`` beyond the wider group's
-threshold, or beyond the group's own median if that is further out (for all texts:
-beyond the median), so that junk in up to half of a group doesn't set its limit. A
-group of n texts weighs n / (n + ``MIN_ROWS``) against the wider one. The
-thresholds are joined back by language and source, and every text is kept whose
-values lie within. Sketches are partial aggregates: a hot source costs a sketch
-per task. Thresholds are rounded to two digits, which hides the sketches' noise.
+into mergeable quantile sketches per language and source: counts of logarithmic
+buckets, so that a quantile is off by at most ``ERROR`` of its value, two sketches
+merge by adding counts, and every rerun on any partitioning gives the same sketch.
+The sketches of a language's sources merge into the language's, and those into one
+of all texts. A threshold lies ``spread`` times the distance of the quartile from
+the median beyond the quartile, and at least ``slack``, so that a group without any
+variation doesn't reject what is barely different. It lies at most ``step`` beyond
+the wider group's threshold, or beyond the group's own median if that is further out
+(for all texts: beyond the median), so that junk in up to half of a group doesn't
+set its limit. A group of n texts weighs n / (n + ``MIN_ROWS``) against the wider
+one. The thresholds are joined back by language and source, and every text is kept
+whose values lie within. Sketches are partial aggregates: a hot source costs a
+task at most a row for each bucket.
 
 Defined results: null, empty and blank texts have 0 in all counts and fail the
-base rule; null languages and sources are groups like others; repeated rows are
-judged alike; an empty table gives an empty table; columns named as the added ones
-are replaced, others are carried.
+base rule; where no text passes it there are no thresholds; null languages and
+sources are groups like others; a value equal to a threshold is kept; repeated rows
+are judged alike; an empty table gives an empty table; columns named as the added
+ones are replaced, others are carried whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField
 
 from . import kernels
-from .store import cut
+from .store import apart, cut, from_text
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 WINDOW = 5
@@ -42,7 +48,11 @@ RULES = {
     "repeat_share": (False, 12.0, 0.1, 0.1),
 }
 MIN_ROWS = 200
-SKETCH_K = 400
+#: The relative error of a quantile, and the ratio of neighbouring buckets' bounds.
+ERROR = 0.005
+GAMMA = (1 + ERROR) / (1 - ERROR)
+#: The bucket of 0; all values are 0 or more than 1e-12.
+ZERO = -10_000
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _SPACE = np.zeros(256, dtype=bool)
@@ -74,44 +84,50 @@ def _measure(texts: kernels.Texts) -> list[np.ndarray]:
 
 def measure(documents: DataFrame) -> DataFrame:
     """``documents`` with MEASURES, all long."""
-    base = documents.drop(*MEASURES)
 
-    def measured(batches):
-        for batch in batches:
-            parts = [_measure(texts) for texts in kernels.slices(batch.column(batch.schema.get_field_index("text")))]
-            values = [np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True)] or [np.zeros(0, np.int64)] * len(MEASURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, values)], [*batch.schema.names, *MEASURES])
+    def measured(column: pa.Array) -> list[pa.Array]:
+        parts = [_measure(texts) for texts in kernels.slices(column)]
+        return [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts, strict=True)] or [pa.array([], pa.int64())] * len(MEASURES)
 
-    return base.mapInArrow(measured, StructType([*base.schema.fields, *(StructField(m, LongType()) for m in MEASURES)]))
+    return from_text(documents, [StructField(m, LongType()) for m in MEASURES], lambda: measured)
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
+def base_failed(of=F.col) -> Column:
+    return (of("n_words") < MIN_WORDS) | (of("n_repeat_words") * 100 > of("n_words") * MAX_REPEAT_PERCENT)
 
 
-def _value(name: str) -> Column:
-    words = F.greatest("n_words", F.lit(1))
+def _value(name: str, of=F.col) -> Column:
+    words = F.greatest(of("n_words"), F.lit(1))
     return {
-        "word_length": F.col("word_chars") / words,
-        "symbol_share": F.col("n_symbols") / words,
-        "dup_line_share": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
-        "repeat_share": F.col("n_repeat_words") / words,
+        "word_length": of("word_chars") / words,
+        "symbol_share": of("n_symbols") / words,
+        "dup_line_share": of("n_dup_lines") / F.greatest(of("n_lines"), F.lit(1)),
+        "repeat_share": of("n_repeat_words") / words,
     }[name]
 
 
+def sketched(measured: DataFrame) -> DataFrame:
+    """lang, source, rule, bucket, n: the sketches of all values of texts that pass the base rule."""
+    bucket = lambda v: F.when(v <= 0, ZERO).otherwise(F.ceil(F.log(v) / F.lit(math.log(GAMMA)))).cast("int")
+    values = F.array(*(F.struct(F.lit(r).alias("rule"), bucket(_value(r)).alias("bucket")) for r in RULES))
+    rows = measured.where(~base_failed()).select("lang", "source", F.explode(values).alias("v"))
+    return rows.groupBy("lang", "source", "v.rule", "v.bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def quartiles(sketch: DataFrame, group: list[str], prefix: str) -> DataFrame:
+    """Per group, the rows and the three quartiles of each rule."""
+    merged = sketch.groupBy(*group, "rule", "bucket").agg(F.sum("n").alias("n"))
+    own = W.partitionBy(*group, "rule")
+    merged = merged.withColumn("run", F.sum("n").over(own.orderBy("bucket"))).withColumn("rows", F.sum("n").over(own))
+    value = F.when(F.col("bucket") == ZERO, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bucket").cast("double")) * (2 / (GAMMA + 1)))
+    at = lambda r, q: F.min(F.when((F.col("rule") == r) & (F.col("run") * 100 >= F.col("rows") * q), value))
+    columns = [at(r, q).alias(f"{prefix}{r}_{q}") for r in RULES for q in (25, 50, 75)]
+    return merged.groupBy(*group).agg(F.max("rows").alias(f"{prefix}rows"), *columns)
+
+
 def thresholds(measured: DataFrame) -> DataFrame:
     """lang, source and, per rule, the least and the largest value that is kept."""
-    good = measured.where(~base_failed()).select("lang", "source", *(_value(r).alias(r) for r in RULES))
-    sketches = [F.kll_sketch_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in RULES]
-    groups = cut(good.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("rows"), *sketches))
-    merged = [F.kll_merge_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in RULES]
-    by_lang = groups.groupBy("lang").agg(F.sum("rows").alias("rows"), *merged)
-    overall = by_lang.agg(F.sum("rows").alias("rows"), *merged)
-
-    def quartiles(df: DataFrame, prefix: str) -> DataFrame:
-        at = [(r, q) for r in RULES for q in (25, 50, 75)]
-        columns = [F.kll_sketch_get_quantile_double(r, F.lit(q / 100)).alias(f"{prefix}{r}_{q}") for r, q in at]
-        return df.select(*[c for c in ("lang", "source") if c in df.columns], F.col("rows").alias(f"{prefix}rows"), *columns)
+    sketch = cut(sketched(measured))  # at most a row for each bucket, rule, language and source
 
     def limit(rule: str, side: int, prefix: str, wider: Column | None) -> Column:
         """The largest value (side 1) or the least (side -1) of a group, within a step of the wider one's."""
@@ -124,26 +140,27 @@ def thresholds(measured: DataFrame) -> DataFrame:
             own = weight * own + (1 - weight) * side * wider
         return side * own
 
-    own, lang, whole = quartiles(groups, "s_"), quartiles(by_lang, "l_").withColumnRenamed("lang", "lang_of"), quartiles(overall, "a_")
+    own, lang, whole = quartiles(sketch, ["lang", "source"], "s_"), quartiles(sketch, ["lang"], "l_").withColumnRenamed("lang", "lang_of"), quartiles(sketch, [], "a_")
     wide = own.join(lang, F.col("lang").eqNullSafe(F.col("lang_of")), "left").join(F.broadcast(whole), how="left")  # one row
     columns = []
     for rule, (low, *_) in RULES.items():
         for name, side in (("min", -1), ("max", 1)):
             value = limit(rule, side, "s_", limit(rule, side, "l_", limit(rule, side, "a_", None)))
-            columns.append((F.round(value, 2) if side > 0 or low else F.lit(None).cast("double")).alias(f"{rule}_{name}"))
+            columns.append((value if side > 0 or low else F.lit(None).cast("double")).alias(f"{rule}_{name}"))
     return cut(wide.select("lang", "source", *columns))
 
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """``measured`` with base_failed and kept."""
-    base = measured.drop("base_failed", "kept")
-    limits = limits.withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source")
-    rows = base.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    base, of, columns = apart(measured.drop("base_failed", "kept"))
+    limits = limits.withColumnsRenamed({"lang": "limit_lang", "source": "limit_source"})
+    rows = base.join(limits, of["lang"].eqNullSafe(F.col("limit_lang")) & of["source"].eqNullSafe(F.col("limit_source")), "left")
     within = F.lit(True)
     for rule in RULES:
-        value = _value(rule)
+        value = _value(rule, of.get)
         within &= F.coalesce(value <= F.col(f"{rule}_max"), F.lit(True)) & F.coalesce(value >= F.col(f"{rule}_min"), F.lit(True))
-    return rows.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & within).select(*base.columns, "base_failed", "kept")
+    failed = base_failed(of.get)
+    return rows.select(*columns, failed.alias("base_failed"), (~failed & within).alias("kept"))
 
 
 def quality(documents: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
+import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
-from monthwise.llm.quality import MEASURES, judge, measure, quality, thresholds
+
+from monthwise.llm.quality import ERROR, MEASURES, MIN_ROWS, RULES, judge, measure, op9_quality_rules, quality, thresholds
 
 SCHEMA = "doc_id long, lang string, source string, text string, kept string"
 
@@ -66,3 +68,64 @@ def test_junk_does_not_set_its_own_limit(spark):
     got = quality(spark.createDataFrame(docs, "doc_id long, lang string, source string, text string, truth string")).collect()
     assert not [r.source for r in got if r.kept and r.truth == "junk"]
     assert sum(r.kept for r in got if r.truth == "good") > 0.99 * sum(r.truth == "good" for r in got)
+
+
+def values(r):
+    n = max(r.n_words, 1)
+    return {"word_length": r.word_chars / n, "symbol_share": r.n_symbols / n, "dup_line_share": r.n_dup_lines / max(r.n_lines, 1), "repeat_share": r.n_repeat_words / n}
+
+
+def brute_limits(measured):
+    """Thresholds from exact quantiles of the sorted values."""
+    groups = defaultdict(list)
+    for r in measured:
+        if not (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words):
+            for key in ((), (r.lang,), (r.lang, r.source)):
+                groups[key].append(values(r))
+    out = {}
+    for key in groups:
+        if len(key) < 2:
+            continue
+        for rule, (low, spread, slack, step) in RULES.items():
+            for side in (-1, 1):
+                wider = None
+                for at in ((), key[:1], key):
+                    v = sorted(x[rule] for x in groups[at])
+                    mid, quartile = (side * v[math.ceil(q * len(v) / 100) - 1] for q in (50, 50 + 25 * side))
+                    own = min(quartile + max(spread * (quartile - mid), slack), (mid if wider is None else max(side * wider, mid)) + step)
+                    if wider is not None:
+                        weight = len(v) / (len(v) + MIN_ROWS)
+                        own = weight * own + (1 - weight) * side * wider
+                    wider = side * own
+                if side > 0 or low:
+                    out[(*key, rule, side)] = wider
+    return out
+
+
+def test_verdict_equals_exact_quantiles(spark):
+    """kept is what exact quantiles say, unless a value lies within the sketch's error of a threshold."""
+    measured = measure(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).cache()
+    got, want = judge(measured, thresholds(measured)).collect(), brute_limits(measured.collect())
+    close = 0
+    for r in got:
+        v, failed = values(r), r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words
+        sides = [(side * (v[rule] - want[r.lang, r.source, rule, side]), want[r.lang, r.source, rule, side]) for rule in RULES for side in (-1, 1) if (r.lang, r.source, rule, side) in want]
+        assert r.base_failed == failed
+        if not failed and any(abs(d) < 30 * ERROR * abs(t) + 0.01 for d, t in sides):
+            close += 1
+            continue
+        assert r.kept == (not failed and all(d <= 0 for d, _ in sides)), r.doc_id
+    assert close < 0.2 * len(got)
+    again = judge(measured.repartition(5), thresholds(measured.repartition(7))).collect()
+    assert {r.doc_id: r.kept for r in again} == {r.doc_id: r.kept for r in got}
+
+
+def test_tables_without_a_good_text(spark, tmp_path):
+    """Empty Parquet tables, and tables in which every text fails the base rule."""
+    empty = spark.createDataFrame(rows(), SCHEMA).where("doc_id < -5")
+    empty.write.parquet(str(tmp_path / "e" / "documents.parquet"))
+    assert op9_quality_rules(spark, str(tmp_path / "e")).count() == 0
+    bad = [(i, "en", "s", x, "x") for i, x in enumerate(["a b", None, "", "x " * 500])]
+    spark.createDataFrame(bad, SCHEMA).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    got = op9_quality_rules(spark, str(tmp_path / "b")).collect()
+    assert len(got) == 4 and all(r.base_failed and not r.kept for r in got)
