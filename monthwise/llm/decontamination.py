@@ -1,24 +1,30 @@
 """Benchmark decontamination by the rarest shingles of each item.
 
 An item is the set of its five-word shingles, and a shingle weighs ``1 + ln(items /
-items that hold it)``. ``similarity`` is the weight of the item's shingles that
-stand in an item-sized stretch of a document, a quarter of the item wider on both
-sides, as a share of all; it is the largest over all stretches of the document.
+items that hold it)``, counted over the whole benchmark. ``similarity`` is the weight
+of the item's shingles that stand in an item-sized stretch of a document, a quarter
+of the item wider on both sides, as a share of all; it is the largest over all
+stretches of the document.
 
 A stretch that reaches ``SIMILARITY`` misses a fifth at most of the item's weight.
 So it holds one at least of any shingles that weigh more than a fifth together: each
 item is entered in the index under its heaviest (rarest) shingles up to that weight,
 and a document that holds none of them cannot hold the item. The lookup thus finds
 every pair that brute force does, wherever words were changed. A candidate's
-stretches are then compared exactly.
-
-The documents are read once for each ``ITEMS_PER_BLOCK`` items, the most that a
-task gets, and neither shuffled nor widened: all shingles of a document are seen in
-the task that reads it.
-
-Defined results: a null or empty text has no leak; items with fewer than
-``MIN_ITEM_WORDS`` words, null or without id are not searched; items with equal
-texts are all reported; repeated rows are reported each; other columns are carried
+stretches are then compared exactly. SimHash windows can't do this at 0.8: see the
+README for the measured distances.
+
+The items are hashed into blocks of about ``BLOCK_BYTES`` of text, the most that a
+task or the driver holds at once. The documents are worked on once for each block,
+and neither shuffled nor widened: all shingles of a document are seen in the task
+that reads it.
+
+Defined results: a null or empty text has no leak; items that are null, without id
+or with fewer than ``min_words`` words are not searched (such short ones stand in
+texts by chance); with ``min_words`` below five, items of fewer than five words are
+found where all their words stand in a row; items with equal texts are all
+reported; of equally similar stretches the first counts; repeated rows are reported
+each; empty tables give no leaks and leave all documents; other columns are carried
 by ``decontaminate`` whatever their names.
 """
 
@@ -32,26 +38,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
+from .store import apart
 
 SHINGLE, SIMILARITY = 5, 0.8
-MIN_ITEM_WORDS = 8
-ITEMS_PER_BLOCK = 4000
+MIN_WORDS = SHINGLE
+#: Item text of a block, about.
+BLOCK_BYTES = 4 << 20
 _EPS = 1e-12
 
 
-def ladder(n: float) -> int:
-    """The largest window length (6, 8, 12, 16, 24, ...) of at most n words."""
-    best, at = 6, 6
-    while at <= n:
-        best, at = at, at * 4 // 3 if at % 6 == 0 else at * 3 // 2
-    return best
-
-
 class Index:
-    """The shingles of a block of items, and the items by their rarest shingles."""
+    """The shingles of a block of items, and the items by their rarest shingles.
+
+    ``n_items`` and ``common`` (shingle: items, where it is more than one) are counted over all blocks.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], n_items: int, common: dict[int, int], min_words: int = MIN_WORDS):
         self.own, self.offsets, self.weights, self.words, self.ids = [], [], [], [], []
+        self.short: dict[int, dict[int, list[int]]] = {}  # words: sequence: item ids
         shingles = []
         texts = [t for t in kernels.slices(pa.array([text for _, text in items], pa.string()), 1 << 62)]
         if texts:
@@ -59,7 +63,11 @@ class Index:
             cuts = np.searchsorted(w.text, np.arange(len(items) + 1))
             for i, (item_id, _) in enumerate(items):
                 own = w.hash[cuts[i] : cuts[i + 1]]
-                if len(own) < MIN_ITEM_WORDS:
+                if not len(own) or len(own) < min_words:
+                    continue
+                if len(own) < SHINGLE:
+                    whole = kernels.shingles(own, np.zeros(len(own), np.int64), len(own))[0]
+                    self.short.setdefault(len(own), {}).setdefault(int(whole[0]), []).append(item_id)
                     continue
                 sh, _, _ = kernels.shingles(own, np.zeros(len(own), np.int64), SHINGLE)
                 sh, offset = np.unique(sh, return_index=True)
@@ -67,11 +75,12 @@ class Index:
                 self.words.append(len(own))
                 self.offsets.append(offset)
                 shingles.append(sh)
-        self.held, count = np.unique(np.concatenate(shingles) if shingles else np.zeros(0, np.uint64), return_counts=True)
+        self.held = np.unique(np.concatenate(shingles) if shingles else np.zeros(0, np.uint64))
+        count = np.array([common.get(h, 1) for h in self.held.tolist()], dtype=np.int64)
         rare, item = [], []
         for k, sh in enumerate(shingles):
             own = np.searchsorted(self.held, sh)
-            weights = 1 + np.log(len(shingles) / count[own])
+            weights = 1 + np.log(n_items / count[own])
             order = np.argsort(-weights, kind="stable")
             left = weights.sum() - np.cumsum(weights[order])  # the most that a document without these can hold
             first = order[: 1 + int(np.argmax(left < (SIMILARITY - 1e-9) * weights.sum()))]
@@ -88,9 +97,16 @@ class Index:
 
     def leaks(self, texts: kernels.Texts) -> Iterator[tuple[int, int, float, int, int]]:
         """(text, item_id, similarity, first word, words) of the best stretch of each item in each text."""
+        w = kernels.words(texts)
+        for n, known in self.short.items():
+            sh, text, at = kernels.shingles(w.hash, w.text, n)
+            hit = np.flatnonzero(np.isin(sh, np.array(list(known), dtype=np.uint64)))
+            _, first = np.unique(np.stack([text[hit], sh[hit].view(np.int64)]), axis=1, return_index=True)
+            for k in hit[np.sort(first)].tolist():
+                for item_id in known[int(sh[k])]:
+                    yield int(text[k]), item_id, 1.0, int(at[k] - np.searchsorted(w.text, text[k])), n
         if not self.ids:
             return
-        w = kernels.words(texts)
         sh, text, _ = kernels.shingles(w.hash, w.text, SHINGLE)
         at = np.flatnonzero(self.some[sh & self.mask])
         key = np.minimum(np.searchsorted(self.held, sh[at]), len(self.held) - 1)
@@ -155,23 +171,41 @@ def _parts(n: np.ndarray, limit: int, group: np.ndarray) -> Iterator[tuple[int,
             a = b
 
 
-def item_blocks(benchmark: DataFrame, per_block: int = ITEMS_PER_BLOCK) -> Iterator[Index]:
-    """Indexes of at most about ``per_block`` items; each block of items is read on its own."""
+def _item_shingles(batches):
+    for batch in batches:
+        for texts in kernels.slices(batch.column(1)):
+            w = kernels.words(texts)
+            sh, text, _ = kernels.shingles(w.hash, w.text, SHINGLE)
+            both = np.unique(np.stack([text, sh.view(np.int64)]), axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(both[0] + texts.first)), pa.array(both[1])], ["block", "shingle"])
+
+
+def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, min_words: int = MIN_WORDS) -> Iterator[Index]:
+    """Indexes of about ``block_bytes`` of items each; each block of items is read on its own."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    n_blocks = -(-items.count() // per_block)
+    n_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = -(-n_bytes // block_bytes)
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n_blocks)))
+    items = items.withColumn("block", block)
+    long = F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")) >= max(SHINGLE, min_words)
+    n_items = items.where(long).count()
+    rows = items.where(long).select("block", "text").mapInArrow(_item_shingles, "block long, shingle long")
+    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    common = rows.distinct().join(held, "shingle")
     for b in range(n_blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b) if n_blocks > 1 else items
-        yield Index([(r["item_id"], r["text"]) for r in own.collect()])
+        own = items.where(F.col("block") == b).select("item_id", "text").collect()
+        counts = {r["shingle"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in common.where(F.col("block") == b).collect()}  # a row for each shingle of the block at most
+        yield Index([(r["item_id"], r["text"]) for r in own], n_items, counts, min_words)
 
 
 LEAKS = "doc_id long, item_id long, similarity double, first_word long, n_words long"
 
 
-def benchmark_leaks(documents: DataFrame, benchmark: DataFrame, per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
+def benchmark_leaks(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, item_id, similarity, first_word, n_words: one row per document and item it holds."""
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = documents.sparkSession.createDataFrame([], LEAKS)
-    for index in item_blocks(benchmark, per_block):
+    for index in item_blocks(benchmark, block_bytes, min_words):
         shared = documents.sparkSession.sparkContext.broadcast(index)
 
         def found(batches, shared=shared):
@@ -187,22 +221,24 @@ def benchmark_leaks(documents: DataFrame, benchmark: DataFrame, per_block: int =
     return out
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``documents`` that hold no benchmark item."""
-    out = documents
-    for index in item_blocks(benchmark, per_block):
+    out, of, columns = apart(documents)
+    at = [c.lower() for c in documents.columns].index("text")
+    schema = out.schema
+    for index in item_blocks(benchmark, block_bytes, min_words):
         shared = documents.sparkSession.sparkContext.broadcast(index)
 
         def clean(batches, shared=shared):
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for texts in kernels.slices(batch.column(batch.schema.get_field_index("text"))):
+                for texts in kernels.slices(batch.column(at)):
                     for doc, *_ in shared.value.leaks(texts):
                         keep[texts.first + doc] = False
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(clean, documents.schema)
-    return out
+        out = out.mapInArrow(clean, schema)
+    return out.select(*columns)
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:

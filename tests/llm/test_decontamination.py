@@ -2,7 +2,7 @@ import math
 import random
 import re
 
-from monthwise.llm.decontamination import benchmark_leaks, decontaminate, ladder
+from monthwise.llm.decontamination import benchmark_leaks, decontaminate
 
 DOCS, ITEMS = "doc_id long, text string, item_id int", "item_id long, text string, note string"
 
@@ -17,7 +17,7 @@ def grams(w):
 
 def brute(docs, items):
     """Best weighted share of each item in any item-sized stretch, a quarter wider on both sides."""
-    sets = {i: grams(words(t)) for i, t, _ in items if len(words(t)) >= 8}
+    sets = {i: grams(words(t)) for i, t, _ in items if len(words(t)) >= 5}
     held = {}
     for s in sets.values():
         for g in s:
@@ -40,7 +40,7 @@ def brute(docs, items):
 def corpus(seed=5):
     rng = random.Random(seed)
     vocabulary = [f"v{i}" for i in range(300)]
-    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([8, 9, 14, 20, 33, 47, 60, 130]))), "n") for i in range(30)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([5, 6, 9, 14, 20, 33, 47, 60, 130]))), "n") for i in range(30)]
     items += [(100, items[3][1], "n"), (101, "too short", "n"), (102, None, "n"), (None, items[4][1], "n")]
     docs = []
     for i in range(160):
@@ -66,8 +66,10 @@ def test_equals_brute_force_and_blocks(spark):
     got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in benchmark_leaks(df, bench).collect()}
     assert (902, 2) in got
     assert {k: v for k, v in got.items() if k[0] != 902} == want
+    blocks = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in benchmark_leaks(df, bench, block_bytes=2000).collect()}
+    assert blocks == got  # weights don't depend on the blocks
     leaks = {k[0] for k in got}
-    kept = [r.doc_id for r in decontaminate(df, bench, per_block=7).collect()]
+    kept = [r.doc_id for r in decontaminate(df, bench, block_bytes=2000).collect()]
     assert set(kept) == {d[0] for d in docs} - leaks
     assert decontaminate(df, bench).columns == df.columns
 
@@ -80,10 +82,6 @@ def test_empty_tables(spark):
     assert decontaminate(spark.createDataFrame(docs, DOCS), bench).count() == len(docs)
 
 
-def test_ladder():
-    assert [ladder(n) for n in (6, 7, 8, 11, 12, 15, 16, 23, 24, 31, 32, 48, 64)] == [6, 6, 8, 8, 12, 12, 16, 16, 24, 24, 32, 48, 64]
-
-
 def test_changes_spread_over_an_item(spark):
     """Every copy with words changed evenly or at random is found exactly where brute force finds it."""
     rng = random.Random(11)
@@ -105,3 +103,11 @@ def test_changes_spread_over_an_item(spark):
     assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in found} == want
     assert {(r.doc_id, r.item_id): r.first_word for r in found} == {k: starts[k] for k in want}
     assert len(want) > 60
+
+
+def test_items_of_few_words_stand_whole(spark):
+    items = spark.createDataFrame([(1, "Alpha beta", "n"), (2, "gamma", "n"), (3, "one two three four", "n"), (4, "", "n"), (5, "beta alpha", "n")], ITEMS)
+    docs = spark.createDataFrame([(1, "x ALPHA  beta y alpha beta", 0), (2, "alpha y beta", 0), (3, "one two\nthree four five", 0), (4, "gammas", 0), (5, None, 0)], DOCS)
+    got = sorted((r.doc_id, r.item_id, r.first_word, r.n_words) for r in benchmark_leaks(docs, items, min_words=1).collect())
+    assert got == [(1, 1, 1, 2), (3, 3, 0, 4)]
+    assert benchmark_leaks(docs, items).count() == 0
