@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from . import kernels
-from .store import cut
+from .store import apart, cut
 
 MIN_WORDS, MIN_SENTENCE = 5, 12
 ADDED = ("kept_text", "n_removed", "removed", "spans")
@@ -82,13 +82,13 @@ def units(texts: kernels.Texts, min_words: int = MIN_WORDS, min_sentence: int =
     return {"text": w.text[first], "a": a, "b": b, "start": start - chars[texts.offsets[w.text[first]]], "length": end - start}
 
 
-def row_key() -> Column:
-    return F.xxhash64("doc_id", "text")
+def row_key(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id.cast("long"), text.cast("string"), doc_id.isNull(), text.isNull())
 
 
 def document_units(documents: DataFrame, min_words: int = MIN_WORDS, min_sentence: int = MIN_SENTENCE, runs: bool = False) -> DataFrame:
     """row_key, doc_id, a, b (digest), start, length: a row per unit."""
-    rows = documents.select(row_key().alias("row_key"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = documents.select(row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def found(batches):
         for batch in batches:
@@ -130,20 +130,20 @@ def _without(text: str, spans: list[dict]) -> str:
 
 def deduplicate_units(documents: DataFrame, min_words: int = MIN_WORDS, min_sentence: int = MIN_SENTENCE, runs: bool = False) -> DataFrame:
     """``documents`` with kept_text, n_removed and removed (start, length of each removed stretch)."""
-    base = documents.drop(*ADDED)
-    found = document_units(base, min_words, min_sentence, runs)
+    base, of, columns = apart(documents.drop(*ADDED))
+    found = document_units(base.select(of["doc_id"].alias("doc_id"), of["text"].alias("text")), min_words, min_sentence, runs)
     repeats = cut(repeated_units(found))
     gone = found.join(repeats, ["a", "b"]).where((F.col("row_key") != F.col("first_key")) | (F.col("start") != F.col("first_start")))
     spans = F.sort_array(F.collect_set(F.struct("start", "length")))
     gone = gone.groupBy("row_key").agg(spans.alias("spans"))
-    key = next(n for n in ("_row_key" + "_" * i for i in range(len(base.columns) + 1)) if n not in base.columns)
-    rows = base.withColumn(key, row_key()).join(gone.select(F.col("row_key").alias(key), "spans"), key, "left").drop(key)
+    rows = base.withColumn("row_key", row_key(of["doc_id"], of["text"])).join(gone, "row_key", "left").drop("row_key")
+    at = [c.lower() for c in documents.drop(*ADDED).columns].index("text")
     span = ArrayType(StructType([StructField("start", IntegerType()), StructField("length", IntegerType())]))
     added = [StructField("kept_text", StringType()), StructField("n_removed", LongType()), StructField("removed", span)]
 
     def without(batches):
         for batch in batches:
-            texts, spans = batch.column(batch.schema.get_field_index("text")), batch.column(batch.num_columns - 1)
+            texts, spans = batch.column(at), batch.column(batch.num_columns - 1)
             kept, removed = [], []
             for text, own in zip(texts, spans, strict=True):
                 merged = _merged(own.as_py())
@@ -153,7 +153,8 @@ def deduplicate_units(documents: DataFrame, min_words: int = MIN_WORDS, min_sent
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], "kept_text", "n_removed", "removed"])
 
     to_arrow = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
-    return rows.mapInArrow(without, StructType([*base.schema.fields, *added]))
+    out = rows.mapInArrow(without, StructType([*base.schema.fields, *added]))
+    return out.select(*columns, *(f.name for f in added))
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
