@@ -2,21 +2,28 @@
 
 Candidates are found by one pattern, and only those that validate are replaced:
 card numbers by the Luhn digit, IBANs modulo 97, addresses by their octets, social
-security numbers by their areas, dates by the calendar. A valid value is permuted
-by a keyed Feistel network inside its own format: numbers below ``a * b`` as two
-halves with additions modulo ``a`` and modulo ``b``, strings as two halves whose
-characters move inside their class (digits, lower case, upper case), with SHA-256
-of the key and the other half as the round function. Check digits are computed
-anew. The permutation depends on the digits alone and not on their separators, so
-equal values stay equal in all documents, and different ones different.
-
-Formats: a date keeps its layout and stays from 1900 to 2099 (dd/mm/yyyy where
-that is valid, mm/dd/yyyy otherwise); a telephone number keeps its country code; an
-e-mail address keeps its domain; keys of 32 to 64 hexadecimal digits stay such.
+security numbers by their areas, dates by the calendar. A candidate of several
+groups that does not validate whole, a card number beside an expiry date say, is
+tried by its runs of groups. A valid value is permuted by a keyed Feistel network
+inside its own format: numbers below ``a * b`` as two halves with additions modulo
+``a`` and modulo ``b``, strings as two halves whose characters move inside their
+class (digits, lower case, upper case), with SHA-256 of the key and the other half as
+the round function. Check digits are computed anew. The permutation depends on the
+digits alone and not on their separators, so equal values stay equal in all
+documents, and different ones of a format different. The key is the caller's: who
+knows it can undo all pseudonyms.
+
+Formats: a date keeps its layout and stays from 1900 to 2099. What reads as
+dd/mm/yyyy is such a date; what only reads as mm/dd/yyyy (a day above 12) moves among
+the dates of that kind, so that no two dates of a layout meet. A telephone number
+keeps its country code; an e-mail address keeps its domain; keys of 32 to 64
+hexadecimal digits stay such. Tokens of other forms, IPv6 addresses and dates with
+one-digit parts are not looked for.
 
 Defined results: a null text stays null with 0 found; what does not validate stays
-as it is; repeated rows get equal answers; columns with the names of added ones
-are replaced, others are carried; an empty table gives an empty table. A text is
+as it is; of several valid runs of groups the one with most digits counts, then the
+first; repeated rows get equal answers; columns with the names of added ones are
+replaced, others are carried; an empty table gives an empty table. A text is
 worked on whole, in the task that reads it; nothing is shuffled.
 """
 
@@ -25,13 +32,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "monthwise"
+#: The setting that holds the key of the registered query, and the key for tables that hold no real person's data.
+KEY_SETTING, TEST_KEY = "spark.monthwise.pii.key", "for test tables only"
 ROUNDS = 8
 #: From 1900 to 2099 there are 17 * 4297 days; 898 areas, 99 groups and 9999 serials make a social security number.
 DAY_HALVES, FIRST_DAY = (17, 4297), "1900-01-01"
 IP_HALVES = (1 << 16, 1 << 16)
 SSN_AREAS, SSN_REST = 898, 99 * 9999
-KINDS = ("email", "ip", "date", "ssn", "phone", "iban", "secret", "card")
+KINDS = ("email", "ip", "date", "ssn", "phone", "iban", "hex_key", "card")
 CANDIDATE = "|".join(
     (
         r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)++",
@@ -71,7 +79,7 @@ def _shifted(half: Column, digest: Column, alphabets: tuple[str, ...]) -> Column
     return F.when(F.length(half) == 0, half).otherwise(F.array_join(F.transform(F.split(half, ""), one), ""))
 
 
-def permute_text(text: Column, kind: str, key: str = KEY, alphabets: tuple[str, ...] = (_DIGITS, _LOWER, _UPPER)) -> Column:
+def permute_text(text: Column, kind: str, key: str, alphabets: tuple[str, ...] = (_DIGITS, _LOWER, _UPPER)) -> Column:
     """A keyed permutation of the strings with the same character classes."""
     cut = F.floor(F.length(text) / 2).cast("int")
     start = F.struct(F.substr(text, F.lit(1), cut).alias("a"), F.substr(text, cut + 1).alias("b"))
@@ -82,7 +90,7 @@ def permute_text(text: Column, kind: str, key: str = KEY, alphabets: tuple[str,
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda acc: F.concat(acc["a"], acc["b"]))
 
 
-def permute_number(value: Column, halves: tuple[int, int], kind: str, key: str = KEY) -> Column:
+def permute_number(value: Column, halves: tuple[int, int], kind: str, key: str) -> Column:
     """A keyed permutation of the numbers from 0 to ``a * b - 1``."""
     a, b = halves
     start = F.struct(F.floor(value / F.lit(b)).cast("long").alias("a"), F.pmod(value.cast("long"), F.lit(b)).cast("long").alias("b"))
@@ -142,6 +150,41 @@ def _day(m: Column, layout: str) -> Column:
     return F.when((n >= 0) & (n < DAY_HALVES[0] * DAY_HALVES[1]), n)
 
 
+#: Where the days above 12 of each month begin in a year's list of them, without 29 February, which comes last.
+_MONTH_STARTS = [sum(n - 12 for n in (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)[:k]) for k in range(12)]
+_LATE_DAYS = 365 - 144
+FIRST_YEAR, N_YEARS, N_LEAP = 1900, 200, 49
+
+
+def permute_late_day(date: Column, key: str) -> Column:
+    """A keyed permutation of the dates from 1900 to 2099 whose day is above 12.
+
+    A date is its year and its place among the year's 221 such days, or 222 in a leap
+    year. A round moves the place modulo their number in the year, or the year modulo
+    the number of years that have the place, so each round is a permutation.
+    """
+    years = F.year(date) - FIRST_YEAR
+    leap = lambda y: (F.pmod(y, F.lit(4)) == 0) & (y > 0)  # noqa: E731 - 1900 is none, 2000 is one
+    place = F.element_at(F.array(*map(F.lit, _MONTH_STARTS)), F.month(date)) + F.dayofmonth(date) - 13
+    place = F.when((F.month(date) == 2) & (F.dayofmonth(date) == 29), _LATE_DAYS).otherwise(place)
+    start = F.struct(years.cast("long").alias("y"), place.cast("long").alias("p"))
+    drawn = lambda t, half: F.conv(F.substr(_digest(key, "late day", t, half), F.lit(1), F.lit(15)), 16, 10).cast("long")
+
+    def turn(acc: Column, t: Column) -> Column:
+        y, p = acc["y"], acc["p"]
+        odd = F.pmod(t, F.lit(2)) == 1
+        moved = F.when(p == _LATE_DAYS, 4 * F.pmod(F.floor(y / 4) - 1 + drawn(t, p), F.lit(N_LEAP)) + 4).otherwise(F.pmod(y + drawn(t, p), F.lit(N_YEARS)))
+        place = F.pmod(p + drawn(t, y), F.lit(_LATE_DAYS) + leap(y).cast("int"))
+        return F.struct(F.when(odd, moved).otherwise(y).cast("long").alias("y"), F.when(odd, p).otherwise(place).cast("long").alias("p"))
+
+    def day(acc: Column) -> Column:
+        month = F.when(acc["p"] == _LATE_DAYS, 2).otherwise(F.size(F.filter(F.array(*map(F.lit, _MONTH_STARTS)), lambda s: s <= acc["p"])))
+        inside = F.when(acc["p"] == _LATE_DAYS, 29).otherwise(acc["p"] - F.element_at(F.array(*map(F.lit, _MONTH_STARTS)), month) + 13)
+        return F.make_date((acc["y"] + FIRST_YEAR).cast("int"), month.cast("int"), inside.cast("int"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, day)
+
+
 def _dates(m: Column) -> list[tuple[str, Column]]:
     shapes = (("yyyy-MM-dd", r"^\d{4}-\d\d-\d\d$"), ("dd/MM/yyyy", r"^\d\d/\d\d/\d{4}$"), ("dd.MM.yyyy", r"^\d\d\.\d\d\.\d{4}$"), ("MM/dd/yyyy", r"^\d\d/\d\d/\d{4}$"), ("MM.dd.yyyy", r"^\d\d\.\d\d\.\d{4}$"))
     return [(layout, F.when(m.rlike(shape), _day(m, layout))) for layout, shape in shapes]
@@ -164,12 +207,39 @@ def kind_of(m: Column) -> Column:
         .when(m.rlike(r"^\d{3}-\d\d-\d{4}$"), F.when(_ssn_number(m).isNotNull(), "ssn"))
         .when(m.rlike(r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$"), F.when(F.length(d).between(7, 15), "phone"))
         .when(m.rlike(r"^[A-Z]{2}"), F.when(_iban_check(compact) == 1, "iban"))
-        .when(m.rlike(r"^[0-9a-f]{32,64}$"), F.when(m.rlike("[a-f]") & m.rlike("[0-9]"), "secret"))
+        .when(m.rlike(r"^[0-9a-f]{32,64}$"), F.when(m.rlike("[a-f]") & m.rlike("[0-9]"), "hex_key"))
         .when(F.length(d).between(13, 19) & (F.pmod(luhn_sum(d, 1), F.lit(10)) == 0), "card")
     )
 
 
-def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
+def _within(m: Column) -> Column:
+    """(start, length) of the run of groups of a candidate that is a valid card number or IBAN, null if none is."""
+    groups = F.split(m, "[ -]")
+    n, account = F.size(groups), m.rlike(r"^[A-Z]{2}")
+
+    def run(i: Column, j: Column) -> Column:
+        own = F.array_join(F.slice(groups, i, j - i + 1), "")
+        before = F.length(F.array_join(F.slice(groups, 1, i - 1), "-")) + (i > 1).cast("int")
+        return F.struct((-F.length(own)).alias("size"), before.alias("start"), F.length(F.array_join(F.slice(groups, i, j - i + 1), "-")).alias("length"), own.alias("own"))
+
+    valid = lambda r: F.when(account, (r["start"] == 0) & (r["size"] <= -15) & (_iban_check(r["own"]) == 1)).otherwise(r["size"].between(-19, -13) & (F.pmod(luhn_sum(r["own"], 1), F.lit(10)) == 0))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: run(i, j))))
+    return F.array_min(F.filter(runs, valid))
+
+
+def _judged(m: Column, kinds: tuple[str, ...]) -> Column:
+    """What stands before the value of a candidate, the value, its kind (null if there is none), and what stands behind."""
+    whole = F.transform(F.array(kind_of(m)), lambda k: F.struct(F.lit("").alias("before"), m.alias("old"), F.when(k.isin(*kinds), k).alias("kind"), F.lit("").alias("after")))[0]
+    kind = F.when(m.rlike("^[A-Z]"), "iban").otherwise("card")
+    part = F.transform(F.array(_within(m)), lambda r: F.struct(
+        F.substr(m, F.lit(1), r["start"]).alias("before"), F.substr(m, r["start"] + 1, r["length"]).alias("old"), kind.alias("kind"), F.substr(m, r["start"] + r["length"] + 1).alias("after")
+    ))[0]
+    grouped = m.rlike(r"^[A-Z]{2}\d{2} |^\d[\d -]*[ -][\d -]*\d$") & (F.length(F.regexp_replace(m, "[ -]", "")) >= 13) & F.lit("card" in kinds or "iban" in kinds)
+    inside = F.when(whole["kind"].isNull() & grouped, part)
+    return F.when(inside["old"].isNotNull() & inside["kind"].isin(*kinds), inside).otherwise(whole)
+
+
+def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """The value that stands for a validated candidate."""
     d, compact = _digits(m), F.replace(m, F.lit(" "), F.lit(""))
     at = F.locate("@", m)
@@ -177,7 +247,8 @@ def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
     octets = F.split(m, r"\.")
     number = F.aggregate(octets, F.lit(0).cast("long"), lambda acc, x: acc * 256 + x.cast("long"))
     ip = F.array_join(F.transform(F.array(*map(F.lit, (24, 16, 8, 0))), lambda s: F.pmod(F.floor(permute_number(number, IP_HALVES, "ip", key) / F.pow(F.lit(2.0), s)), F.lit(256)).cast("int").cast("string")), ".")
-    date = F.coalesce(*[F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), permute_number(v, DAY_HALVES, "date", key).cast("int")), layout) for layout, v in _dates(m)])
+    moved = lambda v, layout: permute_late_day(F.date_add(F.lit(FIRST_DAY).cast("date"), v), key) if layout.startswith("MM") else F.date_add(F.lit(FIRST_DAY).cast("date"), permute_number(v, DAY_HALVES, "date", key).cast("int"))
+    date = F.coalesce(*[F.date_format(moved(v, layout), layout) for layout, v in _dates(m)])
     index = permute_number(_ssn_number(m), (SSN_AREAS, SSN_REST), "ssn", key)
     area = F.floor(index / F.lit(SSN_REST)) + 1
     area = area + (area >= 666).cast("long")
@@ -191,26 +262,26 @@ def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
     iban = _refilled(m, F.concat(land, check, account))
     payload = permute_text(F.substr(d, F.lit(1), F.length(d) - 1), "card", key)
     card = _refilled(m, F.concat(payload, F.pmod(10 - F.pmod(luhn_sum(payload, 0), F.lit(10)), F.lit(10)).cast("string")))
-    forms = {"email": email, "ip": ip, "date": date, "ssn": ssn, "phone": phone, "iban": iban, "secret": permute_text(m, "secret", key, (_HEX,)), "card": card}
+    forms = {"email": email, "ip": ip, "date": date, "ssn": ssn, "phone": phone, "iban": iban, "hex_key": permute_text(m, "hex_key", key, (_HEX,)), "card": card}
     out = m
     for name, form in forms.items():
         out = F.when(kind == name, form).otherwise(out)
     return out
 
 
-def pseudonymise(documents: DataFrame, key: str = KEY, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+def pseudonymise(documents: DataFrame, key: str, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """``documents`` with ``text`` pseudonymised, ``found`` (kind, old, new of each value in reading order) and n_replaced."""
     base = documents.drop("found", "n_replaced")
     names = {c.lower() for c in base.columns}
     hits = next(n for n in ("_hits" + "_" * i for i in range(len(names) + 1)) if n not in names)
     text = F.col("text").cast("string")
-    kind = lambda m: F.when(kind_of(m).isin(*kinds), kind_of(m))
-    judged = F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda m: F.struct(m.alias("old"), kind(m).alias("kind")))
+    judged = F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda m: _judged(m, kinds))
     out = base.withColumn(hits, judged)
-    replaced = F.transform(hits, lambda h: F.struct(h["kind"].alias("kind"), h["old"].alias("old"), F.when(h["kind"].isNull(), h["old"]).otherwise(pseudonym(h["old"], h["kind"], key)).alias("new")))
+    replaced = F.transform(hits, lambda h: F.struct(h["before"].alias("before"), h["kind"].alias("kind"), h["old"].alias("old"), F.when(h["kind"].isNull(), h["old"]).otherwise(pseudonym(h["old"], h["kind"], key)).alias("new"), h["after"].alias("after")))
     out = out.withColumn(hits, F.when(F.size(hits) > 0, replaced))
-    rebuilt = F.array_join(F.zip_with(F.split(text, CANDIDATE, -1), hits, lambda p, h: F.concat(p, F.coalesce(h["new"], F.lit("")))), "")
-    found = F.coalesce(F.filter(hits, lambda h: h["kind"].isNotNull()), F.array().cast("array<struct<kind:string,old:string,new:string>>"))
+    rebuilt = F.array_join(F.zip_with(F.split(text, CANDIDATE, -1), hits, lambda p, h: F.concat(p, F.coalesce(F.concat(h["before"], h["new"], h["after"]), F.lit("")))), "")
+    found = F.transform(F.filter(hits, lambda h: h["kind"].isNotNull()), lambda h: F.struct(h["kind"].alias("kind"), h["old"].alias("old"), h["new"].alias("new")))
+    found = F.coalesce(found, F.array().cast("array<struct<kind:string,old:string,new:string>>"))
     out = out.withColumn("text", F.when(F.col(hits).isNull(), text).otherwise(rebuilt)).withColumn("found", found)
     return out.withColumn("n_replaced", F.size("found").cast("long")).drop(hits)
 
@@ -220,6 +291,7 @@ def _found(kind: str) -> Column:
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:
-    """doc_id, the pseudonymised text, how many values it replaces, and per kind how many."""
-    out = pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """doc_id, the pseudonymised text, how many values it replaces, and per kind how many. The key is set by KEY_SETTING."""
+    key = spark.conf.get(KEY_SETTING, TEST_KEY)
+    out = pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), key)
     return out.select("doc_id", "text", "n_replaced", *(_found(k).alias(f"n_{k}") for k in KINDS))
