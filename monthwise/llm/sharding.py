@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from .store import apart
 
 GRAIN = 512
-ROWS_PER_RANGE = 20_000
+#: Rows are numbered in ranges of about so many bytes of text; a shard has at least LEAST_RANGES, so that they spread evenly over tasks.
+RANGE_BYTES, LEAST_RANGES = 32 << 20, 64
 ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
@@ -70,8 +71,7 @@ def assign_shards(documents: DataFrame, n_shards: int = 8, grain: int = GRAIN) -
     rows = base.withColumns(own)
     groups = rows.groupBy(key).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     bundle = F.pmod(F.col(key), F.lit(bound))
-    totals = rows.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
-    total, n_rows = totals["bytes"] or 0, totals["rows"]
+    total = rows.agg(F.sum("size")).first()[0] or 0
     large = F.col("bytes") * bound >= total
     name = F.when(large, F.col(key)).otherwise(bundle)
     items = groups.groupBy(large.alias("alone"), name.alias("name")).agg(F.sum("bytes").alias("bytes")).collect()  # at most 2 * bound rows
@@ -80,7 +80,7 @@ def assign_shards(documents: DataFrame, n_shards: int = 8, grain: int = GRAIN) -
     small = spark.createDataFrame([(n, s) for (a, n), s in placed.items() if not a] or [], "bundle long, bundle_shard int")
     rows = rows.join(F.broadcast(alone), key, "left").withColumn("bundle", bundle).join(F.broadcast(small), "bundle", "left")
     rows = rows.withColumn("shard", F.coalesce("alone_shard", "bundle_shard")).drop("bundle", "alone_shard", "bundle_shard", key)
-    n_ranges = max(16, n_rows // (n_shards * ROWS_PER_RANGE) + 1)
+    n_ranges = max(LEAST_RANGES, total // (n_shards * RANGE_BYTES))
     rows = rows.withColumn(place, F.pmod(F.col(row), F.lit(n_ranges)))
     counts = rows.groupBy("shard", place).agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(W.partitionBy("shard").orderBy(place).rowsBetween(W.unboundedPreceding, -1))
