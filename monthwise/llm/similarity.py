@@ -60,6 +60,8 @@ LOCAL = 32
 STARS = 4
 #: Labels of at least LARGE classes are met in blocks of about BLOCK classes.
 LARGE, BLOCK = 16, 256
+#: A component with one in so many of all rows is large.
+LARGE_SHARE = 1000
 CHUNK_DOCS, CHUNK_BYTES = 4000, 4 << 20
 #: Text whose postings meet in one range, about.
 RANGE_BYTES = 8 << 20
@@ -371,11 +373,15 @@ def similarity_components(documents: DataFrame) -> DataFrame:
     found = similarity_labels(cut(able.select(_node().alias("rep"), "n", "tokens"))).select(F.col("rep").alias("node"), F.col("label").alias("component"))
     rows = sets.select("doc_id", "row_key", "n", F.when(F.col("n") > 0, _node()).alias("node")).join(found, "node", "left")
     rows = cut(rows.select("doc_id", "row_key", "n", F.coalesce("component", "node").alias("component")))
-    first = rows.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first"))
-    out = rows.join(first, "component", "left")
-    own = F.col("n") == 0
-    component, first = F.when(own, F.col("doc_id")).otherwise(F.col("first.doc_id")), F.when(own, F.col("row_key")).otherwise(F.col("first.row_key"))
-    return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), component.alias("component_id"), first.alias("first_key"))
+    n_rows = rows.count()
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first")
+    first = cut(rows.where("component is not null").groupBy("component").agg(best, F.count(F.lit(1)).alias("members")))
+    # components of a thousandth of all rows or more, a thousand at most, are looked up without dealing out their rows
+    large = F.broadcast(first.where(F.col("members") * LARGE_SHARE >= n_rows).drop("members"))
+    some = rows.where("component is not null")
+    inside = some.join(large, "component").unionByName(some.join(large, "component", "left_anti").join(first.drop("members"), "component"))
+    none = rows.where("component is null").select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("row_key").alias("first_key"))
+    return inside.select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), F.col("first.row_key").alias("first_key")).unionByName(none)
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
