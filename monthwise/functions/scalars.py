@@ -6,6 +6,7 @@ where a filter uses them.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -102,11 +103,21 @@ def narration_payee(narration: Column) -> Column:
     return F.trim(F.regexp_replace(field, r"\s+", " "))
 
 
+def _holds(lowered: Column, pattern: str) -> Column:
+    """Does a text in lower case match one of the alternatives? Plain words are looked up as they are; a regular expression runs only where its letters are."""
+    found = []
+    for word in pattern.split("|"):
+        letters = re.sub(r"\w\?|\\b", "", word).replace("\\.", ".")
+        plain = F.contains(lowered, F.lit(letters))
+        found.append(plain if letters == word.replace("\\.", ".") else plain & lowered.rlike(word))
+    return reduce(lambda a, b: a | b, found)
+
+
 def categorize(description: Column, own: Column | None = None, rules=CATEGORY_RULES, default: str = DEFAULT_CATEGORY) -> Column:
-    """The own category if there is one, else that of the first rule that matches."""
-    out = F.lit(default)
+    """The own category if there is one, else that of the first rule that matches; case is ignored."""
+    lowered, out = F.lower(description), F.lit(default)
     for pattern, name in reversed(rules):
-        out = F.when(description.rlike(f"(?i){pattern}"), name).otherwise(out)
+        out = F.when(_holds(lowered, pattern), name).otherwise(out)
     return out if own is None else F.when(F.trim(F.coalesce(own, F.lit(""))) != "", F.trim(own)).otherwise(out)
 
 
@@ -136,8 +147,11 @@ def clean_keywords(keywords) -> list[str]:
 
 
 def any_keyword(description: Column, keywords) -> Column:
-    """Does the text hold one of the keywords? No keyword, no match."""
-    return reduce(lambda a, b: a | b, [F.contains(F.lower(description), F.lit(k.lower())) for k in keywords], F.lit(False))
+    """Does the text hold one of the keywords? No keyword, no match. Several are one pass over the text."""
+    words = [k.lower() for k in keywords]
+    if len(words) < 2:
+        return F.contains(F.lower(description), F.lit(words[0])) if words else F.lit(False)
+    return F.lower(description).rlike("|".join(re.sub(r"([^\w\s])", r"\\\1", k) for k in words))
 
 
 def tokens(text: Column) -> Column:
@@ -152,22 +166,31 @@ def chunk_text(row_number: Column, columns: list[str]) -> Column:
 
 
 def chunk_fields(content: Column) -> dict[str, Column]:
-    """Fields read back from a chunk; a field that is not there is null."""
-    found = lambda pattern: F.trim(F.nullif(F.regexp_extract(content, pattern, 1), F.lit("")))
+    """Fields read back from what ``chunk_text`` writes; a field that is not there or is blank is null.
+
+    The text behind the row's number is cut at each "; ", and each part at its first ": ".
+    """
+    parts = F.split(F.substr(content, F.instr(content, "| ") + 2), "; ")
+
+    def value(name: str) -> Column:
+        own = F.get(F.filter(parts, lambda p: F.lower(p).startswith(f"{name}: ")), F.lit(0))
+        return F.nullif(F.trim(F.substr(own, F.lit(len(name) + 3))), F.lit(""))
+
+    description = value("description")
     return {
-        "description": found(r"(?i)description: *([^;]+)"),
-        "amount": F.replace(found(r"(?i)amount: *([+-]?[\d,]+\.?\d*)"), F.lit(","), F.lit("")).try_cast("double"),
-        "date": found(r"(?i)date: *([^;]+)"),
-        "category": found(r"(?i)category: *([^;|]+)"),
-        "payee": found(r"(?i)description: *([^-;]+)"),
+        "description": description,
+        "amount": F.replace(value("amount"), F.lit(","), F.lit("")).try_cast("double"),
+        "date": value("date"),
+        "category": value("category"),
+        "payee": F.nullif(F.trim(F.split_part(description, F.lit("-"), F.lit(1))), F.lit("")),
     }
 
 
 def contextual_chunk(content: Column, context: str) -> Column:
     """The chunk behind what the statement is and the chunk's own category, payee and amount."""
     f = chunk_fields(content)
-    amount = F.nullif(F.regexp_extract(content, r"(?i)amount: *([+-]?[\d,.]+)", 1), F.lit(""))
-    return F.concat_ws(" | ", F.lit(context), F.concat(F.lit("Category: "), f["category"]), F.concat(F.lit("Payee: "), f["payee"]), F.concat(F.lit("Amount: "), amount), content)
+    amount = F.format_string("%.2f", f["amount"])
+    return F.concat_ws(" | ", F.lit(context), F.concat(F.lit("Category: "), f["category"]), F.concat(F.lit("Payee: "), f["payee"]), F.when(f["amount"].isNotNull(), F.concat(F.lit("Amount: "), amount)), content)
 
 
 def clean_glyphs(text: Column, symbol: str = "₹") -> Column:
@@ -175,5 +198,15 @@ def clean_glyphs(text: Column, symbol: str = "₹") -> Column:
     return F.regexp_replace(text, "[$€£¥￥]", symbol)
 
 
+def metrics_text(label: Column, income: Column, expense: Column, net: Column, count: Column, categories: Column, payees: Column, symbol: str = "₹") -> Column:
+    """A window's figures as one line; categories and payees are arrays of (name, amount)."""
+    named = lambda pairs: F.array_join(F.transform(pairs, lambda p: F.concat(p["name"], F.lit(" "), format_amount(p["amount"], symbol))), ", ")
+    part = lambda title, c: F.concat(F.lit(f"{title}: "), c)
+    return F.concat_ws(
+        ". ", label, part("Income", format_amount(income, symbol)), part("Spent", format_amount(expense, symbol)), part("Net", format_amount(net, symbol)),
+        part("Transactions", count.cast("string")), F.when(F.size(categories) > 0, part("Most spent on", named(categories))), F.when(F.size(payees) > 0, part("Most moved with", named(payees))),
+    )
+
+
 def cache_key(text: Column) -> Column:
     return F.substring(F.sha2(text.cast("binary"), 256), 1, 40)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .relational import earned, is_credit, is_debit, money, ranked, rows, spent, top_by_magnitude
@@ -66,11 +67,25 @@ def facts_recent(t: DataFrame, n: int = 10) -> DataFrame:
 SECTIONS = (facts_overview, facts_categories, facts_top_categories, facts_monthly, facts_top_payees, facts_top_transactions, facts_bottom_categories, facts_balance, facts_recent)
 
 
-def facts_report(t: DataFrame) -> str:
-    """All sections as text. Every section is a few rows, but for one row a month."""
-    parts = []
-    for section in SECTIONS:
+def facts_table(t: DataFrame) -> DataFrame:
+    """section, place, line: all sections as labelled lines. Every section is a few rows, but for one row a month."""
+    out = None
+    for number, section in enumerate(SECTIONS):
         found = section(t)
-        lines = [" | ".join(f"{k}: {v}" for k, v in r.asDict().items()) for r in found.collect()]
-        parts.append("\n".join([f"=== {TITLES[section.__name__]} ===", *lines]))
-    return "\n\n".join(parts)
+        line = F.concat_ws(" | ", *(F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in found.columns))
+        place = F.row_number().over(W.orderBy(*(F.col(c) for c in ORDER.get(section.__name__, found.columns[:1]))))
+        lines = found.select(F.lit(number).alias("number"), F.lit(TITLES[section.__name__]).alias("section"), place.alias("place"), line.alias("line"))
+        out = lines if out is None else out.unionByName(lines)
+    return out.orderBy("number", "place")
+
+
+#: What the lines of a section are in order of, where it isn't its first column.
+ORDER = {"facts_top_categories": ["rank"], "facts_bottom_categories": ["rank"], "facts_top_payees": ["rank"], "facts_top_transactions": ["rank"]}
+
+
+def facts_report(t: DataFrame) -> str:
+    """All sections as text under their titles."""
+    parts: dict[str, list[str]] = {title: [] for title in TITLES.values()}
+    for r in facts_table(t).collect():
+        parts[r["section"]].append(r["line"])
+    return "\n\n".join("\n".join([f"=== {title} ===", *lines]) for title, lines in parts.items())

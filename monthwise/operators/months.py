@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .relational import earned, is_debit, money, rows, spent
+from .relational import earned, is_credit, is_debit, money, rows, spent
 
 WINDOWS = (1, 3, 6, 9, 12)
 PAYEES_A_MONTH, TOP = 20, 5
@@ -51,6 +51,15 @@ def month_gold(t: DataFrame) -> DataFrame:
     return month_summaries(t).join(cats, "ym", "left").join(payees, "ym", "left").join(large, "ym", "left")
 
 
+def gold_text(gold: DataFrame) -> DataFrame:
+    """``month_gold`` with its nested parts as texts, to be compared and exported."""
+    amount = lambda x: x.cast("decimal(18,2)").cast("string")
+    cats = F.array_join(F.transform(F.sort_array(F.map_entries("categories")), lambda e: F.concat(e["key"], F.lit("="), amount(e["value"]))), "; ")
+    payees = F.array_join(F.transform("payees", lambda e: F.concat(e["name"], F.lit("="), amount(e["vol"]))), "; ")
+    largest = F.concat("largest.payee", F.lit(" "), "largest.date", F.lit(" "), amount(F.col("largest.amount")))
+    return gold.select("ym", "income", "spending", "net", "count", "upi", F.coalesce(cats, F.lit("")).alias("categories"), payees.alias("payees"), largest.alias("largest"))
+
+
 def _numbered(months: DataFrame) -> DataFrame:
     """Months (a few hundred rows at most) with their number from 1."""
     return months.withColumn("at", F.row_number().over(W.orderBy("ym")))
@@ -89,10 +98,14 @@ def period_label(start: Column, end: Column) -> Column:
 
 
 def periods_exact(t: DataFrame, windows=WINDOWS) -> DataFrame:
-    """anchor, window and figures straight from the transactions, to hold ``periods`` against."""
-    month_of = members(t.select("ym").distinct(), windows)
-    out = t.select("ym", "amount").join(F.broadcast(month_of), "ym").groupBy("anchor", "window")  # 31 rows a month
-    return out.agg(earned().alias("income"), spent().alias("expense"), money(F.sum("amount")).alias("net"), rows().alias("count"))
+    """anchor, window and figures in exact decimals from the transactions, to hold ``periods`` against.
+
+    The transactions are summed by month, once; a window adds up its months' sums.
+    """
+    side = lambda keep, c: F.coalesce(F.sum(F.when(keep, c)), F.lit(0))
+    sums = t.groupBy("ym").agg(side(is_credit(), F.col("amount")).alias("income"), side(is_debit(), -F.col("amount")).alias("expense"), F.sum("amount").alias("net"), rows().alias("count"))
+    out = members(sums, windows).join(sums, "ym").groupBy("anchor", "window")
+    return out.agg(*(money(F.sum(c)).alias(c) for c in ("income", "expense", "net")), F.sum("count").alias("count"))
 
 
 def _top(t: DataFrame, sums: DataFrame, name: str, n: int) -> DataFrame:
@@ -111,6 +124,27 @@ def period_top_payees(t: DataFrame, n: int = TOP) -> DataFrame:
     return _top(t, month_payee_volumes(t).withColumnRenamed("volume", "own"), "payee", n)
 
 
+def period_gold(gold: DataFrame, windows=WINDOWS, n: int = TOP) -> DataFrame:
+    """All windows composed from month rows alone: ``periods`` with their top categories and payees and the largest transaction.
+
+    Categories are exact; payees are summed over each month's first twenty. Months are a few hundred rows at most.
+    """
+    spread = members(gold, windows).join(gold, "ym")
+
+    def top(entries: Column, name: str) -> DataFrame:
+        sums = spread.select("anchor", "window", F.explode(entries).alias("e")).groupBy("anchor", "window", "e.name").agg(F.round(F.sum("e.amount"), 2).alias("amount"))
+        rank = F.row_number().over(W.partitionBy("anchor", "window").orderBy(F.desc("amount"), "name"))
+        first = sums.withColumn("rank", rank).where(F.col("rank") <= n).groupBy("anchor", "window")
+        return first.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "name", "amount"))), lambda x: F.struct(x["name"].alias("name"), x["amount"].alias("amount"))).alias(name))
+
+    cats = top(F.transform(F.map_entries("categories"), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("amount"))), "top_categories")
+    payees = top(F.transform("payees", lambda e: F.struct(e["name"].alias("name"), e["vol"].alias("amount"))), "top_payees")
+    best = spread.groupBy("anchor", "window").agg(F.max_by("largest", F.struct(F.abs("largest.amount"), "ym")).alias("largest"))
+    out = periods(gold, windows).join(cats, ["anchor", "window"], "left").join(payees, ["anchor", "window"], "left").join(best, ["anchor", "window"], "left")
+    none = F.array().cast("array<struct<name:string,amount:double>>")
+    return out.withColumns({c: F.coalesce(c, none) for c in ("top_categories", "top_payees")})
+
+
 def trend(summaries: DataFrame, n: int = 6) -> DataFrame:
     return rolling(summaries, 1).orderBy(F.desc("anchor")).limit(n)
 

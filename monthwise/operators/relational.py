@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from monthwise.functions import scalars
 
-AMOUNT = F.col
 ROW = ("id", "date", "payee", "description", "category", "amount")
 #: Texts that mark a credit as no gift; names of persons are a caller's parameter.
 NOT_PEOPLE = ("salary", "interest", "rev")
@@ -65,6 +64,31 @@ def by_keywords(t: DataFrame, keywords) -> DataFrame:
     return t.where(scalars.any_keyword(F.col("description"), keywords))
 
 
+def squashed(text: Column) -> Column:
+    """Letters and digits alone, in lower case."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
+
+
+def by_similar_payees(t: DataFrame, names) -> DataFrame:
+    """Transactions whose payee holds a name without regard to blanks and marks, or a word that begins as the name does, by five letters."""
+    found = F.lit(False)
+    for name in names:
+        bare = "".join(c for c in name.lower() if c.isalnum())
+        if len(bare) > 1:
+            start = bare[:5]
+            found |= F.contains(squashed(F.col("payee")), F.lit(bare))
+            if len(start) == 5:
+                found |= F.exists(F.split(F.lower("payee"), r"[^\p{L}\p{N}]+"), lambda w: w.startswith(start))
+    return t.where(found)
+
+
+def averages(t: DataFrame) -> DataFrame:
+    """Average debit, credit and month of spending, with their counts."""
+    out = t.groupBy("ym").agg(F.sum(F.when(is_debit(), debit())).alias("spent"), F.sum(F.when(is_credit(), F.col("amount"))).alias("earned"), F.count(F.when(is_debit(), 1)).alias("n_spent"), F.count(F.when(is_credit(), 1)).alias("n_earned"))
+    mean = lambda total, n: F.round(F.try_divide(F.sum(total).cast("double"), F.sum(n)), 2)
+    return out.agg(mean("spent", "n_spent").alias("debit"), mean("earned", "n_earned").alias("credit"), F.round(F.try_divide(F.sum("spent").cast("double"), F.count("spent")), 2).alias("month"), F.coalesce(F.sum(F.col("n_spent") + F.col("n_earned")), F.lit(0)).alias("count"))
+
+
 def keyword_totals(t: DataFrame, keywords) -> DataFrame:
     return by_keywords(t, keywords).agg(*totals())
 
@@ -145,6 +169,18 @@ def top_by_magnitude(t: DataFrame, n: int = 5, sign: str = "any") -> DataFrame:
     return _row_out(own.orderBy(F.abs("amount").desc(), "id").limit(n))
 
 
+def last_months(t: DataFrame, n: int = 12) -> DataFrame:
+    """Spending of the last n months that have a debit, and of all of them."""
+    months = monthly_spend(t).orderBy(F.desc("ym")).limit(n)
+    return months.select("ym", "spend").unionByName(months.agg(F.lit("Total").alias("ym"), F.round(F.sum("spend"), 2).alias("spend")).where("spend is not null"))
+
+
+def subscriptions_total(t: DataFrame, keys=scalars.SUBSCRIPTION_KEYS) -> DataFrame:
+    """All that is paid for subscriptions, and how many payees there are."""
+    own = by_keywords(t.where(is_debit()), keys).groupBy("payee").agg(F.sum(debit()).alias("own"))
+    return own.agg(money(F.sum("own")).alias("total"), rows().alias("payees"))
+
+
 def recent(t: DataFrame, n: int = 12) -> DataFrame:
     return _row_out(t.orderBy(F.desc("date"), F.desc("id")).limit(n))
 
@@ -155,13 +191,14 @@ def current_balance(t: DataFrame) -> DataFrame:
 
 def _searched(t: DataFrame, q: str | None) -> DataFrame:
     q = (q or "").strip()
-    return t.where(scalars.any_keyword(F.concat_ws(" ", "description", "category"), [q])) if q else t
+    return t.where(scalars.any_keyword(F.col("description"), [q])) if q else t
 
 
 def page(t: DataFrame, offset: int = 0, limit: int = 50, q: str | None = None) -> DataFrame:
-    """A page of the newest rows; limit is kept within 1 to 200."""
+    """A page of the newest rows whose description holds ``q``, with their balances; limit is kept within 1 to 200."""
     limit, offset = min(200, max(1, limit)), max(0, offset)
-    return _row_out(_searched(t, q).orderBy(F.desc("date"), F.desc("id")).offset(offset).limit(limit))
+    rows = _searched(t, q).orderBy(F.desc("date"), F.desc("id")).offset(offset).limit(limit)
+    return rows.select(*ROW[:-1], F.col("amount").cast("double").alias("amount"), F.col("balance").cast("double").alias("balance"))
 
 
 def page_total(t: DataFrame, q: str | None = None) -> DataFrame:
@@ -257,3 +294,13 @@ def detect_currency(df: DataFrame, columns: list[str], default: str = "USD") ->
     votes = df.select(cell).select(kinds.alias("code")).where("code is not null").groupBy("code").agg(rows().alias("cells"))
     best = votes.agg(F.max(F.struct(F.col("cells"), F.col("code"))).alias("best"))
     return best.select(F.coalesce("best.code", F.lit(default)).alias("code"), F.coalesce("best.cells", F.lit(0)).cast("long").alias("cells"))
+
+
+def column_roles(names: list[str], roles: dict[str, tuple[str, ...]]) -> dict[str, str]:
+    """Role to column: of a role's words, tried in order, the first that a column's name holds. Names alone are looked at."""
+    found = {}
+    for role, words in roles.items():
+        hits = [c for w in words for c in names if w in c.lower()]
+        if hits:
+            found[role] = hits[0]
+    return found

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -48,26 +49,31 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(t for t in regex.findall(r"[\p{L}\p{N}]+", query.lower()) if len(t) > 1))
 
 
-def _frequency(term: str) -> Column:
-    return F.size(F.filter("words", lambda w: w == term))
+_WORD = r"[\p{L}\p{N}]"
+
+
+def _frequency(lowered: Column, term: str) -> Column:
+    """How often a term is a token of a text in lower case; the expression runs only where the letters are."""
+    return F.when(F.contains(lowered, F.lit(term)), F.regexp_count(lowered, F.lit(f"(?<!{_WORD}){term}(?!{_WORD})"))).otherwise(0)
 
 
 def bm25(texts: DataFrame, query: str, n: int = 12, id_column: str = "id", content: str = "content") -> DataFrame:
     """id, score of the n best texts that hold a term; no term, no rows.
 
-    One scan gives each text's length and term counts, the sums over all texts
-    are one row, and the scores need no shuffle but the top-k's.
+    One scan counts every text's tokens and the texts with each term: one row of sums.
+    A second one keeps the texts that hold a term's letters and scores these alone;
+    nothing is shuffled but the top-k's rows.
     """
     terms = query_terms(query)
     spark = texts.sparkSession
     if not terms:
         return spark.createDataFrame([], f"{id_column} long, score double")
-    words = scalars.tokens(F.col(content))
-    own = texts.select(F.col(id_column), words.alias("words"))
-    own = own.select(id_column, F.size("words").alias("length"), *(_frequency(t).alias(f"tf{i}") for i, t in enumerate(terms)))
-    own = own.where("length >= 0")
-    stats = own.agg(F.count(F.lit(1)).alias("texts"), F.avg("length").alias("mean"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))))
-    scored = own.where(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row
+    text = F.lower(F.col(content))
+    length = F.regexp_count(text, F.lit(f"{_WORD}{{2,}}"))
+    stats = texts.where(F.col(content).isNotNull()).agg(F.count(F.lit(1)).alias("texts"), F.avg(length).alias("mean"), *(F.count(F.when(_frequency(text, t) > 0, 1)).alias(f"df{i}") for i, t in enumerate(terms)))
+    own = texts.where(scalars.any_keyword(F.col(content), terms))
+    own = own.select(id_column, length.alias("length"), *(_frequency(text, t).alias(f"tf{i}") for i, t in enumerate(terms)))
+    scored = own.crossJoin(F.broadcast(stats))  # one row
 
     def part(i: int) -> Column:
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
@@ -75,7 +81,8 @@ def bm25(texts: DataFrame, query: str, n: int = 12, id_column: str = "id", conte
         return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
 
     score = sum((part(i) for i in range(1, len(terms))), part(0))
-    return scored.select(id_column, F.round(score, 6).alias("score")).orderBy(F.desc("score"), id_column).limit(n)
+    hits = reduce(lambda a, b: a + b, (F.col(f"tf{i}") for i in range(len(terms))))
+    return scored.select(id_column, F.when(hits > 0, F.round(score, 6)).alias("score")).orderBy(F.desc_nulls_last("score"), id_column).limit(n).where("score is not null")
 
 
 def cosine(embedding: Column, query: Sequence[float]) -> Column:
@@ -103,3 +110,10 @@ def fuse(semantic: DataFrame, keyword: DataFrame, n: int = 20, id_column: str =
     source = F.when(F.col("a").isNull(), "keyword").when(F.col("b").isNull(), "semantic").otherwise("both")
     out = a.join(b, id_column, "full_outer").select(id_column, F.round(part("a") + part("b"), 8).alias("score"), source.alias("source"))
     return out.orderBy(F.desc("score"), id_column).limit(n)
+
+
+def labelled(found: DataFrame, t: DataFrame, n_chars: int = 50) -> DataFrame:
+    """Search results with what a reader needs of their transactions: a short description, the amount and its direction."""
+    direction = F.when(F.col("amount") < 0, "debit").when(F.col("amount") > 0, "credit").otherwise("none")
+    rows = F.broadcast(found).join(t, "id")  # found is a list of results
+    return rows.select("id", "score", "source", "date", F.substring("description", 1, n_chars).alias("description"), "payee", F.abs("amount").cast("double").alias("amount"), direction.alias("direction")).orderBy(F.desc("score"), "id")

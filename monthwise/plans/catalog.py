@@ -69,8 +69,8 @@ _add("top_debits", lambda t: r.largest_debits(t, 5), f"SELECT {_ROW} FROM t WHER
 _add("top_abs", r.top_by_magnitude, f"SELECT {_ROW} FROM t ORDER BY abs(t.amount) DESC, id LIMIT 5")
 _add("tx_recent", r.recent, f"SELECT {_ROW} FROM t ORDER BY date DESC, id DESC LIMIT 12")
 _add("current_balance", r.current_balance, "SELECT CAST(arg_max(balance, (date, id)) AS DOUBLE) AS balance FROM t WHERE balance IS NOT NULL")
-_add("tx_page", lambda t: r.page(t, 20, 10, "Cafe"), f"SELECT {_ROW} FROM t WHERE contains(lower(description || ' ' || category), 'cafe') ORDER BY date DESC, id DESC LIMIT 10 OFFSET 20")
-_add("tx_page_total", lambda t: r.page_total(t, "Cafe"), "SELECT count(*) AS total FROM t WHERE contains(lower(description || ' ' || category), 'cafe')")
+_add("tx_page", lambda t: r.page(t, 20, 10, "Cafe"), f"SELECT {_ROW}, CAST(balance AS DOUBLE) AS balance FROM t WHERE contains(lower(description), 'cafe') ORDER BY date DESC, id DESC LIMIT 10 OFFSET 20")
+_add("tx_page_total", lambda t: r.page_total(t, "Cafe"), "SELECT count(*) AS total FROM t WHERE contains(lower(description), 'cafe')")
 _add("distinct_months", r.distinct_months, "SELECT DISTINCT ym FROM t WHERE ym <> ''")
 _add("seed_category_avg", r.category_average, "SELECT category, CAST(sum(amount) AS DOUBLE) AS net, round(CAST(sum(amount) AS DOUBLE) / count(*), 4) AS average, count(*) AS count FROM t GROUP BY category")
 _add("month_extremes", r.month_extremes, f"""
@@ -176,6 +176,20 @@ SELECT ym, rank, payee, CAST(v AS DOUBLE) AS volume FROM q WHERE rank <= 20""")
 _add("month_largest", months.month_largest, """
 , q AS (SELECT *, row_number() OVER (PARTITION BY ym ORDER BY abs(amount) DESC, id) AS k FROM t)
 SELECT ym, id, payee, date, CAST(amount AS DOUBLE) AS amount FROM q WHERE k = 1""")
+_add("month_gold", lambda t: months.gold_text(months.month_gold(t)), _M + f"""
+, c AS (SELECT ym, category, sum(-amount) AS v FROM t WHERE amount < 0 GROUP BY ym, category), cs AS (SELECT ym, string_agg(category || '=' || CAST(CAST(v AS DECIMAL(18,2)) AS VARCHAR), '; ' ORDER BY category) AS categories FROM c GROUP BY ym)
+, p AS (SELECT ym, payee, sum(abs(amount)) AS v FROM t GROUP BY ym, payee), q AS (SELECT *, row_number() OVER (PARTITION BY ym ORDER BY v DESC, payee) AS rank FROM p)
+, ps AS (SELECT ym, string_agg(payee || '=' || CAST(CAST(v AS DECIMAL(18,2)) AS VARCHAR), '; ' ORDER BY rank) AS payees FROM q WHERE rank <= 20 GROUP BY ym)
+, l AS (SELECT ym, arg_max(payee || ' ' || date || ' ' || CAST(amount AS VARCHAR), (abs(amount), -id)) AS largest FROM t GROUP BY ym)
+SELECT m.*, coalesce(categories, '') AS categories, payees, largest FROM m LEFT JOIN cs USING (ym) JOIN ps USING (ym) JOIN l USING (ym)""")
+_add("tx_last_months", r.last_months, f"""
+, m AS (SELECT ym, {_SPENT} AS spend FROM t WHERE amount < 0 GROUP BY ym ORDER BY ym DESC LIMIT 12) SELECT * FROM m UNION ALL SELECT 'Total', round(sum(spend), 2) FROM m""")
+_add("tx_subscriptions_total", r.subscriptions_total, f"SELECT {_SPENT} AS total, count(DISTINCT payee) AS payees FROM t WHERE amount < 0 AND ({_subs})")
+_add("tx_averages", r.averages, """
+, m AS (SELECT ym, sum(-amount) FILTER (amount < 0) AS s FROM t GROUP BY ym)
+SELECT round(CAST(sum(-amount) FILTER (amount < 0) AS DOUBLE) / count(*) FILTER (amount < 0), 2) AS debit, round(CAST(sum(amount) FILTER (amount > 0) AS DOUBLE) / count(*) FILTER (amount > 0), 2) AS credit,
+  (SELECT round(CAST(sum(s) AS DOUBLE) / count(s), 2) FROM m) AS month, count(*) FILTER (amount <> 0) AS count FROM t""")
+_add("tx_similar_payees", lambda t: r.by_similar_payees(t, ["Spotify Ltd", "blue-door"]).groupBy("payee").agg(*r.totals()), f"SELECT payee, {_TOTALS} FROM t WHERE payee IN ('Blue Door Cafe', 'Spotify') GROUP BY payee")
 for _w in months.WINDOWS:
     _add(f"rolling_{_w}", lambda t, w=_w: months.rolling(months.month_summaries(t), w), _M + f"""
 , x AS (SELECT ym AS anchor, min(ym) OVER s AS start, row_number() OVER (ORDER BY ym) AS place, round(sum(income) OVER s, 2) AS income, round(sum(spending) OVER s, 2) AS expense, round(sum(net) OVER s, 2) AS net,
