@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +15,25 @@ from monthwise.plans import periods
 from monthwise.plans.intent import Intent, classify
 from monthwise.sources import statements
 
-TRANSACTIONS = "id long, account long, date string, ym string, description string, payee string, category string, amount decimal(18,2), balance decimal(18,2), is_upi int"
-MONTHS = "ym string, income double, spending double, net double, count long, upi long"
+_NAMED = "array<struct<name:string,amount:double>>"
+_LARGEST = "struct<amount:double,payee:string,date:string>"
+#: What is kept by month.
+BY_MONTH = {
+    "transactions": "id long, account long, date string, ym string, description string, payee string, category string, amount decimal(18,2), balance decimal(18,2), is_upi int",
+    "months": f"ym string, income double, spending double, net double, count long, upi long, categories map<string,double>, payees array<struct<name:string,vol:double>>, largest {_LARGEST}",
+    "chunks": "id long, ym string, content string, embedding array<double>",
+}
+#: What is kept for all months together.
+WHOLE = {
+    "periods": f"id string, anchor string, window int, label string, start string, months array<string>, income double, expense double, net double, count long, top_categories {_NAMED}, top_payees {_NAMED}, largest {_LARGEST}, content string, embedding array<double>",
+    "meta": "key string, value string",
+}
+COMMITS = "version long, ym string, folder string"
+CHUNK_COLUMNS = ["date", "description", "category", "amount", "balance"]
+SYMBOLS = {"INR": "₹", "USD": "$", "EUR": "€", "GBP": "£", "JPY": "¥", "AED": "AED "}
 NOT_FOUND = "Not found in this statement."
+#: A statement whose chunks have no more characters is given whole as context.
+WHOLE_CONTEXT, CONTEXT_ROWS = 18_000, 30
 
 
 def markdown(rows: list[dict], title: str = "") -> str:
@@ -26,74 +46,180 @@ def markdown(rows: list[dict], title: str = "") -> str:
 
 
 class Engine:
-    """Transactions (by month) and month summaries under one folder; nothing is kept in the driver."""
+    """Layers of a statement under one folder; nothing is kept in the driver.
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    A change writes what is new to a folder of its own, all layers of it, and then adds
+    its version to the table of commits: one row for each month the version has, with the
+    folder that holds the month, and one without a month for the layers of all months.
+    The last version counts. So a change is seen whole or not at all, what is read while
+    it is made stays as it was, and a month without rows is gone. One writer at a time.
+    """
 
-    @property
-    def _paths(self) -> tuple[str, str]:
-        return f"{self.folder}/transactions", f"{self.folder}/months"
+    def __init__(self, spark: SparkSession, folder: str, embedder: search.Embedder | None = None):
+        self.spark, self.folder, self.embedder = spark, folder.rstrip("/"), embedder or search.HashingEmbedder()
 
-    def ingest(self, source: str | DataFrame, **options) -> None:
-        """Replace all layers by a file's, or by canonical records."""
-        records = statements.read_statement(self.spark, source, **options) if isinstance(source, str) else source
-        self._store(statements.to_transactions(records))
+    def _version(self) -> tuple[int, dict[str, str], str | None]:
+        """The last version: its number, the folder of each of its months, and that of the layers of all months."""
+        try:
+            commits = self.spark.read.schema(COMMITS).parquet(f"{self.folder}/commits")
+            rows = commits.where(F.col("version") == commits.agg(F.max("version")).first()[0]).collect()  # a row a month
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = []
+        whole = next((r["folder"] for r in rows if r["ym"] is None), None)
+        return max((r["version"] for r in rows), default=0), {r["ym"]: r["folder"] for r in rows if r["ym"] is not None}, whole
+
+    def _layer(self, name: str, state: dict[str, str], only: str | None = None) -> DataFrame:
+        """A layer of the months of a version; files of other months are not read."""
+        schema, parts = BY_MONTH[name], []
+        for folder in sorted(set(state.values())):
+            own = [ym for ym, f in state.items() if f == folder and only in (None, ym)]
+            if own:
+                parts.append(self.spark.read.schema(f"{schema}, month string").parquet(f"{folder}/{name}").where(F.coalesce("month", F.lit("")).isin(*own)).drop("month"))
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
+
+    def _whole(self, name: str) -> DataFrame:
+        folder = self._version()[2]
+        return self.spark.createDataFrame([], WHOLE[name]) if folder is None else self.spark.read.schema(WHOLE[name]).parquet(f"{folder}/{name}")
+
+    def _change(self, t: DataFrame, gone: set[str] | None = None, meta: dict[str, str] | None = None) -> None:
+        """Make a version in which the months ``gone`` (all if None) are replaced by what ``t`` has."""
+        version, state, _ = self._version()
+        meta = self.meta() | (meta or {})
+        folder = f"{self.folder}/data/{uuid.uuid4().hex}"
+
+        def write(df: DataFrame, name: str) -> None:
+            df.withColumn("month", F.col("ym")).write.partitionBy("month").parquet(f"{folder}/{name}")
 
-    def _store(self, t: DataFrame) -> None:
-        store, gold = self._paths
-        t.withColumn("month", F.col("ym")).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("month").parquet(store)
-        months.month_summaries(self.transactions()).withColumn("month", F.col("ym")).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("month").parquet(gold)
+        write(t.select(*(x.split()[0] for x in BY_MONTH["transactions"].split(", "))), "transactions")
+        stored = self.spark.read.schema(BY_MONTH["transactions"]).parquet(f"{folder}/transactions")
+        write(months.month_gold(stored), "months")
+        chunks = stored.select("id", "ym", scalars.chunk_text(F.col("id"), CHUNK_COLUMNS).alias("content"))
+        write(self.embedder.embed(chunks, "content"), "chunks")
+        found = [r["ym"] for r in stored.select(F.coalesce("ym", F.lit("")).alias("ym")).distinct().collect()]
+        state = {ym: f for ym, f in state.items() if gone is not None and ym not in gone} | dict.fromkeys(found, folder)
+        spans = months.period_gold(self._layer("months", state))
+        text = scalars.metrics_text(*(F.col(c) for c in ("label", "income", "expense", "net", "count", "top_categories", "top_payees")), SYMBOLS[meta.get("currency", "INR")])
+        self.embedder.embed(spans.withColumn("content", text), "content").select(*(x.split()[0] for x in self._names("periods"))).write.parquet(f"{folder}/periods")
+        self.spark.createDataFrame(sorted(meta.items()), WHOLE["meta"]).write.parquet(f"{folder}/meta")
+        rows = [(version + 1, ym, f) for ym, f in state.items()] + [(version + 1, None, folder)]
+        self.spark.createDataFrame(rows, COMMITS).coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
+
+    @staticmethod
+    def _names(layer: str) -> list[str]:
+        from pyspark.sql.types import StructType
+
+        return StructType.fromDDL(WHOLE[layer]).names
+
+    def ingest(self, source: str | DataFrame, **options) -> None:
+        """Replace all layers by a file's, or by canonical records. The currency is read off a file's headers and cells."""
+        raw = statements.read_raw(self.spark, source, **options) if isinstance(source, str) else source
+        records = statements.normalise(raw) if isinstance(source, str) else source
+        found = relational.detect_currency(raw, raw.columns, "").first()["code"]
+        self._change(statements.to_transactions(records), meta={"columns": ", ".join(raw.columns)} | ({"currency": found} if found else {}))
 
     def transactions(self) -> DataFrame:
-        return self.spark.read.schema(f"{TRANSACTIONS}, month string").parquet(self._paths[0]).drop("month")
+        return self._layer("transactions", self._version()[1])
 
     def months(self) -> DataFrame:
-        return self.spark.read.schema(f"{MONTHS}, month string").parquet(self._paths[1]).drop("month")
+        """Month summaries with their categories, payees and largest transaction."""
+        return self._layer("months", self._version()[1])
+
+    def chunks(self) -> DataFrame:
+        """Search texts of all transactions with their vectors."""
+        return self._layer("chunks", self._version()[1])
 
     def periods(self) -> DataFrame:
-        return months.periods(self.months())
+        return self._whole("periods")
+
+    def meta(self) -> dict[str, str]:
+        return {r["key"]: r["value"] for r in self._whole("meta").collect()}
+
+    def currency(self) -> str:
+        return self.meta().get("currency", "INR")
+
+    def set_currency(self, code: str) -> None:
+        """Show amounts in a currency from now on; amounts themselves don't change."""
+        if code not in SYMBOLS:
+            raise ValueError(f"{code!r} is no known currency")
+        self._change(self.transactions().limit(0), set(), {"currency": code})
 
     def update_month(self, ym: str, new: DataFrame) -> None:
-        """Replace one month; rows of another month are an error and change nothing."""
+        """Replace one month, or delete it if there are no rows; rows of another month are an error and change nothing."""
         if not new.where(F.col("ym").isNull() | (F.col("ym") != ym)).isEmpty():
             raise ValueError(f"rows outside {ym}")
-        for path, rows in zip(self._paths, (new, months.month_summaries(new)), strict=True):
-            rows.withColumn("month", F.col("ym")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+        self._change(new, {ym})
+
+    def rebuild(self) -> None:
+        """Recompute all layers from the transactions, into one folder."""
+        self._change(self.transactions())
 
     def reset(self) -> None:
         """Empty every layer."""
-        self._store(self.transactions().limit(0))
+        self._change(self.transactions().limit(0))
 
     def state(self) -> dict:
-        return relational.overview(self.transactions()).first().asDict()
+        return relational.overview(self.transactions()).first().asDict() | {"months": self.months().count(), "periods": self.periods().count(), "currency": self.currency()}
 
     def page(self, offset: int = 0, limit: int = 50, q: str | None = None) -> tuple[int, list[dict]]:
         t = self.transactions()
         return relational.page_total(t, q).first()[0], [r.asDict() for r in relational.page(t, offset, limit, q).collect()]
 
     def dashboard(self) -> dict[str, list[dict]]:
-        """The parts of an overview page, each a few rows."""
-        t = self.transactions()
-        parts = {"overview": relational.overview(t), "categories": relational.category_breakdown(t), "payees": relational.top_payees(t), "subscriptions": relational.subscriptions(t), "recent": relational.recent(t), "balance": relational.current_balance(t), "months": self.months().orderBy("ym")}
+        """The parts of an overview page, each a few rows. What month rows hold is summed from them; the rest reads the transactions."""
+        t, m = self.transactions(), self.months()
+        spent = m.select(F.explode("categories").alias("category", "spend")).groupBy("category").agg(F.round(F.sum("spend"), 2).alias("spend"))
+        tail = m.orderBy(F.desc("ym")).limit(12).select("ym", "income", "spending", "net", "count")
+        parts = {
+            "overview": m.agg(F.round(F.sum("spending"), 2).alias("debit"), F.round(F.sum("income"), 2).alias("credit"), F.sum("count").alias("count"), F.sum("upi").alias("upi")),
+            "categories": spent.orderBy(F.desc("spend"), "category").limit(8),
+            "months": tail.orderBy("ym"),
+            "payees": relational.top_payees(t),
+            "subscriptions": relational.subscriptions(t),
+            "subscriptions_total": relational.subscriptions_total(t),
+            "recent": relational.recent(t),
+            "balance": relational.current_balance(t),
+        }
         return {name: [r.asDict() for r in df.collect()] for name, df in parts.items()}
 
     def facts(self) -> str:
         return facts.facts_report(self.transactions())
 
     def search(self, question: str, n: int = 12) -> DataFrame:
-        """Transactions whose text matches best."""
-        t = self.transactions()
-        content = t.select("id", scalars.chunk_text(F.col("id"), ["date", "description", "category", "amount"]).alias("content"))
-        return search.bm25(content, question, n).join(t, "id").orderBy(F.desc("score"), "id").select("id", "score", "date", "payee", F.col("amount").cast("double").alias("amount"))
+        """The transactions that suit a question best, by words and by vectors, fused by rank and labelled."""
+        chunks = self.chunks()
+        asked = self.spark.createDataFrame([(question,)], "content string")
+        vector = self.embedder.embed(asked, "content").first()["embedding"]
+        found = search.fuse(search.cosine_topk(chunks, vector, n), search.bm25(chunks, question, n), n)
+        return search.labelled(found, self.transactions())
+
+    def context(self, question: str) -> tuple[str, str]:
+        """What a question is answered from: all chunks of a small statement, the facts for a sum, else the best rows."""
+        chunks = self.chunks()
+        if (chunks.agg(F.sum(F.length("content"))).first()[0] or 0) <= WHOLE_CONTEXT:
+            return "rows", "\n".join(r["content"] for r in chunks.select("content").orderBy("id").collect())  # WHOLE_CONTEXT characters
+        if classify(question).kind not in ("search", "keyword"):
+            return "facts", self.facts()
+        return "search", markdown([r.asDict() for r in self.search(question, CONTEXT_ROWS).collect()])
+
+    def _month_meant(self, bare: str) -> str | None:
+        """The last month of all ("this"), or the last with this number."""
+        m = self.months().select("ym")
+        return (m if bare == "this" else m.where(F.col("ym").endswith(f"-{bare}"))).agg(F.max("ym")).first()[0]
 
     def answer(self, intent: Intent) -> DataFrame:
         """The query of an intent."""
         r, t, i = relational, self.transactions(), intent
+        ym = self._month_meant(i.bare_month) if i.bare_month else i.ym
+        months_of = lambda: self.months().select("ym", "income", "spending", "net", "count", "upi")
         queries = {
             "balance": lambda: r.current_balance(t).where("balance is not null"),
             "upi_count": lambda: r.overview(t).select("upi", "count"),
+            "row_count": lambda: r.overview(t).select("count"),
+            "average": lambda: r.averages(t if ym is None else t.where(F.col("ym") == ym)).where("count > 0"),
             "subscriptions": lambda: r.subscriptions(t),
+            "subscriptions_total": lambda: r.subscriptions_total(t),
             "month_extremes": lambda: r.month_extremes(t),
             "received_from_people": lambda: r.received_from_people(t),
             "smallest_debit": lambda: r.smallest_debits(t),
@@ -106,10 +232,10 @@ class Engine:
             "period": lambda: periods.pick(i.question, self.periods()).orderBy("anchor", "window").select("label", "window", "income", "expense", "net", "count"),
             "keyword": lambda: r.keyword_totals(t, i.keywords).where("count > 0"),
             "keyword_by_month": lambda: r.keyword_by_month(t, i.keywords).orderBy("ym"),
-            "keyword_month": lambda: r.keyword_month(t, i.keywords, i.ym).where("count > 0"),
+            "keyword_month": lambda: r.keyword_month(t, i.keywords, ym).where("count > 0"),
             "category": lambda: r.category_spend(t, i.category).where("count > 0"),
-            "category_month": lambda: r.category_spend(t, i.category, i.ym).where("count > 0"),
-            "month": lambda: self.months().where(F.col("ym") == i.ym),
+            "category_month": lambda: r.category_spend(t, i.category, ym).where("count > 0"),
+            "month": lambda: months_of().where(F.col("ym") == ym),
             "year": lambda: r.year_monthly(t, i.year).orderBy("ym"),
             "monthly": lambda: r.monthly_spend(t).orderBy("ym"),
             "recent": lambda: r.recent(t, i.n or 12),
@@ -118,8 +244,20 @@ class Engine:
         }
         return queries[i.kind]()
 
+    def _similar(self, intent: Intent) -> DataFrame:
+        """The query of a question about payees by names that are not written as in the statement."""
+        t = relational.by_similar_payees(self.transactions(), intent.keywords)
+        if intent.kind == "keyword_month":
+            t = t.where(F.col("ym") == (self._month_meant(intent.bare_month) if intent.bare_month else intent.ym))
+        out = t.groupBy("ym").agg(*relational.totals()).orderBy("ym") if intent.kind == "keyword_by_month" else t.agg(*relational.totals())
+        return out.where("count > 0")
+
     def ask(self, question: str) -> tuple[Intent, DataFrame, str]:
         """Intent, query and a table of its rows; what the statement does not have is not found."""
         intent = classify(question)
         df = self.answer(intent)
-        return intent, df, markdown([r.asDict() for r in df.collect()], intent.kind.replace("_", " ").capitalize())
+        rows = df.collect()
+        if not rows and intent.kind.startswith("keyword"):
+            df = self._similar(intent)
+            rows = df.collect()
+        return intent, df, markdown([r.asDict() for r in rows], intent.kind.replace("_", " ").capitalize())

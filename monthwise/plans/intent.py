@@ -26,6 +26,7 @@ class Intent:
     year: str | None = None
     n: int | None = None
     credit: bool = False
+    bare_month: str | None = None
     question: str = field(default="", compare=False)
 
 
@@ -55,6 +56,7 @@ def classify(question: str) -> Intent:
     by_month = has(r"\b(every|per|each|by) month\b|\bmonth[- ]?wise\b|\bmonthly\b")
     number = re.search(r"\b(top|last|recent)\s+(\d+)\b", q)
     n = min(20, max(1, int(number[2]))) if number else None
+    bare = "this" if when.this_month else when.bare_month
     spend = has(r"\b(spen[dt]|spending|paid|pay|cost|expen[sd]\w*|purchase\w*|debit\w*|sent|send|transfer\w*|how much|total)\b")
     credit = has(r"\b(received|got|credited|earned|income)\b") and not has(r"\b(spen[dt]|paid|sent)\b")
     make = lambda kind, **more: Intent(kind, question=question, **more)
@@ -62,6 +64,12 @@ def classify(question: str) -> Intent:
         return make("balance")
     if has(r"\bupi\b") and has(r"how many|number of|count"):
         return make("upi_count")
+    if has(r"\b(how many|number of|count)\b.*\b(rows|transactions|records|entries)\b") and not (names or category or ym or year or bare):
+        return make("row_count")
+    if has(r"\b(average|mean|typical(ly)?|usual(ly)?)\b") and not (names or category):
+        return make("average")
+    if has(r"\bsubscriptions?\b|\brecurring\b") and has(r"\b(total|how much|cost|in all|altogether)\b"):
+        return make("subscriptions_total")
     if has(r"\bsubscriptions?\b|\brecurring\b"):
         return make("subscriptions")
     if has(r"\bmonth\b") and has(r"\b(most|highest|maximum|biggest|least|lowest|minimum|smallest)\b"):
@@ -86,12 +94,12 @@ def classify(question: str) -> Intent:
         return make("keyword_by_month" if by_month else "keyword", keywords=("salary" if "salary" in q else "interest",), credit=True)
     if number and not spend:
         return make("recent", n=n)
-    if names and ym:
-        return make("keyword_month", keywords=names, ym=ym, credit=credit)
-    if category and ym and not names:
-        return make("category_month", category=category, ym=ym)
-    if ym:
-        return make("month", ym=ym)
+    if names and (ym or bare):
+        return make("keyword_month", keywords=names, ym=ym, bare_month=bare, credit=credit)
+    if category and (ym or bare) and not names:
+        return make("category_month", category=category, ym=ym, bare_month=bare)
+    if ym or bare:
+        return make("month", ym=ym, bare_month=bare)
     if names and (spend or credit):
         return make("keyword_by_month" if by_month else "keyword", keywords=names, credit=credit)
     if category:

@@ -10,39 +10,54 @@ from pyspark.sql import functions as F
 
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 _MONTH = re.compile(rf"\b({'|'.join(MONTHS)})\s+(\d{{4}})\b")
-_SERIES = re.compile(r"\b(trends?|compare[ds]?|over time|month by month|each month|progress\w*|chang\w+|fluctuat\w*)\b")
-#: (words, months) in the order in which they are tried.
-_LENGTHS = (
-    (re.compile(r"\b(12[\s-]*months?|twelve months|year|yearly|annual(ly)?)\b"), 12),
-    (re.compile(r"\b(9|nine)[\s-]*months?\b"), 9),
-    (re.compile(r"\b((6|six)[\s-]*months?|half[\s-]?year)\b"), 6),
-    (re.compile(r"\b((3|three)[\s-]*months?|quarter(ly)?|q[1-4])\b"), 3),
-    (re.compile(r"\b(month|monthly)\b"), 1),
-)
+#: "may" and "march" are months only behind a preposition.
+_BARE = re.compile(rf"\b(?:in|of|during|for|since|until)\s+(?:the\s+month\s+of\s+)?({'|'.join(MONTHS)})\b|\b({'|'.join(m for m in MONTHS if m not in ('may', 'march'))})\b")
+#: Questions about how figures move are answered by a series.
+_SERIES = re.compile(r"\b(trend|compar|develop|evolv|evolution|ris(e|ing)|fall(ing)?|chang)\w*|\bover time\b|\b(month|each) (by|after|on)? ?month\b")
+#: A length is a number, if there is one, and a unit.
+_NUMBERS = {name: n for n, name in enumerate("a two three four five six seven eight nine ten eleven twelve".split(), 1)} | {"one": 1, "half a": 0.5, "half": 0.5}
+_UNITS = {"month": 1, "quarter": 3, "year": 12}
+_LENGTH = re.compile(rf"\b(?:(\d+|{'|'.join(sorted(_NUMBERS, key=len, reverse=True))})[\s-]+)?({'|'.join(_UNITS)})(?:s|ly)?\b")
+_ADVERBS = re.compile(r"\bannual(?:ly)?\b")
+WINDOWS = (1, 3, 6, 9, 12)
 DEFAULT_WINDOWS = (1, 3, 6, 12)
 SERIES_LENGTH = 6
 
 
 @dataclass(frozen=True)
 class Pick:
-    """A series of single months, or windows that end in ``month``, in the last month of ``year`` or in the last of all."""
+    """A series of single months, or windows that end in ``month``, in the last month of ``year`` or in the last of all.
+
+    ``bare_month`` (01 to 12) is a month without a year: the last year that has it is meant. ``this_month`` is the last month of all.
+    """
 
     series: bool = False
     window: int | None = None
     month: str | None = None
     year: str | None = None
+    bare_month: str | None = None
+    this_month: bool = False
+
+
+def window_length(question: str) -> int | None:
+    """The least window that holds the longest length a question names; the longest window for more."""
+    asked = [float(_NUMBERS.get(n, n) if n else 1) * _UNITS[unit] for n, unit in _LENGTH.findall(question)]
+    asked += [12.0] * bool(_ADVERBS.search(question)) + [3.0] * bool(re.search(r"\bq[1-4]\b", question))
+    return next((w for w in WINDOWS if w >= max(asked)), WINDOWS[-1]) if asked else None
 
 
 def parse(question: str) -> Pick:
     q = question.lower()
-    month, year = None, None
+    month = year = bare = None
     if m := _MONTH.search(q):
         month = f"{m[2]}-{MONTHS.index(m[1]) + 1:02d}"
     elif m := re.search(r"\b((?:19|20)\d{2})\b", q):
         year = m[1]
-    rest = _MONTH.sub(" ", q)
-    window = next((n for words, n in _LENGTHS if words.search(rest)), None)
-    return Pick(bool(_SERIES.search(q)), window, month, year)
+    if not month and (m := _BARE.search(q)):
+        number = f"{MONTHS.index(m[1] or m[2]) + 1:02d}"
+        month, year, bare = (f"{year}-{number}", None, None) if year else (None, None, number)
+    this = bool(re.search(r"\b(this|current|latest) month\b", q))
+    return Pick(bool(_SERIES.search(q)), window_length(_MONTH.sub(" ", q)), month, year, bare, this)
 
 
 def pick(question: str, all_periods: DataFrame) -> DataFrame:
@@ -53,6 +68,8 @@ def pick(question: str, all_periods: DataFrame) -> DataFrame:
     wanted = all_periods.where(F.col("window") == p.window) if p.window else all_periods.where(F.col("window").isin(*DEFAULT_WINDOWS))
     if p.month:
         asked = F.max(F.when(F.col("anchor") == p.month, F.col("anchor")))
+    elif p.bare_month:
+        asked = F.max(F.when(F.col("anchor").endswith(f"-{p.bare_month}"), F.col("anchor")))
     elif p.year:
         asked = F.max(F.when(F.col("anchor").startswith(f"{p.year}-"), F.col("anchor")))
     else:

@@ -21,16 +21,18 @@ from pyspark.sql.types import StructType
 
 from monthwise.functions import scalars
 
-#: Canonical name and whole words of a header, the most specific first. A header that says debit or credit is a side even if it says amount.
-HEADERS = (
-    ("Debit", r"\b(debits?|withdrawals?|dr|paid out|outflow)\b"),
-    ("Credit", r"\b(credits?|deposits?|cr|paid in|inflow)\b"),
-    ("Balance", r"\bbalance\b"),
-    ("Date", r"\b(date|posted on)\b"),
-    ("Description", r"\b(description|particulars?|narration|narrative|remarks|details|memo|payee|merchant|name)\b"),
-    ("Category", r"\b(category|type|tag|class|group|mode)\b"),
-    ("Amount", r"\b(amount|amt|value|sum|total)\b"),
-)
+#: The words by which the headers of statement files are known, by canonical name.
+HEADER_WORDS = {
+    "Date": ("date", "posted on"),
+    "Description": ("description", "particular", "narration", "remark", "detail", "memo", "narrative", "payee", "name", "merchant"),
+    "Amount": ("amount", "value", "amt", "sum", "total"),
+    "Debit": ("debit", "withdrawal", "dr", "paid out", "outflow"),
+    "Credit": ("credit", "deposit", "cr", "paid in", "inflow", "income"),
+    "Category": ("category", "type", "tag", "class", "group", "mode"),
+    "Balance": ("balance", "remaining"),
+}
+#: The most specific name is tried first: a header that says debit or credit is a side even if it says amount.
+HEADER_ORDER = ("Debit", "Credit", "Balance", "Date", "Description", "Category", "Amount")
 CANONICAL = ("Date", "Description", "Category", "Amount", "Balance")
 #: A printed statement's columns end at these x, the last has no end.
 COLUMN_ENDS = (("date", 55), ("narration", 289), ("reference", 362), ("value_date", 405), ("withdrawal", 491), ("deposit", 564))
@@ -42,7 +44,8 @@ LEAST_ROWS = 5
 def header_map(columns: list[str]) -> dict[str, str]:
     """Column to canonical name; of two columns for one name the first counts."""
     out: dict[str, str] = {}
-    for name, words in HEADERS:
+    for name in HEADER_ORDER:
+        words = rf"\b({'|'.join(HEADER_WORDS[name])})s?\b"
         for c in columns:
             if name not in out.values() and c not in out and re.search(words, re.sub(r"[_\W]+", " ", c.lower())):
                 out[c] = name
@@ -62,10 +65,10 @@ def normalise(raw: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, quote_money: bool = False) -> DataFrame:
-    """Records of a CSV file with a header. ``quote_money`` repairs amounts whose thousands separators are not quoted."""
+    """A CSV file with a header as text columns. ``quote_money`` repairs amounts whose thousands separators are not quoted."""
     if not quote_money:
         raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True)
-        return normalise(raw.toDF(*[c.strip() for c in raw.columns]))
+        return raw.toDF(*[c.strip() for c in raw.columns])
     lines = spark.read.text(path)
     head = lines.first()
     if head is None:
@@ -74,7 +77,7 @@ def read_csv(spark: SparkSession, path: str, quote_money: bool = False) -> DataF
     fixed = F.regexp_replace("value", r"([₹$€£][\d,]+\.\d{2})", '"$1"')
     schema = StructType().fromDDL(", ".join(f"c{i} string" for i in range(len(names))))
     rows = lines.where(F.col("value") != head[0]).select(F.from_csv(fixed, schema.simpleString()[7:-1].replace(":", " ")).alias("x")).select("x.*")
-    return normalise(rows.toDF(*names))
+    return rows.toDF(*names)
 
 
 class XlsxReader(DataSourceReader):
@@ -139,7 +142,7 @@ def sheet_rows(content: bytes) -> Iterator[list[str]]:
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     spark.dataSource.register(XlsxSource)
-    return normalise(spark.read.format("xlsx").load(path))
+    return spark.read.format("xlsx").load(path)
 
 
 def visual_lines(items: DataFrame) -> DataFrame:
@@ -209,8 +212,14 @@ def read_items(items: DataFrame) -> DataFrame:
     return out.orderBy("number").drop("number")
 
 
-def read_statement(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Records of a file by its extension."""
+def plain_lines(items: DataFrame) -> DataFrame:
+    """page, line, text of printed items that are no known statement: what search can still use."""
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "str"))), lambda s: s["str"]), " ")
+    return visual_lines(items).groupBy("page", "line").agg(F.trim(text).alias("text")).where("text <> ''").orderBy("page", "line")
+
+
+def read_raw(spark: SparkSession, path: str, **options) -> DataFrame:
+    """A file as text columns under its own headers, by its extension."""
     kind = path.lower().rpartition(".")[2]
     if kind in ("csv", "txt"):
         return read_csv(spark, path, **options)
@@ -219,6 +228,11 @@ def read_statement(spark: SparkSession, path: str, **options) -> DataFrame:
     raise ValueError(f"{kind!r} files are not supported; give the items of a printed page to read_items")
 
 
+def read_statement(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Records of a file."""
+    return normalise(read_raw(spark, path, **options))
+
+
 def to_transactions(records: DataFrame, account: int = 0) -> DataFrame:
     """Typed transactions of canonical records, with a stable id from the record's values and its repetition."""
     date, amount = scalars.date_iso(F.coalesce("Date", F.lit(""))), F.coalesce(scalars.parse_accounting(F.col("Amount")), F.lit(0).cast(scalars.MONEY))
@@ -227,8 +241,9 @@ def to_transactions(records: DataFrame, account: int = 0) -> DataFrame:
         F.lit(account).cast("long").alias("account"), date.alias("date"), scalars.month_key(date).alias("ym"), description.alias("description"), scalars.payee(description).alias("payee"),
         scalars.categorize(description, F.col("Category")).alias("category"), amount.alias("amount"), scalars.parse_accounting(F.col("Balance")).alias("balance"), scalars.is_upi(description).alias("is_upi"),
     )
-    again = F.row_number().over(W.partitionBy("date", "description", "amount", "balance").orderBy("date"))
-    return out.withColumn("again", again).select(F.xxhash64("account", "date", "description", "amount", "balance", "again").alias("id"), *out.columns)
+    counted = out.groupBy(*out.columns).agg(F.count(F.lit(1)).alias("times"))  # a record that repeats is a row a task
+    each = counted.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return each.select(F.xxhash64("account", "date", "description", "category", "amount", "balance", "again").alias("id"), *out.columns)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -1,7 +1,8 @@
 """Keeping stored months fresh from a stream of transactions.
 
 A batch's months are recomputed whole from the stored transactions, so late rows
-need no watermark. Rows are keyed by id: a batch that is tried again changes nothing.
+need no watermark. Every batch is kept under its own number, which a repeated batch
+overwrites, and of an id the version of the last batch counts. An id stays in its month.
 """
 
 from __future__ import annotations
@@ -13,16 +14,26 @@ from pyspark.sql.streaming import StreamingQuery
 from monthwise.operators.months import month_summaries
 
 
-def apply_batch(batch: DataFrame, store: str, gold: str) -> None:
-    """Add a batch to the store (a folder a month) and write the summaries of its months anew."""
+def stored(spark, store: str, months: list[str] | None = None) -> DataFrame:
+    """The last version of every stored transaction, of some months or of all."""
+    rows = spark.read.parquet(store)
+    rows = rows if months is None else rows.where(F.col("month").isin(*months))
+    own = [c for c in rows.columns if c not in ("batch", "month")]
+    last = rows.groupBy("month", "id").agg(F.max_by(F.struct(*own), "batch").alias("last"))
+    return last.select("last.*")
+
+
+def apply_batch(batch: DataFrame, number: int, store: str, gold: str) -> None:
+    """Add a batch to the store (a folder a batch and month) and write the summaries of its months anew."""
     spark = batch.sparkSession
-    batch.dropDuplicates(["id"]).withColumn("month", F.col("ym")).write.mode("append").partitionBy("month").parquet(store)
+    rows = batch.dropDuplicates(["id"]).withColumns({"batch": F.lit(number), "month": F.col("ym")})
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "month").parquet(store)
     touched = [r[0] for r in batch.select("ym").distinct().collect()]  # months of a batch
     if touched:
-        stored = spark.read.parquet(store).where(F.col("month").isin(*touched)).dropDuplicates(["id"]).drop("month")
-        month_summaries(stored).withColumn("month", F.col("ym")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(gold)
+        found = month_summaries(stored(spark, store, touched)).withColumn("month", F.col("ym"))
+        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(gold)
 
 
 def refresh(stream: DataFrame, store: str, gold: str, checkpoint: str) -> StreamingQuery:
     """Run ``apply_batch`` on what the stream has now."""
-    return stream.writeStream.foreachBatch(lambda batch, _: apply_batch(batch, store, gold)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda batch, number: apply_batch(batch, number, store, gold)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

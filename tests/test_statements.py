@@ -90,20 +90,76 @@ def test_sums_agree(engine):
     assert all(abs(sum(r["categories"].values()) - r["spending"]) < 0.01 and len(r["payees"]) <= 20 for r in gold)
 
 
-def test_a_month_is_replaced(spark, tmp_path):
+FIGURES = ["ym", "income", "spending", "net", "count", "upi"]
+
+
+def figures(df):
+    return {r["ym"]: tuple(r) for r in df.select(*FIGURES).collect()}
+
+
+def test_a_month_is_replaced_and_deleted(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "e"))
     engine.ingest(statements.synthetic(spark, months=3, rows_a_month=10))
-    before = {r["ym"]: r for r in engine.months().collect()}
+    before = figures(engine.months())
     new = statements.to_transactions(statements.synthetic(spark, months=1, rows_a_month=3, start="2022-10-01"))
     engine.update_month("2022-10", new)
-    after = {r["ym"]: r for r in engine.months().collect()}
-    assert after["2022-10"]["count"] == 3 and all(after[k] == before[k] for k in before if k != "2022-10")
-    again = months.month_summaries(engine.transactions()).collect()
-    assert {r["ym"]: r for r in again} == after
+    after = figures(engine.months())
+    assert after["2022-10"][4] == 3 and all(after[k] == before[k] for k in before if k != "2022-10")
+    assert figures(months.month_summaries(engine.transactions())) == after
+    assert engine.chunks().count() == engine.transactions().count() == 23
     with pytest.raises(ValueError, match="outside"):
         engine.update_month("2022-11", new)
+    assert figures(engine.months()) == after
+    engine.update_month("2022-10", engine.transactions().where("ym = '2022-10' and amount < 0"))  # read from the engine itself
+    kept = figures(engine.months())
+    assert kept["2022-10"][1] == 0 and figures(months.month_summaries(engine.transactions())) == kept
+    engine.update_month("2022-10", new.limit(0))  # an empty month goes
+    assert set(figures(engine.months())) == {"2022-09", "2022-11"} == {r[0] for r in engine.transactions().select("ym").distinct().collect()}
+    assert {r["anchor"] for r in engine.periods().collect()} == {"2022-09", "2022-11"} and engine.chunks().count() == 20
+    same = figures(engine.months())
+    engine.rebuild()
+    assert figures(engine.months()) == same
     engine.reset()
-    assert engine.transactions().count() == engine.months().count() == 0
+    assert engine.transactions().count() == engine.months().count() == engine.periods().count() == 0
+
+
+def test_a_failed_change_changes_nothing(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "e"))
+    engine.ingest(statements.synthetic(spark, months=2, rows_a_month=5))
+    before = figures(engine.months())
+    broken = engine.transactions().where("ym = '2022-09'").withColumn("payee", F.when(F.col("id") > -(2**63), F.raise_error(F.lit("lost"))).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        engine.update_month("2022-09", broken)
+    assert figures(engine.months()) == before == figures(months.month_summaries(engine.transactions()))
+
+
+def test_layers_agree(engine):
+    exact = {(r["anchor"], r["window"]): r for r in months.periods_exact(engine.transactions()).collect()}
+    best = {(r["anchor"], r["window"], r["rank"]): (r["category"], r["amount"]) for r in months.period_top_categories(engine.transactions()).collect()}
+    for r in engine.periods().collect():
+        assert r["income"] == pytest.approx(exact[r["anchor"], r["window"]]["income"])
+        assert [(c["name"], c["amount"]) for c in r["top_categories"]] == [(n, pytest.approx(a)) for n, a in (best[r["anchor"], r["window"], k + 1] for k in range(len(r["top_categories"])))]
+        assert r["content"].startswith(r["label"]) and len(r["embedding"]) == 64 and len(r["top_payees"]) == 5
+    assert engine.currency() == "INR" and engine.meta()["columns"].startswith("Date")
+
+
+def test_currency_is_read_kept_and_set(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "e"))
+    (tmp_path / "a.csv").write_text("Date,Details,Amount\n2025-01-02,Shop - x,-$12.50\n")
+    engine.ingest(str(tmp_path / "a.csv"))
+    assert engine.currency() == "USD" and "$12.50" in engine.periods().first()["content"]
+    engine.set_currency("EUR")
+    assert engine.state()["currency"] == "EUR" and "€12.50" in engine.periods().first()["content"] and engine.transactions().count() == 1
+    with pytest.raises(ValueError, match="currency"):
+        engine.set_currency("X")
+    engine.ingest(statements.synthetic(spark, months=1, rows_a_month=2))
+    assert engine.currency() == "EUR"  # nothing says otherwise
+
+
+def test_repeated_records_have_ids_of_their_own(spark):
+    one = spark.createDataFrame([("2025-01-01", "a - b", None, "-1", "")] * 5 + [("2025-01-01", "a - b", "Rent", "-1", "")] * 2, "Date string, Description string, Category string, Amount string, Balance string")
+    ids = [sorted(r["id"] for r in statements.to_transactions(one.repartition(n)).collect()) for n in (1, 4)]
+    assert ids[0] == ids[1] and len(set(ids[0])) == 7
 
 
 @pytest.mark.parametrize(
@@ -113,6 +169,9 @@ def test_a_month_is_replaced(spark, tmp_path):
         ("Which month had the most spending?", "month_extremes"), ("How much did I pay to Netflix?", "keyword"), ("Spent on Netflix per month", "keyword_by_month"), ("spending in March 2023", "month"), ("Spent on food in March 2023", "category_month"),
         ("Spent on Netflix in March 2023", "keyword_month"), ("How much money did I get from other people, received in all", "received_from_people"), ("Summarize the last 6 months", "period"), ("show my subscriptions", "subscriptions"), ("biggest credit", "largest_credit"),
         ("smallest expense", "smallest_debit"), ("spending by category", "category_breakdown"), ("top payees", "top_payees"), ("salary credited", "keyword"), ("show 2023", "year"),
+        ("expenses in March", "month"), ("How much did I spend this month?", "month"), ("What did I pay Netflix in January?", "keyword_month"), ("food in October", "category_month"), ("what is my average spend?", "average"),
+        ("How many transactions are there?", "row_count"), ("total cost of my subscriptions", "subscriptions_total"), ("may I see my balance left", "balance"), ("How did my spending develop?", "period"), ("Compare my months", "period"),
+        ("summary of the last two quarters", "period"), ("payments to Netflix, Spotify and Airtel in total", "keyword"), ("how much did Mr Nobody get from me, paid in all", "keyword"), ("which month was the cheapest, the lowest?", "month_extremes"),
     ],
 )
 def test_intents(question, kind):
@@ -121,6 +180,36 @@ def test_intents(question, kind):
     assert classify(question).kind == kind
 
 
+@pytest.mark.parametrize(("question", "window"), [("last 6 months", 6), ("half a year", 6), ("two quarters", 6), ("a quarter", 3), ("Q2", 3), ("nine-month view", 9), ("annual", 12), ("two months", 3), ("18 months", 12), ("monthly", 1), ("my money", None)])
+def test_window_lengths(question, window):
+    from monthwise.plans.periods import parse
+
+    assert parse(question).window == window
+
+
+def test_months_without_a_year(engine):
+    rows = {r["ym"]: r for r in engine.months().collect()}
+    assert max(rows) == "2023-10"
+    assert engine.ask("expenses in October")[1].first()["ym"] == "2023-10" and engine.ask("expenses in November")[1].first()["ym"] == "2022-11"
+    assert engine.ask("what did I spend this month?")[1].first()["ym"] == "2023-10"
+    assert engine.ask("what was spent in October 2022")[1].first()["spending"] == rows["2022-10"]["spending"]
+    assert engine.ask("How many transactions are there?")[1].first()["count"] == 560
+    t = engine.transactions()
+    assert engine.ask("What is my average spend?")[1].first()["debit"] == pytest.approx(float(t.where("amount < 0").agg(F.avg(-F.col("amount"))).first()[0]), abs=0.01)
+
+
+def test_search_context_and_similar_names(engine):
+    t = engine.transactions()
+    found = engine.search("netflix", 5).collect()
+    assert found and {r["direction"] for r in found} <= {"debit", "credit"} and any(r["payee"] == "Netflix" for r in found)
+    assert {r["source"] for r in found} <= {"semantic", "keyword", "both"} and all(len(r["description"]) <= 50 for r in found)
+    spent = float(t.where("payee = 'Netflix' and amount < 0").agg(F.sum(-F.col("amount"))).first()[0])
+    assert engine.ask("How much did I pay to NetFlix-India?")[1].first()["debit"] == pytest.approx(spent)
+    assert engine.context("What did I spend in total?")[0] == "facts" and engine.context("anything about Netflix?")[0] == "search"
+    assert statements.plain_lines(t.sparkSession.createDataFrame([(1, 9.0, 5.0, "b"), (1, 1.0, 5.0, "a"), (1, 1.0, 99.0, "top")], "page int, x double, y double, str string")).collect() == [(1, 1, "top"), (1, 2, "a b")]
+    assert relational.column_roles(["Txn Date", "Paid", "Amount"], {"date": ("date",), "money": ("amount", "paid"), "none": ("x y",)}) == {"date": "Txn Date", "money": "Amount"}
+
+
 def test_answers(engine):
     t = engine.transactions()
     spent = t.where("lower(description) like '%netflix%' and amount < 0").agg(F.sum(-F.col("amount"))).first()[0]
@@ -131,7 +220,8 @@ def test_answers(engine):
     total, rows = engine.page(0, 5)
     assert total == 560 and len(rows) == 5 and [r["date"] for r in rows] == sorted((r["date"] for r in rows), reverse=True)
     assert len(engine.facts().split("=== ")) == 10 and engine.dashboard()["overview"][0]["count"] == 560 and engine.state()["count"] == 560
-    assert "Netflix" in engine.search("netflix").first()["payee"]
+    assert engine.dashboard()["overview"][0]["debit"] == pytest.approx(float(t.where("amount < 0").agg(F.sum(-F.col("amount"))).first()[0]))
+    assert [r["category"] for r in relational.category_breakdown(t).collect()] == [r["category"] for r in engine.dashboard()["categories"]]
 
 
 def test_vectors(spark):
@@ -148,6 +238,9 @@ def test_a_stream_of_transactions(spark, tmp_path):
     for part in (t.where("pmod(id, 2) = 0"), t.where("pmod(id, 2) <> 0")):
         part.write.mode("append").parquet(source)
         refresh.refresh(spark.readStream.schema(t.schema).parquet(source), store, gold, str(tmp_path / "c")).awaitTermination()
+    t.limit(0).write.mode("append").parquet(source)
+    refresh.apply_batch(t.where("pmod(id, 2) <> 0"), 1, store, gold)  # a batch that is tried again
+    assert refresh.stored(spark, store).count() == spark.read.parquet(store).count() == t.count()
     got = sorted(map(tuple, spark.read.parquet(gold).drop("month").collect()))
     assert got == sorted(map(tuple, months.month_summaries(t).collect()))
     assert datetime.date.fromisoformat(t.first()["date"])
