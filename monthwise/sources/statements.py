@@ -11,12 +11,13 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from monthwise.functions import scalars
@@ -37,6 +38,7 @@ CANONICAL = ("Date", "Description", "Category", "Amount", "Balance")
 #: A printed statement's columns end at these x, the last has no end.
 COLUMN_ENDS = (("date", 55), ("narration", 289), ("reference", 362), ("value_date", 405), ("withdrawal", 491), ("deposit", 564))
 LINE_GAP = 3.0
+ROWS_A_BATCH = 1000
 HEADER_PHRASES = ("withdrawal amt", "deposit amt", "closing balance")
 LEAST_ROWS = 5
 
@@ -80,42 +82,6 @@ def read_csv(spark: SparkSession, path: str, quote_money: bool = False) -> DataF
     return rows.toDF(*names)
 
 
-class XlsxReader(DataSourceReader):
-    def __init__(self, options: dict, columns: list[str]):
-        self.path, self.columns = options["path"], columns
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(self.path)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        rows = sheet_rows(open_bytes(partition.value))
-        head = next(rows, [])
-        for row in rows:
-            if any(v.strip() for v in row):
-                yield tuple((row[i] if i < len(row) else "") for i in range(len(head)))
-
-
-class XlsxSource(DataSource):
-    """The first sheet of an .xlsx file as text columns: ``spark.read.format("xlsx").load(path)``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "xlsx"
-
-    def schema(self) -> StructType:
-        from pyspark.sql.types import StringType, StructField
-
-        return StructType([StructField(c.strip() or f"column{i}", StringType()) for i, c in enumerate(next(sheet_rows(open_bytes(self.options["path"])), []))])
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return XlsxReader(self.options, schema.names)
-
-
-def open_bytes(path: str) -> bytes:
-    with open(path.removeprefix("file://"), "rb") as f:
-        return f.read()
-
-
 def sheet_rows(content: bytes) -> Iterator[list[str]]:
     """Cells of the first sheet as text, a missing cell as an empty one."""
     tag = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -140,9 +106,23 @@ def sheet_rows(content: bytes) -> Iterator[list[str]]:
             yield cells
 
 
+def _numbered_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each workbook of a batch with their numbers from 0, ROWS_A_BATCH at a time."""
+    for batch in batches:
+        for content in batch.column(0):
+            rows = enumerate(sheet_rows(content.as_py()))
+            while part := list(islice(rows, ROWS_A_BATCH)):
+                numbers, cells = zip(*part, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(cells, pa.list_(pa.string()))], ["number", "cells"])
+
+
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(XlsxSource)
-    return spark.read.format("xlsx").load(path)
+    """The first sheet of an .xlsx file as text columns under its first row. Spark reads the bytes, so any store will do; a workbook is one task."""
+    cells = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_numbered_rows, "number long, cells array<string>")
+    head = cells.where("number = 0").first()
+    names = [c.strip() or f"column{i}" for i, c in enumerate(head["cells"] if head else [])]
+    filled = F.exists("cells", lambda c: F.trim(c) != "")
+    return cells.where(F.col("number") > 0).where(filled).select(*(F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(names)))
 
 
 def visual_lines(items: DataFrame) -> DataFrame:
