@@ -244,3 +244,25 @@ def test_a_stream_of_transactions(spark, tmp_path):
     got = sorted(map(tuple, spark.read.parquet(gold).drop("month").collect()))
     assert got == sorted(map(tuple, months.month_summaries(t).collect()))
     assert datetime.date.fromisoformat(t.first()["date"])
+
+
+def test_export_key_and_figures_text(spark, tmp_path):
+    t = statements.to_transactions(statements.synthetic(spark, months=1, rows_a_month=4))
+    statements.write_csv(relational.records(t).drop("id"), str(tmp_path / "out"))
+    back = statements.read_csv(spark, str(tmp_path / "out"))
+    assert sorted(map(tuple, back.collect())) == sorted(tuple(v or None for v in r) for r in relational.records(t).drop("id").collect())
+    assert next((tmp_path / "out").glob("*.csv")).read_text().startswith('"Date","Description"')
+    assert spark.range(1).select(scalars.cache_key(F.lit("abc"))).first()[0] == "ba7816bf8f01cfea414140de5dae2223b00361a3"
+    pairs = F.array(F.struct(F.lit("Rent").alias("name"), F.lit(1500.0).alias("amount")))
+    text = spark.range(1).select(scalars.metrics_text(F.lit("May 2024"), F.lit(10.5), F.lit(2.0), F.lit(8.5), F.lit(3), pairs, F.slice(pairs, 1, 0))).first()[0]
+    assert text == "May 2024. Income: ₹10.50. Spent: ₹2. Net: ₹8.50. Transactions: 3. Most spent on: Rent ₹1,500"
+
+
+def test_facts_are_labelled_lines(engine):
+    from monthwise.operators import facts
+
+    rows = facts.facts_table(engine.transactions()).collect()
+    assert list(dict.fromkeys(r["section"] for r in rows)) == list(facts.TITLES.values())
+    assert [r["place"] for r in rows if r["section"] == "RECENT TRANSACTIONS"] == list(range(1, 11))
+    top = [r["line"] for r in rows if r["section"] == "TOP 10 TRANSACTIONS"]
+    assert len(top) == 10 and all(f"rank: {k + 1}" in line for k, line in enumerate(top))
