@@ -70,8 +70,11 @@ def test_equals_brute_force(spark):
     assert got(spark, rows) == brute(rows)
 
 
-def test_other_corpora_and_repeated_chunks(spark):
-    for seed in (2, 3):
+def test_other_corpora_and_repeated_chunks(spark, monkeypatch):
+    from monthwise.llm import similarity
+
+    for seed, share in ((2, 1000), (3, 15)):  # all components are large, or few
+        monkeypatch.setattr(similarity, "LARGE_SHARE", share)
         rows = corpus(seed, 180)
         assert got(spark, rows + rows, 2) == brute(rows + rows)
 
