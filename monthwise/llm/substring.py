@@ -7,7 +7,7 @@ of a repeated stretch with that many words every whole sentence goes, however sh
 and a short sentence that is repeated alone stays. Runs overlap, so a word that goes
 has an earlier copy that stays, but a run need not stay in one piece. A unit
 is normalised to its words, with A-Z as a-z and any white space between them, and
-stands for itself by a 128-bit digest. Units of fewer than ``min_words`` words
+stands for itself by a 96-bit digest. Units of fewer than ``min_words`` words
 (``min_sentence`` for sentences) are never removed. Of the units with one digest in
 all documents the earliest ranked stays: the smallest doc_id (null last), then the
 first in the text. The others are cut out of their texts.
@@ -42,7 +42,7 @@ from .store import apart, cut
 
 MIN_WORDS, MIN_SENTENCE = 5, 12
 ADDED = ("kept_text", "n_removed", "removed", "spans")
-UNITS = "row_key long, doc_id long, a long, b long, start int, length int"
+UNITS = "row_key long, doc_id long, a long, b int, start int, length int"
 _SALTS = (np.uint64(0x6A09E667), np.uint64(0xBB67AE85))
 _TAIL = re.compile(r"[ \t\r\f\v]*\n?")
 _ENDS = np.zeros(256, dtype=bool)
@@ -79,7 +79,7 @@ def units(texts: kernels.Texts, min_words: int = MIN_WORDS, min_sentence: int =
     chars = np.concatenate([[0], np.cumsum((texts.data & 0xC0) != 0x80)])
     start, end = chars[w.start[first]], chars[w.end[last - 1]]
     a, b = (kernels.run_hash(kernels.mix(w.hash + salt), first, last).view(np.int64) for salt in _SALTS)
-    return {"text": w.text[first], "a": a, "b": b, "start": start - chars[texts.offsets[w.text[first]]], "length": end - start}
+    return {"text": w.text[first], "a": a, "b": b >> 32, "start": start - chars[texts.offsets[w.text[first]]], "length": end - start}
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
@@ -95,16 +95,20 @@ def document_units(documents: DataFrame, min_words: int = MIN_WORDS, min_sentenc
             for texts in kernels.slices(batch.column(2)):
                 u = units(texts, min_words, min_sentence, runs)
                 at = pa.array(u["text"] + texts.first)
-                own = [pa.array(u[k]) for k in ("a", "b")] + [pa.array(u[k].astype(np.int32)) for k in ("start", "length")]
+                own = [pa.array(u["a"])] + [pa.array(u[k].astype(np.int32)) for k in ("b", "start", "length")]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *own], [x.split()[0] for x in UNITS.split(", ")])
 
     return rows.mapInArrow(found, UNITS)
 
 
+def _rank() -> Column:
+    """The order of units: by doc_id, null last; half of a row's key tells rows of one doc_id apart, and one other row in 2^32 at the same start stays beside the first."""
+    return F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.shiftright("row_key", 32).cast("int").alias("key"), "start")
+
+
 def repeated_units(found: DataFrame) -> DataFrame:
-    """a, b, first_key, first_start: for each digest that is met more than once, where it stands first."""
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("row_key").alias("key"), "start")
-    many = found.groupBy("a", "b").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    """a, b, first (id, key, start): for each digest that is met more than once, where it stands first."""
+    many = found.groupBy("a", "b").agg(F.min(_rank()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return many.select("a", "b", F.col("first.key").alias("first_key"), F.col("first.start").alias("first_start"))
 
 
@@ -133,7 +137,7 @@ def deduplicate_units(documents: DataFrame, min_words: int = MIN_WORDS, min_sent
     base, of, columns = apart(documents.drop(*ADDED))
     found = document_units(base.select(of["doc_id"].alias("doc_id"), of["text"].alias("text")), min_words, min_sentence, runs)
     repeats = cut(repeated_units(found))
-    gone = found.join(repeats, ["a", "b"]).where((F.col("row_key") != F.col("first_key")) | (F.col("start") != F.col("first_start")))
+    gone = found.join(repeats, ["a", "b"]).where((F.shiftright("row_key", 32).cast("int") != F.col("first_key")) | (F.col("start") != F.col("first_start")))
     spans = F.sort_array(F.collect_set(F.struct("start", "length")))
     gone = gone.groupBy("row_key").agg(spans.alias("spans"))
     rows = base.withColumn("row_key", row_key(of["doc_id"], of["text"])).join(gone, "row_key", "left").drop("row_key")
