@@ -36,6 +36,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 BINS = 1 << 16
 FRONTS = 2
 WEIGHTS = (3, 1, 2)
+#: With at most so many sources (about 600 bytes each) their plan is broadcast, and texts stay where they are read.
+MOST_BROADCAST = 10_000
 ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
@@ -77,9 +79,10 @@ def order_value(size: Column, u: Column, scale: Column) -> Column:
     return F.when(p > 0, q / (1 + q)).otherwise(1.0)
 
 
-def _same_source(rows: DataFrame, plan: DataFrame, how: str = "inner") -> DataFrame:
+def _same_source(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
+    """Rows with the plan of their source; a plan of ``few`` sources is broadcast."""
     plan = plan.withColumnRenamed("source", "plan_source")
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source")), how).drop("plan_source")
+    return rows.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
 
 
 def _onto(plan: DataFrame, found: DataFrame) -> DataFrame:
@@ -99,12 +102,13 @@ def mixing_plan(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, max_epoch
     plan = plan.withColumn("whole", whole.cast("int")).withColumn("gap", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = plan.withColumn("scale", F.when(F.col("mass") > 0, F.col("gap") / F.col("mass")).otherwise(0.0)).withColumn("last", F.lit(-1.0))
     plan = cut(plan.withColumn("fronts", F.array().cast("array<struct<last:double,limit:double>>")))
-    ranked = _same_source(sizes.where("size > 0"), plan.select("source", "scale"))
+    few = plan.count() <= MOST_BROADCAST
+    ranked = _same_source(sizes.where("size > 0"), plan.select("source", "scale"), few)
     ranked = cut(ranked.withColumn("v", order_value(F.col("size"), uniform(F.col("doc_id"), seed), F.col("scale"))).where("v < 1").select("doc_id", "source", "size", "v"))
     for _ in range(FRONTS):
         plan = plan.withColumn("low", F.lit(0.0)).withColumn("width", F.lit(1.0)).withColumn("used", F.lit(0).cast("long"))
         for last in (False, True):
-            rows = _same_source(ranked, plan.select("source", "low", "width", "used", "gap", "last"))
+            rows = _same_source(ranked, plan.select("source", "low", "width", "used", "gap", "last"), few)
             rows = rows.where("size <= gap and v > last and v >= low and v < low + width")
             place = F.col("v") if last else F.least(F.floor((F.col("v") - F.col("low")) / F.col("width") * BINS), F.lit(BINS - 1)).cast("double")
             bins = rows.groupBy("source", place.alias("place")).agg(F.sum("size").alias("n"), F.first("used").alias("used"), F.first("gap").alias("room"))
@@ -121,7 +125,7 @@ def mixing_plan(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, max_epoch
                 plan = _onto(plan, found).withColumn("low", F.when(F.col("place").isNull(), F.col("low")).otherwise(F.col("low") + F.col("place") * step))
                 plan = plan.withColumn("width", F.when(F.col("place").isNull(), F.col("width")).otherwise(step)).withColumn("used", F.coalesce("new_used", "used"))
             plan = cut(plan.drop("place", "new_used"))
-    rows = _same_source(ranked, plan.select("source", "last", "gap")).where("v > last and size <= gap")
+    rows = _same_source(ranked, plan.select("source", "last", "gap"), few).where("v > last and size <= gap")
     kind = F.floor(F.log2(F.col("size").cast("double"))).cast("int")
     best = rows.groupBy("source", kind.alias("kind")).agg(F.min_by(F.struct("size", "v"), F.struct("v", "doc_id")).alias("doc"), F.first("gap").alias("gap"))
     zero = F.struct(F.first("gap").alias("gap"), F.array().cast("array<double>").alias("fillers"))
@@ -134,7 +138,7 @@ def mixing_plan(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, max_epoch
 
 def apply_plan(rows: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
     """Adds source_size, target, copies and taken to rows that have doc_id, source and size."""
-    out = _same_source(rows, plan)
+    out = _same_source(rows, plan, plan.count() <= MOST_BROADCAST)
     v = order_value(F.col("size"), uniform(F.col("doc_id"), seed), F.col("scale"))
     front = F.exists("fronts", lambda f: (v <= f["last"]) & (F.col("size") <= f["limit"]))
     extra = F.when((F.col("size") > 0) & (v < 1) & (front | F.array_contains("fillers", v)), 1).otherwise(0)

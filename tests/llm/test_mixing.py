@@ -1,6 +1,7 @@
 import re
 from collections import defaultdict
 
+from monthwise.llm import mixing
 from monthwise.llm.mixing import mix_sources
 
 SCHEMA = "doc_id long, source string, text string, size string"
@@ -24,9 +25,10 @@ def brute_targets(size):
         capped |= over
 
 
-def test_targets_and_taken_words(spark):
+def test_targets_and_taken_words(spark, monkeypatch):
     df = spark.createDataFrame(rows(), SCHEMA)
     got = mix_sources(df).collect()
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)  # more sources than are broadcast
     again = {(r.doc_id, r["size"]): r.taken for r in mix_sources(df.repartition(7)).collect()}
     size, taken, left = defaultdict(int), defaultdict(int), defaultdict(list)
     for r in got:
