@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, langid, mixing, pii, quality, sharding, similarity, substring, toxicity
+from . import chat, decontamination, langid, mixing, pii, quality, sharding, similarity, substring, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op13_warc": warc.op13_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat.OP1_SQL, "op5_mixing": mixing.OP5_SQL}
+    return {"op1_chat_format": chat.OP1_SQL, "op5_mixing": mixing.OP5_SQL, "op13_warc": warc.OP13_SQL}
