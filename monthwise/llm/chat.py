@@ -8,8 +8,10 @@ and read back by a deterministic parser: cut at ``</turn>``, take the role up
 to the first ``": "``, undo the escapes; a second ``### `` in a turn is an error. ``format_chats`` first renders texts as
 they are, reparses, and compares the turns with the source. Only a conversation
 that comes back different is rendered again at the next level: level 1 rewrites
-the control strings inside texts, level 2 the escape character too. The escaped
-text never holds a control string, so level 2 always comes back identical.
+what control strings are made of inside texts, level 2 the escape character too. An
+escaped text has no hash sign before a blank and no ``</turn>``, whatever stands around
+what was rewritten, so no control string can arise and level 2 always comes back
+identical.
 
 Defined results: a null text or role is empty; turns are ordered by turn (null
 first), then role and text, and a repeated row is a turn of its own; a null
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>"
 END = CLOSE + "\n"
 #: (plain, escaped). The escape character comes first when escaping and last when unescaping.
-ESCAPES = ((":", "\\c"), ("###", "#\\h#\\h#"), (CLOSE, "<\\t/turn>"))
+ESCAPES = ((":", "\\c"), ("# ", "#\\h "), (CLOSE, "<\\t/turn>"))
 ESCAPE = ("\\", "\\e")
 TOP_LEVEL = 2
 
@@ -141,13 +143,13 @@ WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '{_LIT}' UNION ALL SELECT -7, 1, 'assistant', '{_LIT}'
 ), esc AS (
-  SELECT *, replace(replace(text, '###', '#\\h#\\h#'), '</turn>', '<\\t/turn>') AS t1,
-    replace(replace(replace(text, '\\', '\\e'), '###', '#\\h#\\h#'), '</turn>', '<\\t/turn>') AS t2,
-    replace(replace(role, '###', '#\\h#\\h#'), '</turn>', '<\\t/turn>') AS r1
+  SELECT *, replace(replace(text, '# ', '#\\h '), '</turn>', '<\\t/turn>') AS t1,
+    replace(replace(replace(text, '\\', '\\e'), '# ', '#\\h '), '</turn>', '<\\t/turn>') AS t2,
+    replace(replace(role, '# ', '#\\h '), '</turn>', '<\\t/turn>') AS r1
   FROM rows
 ), back AS (
-  SELECT *, replace(replace(replace(replace(t1, '<\\t/turn>', '</turn>'), '#\\h#\\h#', '###'), '\\c', ':'), '\\e', '\\') = text AS ok1,
-    replace(replace(replace(replace(text, '<\\t/turn>', '</turn>'), '#\\h#\\h#', '###'), '\\c', ':'), '\\e', '\\') = text
+  SELECT *, replace(replace(replace(replace(t1, '<\\t/turn>', '</turn>'), '#\\h ', '# '), '\\c', ':'), '\\e', '\\') = text AS ok1,
+    replace(replace(replace(replace(text, '<\\t/turn>', '</turn>'), '#\\h ', '# '), '\\c', ':'), '\\e', '\\') = text
       AND NOT contains(text, '</turn>') AND NOT contains(text, '### ') AS ok0
   FROM esc
 ), level AS (
