@@ -2,9 +2,12 @@
 
 Candidates are found by one pattern, and only those that validate are replaced:
 card numbers by the Luhn digit, IBANs modulo 97, addresses by their octets, social
-security numbers by their areas, dates by the calendar. A candidate of several
-groups that does not validate whole, a card number beside an expiry date say, is
-tried by its runs of groups. A valid value is permuted by a keyed Feistel network
+security numbers by their areas, dates by the calendar. A run of digit groups is
+taken as long as it goes, without a date or social security number that ends it. Where
+it is no card number as a whole, as with a year before or an order number behind one,
+the groups inside are tried from left to right: a group of 13 to 19 digits, or up to
+six groups of 3 to 8 digits, the longest that validates; one that starts as no issuer's
+numbers do gives way to one that does and shares a group with it. A valid value is permuted by a keyed Feistel network
 inside its own format: numbers below ``a * b`` as two halves with additions modulo
 ``a`` and modulo ``b``, strings as two halves whose characters move inside their
 class (digits, lower case, upper case), with SHA-256 of the key and the other half as
@@ -17,12 +20,13 @@ Formats: a date keeps its layout and stays from 1900 to 2099. What reads as
 dd/mm/yyyy is such a date; what only reads as mm/dd/yyyy (a day above 12) moves among
 the dates of that kind, so that no two dates of a layout meet. A telephone number
 keeps its country code; an e-mail address keeps its domain; keys of 32 to 64
-hexadecimal digits stay such. Tokens of other forms, IPv6 addresses and dates with
-one-digit parts are not looked for.
+hexadecimal digits stay such; letters beyond ASCII stay as they are. Not looked for:
+tokens of other forms, IPv6 addresses, dates with one-digit parts, card numbers with
+dots, IBANs in lower case, social security numbers without hyphens, telephone numbers
+grouped by blanks without a country code.
 
 Defined results: a null text stays null with 0 found; what does not validate stays
-as it is; of several valid runs of groups the one with most digits counts, then the
-first; repeated rows get equal answers; columns with the names of added ones are
+as it is; all valid card numbers of a run of groups count; repeated rows get equal answers; columns with the names of added ones are
 replaced, others are carried; an empty table gives an empty table. A text is
 worked on whole, in the task that reads it; nothing is shuffled.
 """
@@ -42,7 +46,7 @@ SSN_AREAS, SSN_REST = 898, 99 * 9999
 KINDS = ("email", "ip", "date", "ssn", "phone", "iban", "hex_key", "card")
 CANDIDATE = "|".join(
     (
-        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)++",
+        r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)++",
         r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
         r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])",
         r"(?<![\d/.])\d{2}([/.])\d{2}\1\d{4}(?![\d/])",
@@ -52,9 +56,11 @@ CANDIDATE = "|".join(
         r"(?<![\d.-])\d{3}([.-])\d{3}\2\d{4}(?![\d-])",
         r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
         r"(?<!\w)[0-9a-f]{32,64}+(?!\w)",
-        r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)",
+        r"(?<!\d)\d(?:(?![ -]\d+[/.]\d|[ -](?:\d{4}-\d\d-\d\d|\d{3}-\d\d-\d{4}|\d{3}-\d{3}-\d{4})(?![\d-]))[ -]?\d){12,}+",
     )
 )
+#: Groups that a card number may have inside a longer run, and how issuers' numbers start.
+MOST_GROUPS, ISSUERS = 6, r"^(3[0-9]|4|5[1-5]|2[2-7]|6)"
 _DIGITS, _LOWER, _UPPER, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
 
@@ -212,31 +218,72 @@ def kind_of(m: Column) -> Column:
     )
 
 
-def _within(m: Column) -> Column:
-    """(start, length) of the run of groups of a candidate that is a valid card number or IBAN, null if none is."""
-    groups = F.split(m, "[ -]")
-    n, account = F.size(groups), m.rlike(r"^[A-Z]{2}")
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
 
-    def run(i: Column, j: Column) -> Column:
-        own = F.array_join(F.slice(groups, i, j - i + 1), "")
-        before = F.length(F.array_join(F.slice(groups, 1, i - 1), "-")) + (i > 1).cast("int")
-        return F.struct((-F.length(own)).alias("size"), before.alias("start"), F.length(F.array_join(F.slice(groups, i, j - i + 1), "-")).alias("length"), own.alias("own"))
 
-    valid = lambda r: F.when(account, (r["start"] == 0) & (r["size"] <= -15) & (_iban_check(r["own"]) == 1)).otherwise(r["size"].between(-19, -13) & (F.pmod(luhn_sum(r["own"], 1), F.lit(10)) == 0))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: run(i, j))))
-    return F.array_min(F.filter(runs, valid))
+def _piece(text: Column, kind: Column | None = None) -> Column:
+    return F.struct(text.alias("old"), (F.lit(None) if kind is None else kind).cast("string").alias("kind"))
+
+
+def _account(m: Column) -> Column:
+    """The pieces of an IBAN candidate whose first groups are one."""
+    groups = F.split(m, " ")
+    heads = F.transform(F.sequence(F.lit(2), F.size(groups)), lambda j: F.array_join(F.slice(groups, F.lit(1), j), " "))
+    valid = F.filter(heads, lambda h: _bound(F.replace(h, F.lit(" "), F.lit("")), lambda own: (F.length(own) >= 15) & (_iban_check(own) == 1)))
+    return _bound(F.element_at(F.reverse(valid), F.lit(1)), lambda h: F.when(h.isNotNull(), F.array(_piece(h, F.lit("iban")), _piece(F.substr(m, F.length(h) + 1)))))
+
+
+def _cards(m: Column) -> Column:
+    """The pieces of a run of digit groups: its card numbers, and what stands between them."""
+
+    def longest(tokens: Column, i: Column) -> Column:
+        def valid(k: Column) -> Column:
+            own = F.array_join(F.slice(tokens, i, k), "")
+            card = lambda d: F.length(d).between(13, 19) & ((k == 1) | own.rlike(r"^(\d{3,8}[ -])+\d{3,8}[ -]?$")) & (F.pmod(luhn_sum(d, 1), F.lit(10)) == 0)
+            return _bound(_digits(own), lambda d: F.when(F.length(d).between(13, 19), card(d)).otherwise(False))
+
+        ways = F.filter(F.sequence(F.lit(1), F.least(F.lit(MOST_GROUPS), F.size(tokens) - i + 1)), valid)
+        return F.struct(F.coalesce(F.array_max(ways), F.lit(0)).alias("k"), (F.element_at(tokens, i).rlike(ISSUERS) & (F.size(ways) > 0)).alias("issued"))
+
+    def picked(best: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            here = F.element_at(best, i)
+            rival = F.exists(F.slice(best, i + 1, F.greatest(here["k"] - 1, F.lit(0))), lambda b: b["issued"])
+            takes = (i >= acc["free"]) & (here["k"] > 0) & (here["issued"] | ~rival)
+            end = (i + here["k"]).cast("int")
+            return F.when(takes, F.struct(end.alias("free"), F.concat(acc["got"], F.array(F.struct(acc["free"].alias("before"), i.cast("int").alias("start"), end.alias("end")))).alias("got"))).otherwise(acc)
+
+        start = F.struct(F.lit(1).alias("free"), F.array().cast("array<struct<before:int,start:int,end:int>>").alias("got"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(best)), start, step)
+
+    def pieces(tokens: Column, picks: Column) -> Column:
+        joined = lambda a, b: F.array_join(F.slice(tokens, a, b - a), "")
+
+        def card(p: Column) -> Column:
+            text = joined(p["start"], p["end"])
+            return F.array(_piece(joined(p["before"], p["start"])), _piece(F.regexp_extract(text, r"^(.*\d)", 1), F.lit("card")), _piece(F.regexp_extract(text, r"(\D?)$", 1)))
+
+        rest = F.array(_piece(joined(picks["free"], F.size(tokens) + 1)))
+        return F.concat(F.flatten(F.transform(picks["got"], card)), rest)
+
+    def of_tokens(tokens: Column) -> Column:
+        best = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: longest(tokens, i))
+        return _bound(_bound(best, picked), lambda picks: pieces(tokens, picks))
+
+    return _bound(F.regexp_extract_all(m, F.lit(r"\d+[ -]?"), F.lit(0)), of_tokens)
 
 
 def _judged(m: Column, kinds: tuple[str, ...]) -> Column:
-    """What stands before the value of a candidate, the value, its kind (null if there is none), and what stands behind."""
-    whole = F.transform(F.array(kind_of(m)), lambda k: F.struct(F.lit("").alias("before"), m.alias("old"), F.when(k.isin(*kinds), k).alias("kind"), F.lit("").alias("after")))[0]
-    kind = F.when(m.rlike("^[A-Z]"), "iban").otherwise("card")
-    part = F.transform(F.array(_within(m)), lambda r: F.struct(
-        F.substr(m, F.lit(1), r["start"]).alias("before"), F.substr(m, r["start"] + 1, r["length"]).alias("old"), kind.alias("kind"), F.substr(m, r["start"] + r["length"] + 1).alias("after")
-    ))[0]
-    grouped = m.rlike(r"^[A-Z]{2}\d{2} |^\d[\d -]*[ -][\d -]*\d$") & (F.length(F.regexp_replace(m, "[ -]", "")) >= 13) & F.lit("card" in kinds or "iban" in kinds)
-    inside = F.when(whole["kind"].isNull() & grouped, part)
-    return F.when(inside["old"].isNotNull() & inside["kind"].isin(*kinds), inside).otherwise(whole)
+    """The pieces of a candidate in order: texts with the kind of value they are, null if they are none."""
+    inside = F.lit(None)
+    if "card" in kinds:
+        inside = F.when(m.rlike(r"^[\d -]+[ -][\d -]*$") & (F.length(_digits(m)) > 13), _cards(m))
+    if "iban" in kinds:
+        inside = F.coalesce(F.when(m.rlike(r"^[A-Z]{2}\d{2} "), _account(m)), inside) if "card" in kinds else F.when(m.rlike(r"^[A-Z]{2}\d{2} "), _account(m))
+    kept = lambda k: F.when(k.isin(*kinds), F.array(_piece(m, k)))
+    return F.coalesce(_bound(kind_of(m), kept), *([inside] if {"card", "iban"} & set(kinds) else []), F.array(_piece(m)))
 
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
@@ -277,10 +324,10 @@ def pseudonymise(documents: DataFrame, key: str, kinds: tuple[str, ...] = KINDS)
     text = F.col("text").cast("string")
     judged = F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda m: _judged(m, kinds))
     out = base.withColumn(hits, judged)
-    replaced = F.transform(hits, lambda h: F.struct(h["before"].alias("before"), h["kind"].alias("kind"), h["old"].alias("old"), F.when(h["kind"].isNull(), h["old"]).otherwise(pseudonym(h["old"], h["kind"], key)).alias("new"), h["after"].alias("after")))
-    out = out.withColumn(hits, F.when(F.size(hits) > 0, replaced))
-    rebuilt = F.array_join(F.zip_with(F.split(text, CANDIDATE, -1), hits, lambda p, h: F.concat(p, F.coalesce(F.concat(h["before"], h["new"], h["after"]), F.lit("")))), "")
-    found = F.transform(F.filter(hits, lambda h: h["kind"].isNotNull()), lambda h: F.struct(h["kind"].alias("kind"), h["old"].alias("old"), h["new"].alias("new")))
+    new = lambda h: F.struct(h["kind"].alias("kind"), h["old"].alias("old"), F.when(h["kind"].isNull(), h["old"]).otherwise(pseudonym(h["old"], h["kind"], key)).alias("new"))
+    out = out.withColumn(hits, F.when(F.size(hits) > 0, F.transform(hits, lambda pieces: F.transform(pieces, new))))
+    rebuilt = F.array_join(F.zip_with(F.split(text, CANDIDATE, -1), hits, lambda p, h: F.concat(p, F.coalesce(F.array_join(h["new"], ""), F.lit("")))), "")
+    found = F.filter(F.flatten(hits), lambda h: h["kind"].isNotNull())
     found = F.coalesce(found, F.array().cast("array<struct<kind:string,old:string,new:string>>"))
     out = out.withColumn("text", F.when(F.col(hits).isNull(), text).otherwise(rebuilt)).withColumn("found", found)
     return out.withColumn("n_replaced", F.size("found").cast("long")).drop(hits)
