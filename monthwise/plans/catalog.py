@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from monthwise.functions import scalars
 from monthwise.operators import facts, months, relational, search
 from monthwise.plans import periods
-from monthwise.sources import adapter
+from monthwise.sources import adapter, delimited, layout, statements
 from monthwise.sources.adapter import T_SQL, transactions
 
 KEYWORDS = ("metro", "cafe")
@@ -288,3 +288,37 @@ _add_raw("hybrid_rrf", hybrid_rrf, _BM25 + _COSINE + """
 , a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS a FROM sem), b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS b FROM kw)
 SELECT id, round(coalesce(1.0::DOUBLE / (60 + a), 0) + coalesce(1.0::DOUBLE / (60 + b), 0), 8) AS score, CASE WHEN a IS NULL THEN 'keyword' WHEN b IS NULL THEN 'semantic' ELSE 'both' END AS source
 FROM a FULL JOIN b USING (id) ORDER BY score DESC, id LIMIT 20""")
+
+
+def _orders_as_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as lines of a file with semicolons: a title above the header, the header again at the end, and of 50 lines each one without a date, without an amount, with more fields and with a single one."""
+    k, price = F.col("o_orderkey"), F.col("o_totalprice").cast(scalars.MONEY)
+    date = F.when(k % 50 == 0, "pending").otherwise(F.date_format("o_orderdate", "d/M/yyyy"))
+    amount = F.when(k % 50 == 1, "1-2-3").otherwise(F.concat(F.when(F.col("o_orderstatus") == "F", "").otherwise("-"), F.format_number(price.cast("double"), 2)))
+    line = F.concat_ws(";", date, F.concat(F.lit('"Order; "" '), k.cast("string"), F.lit('"')), amount, F.lit(""))
+    line = F.when(k % 50 == 2, F.concat(line, F.lit(";more"))).when(k % 50 == 3, F.concat(F.lit("note "), k.cast("string"))).otherwise(line)
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lit("orders").alias("path"), (k + 10).cast("long").alias("at"), line.alias("value"))
+    head = "Order Date;Details;Amount;Balance"
+    own = spark.range(3).select(F.lit("orders").alias("path"), F.when(F.col("id") == 2, 1 << 60).otherwise(F.col("id")).alias("at"), F.when(F.col("id") == 0, "Orders of the shop").otherwise(head).alias("value"))
+    return rows.unionByName(own).withColumn("block", F.lit(0).cast("long"))
+
+
+def csv_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions read from lines, by month."""
+    records = statements.normalise(delimited.scan_lines(_orders_as_lines(spark, sf_dir)).records)
+    return statements.to_transactions(records).groupBy("ym").agg(*r.totals())
+
+
+def csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines are rejected for each reason."""
+    found = delimited.scan_lines(_orders_as_lines(spark, sf_dir))
+    return found.rejects.unionByName(statements.untyped(statements.normalise(found.records))).groupBy("reason").agg(r.rows().alias("lines"))
+
+
+_add_raw("csv_months", csv_months, f"""
+WITH t AS (SELECT strftime(o_orderdate, '%Y-%m') AS ym, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END * CAST(o_totalprice AS DECIMAL(18,2)) AS amount FROM orders WHERE o_orderkey % 50 > 3)
+SELECT ym, {_TOTALS} FROM t GROUP BY ym""")
+_add_raw("csv_rejects", csv_rejects, f"""
+SELECT * FROM (
+  SELECT CASE o_orderkey % 50 WHEN 0 THEN '{statements.NO_DATE}' WHEN 1 THEN '{statements.NO_AMOUNT}' WHEN 2 THEN '{layout.MANY}' ELSE '{layout.FEW}' END AS reason, count(*) AS lines FROM orders WHERE o_orderkey % 50 < 4 GROUP BY 1
+  UNION ALL SELECT '{layout.ABOVE}', 1 UNION ALL SELECT '{layout.AGAIN}', 1)""")

@@ -27,6 +27,7 @@ BY_MONTH = {
 WHOLE = {
     "periods": f"id string, anchor string, window int, label string, start string, months array<string>, income double, expense double, net double, count long, top_categories {_NAMED}, top_payees {_NAMED}, largest {_LARGEST}, content string, embedding array<double>",
     "meta": "key string, value string",
+    "rejects": statements.REJECTS,
 }
 COMMITS = "version long, ym string, folder string"
 CHUNK_COLUMNS = ["date", "description", "category", "amount", "balance"]
@@ -83,8 +84,8 @@ class Engine:
         folder = self._version()[2]
         return self.spark.createDataFrame([], WHOLE[name]) if folder is None else self.spark.read.schema(WHOLE[name]).parquet(f"{folder}/{name}")
 
-    def _change(self, t: DataFrame, gone: set[str] | None = None, meta: dict[str, str] | None = None) -> None:
-        """Make a version in which the months ``gone`` (all if None) are replaced by what ``t`` has."""
+    def _change(self, t: DataFrame, gone: set[str] | None = None, meta: dict[str, str] | None = None, rejects: DataFrame | None = None) -> None:
+        """Make a version in which the months ``gone`` (all if None) are replaced by what ``t`` has; ``rejects`` stay as they are if there are no others."""
         version, state, _ = self._version()
         meta = self.meta() | (meta or {})
         folder = f"{self.folder}/data/{uuid.uuid4().hex}"
@@ -102,6 +103,10 @@ class Engine:
         spans = months.period_gold(self._layer("months", state))
         text = scalars.metrics_text(*(F.col(c) for c in ("label", "income", "expense", "net", "count", "top_categories", "top_payees")), SYMBOLS[meta.get("currency", "INR")])
         self.embedder.embed(spans.withColumn("content", text), "content").select(*(x.split()[0] for x in self._names("periods"))).write.parquet(f"{folder}/periods")
+        (self._whole("rejects") if rejects is None else rejects).select("path", "line", "reason").write.parquet(f"{folder}/rejects")
+        if rejects is not None:
+            counts = self.spark.read.parquet(f"{folder}/rejects").groupBy("reason").count().collect()  # a row a reason
+            meta["rejected"] = ", ".join(sorted(f"{r['reason']}: {r['count']}" for r in counts))
         self.spark.createDataFrame(sorted(meta.items()), WHOLE["meta"]).write.parquet(f"{folder}/meta")
         rows = [(version + 1, ym, f) for ym, f in state.items()] + [(version + 1, None, folder)]
         self.spark.createDataFrame(rows, COMMITS).coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
@@ -113,11 +118,13 @@ class Engine:
         return StructType.fromDDL(WHOLE[layer]).names
 
     def ingest(self, source: str | DataFrame, **options) -> None:
-        """Replace all layers by a file's, or by canonical records. The currency is read off a file's headers and cells."""
-        raw = statements.read_raw(self.spark, source, **options) if isinstance(source, str) else source
-        records = statements.normalise(raw) if isinstance(source, str) else source
+        """Replace all layers by a file's, or by canonical records. The currency is read off a file's headers and cells; lines that are no records or no transactions are kept in ``rejects``."""
+        scanned = statements.scan(self.spark, source, **options) if isinstance(source, str) else None
+        raw = source if scanned is None else scanned.records
+        records = raw if scanned is None else statements.normalise(raw)
+        lost = statements.untyped(records) if scanned is None else scanned.rejects.unionByName(statements.untyped(records))
         found = relational.detect_currency(raw, raw.columns, "").first()["code"]
-        self._change(statements.to_transactions(records), meta={"columns": ", ".join(raw.columns)} | ({"currency": found} if found else {}))
+        self._change(statements.to_transactions(records), meta={"columns": ", ".join(raw.columns)} | ({"currency": found} if found else {}), rejects=lost)
 
     def transactions(self) -> DataFrame:
         return self._layer("transactions", self._version()[1])
@@ -133,6 +140,10 @@ class Engine:
     def periods(self) -> DataFrame:
         return self._whole("periods")
 
+    def rejects(self) -> DataFrame:
+        """path, line, reason of what the last ingest did not take; their counts are in ``meta``."""
+        return self._whole("rejects")
+
     def meta(self) -> dict[str, str]:
         return {r["key"]: r["value"] for r in self._whole("meta").collect()}
 

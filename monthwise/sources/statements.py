@@ -1,46 +1,32 @@
-"""Statement files to transactions: CSV, XLSX and positioned items of printed pages.
+"""Statement files to transactions: delimited text, workbooks and positioned items of printed pages.
 
 Every reader gives records of text columns under canonical names (Date,
-Description, Category, Amount, Balance); ``to_transactions`` types them. Files are
-read whole by Spark's own readers; nothing is capped.
+Description, Category, Amount, Balance); ``to_transactions`` types them, and what is no
+record or no transaction is kept with its reason. Files are read whole by Spark's own
+readers; nothing is capped.
 """
 
 from __future__ import annotations
 
-import io
 import re
-import zipfile
-from collections.abc import Iterator
-from itertools import islice
-from xml.etree import ElementTree
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from monthwise.functions import scalars
+from monthwise.sources import delimited, workbooks
+from monthwise.sources.layout import CANONICAL, HEADER_WORDS, REJECTS, Scan
 
-#: The words by which the headers of statement files are known, by canonical name.
-HEADER_WORDS = {
-    "Date": ("date", "posted on"),
-    "Description": ("description", "particular", "narration", "remark", "detail", "memo", "narrative", "payee", "name", "merchant"),
-    "Amount": ("amount", "value", "amt", "sum", "total"),
-    "Debit": ("debit", "withdrawal", "dr", "paid out", "outflow"),
-    "Credit": ("credit", "deposit", "cr", "paid in", "inflow", "income"),
-    "Category": ("category", "type", "tag", "class", "group", "mode"),
-    "Balance": ("balance", "remaining"),
-}
 #: The most specific name is tried first: a header that says debit or credit is a side even if it says amount.
 HEADER_ORDER = ("Debit", "Credit", "Balance", "Date", "Description", "Category", "Amount")
-CANONICAL = ("Date", "Description", "Category", "Amount", "Balance")
 #: A printed statement's columns end at these x, the last has no end.
 COLUMN_ENDS = (("date", 55), ("narration", 289), ("reference", 362), ("value_date", 405), ("withdrawal", 491), ("deposit", 564))
 LINE_GAP = 3.0
-ROWS_A_BATCH = 1000
+#: What the header line of a printed statement says.
 HEADER_PHRASES = ("withdrawal amt", "deposit amt", "closing balance")
 LEAST_ROWS = 5
+NO_DATE, NO_AMOUNT = "no date", "no amount"
 
 
 def header_map(columns: list[str]) -> dict[str, str]:
@@ -67,62 +53,13 @@ def normalise(raw: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, quote_money: bool = False) -> DataFrame:
-    """A CSV file with a header as text columns. ``quote_money`` repairs amounts whose thousands separators are not quoted."""
-    if not quote_money:
-        raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True)
-        return raw.toDF(*[c.strip() for c in raw.columns])
-    lines = spark.read.text(path)
-    head = lines.first()
-    if head is None:
-        return spark.createDataFrame([], ", ".join(f"{c} string" for c in CANONICAL))
-    names = [c.strip() for c in head[0].split(",")]
-    fixed = F.regexp_replace("value", r"([₹$€£][\d,]+\.\d{2})", '"$1"')
-    schema = StructType().fromDDL(", ".join(f"c{i} string" for i in range(len(names))))
-    rows = lines.where(F.col("value") != head[0]).select(F.from_csv(fixed, schema.simpleString()[7:-1].replace(":", " ")).alias("x")).select("x.*")
-    return rows.toDF(*names)
-
-
-def sheet_rows(content: bytes) -> Iterator[list[str]]:
-    """Cells of the first sheet as text, a missing cell as an empty one."""
-    tag = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        shared: list[str] = []
-        if "xl/sharedStrings.xml" in book.namelist():
-            shared = ["".join(t.text or "" for t in s.iter(f"{tag}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{tag}si")]
-        first = min((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
-        for _, row in ElementTree.iterparse(book.open(first)):
-            if row.tag != f"{tag}row":
-                continue
-            cells: list[str] = []
-            for c in row.iter(f"{tag}c"):
-                at = 0
-                for letter in re.match(r"[A-Z]*", c.get("r", ""))[0]:
-                    at = at * 26 + ord(letter) - 64
-                cells += [""] * max(0, at - 1 - len(cells))
-                value = c.find(f"{tag}v")
-                text = "".join(t.text or "" for t in c.iter(f"{tag}t")) if c.get("t") == "inlineStr" else (value.text or "" if value is not None else "")
-                cells.append(shared[int(text)] if c.get("t") == "s" and text else text)
-            row.clear()
-            yield cells
-
-
-def _numbered_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of each workbook of a batch with their numbers from 0, ROWS_A_BATCH at a time."""
-    for batch in batches:
-        for content in batch.column(0):
-            rows = enumerate(sheet_rows(content.as_py()))
-            while part := list(islice(rows, ROWS_A_BATCH)):
-                numbers, cells = zip(*part, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(cells, pa.list_(pa.string()))], ["number", "cells"])
+    """The records of delimited files as text columns; ``quote_money`` says that thousands separators are not quoted, which is found out else."""
+    return delimited.scan(spark, path, quote_money).records
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet of an .xlsx file as text columns under its first row. Spark reads the bytes, so any store will do; a workbook is one task."""
-    cells = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_numbered_rows, "number long, cells array<string>")
-    head = cells.where("number = 0").first()
-    names = [c.strip() or f"column{i}" for i, c in enumerate(head["cells"] if head else [])]
-    filled = F.exists("cells", lambda c: F.trim(c) != "")
-    return cells.where(F.col("number") > 0).where(filled).select(*(F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(names)))
+    """The records of the first sheet of workbooks as text columns, cells as the workbook shows them."""
+    return workbooks.scan(spark, path).records
 
 
 def visual_lines(items: DataFrame) -> DataFrame:
@@ -198,34 +135,57 @@ def plain_lines(items: DataFrame) -> DataFrame:
     return visual_lines(items).groupBy("page", "line").agg(F.trim(text).alias("text")).where("text <> ''").orderBy("page", "line")
 
 
-def read_raw(spark: SparkSession, path: str, **options) -> DataFrame:
-    """A file as text columns under its own headers, by its extension."""
-    kind = path.lower().rpartition(".")[2]
-    if kind in ("csv", "txt"):
-        return read_csv(spark, path, **options)
+def scan(spark: SparkSession, path: str, **options) -> Scan:
+    """Records of a file as text columns under its own headers and what is none of them, by the file's extension."""
+    kind = path.lower().rstrip("/").rpartition(".")[2]
+    if kind in ("csv", "txt", "tsv"):
+        return delimited.scan(spark, path, **options)
     if kind == "xlsx":
-        return read_xlsx(spark, path)
+        return workbooks.scan(spark, path)
+    if kind == "xls":
+        raise ValueError("'xls' files are not supported; save the workbook as .xlsx")
     raise ValueError(f"{kind!r} files are not supported; give the items of a printed page to read_items")
 
 
+def read_raw(spark: SparkSession, path: str, **options) -> DataFrame:
+    """A file's records as text columns under its own headers."""
+    return scan(spark, path, **options).records
+
+
 def read_statement(spark: SparkSession, path: str, **options) -> DataFrame:
     """Records of a file."""
     return normalise(read_raw(spark, path, **options))
 
 
-def to_transactions(records: DataFrame, account: int = 0) -> DataFrame:
-    """Typed transactions of canonical records, with a stable id from the record's values and its repetition."""
-    date, amount = scalars.date_iso(F.coalesce("Date", F.lit(""))), F.coalesce(scalars.parse_accounting(F.col("Amount")), F.lit(0).cast(scalars.MONEY))
+def _typed(records: DataFrame, account: int) -> DataFrame:
+    """Records as transactions without an id, each with its line and the reason why it is none."""
+    date, amount = scalars.date_iso(F.coalesce("Date", F.lit(""))), scalars.parse_accounting(F.col("Amount"))
     description = F.coalesce("Description", F.lit(""))
-    out = records.select(
+    no_date = F.try_to_timestamp(date, F.lit("yyyy-MM-dd")).isNull() | ~date.rlike(r"^\d{4}-\d\d-\d\d$")
+    reason = F.when(no_date, NO_DATE).when(amount.isNull() & (F.trim(F.coalesce("Amount", F.lit(""))) != ""), NO_AMOUNT)
+    return records.select(
         F.lit(account).cast("long").alias("account"), date.alias("date"), scalars.month_key(date).alias("ym"), description.alias("description"), scalars.payee(description).alias("payee"),
-        scalars.categorize(description, F.col("Category")).alias("category"), amount.alias("amount"), scalars.parse_accounting(F.col("Balance")).alias("balance"), scalars.is_upi(description).alias("is_upi"),
+        scalars.categorize(description, F.col("Category")).alias("category"), F.coalesce(amount, F.lit(0).cast(scalars.MONEY)).alias("amount"), scalars.parse_accounting(F.col("Balance")).alias("balance"), scalars.is_upi(description).alias("is_upi"),
+        F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in CANONICAL)).alias("line"), reason.alias("reason"),
     )
+
+
+def to_transactions(records: DataFrame, account: int = 0) -> DataFrame:
+    """Typed transactions of canonical records, with a stable id from the record's values and its repetition.
+
+    A blank amount is 0. Records without a date, and those whose amount is no number, are not among them: see ``untyped``.
+    """
+    out = _typed(records, account).where("reason is null").drop("line", "reason")
     counted = out.groupBy(*out.columns).agg(F.count(F.lit(1)).alias("times"))  # a record that repeats is a row a task
     each = counted.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     return each.select(F.xxhash64("account", "date", "description", "category", "amount", "balance", "again").alias("id"), *out.columns)
 
 
+def untyped(records: DataFrame) -> DataFrame:
+    """path (null), line, reason of the records that are no transactions."""
+    return _typed(records, 0).where("reason is not null").select(F.lit(None).cast("string").alias("path"), "line", "reason")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
 
