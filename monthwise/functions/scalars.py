@@ -174,8 +174,9 @@ def tokens(text: Column) -> Column:
 
 
 def chunk_text(row_number: Column, columns: list[str]) -> Column:
-    """``Row n | column: value; ...`` without blank values."""
-    one = [F.when(F.trim(F.col(c).cast("string")) != "", F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in columns]
+    """``Row n | column: value; ...`` without blank values. In a value "; " is written ";\\ " and a backslash "\\e", so that fields can be told apart."""
+    written = lambda c: F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\e")), F.lit("; "), F.lit(";\\ "))
+    one = [F.when(F.trim(F.col(c).cast("string")) != "", F.concat(F.lit(f"{c}: "), written(c))) for c in columns]
     return F.concat(F.lit("Row "), row_number.cast("string"), F.lit(" | "), F.concat_ws("; ", *one))
 
 
@@ -188,6 +189,7 @@ def chunk_fields(content: Column) -> dict[str, Column]:
 
     def value(name: str) -> Column:
         own = F.get(F.filter(parts, lambda p: F.lower(p).startswith(f"{name}: ")), F.lit(0))
+        own = F.replace(F.replace(own, F.lit(";\\ "), F.lit("; ")), F.lit("\\e"), F.lit("\\"))
         return F.nullif(F.trim(F.substr(own, F.lit(len(name) + 3))), F.lit(""))
 
     description = value("description")

@@ -7,10 +7,11 @@ window counts months that are present and is given only when it is full.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import base
 from .relational import earned, is_credit, is_debit, money, rows, spent
 
 WINDOWS = (1, 3, 6, 9, 12)
@@ -44,11 +45,8 @@ def month_largest(t: DataFrame) -> DataFrame:
 
 
 def month_gold(t: DataFrame) -> DataFrame:
-    """One nested row a month: the summary with its categories, payees and largest transaction."""
-    cats = month_categories(t).groupBy("ym").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "spend")))).alias("categories"))
-    payees = month_payees(t).groupBy("ym").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "payee", "volume"))), lambda x: F.struct(x["payee"].alias("name"), x["volume"].alias("vol"))).alias("payees"))
-    large = month_largest(t).select("ym", F.struct("amount", "payee", "date").alias("largest"))
-    return month_summaries(t).join(cats, "ym", "left").join(payees, "ym", "left").join(large, "ym", "left")
+    """One nested row a month: the summary with its categories, payees and largest transaction, from one pass."""
+    return base.month_gold(base.base(t), PAYEES_A_MONTH)
 
 
 def gold_text(gold: DataFrame) -> DataFrame:
@@ -149,17 +147,6 @@ def trend(summaries: DataFrame, n: int = 6) -> DataFrame:
     return rolling(summaries, 1).orderBy(F.desc("anchor")).limit(n)
 
 
-def replace_month(t: DataFrame, ym: str, new: DataFrame) -> DataFrame:
-    """Transactions with those of one month replaced; rows of another month are an error."""
-    checked = new.withColumn("ym", F.when(F.col("ym") == ym, F.col("ym")).otherwise(F.raise_error(F.concat(F.lit(f"a row does not belong to {ym}: "), F.coalesce("ym", F.lit("null"))))))
-    return t.where(F.col("ym") != ym).unionByName(checked)
-
-
 def update_month(summaries: DataFrame, ym: str, new: DataFrame) -> DataFrame:
     """Month summaries after a month was replaced: only that month's rows are read."""
     return summaries.where(F.col("ym") != ym).unionByName(month_summaries(new.where(F.col("ym") == ym)))
-
-
-def write_months(spark: SparkSession, t: DataFrame, path: str) -> None:
-    """Write transactions by month. Only the months in ``t`` are replaced, and a month is listed only when it is whole."""
-    t.repartition("ym", F.pmod(F.xxhash64("id"), F.lit(16))).write.partitionBy("ym").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,11 +37,17 @@ class HashingEmbedder:
         self.width = width
 
     def embed(self, texts: DataFrame, text: str = "content") -> DataFrame:
-        hashed = F.transform(scalars.tokens(F.col(text)), lambda t: F.xxhash64(t))
-        places = F.transform(F.sequence(F.lit(0), F.lit(self.width - 1)), lambda i: F.aggregate(F.filter(hashed, lambda h: F.pmod(h, F.lit(self.width)) == i), F.lit(0.0), lambda a, h: a + F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)))
-        out = texts.withColumn("embedding", places)
-        norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-        return out.withColumn("embedding", F.transform("embedding", lambda x: F.when(norm > 0, x / norm).otherwise(0.0)))
+        width = self.width
+
+        @F.pandas_udf("array<double>")
+        def places(hashes: pd.Series) -> pd.Series:
+            lists = [np.zeros(0, np.int64) if h is None else np.asarray(h, np.int64) for h in hashes]
+            row, flat = np.repeat(np.arange(len(lists)), [len(h) for h in lists]), np.concatenate([np.zeros(0, np.int64), *lists])
+            out = np.bincount(row * width + flat % width, np.where((flat >> 32) % 2 == 0, 1.0, -1.0), len(lists) * width).reshape(-1, width)
+            norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+            return pd.Series(list(np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)))
+
+        return texts.withColumn("embedding", places(F.transform(scalars.tokens(F.col(text)), lambda t: F.xxhash64(t))))
 
 
 def query_terms(query: str) -> list[str]:

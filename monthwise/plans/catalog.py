@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthwise.functions import scalars
-from monthwise.operators import facts, months, relational, search
+from monthwise.operators import base, facts, months, postings, relational, search
 from monthwise.plans import periods
 from monthwise.sources import adapter, delimited, layout, statements
 from monthwise.sources.adapter import T_SQL, transactions
@@ -322,3 +322,22 @@ _add_raw("csv_rejects", csv_rejects, f"""
 SELECT * FROM (
   SELECT CASE o_orderkey % 50 WHEN 0 THEN '{statements.NO_DATE}' WHEN 1 THEN '{statements.NO_AMOUNT}' WHEN 2 THEN '{layout.MANY}' ELSE '{layout.FEW}' END AS reason, count(*) AS lines FROM orders WHERE o_orderkey % 50 < 4 GROUP BY 1
   UNION ALL SELECT '{layout.ABOVE}', 1 UNION ALL SELECT '{layout.AGAIN}', 1)""")
+
+
+def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyword search from postings in place of texts."""
+    texts = _texts(spark, sf_dir)
+    return postings.search(postings.postings(texts), postings.text_stats(texts), SEARCH)
+
+
+_add_raw("bm25_postings", bm25_postings, _BM25 + " SELECT * FROM kw")
+_add("dashboard", lambda t: base.dashboard(base.base(t)), f"""
+, d AS (SELECT * FROM t WHERE amount < 0), s AS (SELECT * FROM d WHERE {_subs})
+SELECT 'overview' AS part, 'debit' AS name, {_SPENT} AS amount, count(*) FILTER (amount < 0) AS count FROM t
+UNION ALL SELECT 'overview', 'credit', {_EARNED}, count(*) FROM t
+UNION ALL (SELECT 'categories', category, {_SPENT}, count(*) FROM d GROUP BY category ORDER BY 3 DESC, 2 LIMIT 8)
+UNION ALL (SELECT 'payees', payee, {_SPENT}, count(*) FROM d GROUP BY payee ORDER BY 3 DESC, 2 LIMIT 6)
+UNION ALL (SELECT 'months', ym, {_SPENT}, count(*) FROM t GROUP BY ym ORDER BY 2 DESC LIMIT 12)
+UNION ALL (SELECT 'subscriptions', payee, {_SPENT}, count(*) FROM s GROUP BY payee ORDER BY 3 DESC, 2 LIMIT 12)
+UNION ALL SELECT 'subscriptions_total', 'all', {_SPENT}, count(DISTINCT payee) FROM s
+UNION ALL SELECT 'balance', 'last', CAST(arg_max(balance, (date, id)) AS DOUBLE), 1 FROM t WHERE balance IS NOT NULL""")

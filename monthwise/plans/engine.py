@@ -5,14 +5,14 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthwise.functions import scalars
-from monthwise.operators import facts, months, relational, search
+from monthwise.operators import base, facts, months, postings, relational, search
 from monthwise.plans import periods
 from monthwise.plans.intent import Intent, classify
+from monthwise.plans.versions import Conflict, Version, Versions
 from monthwise.sources import statements
 
 _NAMED = "array<struct<name:string,amount:double>>"
@@ -21,18 +21,25 @@ _LARGEST = "struct<amount:double,payee:string,date:string>"
 BY_MONTH = {
     "transactions": "id long, account long, date string, ym string, description string, payee string, category string, amount decimal(18,2), balance decimal(18,2), is_upi int",
     "months": f"ym string, income double, spending double, net double, count long, upi long, categories map<string,double>, payees array<struct<name:string,vol:double>>, largest {_LARGEST}",
-    "chunks": "id long, ym string, content string, embedding array<double>",
+    "base": base.SCHEMA,
+    "chunks": "id long, ym string, content string, contextual string, embedding array<double>, contextual_embedding array<double>",
+    "postings": "token string, id long, ym string, length long, tf long",
+    "text_stats": "ym string, texts long, tokens long",
 }
+#: How a layer's rows are dealt to folders; ``month`` is the key of versions in all of them.
+FOLDERS = {"postings": ["bucket"]}
 #: What is kept for all months together.
 WHOLE = {
     "periods": f"id string, anchor string, window int, label string, start string, months array<string>, income double, expense double, net double, count long, top_categories {_NAMED}, top_payees {_NAMED}, largest {_LARGEST}, content string, embedding array<double>",
     "meta": "key string, value string",
     "rejects": statements.REJECTS,
 }
-COMMITS = "version long, ym string, folder string"
+COLUMNS = [x.split()[0] for x in BY_MONTH["transactions"].split(", ")]
 CHUNK_COLUMNS = ["date", "description", "category", "amount", "balance"]
 SYMBOLS = {"INR": "₹", "USD": "$", "EUR": "€", "GBP": "£", "JPY": "¥", "AED": "AED "}
 NOT_FOUND = "Not found in this statement."
+#: What stands before a chunk in its contextual form; a change is tried so often against other writers.
+CONTEXT, MOST_ATTEMPTS = "Bank statement", 5
 #: A statement whose chunks have no more characters is given whole as context.
 WHOLE_CONTEXT, CONTEXT_ROWS = 18_000, 30
 
@@ -49,67 +56,86 @@ def markdown(rows: list[dict], title: str = "") -> str:
 class Engine:
     """Layers of a statement under one folder; nothing is kept in the driver.
 
-    A change writes what is new to a folder of its own, all layers of it, and then adds
-    its version to the table of commits: one row for each month the version has, with the
-    folder that holds the month, and one without a month for the layers of all months.
-    The last version counts. So a change is seen whole or not at all, what is read while
-    it is made stays as it was, and a month without rows is gone. One writer at a time.
+    A change writes what is new to a folder of its own, all layers of it, and then makes
+    the next version, which names the folder of each of its months. So a change is seen
+    whole or not at all, what is read while it is made stays as it was, and a month
+    without rows is gone. Writers don't wait for each other: one that finds its number
+    taken puts its months into the version that came before it, and is refused
+    (``Conflict``) if that one changed the same months.
     """
 
     def __init__(self, spark: SparkSession, folder: str, embedder: search.Embedder | None = None):
         self.spark, self.folder, self.embedder = spark, folder.rstrip("/"), embedder or search.HashingEmbedder()
-
-    def _version(self) -> tuple[int, dict[str, str], str | None]:
-        """The last version: its number, the folder of each of its months, and that of the layers of all months."""
-        try:
-            commits = self.spark.read.schema(COMMITS).parquet(f"{self.folder}/commits")
-            rows = commits.where(F.col("version") == commits.agg(F.max("version")).first()[0]).collect()  # a row a month
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            rows = []
-        whole = next((r["folder"] for r in rows if r["ym"] is None), None)
-        return max((r["version"] for r in rows), default=0), {r["ym"]: r["folder"] for r in rows if r["ym"] is not None}, whole
-
-    def _layer(self, name: str, state: dict[str, str], only: str | None = None) -> DataFrame:
-        """A layer of the months of a version; files of other months are not read."""
-        schema, parts = BY_MONTH[name], []
-        for folder in sorted(set(state.values())):
-            own = [ym for ym, f in state.items() if f == folder and only in (None, ym)]
+        self.versions = Versions(spark, self.folder)
+
+    def _layer(self, name: str, version: Version | None = None, only: list[str] | None = None) -> DataFrame:
+        """A layer of the months of a version (the last one), or of some of them; files of other months are not read."""
+        schema, parts, version = BY_MONTH[name], [], version or self.versions.last()
+        more = "".join(f", {c} int" for c in FOLDERS.get(name, ()))
+        for folder in sorted(set(version.months.values())):
+            own = [ym for ym, f in version.months.items() if f == folder and (only is None or ym in only)]
             if own:
-                parts.append(self.spark.read.schema(f"{schema}, month string").parquet(f"{folder}/{name}").where(F.coalesce("month", F.lit("")).isin(*own)).drop("month"))
-        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
+                parts.append(self.spark.read.schema(f"{schema}, month string{more}").parquet(f"{folder}/{name}").where(F.coalesce("month", F.lit("")).isin(*own)).drop("month"))
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema + more)
 
-    def _whole(self, name: str) -> DataFrame:
-        folder = self._version()[2]
+    def _whole(self, name: str, version: Version | None = None) -> DataFrame:
+        folder = (version or self.versions.last()).whole
         return self.spark.createDataFrame([], WHOLE[name]) if folder is None else self.spark.read.schema(WHOLE[name]).parquet(f"{folder}/{name}")
 
-    def _change(self, t: DataFrame, gone: set[str] | None = None, meta: dict[str, str] | None = None, rejects: DataFrame | None = None) -> None:
-        """Make a version in which the months ``gone`` (all if None) are replaced by what ``t`` has; ``rejects`` stay as they are if there are no others."""
-        version, state, _ = self._version()
-        meta = self.meta() | (meta or {})
-        folder = f"{self.folder}/data/{uuid.uuid4().hex}"
+    def _write_months(self, t: DataFrame, folder: str) -> set[str]:
+        """Write the layers by month of transactions; the months they have."""
 
-        def write(df: DataFrame, name: str) -> None:
-            df.withColumn("month", F.col("ym")).write.partitionBy("month").parquet(f"{folder}/{name}")
+        def write(name: str, df: DataFrame) -> DataFrame:
+            df, keys = df.withColumn("month", F.col("ym")), FOLDERS.get(name, ["month"])
+            # A month's rows meet in tasks of a fair size: a small month is one file, a large one several.
+            df.hint("rebalance", *keys).write.partitionBy(*keys).parquet(f"{folder}/{name}")
+            return self.spark.read.schema(f"{BY_MONTH[name]}, month string" + "".join(f", {c} int" for c in FOLDERS.get(name, ()))).parquet(f"{folder}/{name}")
 
-        write(t.select(*(x.split()[0] for x in BY_MONTH["transactions"].split(", "))), "transactions")
-        stored = self.spark.read.schema(BY_MONTH["transactions"]).parquet(f"{folder}/transactions")
-        write(months.month_gold(stored), "months")
+        stored = write("transactions", t.select(*COLUMNS)).drop("month")
+        sums = write("base", base.base(stored)).drop("month")
+        write("months", base.month_gold(sums, months.PAYEES_A_MONTH))
         chunks = stored.select("id", "ym", scalars.chunk_text(F.col("id"), CHUNK_COLUMNS).alias("content"))
-        write(self.embedder.embed(chunks, "content"), "chunks")
-        found = [r["ym"] for r in stored.select(F.coalesce("ym", F.lit("")).alias("ym")).distinct().collect()]
-        state = {ym: f for ym, f in state.items() if gone is not None and ym not in gone} | dict.fromkeys(found, folder)
-        spans = months.period_gold(self._layer("months", state))
+        chunks = chunks.withColumn("contextual", scalars.contextual_chunk(F.col("content"), CONTEXT))
+        chunks = self.embedder.embed(chunks, "content").withColumnRenamed("embedding", "raw")
+        chunks = self.embedder.embed(chunks, "contextual").withColumnsRenamed({"embedding": "contextual_embedding", "raw": "embedding"})
+        texts = write("chunks", chunks).select("id", "ym", "content")
+        write("postings", postings.postings(texts).withColumn("bucket", postings.bucket(F.col("token"))))
+        write("text_stats", postings.text_stats(texts, "ym"))
+        return {r["ym"] for r in sums.select(F.coalesce("ym", F.lit("")).alias("ym")).distinct().collect()}
+
+    def _write_whole(self, version: Version, meta: dict[str, str], rejects: DataFrame) -> None:
+        """Write the layers of all months of a version that is being made."""
+        spans = months.period_gold(self._layer("months", version))
         text = scalars.metrics_text(*(F.col(c) for c in ("label", "income", "expense", "net", "count", "top_categories", "top_payees")), SYMBOLS[meta.get("currency", "INR")])
-        self.embedder.embed(spans.withColumn("content", text), "content").select(*(x.split()[0] for x in self._names("periods"))).write.parquet(f"{folder}/periods")
-        (self._whole("rejects") if rejects is None else rejects).select("path", "line", "reason").write.parquet(f"{folder}/rejects")
+        self.embedder.embed(spans.withColumn("content", text), "content").select(*self._names("periods")).write.parquet(f"{version.whole}/periods")
+        rejects.select("path", "line", "reason").write.parquet(f"{version.whole}/rejects")
+        self.spark.createDataFrame(sorted(meta.items()), WHOLE["meta"]).write.parquet(f"{version.whole}/meta")
+
+    def _change(self, t: DataFrame, gone: set[str] | None = None, meta: dict[str, str] | None = None, rejects: DataFrame | None = None, since: Version | None = None) -> None:
+        """Make a version in which the months ``gone`` (all if None) are replaced by what ``t`` has, which was read of ``since`` (the last version).
+
+        ``rejects`` stay as they are if there are no others. Months that other writers change meanwhile are kept, unless they are among these.
+        """
+        since = since or self.versions.last()
+        folder = f"{self.folder}/data/{uuid.uuid4().hex}"
+        found, meta = self._write_months(t, folder), dict(meta or {})
         if rejects is not None:
-            counts = self.spark.read.parquet(f"{folder}/rejects").groupBy("reason").count().collect()  # a row a reason
+            counts = rejects.groupBy("reason").count().collect()  # a row a reason
             meta["rejected"] = ", ".join(sorted(f"{r['reason']}: {r['count']}" for r in counts))
-        self.spark.createDataFrame(sorted(meta.items()), WHOLE["meta"]).write.parquet(f"{folder}/meta")
-        rows = [(version + 1, ym, f) for ym, f in state.items()] + [(version + 1, None, folder)]
-        self.spark.createDataFrame(rows, COMMITS).coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
+        for attempt in range(MOST_ATTEMPTS):
+            last = self.versions.last()
+            others = last.changed(since)
+            if others and (gone is None or others & (gone | found)):
+                raise Conflict(f"another writer has changed {', '.join(sorted(others)[:5])}")
+            state = {ym: f for ym, f in last.months.items() if gone is not None and ym not in gone} | dict.fromkeys(found, folder)
+            version = Version(last.number + 1, state, f"{folder}/whole-{attempt}")
+            self._write_whole(version, self._meta(last) | meta, self._whole("rejects", last) if rejects is None else rejects)
+            if self.versions.publish(version):
+                return
+        raise Conflict("other writers were faster each time")
+
+    def _meta(self, version: Version) -> dict[str, str]:
+        return {r["key"]: r["value"] for r in self._whole("meta", version).collect()}
 
     @staticmethod
     def _names(layer: str) -> list[str]:
@@ -127,15 +153,19 @@ class Engine:
         self._change(statements.to_transactions(records), meta={"columns": ", ".join(raw.columns)} | ({"currency": found} if found else {}), rejects=lost)
 
     def transactions(self) -> DataFrame:
-        return self._layer("transactions", self._version()[1])
+        return self._layer("transactions")
+
+    def base(self) -> DataFrame:
+        """The mergeable sums from which summaries are answered."""
+        return self._layer("base")
 
     def months(self) -> DataFrame:
         """Month summaries with their categories, payees and largest transaction."""
-        return self._layer("months", self._version()[1])
+        return self._layer("months")
 
     def chunks(self) -> DataFrame:
-        """Search texts of all transactions with their vectors."""
-        return self._layer("chunks", self._version()[1])
+        """Search texts of all transactions, as they are and in their context, with their vectors."""
+        return self._layer("chunks")
 
     def periods(self) -> DataFrame:
         return self._whole("periods")
@@ -145,7 +175,7 @@ class Engine:
         return self._whole("rejects")
 
     def meta(self) -> dict[str, str]:
-        return {r["key"]: r["value"] for r in self._whole("meta").collect()}
+        return self._meta(self.versions.last())
 
     def currency(self) -> str:
         return self.meta().get("currency", "INR")
@@ -154,55 +184,110 @@ class Engine:
         """Show amounts in a currency from now on; amounts themselves don't change."""
         if code not in SYMBOLS:
             raise ValueError(f"{code!r} is no known currency")
-        self._change(self.transactions().limit(0), set(), {"currency": code})
+        self._change(self.spark.createDataFrame([], BY_MONTH["transactions"]), set(), {"currency": code})
 
     def update_month(self, ym: str, new: DataFrame) -> None:
         """Replace one month, or delete it if there are no rows; rows of another month are an error and change nothing."""
+        since = self.versions.last()
         if not new.where(F.col("ym").isNull() | (F.col("ym") != ym)).isEmpty():
             raise ValueError(f"rows outside {ym}")
-        self._change(new, {ym})
+        self._change(new, {ym}, since=since)
+
+    def apply(self, rows: DataFrame, stream: str, number: int) -> bool:
+        """Take a batch of a stream of transactions; False if the stream's version says that it was taken before.
+
+        A transaction whose id is known replaces the one that is stored, in whatever month that is.
+        Of several rows with one id in a batch the one with the latest date counts, then the greatest values.
+        """
+        for _ in range(MOST_ATTEMPTS):
+            since = self.versions.last()
+            key = f"stream {stream}"
+            if int(self._meta(since).get(key, -1)) >= number:
+                return False
+            new = rows.groupBy("id").agg(F.max(F.struct("date", *(c for c in COLUMNS if c not in ("id", "date")))).alias("r")).select("id", "r.*").select(*COLUMNS)
+            stored, ids = self._layer("transactions", since), new.select("id")
+            old = stored.select("id", "ym").join(ids, "id", "left_semi").select("ym")
+            touched = {r["ym"] for r in old.unionByName(new.select("ym")).distinct().collect()}  # months
+            kept = self._layer("transactions", since, sorted(touched)).join(ids, "id", "left_anti")
+            try:
+                self._change(kept.unionByName(new), touched, {key: str(number)}, since=since)
+                return True
+            except Conflict:
+                continue
+        raise Conflict("other writers were faster each time")
 
     def rebuild(self) -> None:
         """Recompute all layers from the transactions, into one folder."""
-        self._change(self.transactions())
+        since = self.versions.last()
+        self._change(self._layer("transactions", since), since=since)
+
+    def clean_up(self, keep: int = 2, older_than: float = 24 * 3600) -> list[str]:
+        """Delete what the last ``keep`` versions do not need and is older than some seconds."""
+        return self.versions.remove_unreachable(keep, older_than)
 
     def reset(self) -> None:
         """Empty every layer."""
-        self._change(self.transactions().limit(0))
+        self._change(self.spark.createDataFrame([], BY_MONTH["transactions"]))
 
     def state(self) -> dict:
-        return relational.overview(self.transactions()).first().asDict() | {"months": self.months().count(), "periods": self.periods().count(), "currency": self.currency()}
+        version = self.versions.last()
+        return base.overview(self._layer("base", version)).first().asDict() | {"version": version.number, "months": len(version.months), "periods": self._whole("periods", version).count(), "currency": self._meta(version).get("currency", "INR")}
+
+    def has_month(self, ym: str) -> bool:
+        """Is there a transaction of this month? The version says so."""
+        return ym in self.versions.last().months
+
+    def month_count(self, ym: str) -> int:
+        """How many transactions a month has, from its own row."""
+        return self._layer("months", only=[ym]).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+
+    def is_empty(self) -> bool:
+        return not self.versions.last().months
+
+    def _latest(self, n: int) -> DataFrame:
+        """The transactions of the last months that have n rows together."""
+        version, wanted, rows = self.versions.last(), [], 0
+        for r in self._layer("months", version).select("ym", "count").orderBy(F.desc("ym")).collect():  # a row a month
+            if rows < n:
+                wanted.append(r["ym"])
+                rows += r["count"]
+        return self._layer("transactions", version, wanted)
 
     def page(self, offset: int = 0, limit: int = 50, q: str | None = None) -> tuple[int, list[dict]]:
         t = self.transactions()
         return relational.page_total(t, q).first()[0], [r.asDict() for r in relational.page(t, offset, limit, q).collect()]
 
     def dashboard(self) -> dict[str, list[dict]]:
-        """The parts of an overview page, each a few rows. What month rows hold is summed from them; the rest reads the transactions."""
-        t, m = self.transactions(), self.months()
-        spent = m.select(F.explode("categories").alias("category", "spend")).groupBy("category").agg(F.round(F.sum("spend"), 2).alias("spend"))
-        tail = m.orderBy(F.desc("ym")).limit(12).select("ym", "income", "spending", "net", "count")
+        """The parts of an overview page, each a few rows: sums come from the base rows, and transactions are read of the last months alone."""
+        b, m = self.base(), self.months()
         parts = {
-            "overview": m.agg(F.round(F.sum("spending"), 2).alias("debit"), F.round(F.sum("income"), 2).alias("credit"), F.sum("count").alias("count"), F.sum("upi").alias("upi")),
-            "categories": spent.orderBy(F.desc("spend"), "category").limit(8),
-            "months": tail.orderBy("ym"),
-            "payees": relational.top_payees(t),
-            "subscriptions": relational.subscriptions(t),
-            "subscriptions_total": relational.subscriptions_total(t),
-            "recent": relational.recent(t),
-            "balance": relational.current_balance(t),
+            "overview": base.overview(b),
+            "categories": base.spending(b, "category", 8),
+            "months": m.orderBy(F.desc("ym")).limit(12).select("ym", "income", "spending", "net", "count").orderBy("ym"),
+            "payees": base.spending(b, "payee", 6),
+            "subscriptions": base.subscriptions(b),
+            "subscriptions_total": base.subscriptions_total(b),
+            "recent": relational.recent(self._latest(12)),
+            "balance": base.current_balance(b),
         }
         return {name: [r.asDict() for r in df.collect()] for name, df in parts.items()}
 
     def facts(self) -> str:
         return facts.facts_report(self.transactions())
 
+    def keyword_search(self, question: str, n: int = 12) -> DataFrame:
+        """id, score of the chunks that suit a question's words best; only the folders of its words' postings are read."""
+        version = self.versions.last()
+        return postings.search(self._layer("postings", version), self._layer("text_stats", version), question, n)
+
+    def semantic_search(self, question: str, n: int = 12) -> DataFrame:
+        """id, score of the nearest chunks: by their vectors in context, or by their own where they have none."""
+        vector = self.embedder.embed(self.spark.createDataFrame([(question,)], "content string"), "content").first()["embedding"]
+        return search.cosine_topk(self.chunks().select("id", F.coalesce("contextual_embedding", "embedding").alias("embedding")), vector, n)
+
     def search(self, question: str, n: int = 12) -> DataFrame:
         """The transactions that suit a question best, by words and by vectors, fused by rank and labelled."""
-        chunks = self.chunks()
-        asked = self.spark.createDataFrame([(question,)], "content string")
-        vector = self.embedder.embed(asked, "content").first()["embedding"]
-        found = search.fuse(search.cosine_topk(chunks, vector, n), search.bm25(chunks, question, n), n)
+        found = search.fuse(self.semantic_search(question, n), self.keyword_search(question, n), n)
         return search.labelled(found, self.transactions())
 
     def context(self, question: str) -> tuple[str, str]:

@@ -1,8 +1,10 @@
-"""Keeping stored months fresh from a stream of transactions.
+"""Keeping an engine's layers fresh from a stream of transactions.
 
-A batch's months are recomputed whole from the stored transactions, so late rows
-need no watermark. Every batch is kept under its own number, which a repeated batch
-overwrites, and of an id the version of the last batch counts. An id stays in its month.
+Each batch is one version of the engine, which carries the batch's number: a batch that
+is tried again makes none. Rows that repeat are dropped by state, as long after their
+first arrival as is kept; one that comes later still changes nothing, since its id is
+known. Late rows need no watermark: what a batch touches is recomputed whole, in the
+months its rows belong to and in those their ids were in before.
 """
 
 from __future__ import annotations
@@ -11,29 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from monthwise.operators.months import month_summaries
+from monthwise.plans.engine import COLUMNS, Engine
 
 
-def stored(spark, store: str, months: list[str] | None = None) -> DataFrame:
-    """The last version of every stored transaction, of some months or of all."""
-    rows = spark.read.parquet(store)
-    rows = rows if months is None else rows.where(F.col("month").isin(*months))
-    own = [c for c in rows.columns if c not in ("batch", "month")]
-    last = rows.groupBy("month", "id").agg(F.max_by(F.struct(*own), "batch").alias("last"))
-    return last.select("last.*")
+def distinct_arrivals(stream: DataFrame, keep: str = "1 day") -> DataFrame:
+    """The rows of a stream without those that repeat one that arrived less than ``keep`` before."""
+    arrived = stream.select(*COLUMNS, F.current_timestamp().alias("arrived")).withWatermark("arrived", keep)
+    return arrived.dropDuplicatesWithinWatermark(COLUMNS).drop("arrived")
 
 
-def apply_batch(batch: DataFrame, number: int, store: str, gold: str) -> None:
-    """Add a batch to the store (a folder a batch and month) and write the summaries of its months anew."""
-    spark = batch.sparkSession
-    rows = batch.dropDuplicates(["id"]).withColumns({"batch": F.lit(number), "month": F.col("ym")})
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "month").parquet(store)
-    touched = [r[0] for r in batch.select("ym").distinct().collect()]  # months of a batch
-    if touched:
-        found = month_summaries(stored(spark, store, touched)).withColumn("month", F.col("ym"))
-        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(gold)
-
-
-def refresh(stream: DataFrame, store: str, gold: str, checkpoint: str) -> StreamingQuery:
-    """Run ``apply_batch`` on what the stream has now."""
-    return stream.writeStream.foreachBatch(lambda batch, number: apply_batch(batch, number, store, gold)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def refresh(engine: Engine, stream: DataFrame, checkpoint: str, name: str = "transactions", keep: str = "1 day") -> StreamingQuery:
+    """Apply what the stream has now, a version a batch. A new checkpoint needs a new name, since its numbers begin again."""
+    rows = distinct_arrivals(stream, keep)
+    return rows.writeStream.foreachBatch(lambda batch, number: None if batch.isEmpty() else engine.apply(batch, name, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,6 +1,5 @@
 """Readers, scalars, the engine and the stream on small fixtures."""
 
-import datetime
 import zipfile
 
 import pytest
@@ -10,7 +9,6 @@ from monthwise.functions import scalars
 from monthwise.operators import months, relational, search
 from monthwise.plans.engine import NOT_FOUND, Engine
 from monthwise.sources import statements
-from monthwise.streaming import refresh
 
 CSV = "Txn Date,Narration,Withdrawal (Dr),Deposit (Cr),Closing Balance\n01/01/2025,UPI-CORNER CAFE-1,₹1,200.50,,₹10,000.00\n02/01/2025,NEFT-ACORN SALARY-2,,₹1,00,000.00,₹1,10,000.00\n05/02/2025,IMPS-CITY METRO-3,₹300.25,,₹1,09,699.75\n"
 
@@ -232,20 +230,6 @@ def test_vectors(spark):
     assert sum(x * x for x in e) == pytest.approx(1.0)
 
 
-def test_a_stream_of_transactions(spark, tmp_path):
-    source, store, gold = (str(tmp_path / x) for x in ("in", "store", "gold"))
-    t = statements.to_transactions(statements.synthetic(spark, months=2, rows_a_month=20))
-    for part in (t.where("pmod(id, 2) = 0"), t.where("pmod(id, 2) <> 0")):
-        part.write.mode("append").parquet(source)
-        refresh.refresh(spark.readStream.schema(t.schema).parquet(source), store, gold, str(tmp_path / "c")).awaitTermination()
-    t.limit(0).write.mode("append").parquet(source)
-    refresh.apply_batch(t.where("pmod(id, 2) <> 0"), 1, store, gold)  # a batch that is tried again
-    assert refresh.stored(spark, store).count() == spark.read.parquet(store).count() == t.count()
-    got = sorted(map(tuple, spark.read.parquet(gold).drop("month").collect()))
-    assert got == sorted(map(tuple, months.month_summaries(t).collect()))
-    assert datetime.date.fromisoformat(t.first()["date"])
-
-
 def test_export_key_and_figures_text(spark, tmp_path):
     t = statements.to_transactions(statements.synthetic(spark, months=1, rows_a_month=4))
     statements.write_csv(relational.records(t).drop("id"), str(tmp_path / "out"))
