@@ -80,10 +80,38 @@ def overview(b: DataFrame) -> DataFrame:
     return b.agg(money(F.sum("debit")).alias("debit"), money(F.sum("credit")).alias("credit"), count("count").alias("count"), count("upi").alias("upi"), count("n_debit").alias("debit_count"))
 
 
-def spending(b: DataFrame, by: str, n: int | None = None) -> DataFrame:
-    """spend and count of debits by a key, the largest first; all of them if n is None."""
+def spending(b: DataFrame, by: str, n: int | None = None, least: bool = False) -> DataFrame:
+    """spend and count of debits by a key, the largest (or least) first; all of them if n is None."""
     out = b.where("n_debit > 0").groupBy(by).agg(money(F.sum("debit")).alias("spend"), F.sum("n_debit").alias("count"))
-    return out if n is None else out.orderBy(F.desc("spend"), by).limit(n)
+    return out if n is None else out.orderBy(F.col("spend") if least else F.desc("spend"), by).limit(n)
+
+
+def _totals() -> list[Column]:
+    net = (F.sum("credit") - F.sum("debit")).cast("double")
+    return [money(F.sum("debit")).alias("debit"), money(F.sum("credit")).alias("credit"), F.coalesce(net, F.lit(0.0)).alias("net"), F.coalesce(F.sum("count"), F.lit(0)).alias("count")]
+
+
+def totals(b: DataFrame, *by: str) -> DataFrame:
+    """debit, credit, net and count of each group, or of all rows."""
+    return b.groupBy(*by).agg(*_totals()) if by else b.agg(*_totals())
+
+
+def averages(b: DataFrame) -> DataFrame:
+    """Average debit, credit, transaction (its net) and month of spending."""
+    mean = lambda c, n: F.round(F.try_divide(c.cast("double"), n), 2)
+    months = F.count_distinct(F.when(F.col("n_debit") > 0, F.col("ym")))
+    out = b.agg(
+        mean(F.sum("debit"), F.sum("n_debit")).alias("debit"), mean(F.sum("credit"), F.sum("n_credit")).alias("credit"), mean(F.sum("credit") - F.sum("debit"), F.sum("count")).alias("transaction"),
+        mean(F.sum("debit"), months).alias("month"), F.coalesce(F.sum(F.col("n_debit") + F.col("n_credit")), F.lit(0)).alias("count"),
+    )
+    return out.where("count > 0")
+
+
+def month_extremes(b: DataFrame) -> DataFrame:
+    """The months of most and of least spending, among those with a debit."""
+    m = spending(b, "ym").select("ym", "spend")
+    end = lambda kind, by: m.orderBy(by, "ym").limit(1).select(F.lit(kind).alias("kind"), "ym", "spend")
+    return end("most", F.desc("spend")).unionByName(end("least", F.col("spend")))
 
 
 def subscriptions(b: DataFrame, n: int = 12) -> DataFrame:

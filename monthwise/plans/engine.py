@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthwise.functions import scalars
-from monthwise.operators import base, facts, months, postings, relational, search
+from monthwise.operators import base, facts, months, payees, postings, relational, search
 from monthwise.plans import periods
-from monthwise.plans.intent import Intent, classify
+from monthwise.plans.intent import CATEGORY_WORDS, Intent, classify
 from monthwise.plans.versions import Conflict, Version, Versions
 from monthwise.sources import statements
 
@@ -25,9 +25,10 @@ BY_MONTH = {
     "chunks": "id long, ym string, content string, contextual string, embedding array<double>, contextual_embedding array<double>",
     "postings": "token string, id long, ym string, length long, tf long",
     "text_stats": "ym string, texts long, tokens long",
+    "payee_pairs": "pair string, entry string, payee string, ym string",
 }
 #: How a layer's rows are dealt to folders; ``month`` is the key of versions in all of them.
-FOLDERS = {"postings": ["bucket"]}
+FOLDERS = {"postings": ["bucket"], "payee_pairs": ["bucket"]}
 #: What is kept for all months together.
 WHOLE = {
     "periods": f"id string, anchor string, window int, label string, start string, months array<string>, income double, expense double, net double, count long, top_categories {_NAMED}, top_payees {_NAMED}, largest {_LARGEST}, content string, embedding array<double>",
@@ -38,6 +39,7 @@ COLUMNS = [x.split()[0] for x in BY_MONTH["transactions"].split(", ")]
 CHUNK_COLUMNS = ["date", "description", "category", "amount", "balance"]
 SYMBOLS = {"INR": "₹", "USD": "$", "EUR": "€", "GBP": "£", "JPY": "¥", "AED": "AED "}
 NOT_FOUND = "Not found in this statement."
+NOT_UNDERSTOOD = "This cannot be answered: the question has a condition that is not understood."
 #: What stands before a chunk in its contextual form; a change is tried so often against other writers.
 CONTEXT, MOST_ATTEMPTS = "Bank statement", 5
 #: A statement whose chunks have no more characters is given whole as context.
@@ -101,6 +103,8 @@ class Engine:
         texts = write("chunks", chunks).select("id", "ym", "content")
         write("postings", postings.postings(texts).withColumn("bucket", postings.bucket(F.col("token"))))
         write("text_stats", postings.text_stats(texts, "ym"))
+        pairs = payees.dictionary(sums.select("payee", "ym").distinct())
+        write("payee_pairs", pairs.withColumn("bucket", payees.bucket(F.col("pair"))))
         return {r["ym"] for r in sums.select(F.coalesce("ym", F.lit("")).alias("ym")).distinct().collect()}
 
     def _write_whole(self, version: Version, meta: dict[str, str], rejects: DataFrame) -> None:
@@ -299,61 +303,106 @@ class Engine:
             return "facts", self.facts()
         return "search", markdown([r.asDict() for r in self.search(question, CONTEXT_ROWS).collect()])
 
-    def _month_meant(self, bare: str) -> str | None:
-        """The last month of all ("this"), or the last with this number."""
-        m = self.months().select("ym")
-        return (m if bare == "this" else m.where(F.col("ym").endswith(f"-{bare}"))).agg(F.max("ym")).first()[0]
+    def payees_like(self, names) -> DataFrame:
+        """name, payee, way, distance: the statement's payees that names mean; only the folders of the names' letter pairs are read."""
+        return payees.like(self._layer("payee_pairs").drop("ym"), names)
 
-    def answer(self, intent: Intent) -> DataFrame:
-        """The query of an intent."""
-        r, t, i = relational, self.transactions(), intent
-        ym = self._month_meant(i.bare_month) if i.bare_month else i.ym
-        months_of = lambda: self.months().select("ym", "income", "spending", "net", "count", "upi")
+    @staticmethod
+    def _months_meant(i: Intent, version: Version) -> list[str] | None:
+        """The months a question is about, None for all; a month without a year is the last one of its name."""
+        known = sorted(m for m in version.months if m)
+
+        def last_of(ym: str, upto: str = "9999") -> str:
+            return ym if not ym.startswith("-") else max((m for m in known if m.endswith(ym) and m <= upto), default=ym)
+
+        if i.first or i.last:
+            last = last_of(i.last) if i.last else "9999"
+            first = last_of(i.first, last) if i.first else ""
+            return [m for m in known if first <= m <= last]
+        end = (known[-1] if known else "") if i.bare_month == "this" else last_of(f"-{i.bare_month}") if i.bare_month else i.ym
+        if i.window:
+            year_end = max((m for m in known if i.year and m.startswith(i.year)), default=None)
+            return [m for m in known if m <= (end or year_end or "9999")][-i.window :]
+        if end:
+            return [end]
+        return [m for m in known if m.startswith(f"{i.year}-")] if i.year else None
+
+    def _filtered(self, i: Intent, similar: bool = False) -> tuple[DataFrame, DataFrame]:
+        """The transactions and the base rows that a question's filters leave.
+
+        Months, categories and payees are columns of the base rows; with conditions on
+        descriptions and amounts the base rows are those of the transactions left.
+        """
+        version = self.versions.last()
+        only = self._months_meant(i, version)
+        t, b = self._layer("transactions", version, only), self._layer("base", version, only)
+        wanted = F.lit(True) if i.category is None else F.col("category") == i.category
+        names = {name for _, name in CATEGORY_WORDS}
+        for name in set(i.without) & names:
+            wanted &= F.col("category") != name
+        t, b, rows = t.where(wanted), b.where(wanted), F.lit(True)
+        if i.keywords and similar:
+            meant = self.payees_like(i.keywords).select("payee").distinct()
+            t, b = t.join(meant, "payee", "left_semi"), b.join(meant, "payee", "left_semi")
+        elif i.keywords:
+            rows &= scalars.any_keyword(F.col("description"), i.keywords)
+        others = [w for w in i.without if w not in names]
+        if others:
+            rows &= ~scalars.any_keyword(F.col("description"), others)
+        if i.above is not None:
+            rows &= F.abs("amount") > i.above
+        if i.below is not None:
+            rows &= F.abs("amount") < i.below
+        if others or i.above is not None or i.below is not None or (i.keywords and not similar):
+            t = t.where(rows)
+            b = base.base(t)
+        return t, b
+
+    def answer(self, intent: Intent, similar: bool = False) -> DataFrame:
+        """The query of an intent over the rows that its filters leave; with ``similar`` names are looked up in the dictionary of payees."""
+        r, i = relational, intent
+        t, b = self._filtered(i, similar)
+        months_of = lambda: self._layer("months", only=self._months_meant(i, self.versions.last())).select("ym", "income", "spending", "net", "count", "upi")
+        total = lambda: base.totals(b).where("count > 0")
+        by_month = lambda: base.totals(b, "ym").orderBy("ym")
         queries = {
-            "balance": lambda: r.current_balance(t).where("balance is not null"),
-            "upi_count": lambda: r.overview(t).select("upi", "count"),
-            "row_count": lambda: r.overview(t).select("count"),
-            "average": lambda: r.averages(t if ym is None else t.where(F.col("ym") == ym)).where("count > 0"),
-            "subscriptions": lambda: r.subscriptions(t),
-            "subscriptions_total": lambda: r.subscriptions_total(t),
-            "month_extremes": lambda: r.month_extremes(t),
+            "balance": lambda: base.current_balance(b).where("balance is not null"),
+            "upi_count": lambda: base.overview(b).select("upi", "count"),
+            "row_count": lambda: base.overview(b).select("count"),
+            "average": lambda: base.averages(b),
+            "subscriptions": lambda: base.subscriptions(b),
+            "subscriptions_total": lambda: base.subscriptions_total(b),
+            "month_extremes": lambda: base.month_extremes(b),
             "received_from_people": lambda: r.received_from_people(t),
-            "smallest_debit": lambda: r.smallest_debits(t),
-            "largest_debit": lambda: r.largest_debits(t),
-            "largest_credit": lambda: r.largest_credits(t),
-            "category_breakdown": lambda: r.category_breakdown(t, i.n or 8),
-            "top_payees": lambda: r.top_payees(t, i.n or 6),
+            "smallest_debit": lambda: r.smallest_debits(t, i.n or 1),
+            "largest_debit": lambda: r.largest_debits(t, i.n or 1),
+            "largest_credit": lambda: r.largest_credits(t, i.n or 1),
+            "category_breakdown": lambda: base.spending(b, "category", i.n or 8, i.least),
+            "top_payees": lambda: base.spending(b, "payee", i.n or 6, i.least),
             "top_debits": lambda: r.largest_debits(t, i.n or 5),
             "coverage": lambda: r.coverage(t),
             "period": lambda: periods.pick(i.question, self.periods()).orderBy("anchor", "window").select("label", "window", "income", "expense", "net", "count"),
-            "keyword": lambda: r.keyword_totals(t, i.keywords).where("count > 0"),
-            "keyword_by_month": lambda: r.keyword_by_month(t, i.keywords).orderBy("ym"),
-            "keyword_month": lambda: r.keyword_month(t, i.keywords, ym).where("count > 0"),
-            "category": lambda: r.category_spend(t, i.category).where("count > 0"),
-            "category_month": lambda: r.category_spend(t, i.category, ym).where("count > 0"),
-            "month": lambda: months_of().where(F.col("ym") == ym),
-            "year": lambda: r.year_monthly(t, i.year).orderBy("ym"),
-            "monthly": lambda: r.monthly_spend(t).orderBy("ym"),
+            "month": months_of,
+            "year": by_month,
+            "monthly": by_month,
             "recent": lambda: r.recent(t, i.n or 12),
             "search": lambda: self.search(" ".join(i.keywords)),
-            "overview": lambda: r.overview(t),
+            "overview": lambda: base.overview(b).withColumn("net", F.round(F.col("credit") - F.col("debit"), 2)),
+            "unknown": lambda: b.limit(0),
         }
+        queries |= dict.fromkeys(("keyword", "keyword_month", "category", "category_month", "total", "net"), total) | dict.fromkeys(("keyword_by_month", "category_by_month"), by_month)
         return queries[i.kind]()
 
-    def _similar(self, intent: Intent) -> DataFrame:
-        """The query of a question about payees by names that are not written as in the statement."""
-        t = relational.by_similar_payees(self.transactions(), intent.keywords)
-        if intent.kind == "keyword_month":
-            t = t.where(F.col("ym") == (self._month_meant(intent.bare_month) if intent.bare_month else intent.ym))
-        out = t.groupBy("ym").agg(*relational.totals()).orderBy("ym") if intent.kind == "keyword_by_month" else t.agg(*relational.totals())
-        return out.where("count > 0")
-
     def ask(self, question: str) -> tuple[Intent, DataFrame, str]:
-        """Intent, query and a table of its rows; what the statement does not have is not found."""
+        """Intent, query and a table of its rows; what the statement does not have is not found, and what is not understood is refused."""
         intent = classify(question)
         df = self.answer(intent)
+        if intent.kind == "unknown":
+            return intent, df, NOT_UNDERSTOOD
         rows = df.collect()
-        if not rows and intent.kind.startswith("keyword"):
-            df = self._similar(intent)
+        if intent.keywords and intent.kind != "search" and (not rows or all(r["count"] == 0 for r in rows if "count" in r)):
+            df = self.answer(intent, similar=True)
             rows = df.collect()
+        if intent.keywords and all("count" in r and r["count"] == 0 for r in rows):
+            rows = []
         return intent, df, markdown([r.asDict() for r in rows], intent.kind.replace("_", " ").capitalize())
