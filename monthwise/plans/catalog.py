@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthwise.functions import scalars
-from monthwise.operators import base, facts, months, postings, relational, search
+from monthwise.operators import base, facts, months, postings, relational, search, vectors
 from monthwise.plans import periods
 from monthwise.sources import adapter, delimited, layout, statements
 from monthwise.sources.adapter import T_SQL, transactions
@@ -341,3 +341,12 @@ UNION ALL (SELECT 'months', ym, {_SPENT}, count(*) FROM t GROUP BY ym ORDER BY 2
 UNION ALL (SELECT 'subscriptions', payee, {_SPENT}, count(*) FROM s GROUP BY payee ORDER BY 3 DESC, 2 LIMIT 12)
 UNION ALL SELECT 'subscriptions_total', 'all', {_SPENT}, count(DISTINCT payee) FROM s
 UNION ALL SELECT 'balance', 'last', CAST(arg_max(balance, (date, id)) AS DOUBLE), 1 FROM t WHERE balance IS NOT NULL""")
+
+
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector search by lists, all of them probed."""
+    rows = _vectors(spark, sf_dir)
+    return vectors.topk(rows, _query_vector(rows))
+
+
+_add_raw("vector_index_topk", vector_index_topk, "WITH x AS (SELECT 1)" + _COSINE + " SELECT * FROM sem")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthwise.functions import scalars
-from monthwise.operators import base, facts, months, payees, postings, relational, search
+from monthwise.operators import base, facts, months, payees, postings, relational, search, vectors
 from monthwise.plans import periods
 from monthwise.plans.intent import CATEGORY_WORDS, Intent, classify
 from monthwise.plans.versions import Conflict, Version, Versions
@@ -148,8 +148,8 @@ class Engine:
         return StructType.fromDDL(WHOLE[layer]).names
 
     def ingest(self, source: str | DataFrame, **options) -> None:
-        """Replace all layers by a file's, or by canonical records. The currency is read off a file's headers and cells; lines that are no records or no transactions are kept in ``rejects``."""
-        scanned = statements.scan(self.spark, source, **options) if isinstance(source, str) else None
+        """Replace all layers by a file's, by positioned items of printed pages (doc, page, x, y, str), or by canonical records. The currency is read off a file's headers and cells; lines that are no records or no transactions are kept in ``rejects``."""
+        scanned = statements.scan(self.spark, source, **options) if isinstance(source, str) else statements.scan_items(source) if {"page", "x", "y", "str"} <= set(source.columns) else None
         raw = source if scanned is None else scanned.records
         records = raw if scanned is None else statements.normalise(raw)
         lost = statements.untyped(records) if scanned is None else scanned.rejects.unionByName(statements.untyped(records))
@@ -284,10 +284,29 @@ class Engine:
         version = self.versions.last()
         return postings.search(self._layer("postings", version), self._layer("text_stats", version), question, n)
 
-    def semantic_search(self, question: str, n: int = 12) -> DataFrame:
-        """id, score of the nearest chunks: by their vectors in context, or by their own where they have none."""
+    def _vector_index(self, version: Version) -> vectors.VectorIndex:
+        return vectors.VectorIndex(self.spark, f"{self.folder}/vectors/{version.number}")
+
+    def index_vectors(self, lists: int = 64) -> None:
+        """Make an index of the chunks' vectors for the last version; a later version is searched without one until it is made anew."""
+        version = self.versions.last()
+        self._vector_index(version).build(self._embedded(version), lists)
+
+    def _embedded(self, version: Version) -> DataFrame:
+        """The vectors of chunks in context, or their own where they have none."""
+        return self._layer("chunks", version).select("id", F.coalesce("contextual_embedding", "embedding").alias("embedding"))
+
+    def semantic_search(self, question: str, n: int = 12, probes: int | None = 16) -> DataFrame:
+        """id, score of the nearest chunks: in ``probes`` lists of the version's index, or of all chunks if it has none."""
         vector = self.embedder.embed(self.spark.createDataFrame([(question,)], "content string"), "content").first()["embedding"]
-        return search.cosine_topk(self.chunks().select("id", F.coalesce("contextual_embedding", "embedding").alias("embedding")), vector, n)
+        version = self.versions.last()
+        index = self._vector_index(version)
+        return index.search(vector, n, probes) if index.versions.numbers() else search.cosine_topk(self._embedded(version), vector, n)
+
+    def search_rejects(self, question: str, n: int = 12) -> DataFrame:
+        """line, score of the rejected lines that suit a question best: pages of an unknown layout can still be searched."""
+        lines = self.rejects().select(F.xxhash64("path", "line").alias("id"), "line").dropDuplicates(["id"])
+        return F.broadcast(search.bm25(lines, question, n, content="line")).join(lines, "id").select("line", "score").orderBy(F.desc("score"), "line")
 
     def search(self, question: str, n: int = 12) -> DataFrame:
         """The transactions that suit a question best, by words and by vectors, fused by rank and labelled."""

@@ -9,7 +9,9 @@ readers; nothing is capped.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ LINE_GAP = 3.0
 #: What the header line of a printed statement says.
 HEADER_PHRASES = ("withdrawal amt", "deposit amt", "closing balance")
 LEAST_ROWS = 5
-NO_DATE, NO_AMOUNT = "no date", "no amount"
+NO_DATE, NO_AMOUNT, UNKNOWN_LAYOUT = "no date", "no amount", "unknown layout"
 
 
 def header_map(columns: list[str]) -> dict[str, str]:
@@ -62,60 +64,87 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     return workbooks.scan(spark, path).records
 
 
+def _lined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items in order, each with the number of its line in its page."""
+    page, line, top = None, 0, 0.0
+    for batch in batches:
+        out = []
+        for doc, number, y in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
+            if (doc, number) != page:
+                page, line, top = (doc, number), 1, y
+            elif top - y > LINE_GAP:
+                line, top = line + 1, y
+            out.append(line)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32()), batch.column(2), batch.column(4)], ["doc", "page", "line", "x", "str"])
+
+
 def visual_lines(items: DataFrame) -> DataFrame:
-    """page, line, x, str of (page, x, y, str) items. A line takes items at most LINE_GAP under its first one.
+    """doc, page, line, x, str of (doc, page, x, y, str) items; without a doc all are of one. A line takes items at most LINE_GAP under its first one.
 
-    The first item of a line decides, not the one before, so a page is folded in order; a page is a few hundred items.
+    The first item of a line decides, not the one before, so a page is read from its top
+    down, in one pass whatever its length; pages are dealt to all tasks.
     """
-    own = F.sort_array(F.collect_list(F.struct((-F.col("y")).alias("down"), "x", "str")))
-    pages = items.groupBy("page").agg(own.alias("all"))
+    doc = F.coalesce(F.col("doc").cast("string"), F.lit("")) if "doc" in items.columns else F.lit("")
+    rows = items.where("y is not null").select(doc.alias("doc"), F.col("page").cast("int").alias("page"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.coalesce("str", F.lit("")).alias("str"))
+    rows = rows.repartition("doc", "page").sortWithinPartitions("doc", "page", F.desc("y"), "x", "str")
+    return rows.mapInArrow(_lined, "doc string, page int, line int, x double, str string")
 
-    def step(acc: Column, it: Column) -> Column:
-        new = acc["line"].isNull() | (it["down"] - acc["top"] > LINE_GAP)
-        line = F.when(new, F.coalesce(acc["line"], F.lit(0)) + 1).otherwise(acc["line"]).cast("int")
-        out = F.concat(acc["out"], F.array(F.struct(line.alias("line"), it["x"].alias("x"), it["str"].alias("str"))))
-        return F.struct(line.alias("line"), F.when(new, it["down"]).otherwise(acc["top"]).alias("top"), out.alias("out"))
 
-    start = F.struct(F.lit(None).cast("int").alias("line"), F.lit(None).cast("double").alias("top"), F.array().cast("array<struct<line:int,x:double,str:string>>").alias("out"))
-    return pages.select("page", F.inline(F.aggregate("all", start, step, lambda acc: acc["out"])))
+def _line_text(lines: DataFrame) -> DataFrame:
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "str"))), lambda s: s["str"]), " ")
+    return lines.groupBy("doc", "page", "line").agg(F.trim(text).alias("text"))
 
 
-def looks_printed(lines: DataFrame) -> bool:
-    """Is there a line with all header phrases?"""
-    text = lines.groupBy("page", "line").agg(F.lower(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "str"))), lambda s: s["str"]), " ")).alias("text"))
+def printed_documents(lines: DataFrame) -> DataFrame:
+    """The docs that have a line with all header phrases."""
     found = F.lit(True)
     for phrase in HEADER_PHRASES:
-        found &= F.contains("text", F.lit(phrase))
-    return not text.where(found).isEmpty()
+        found &= F.contains(F.lower("text"), F.lit(phrase))
+    return _line_text(lines).where(found).select("doc").distinct()
+
+
+def looks_printed(lines: DataFrame) -> bool:
+    """Is there a line with all header phrases?"""
+    return not printed_documents(lines).isEmpty()
 
 
 def printed_records(lines: DataFrame) -> DataFrame:
-    """Records of a printed statement: a dated line starts one, lines with a narration alone continue it.
+    """Records of printed statements by doc and number: a dated line starts one, lines with a narration alone continue it.
 
-    Records are numbered by a sum over lines, first within each page and then over the pages before it.
+    Records are numbered by a sum over lines, first within each page and then over the
+    pages of the document before it, so a record may go on on the next page.
     """
     bucket = F.lit("balance")
     for name, end in reversed(COLUMN_ENDS):
         bucket = F.when(F.col("x") < end, name).otherwise(bucket)
     names = [n for n, _ in COLUMN_ENDS] + ["balance"]
     text = lambda n: F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("bucket") == n, F.struct("x", "str")))), lambda s: s["str"]), ""))
-    rows = lines.withColumn("bucket", bucket).groupBy("page", "line").agg(*(text(n).alias(n) for n in names))
+    rows = lines.withColumn("bucket", bucket).groupBy("doc", "page", "line").agg(*(text(n).alias(n) for n in names))
     starts = F.col("date").rlike(r"^\d{2}/\d{2}/\d{2}$")
     alone = F.lit(True)
     for n in names:
         alone &= (F.col(n) != "") if n == "narration" else (F.col(n) == "")
     rows = rows.withColumn("starts", starts.cast("int")).where(starts | alone)
-    page_starts = rows.groupBy("page").agg(F.sum("starts").alias("n"))
-    before = page_starts.select("page", F.coalesce(F.sum("n").over(W.orderBy("page").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a page
-    inside = F.sum("starts").over(W.partitionBy("page").orderBy("line"))
-    rows = rows.withColumn("inside", inside).join(before, "page").withColumn("number", F.col("before") + F.col("inside")).where("number > 0")
+    page_starts = rows.groupBy("doc", "page").agg(F.sum("starts").alias("n"))
+    before = page_starts.select("doc", "page", F.coalesce(F.sum("n").over(W.partitionBy("doc").orderBy("page").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a page
+    inside = F.sum("starts").over(W.partitionBy("doc", "page").orderBy("line"))
+    rows = rows.withColumn("inside", inside).join(before, ["doc", "page"]).withColumn("number", F.col("before") + F.col("inside")).where("number > 0")
     first = lambda n: F.max(F.when(F.col("starts") == 1, F.col(n)))
     narration = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "line", "narration"))), lambda s: s["narration"]), "")
-    out = rows.groupBy("number").agg(first("date").alias("date"), narration.alias("narration"), *(scalars.pdf_number(first(n)).alias(n) for n in ("withdrawal", "deposit", "balance")))
+    out = rows.groupBy("doc", "number").agg(first("date").alias("date"), narration.alias("narration"), *(scalars.pdf_number(first(n)).alias(n) for n in ("withdrawal", "deposit", "balance")))
     amount = F.when(F.col("withdrawal") > 0, -F.col("withdrawal")).otherwise(F.coalesce("deposit", F.lit(0)))
     signed = F.concat(F.when(amount < 0, "-").otherwise("+"), F.abs(amount).cast("string"))
     name = scalars.narration_payee(F.col("narration"))
-    return out.select("number", scalars.date_iso(F.col("date")).alias("Date"), F.concat(name, F.lit(" - "), "narration").alias("Description"), F.lit(None).cast("string").alias("Category"), signed.alias("Amount"), F.coalesce(F.col("balance").cast("string"), F.lit("")).alias("Balance"))
+    return out.select("doc", "number", scalars.date_iso(F.col("date")).alias("Date"), F.concat(name, F.lit(" - "), "narration").alias("Description"), F.lit(None).cast("string").alias("Category"), signed.alias("Amount"), F.coalesce(F.col("balance").cast("string"), F.lit("")).alias("Balance"))
+
+
+def scan_items(items: DataFrame) -> Scan:
+    """Records of all documents of positioned items that are statements with at least LEAST_ROWS records; the lines of the others are rejected, with their text."""
+    lines = visual_lines(items)
+    records = printed_records(lines.join(printed_documents(lines), "doc", "left_semi"))
+    known = records.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_ROWS).select("doc")
+    rest = _line_text(lines.join(known, "doc", "left_anti")).where("text <> ''")
+    return Scan(list(CANONICAL), records.join(known, "doc", "left_semi").select(*CANONICAL), rest.select(F.col("doc").alias("path"), F.col("text").alias("line"), F.lit(UNKNOWN_LAYOUT).alias("reason")))
 
 
 def read_items(items: DataFrame) -> DataFrame:
@@ -126,13 +155,12 @@ def read_items(items: DataFrame) -> DataFrame:
     out = printed_records(lines)
     if len(out.limit(LEAST_ROWS).collect()) < LEAST_ROWS:
         raise ValueError(f"a statement has at least {LEAST_ROWS} rows")
-    return out.orderBy("number").drop("number")
+    return out.orderBy("doc", "number").drop("doc", "number")
 
 
 def plain_lines(items: DataFrame) -> DataFrame:
     """page, line, text of printed items that are no known statement: what search can still use."""
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "str"))), lambda s: s["str"]), " ")
-    return visual_lines(items).groupBy("page", "line").agg(F.trim(text).alias("text")).where("text <> ''").orderBy("page", "line")
+    return _line_text(visual_lines(items)).where("text <> ''").orderBy("doc", "page", "line").select("page", "line", "text")
 
 
 def scan(spark: SparkSession, path: str, **options) -> Scan:

@@ -133,3 +133,48 @@ def test_engine_keeps_rejects(spark, tmp_path):
     assert engine.transactions().count() == 3 and engine.meta()["rejected"] == f"{layout.ABOVE}: 1, {statements.NO_DATE}: 1"
     engine.set_currency("USD")
     assert sorted(r["line"] for r in engine.rejects().collect()) == ["My Bank", "soon | x |  | 1 | "]
+
+
+def printed(doc, n, first=1, header=True):
+    """Items of a statement: its header line, n dated rows three a page, each with a narration that goes on."""
+    items = [(doc, 1, 300.0, 700.0, "Withdrawal Amt"), (doc, 1, 500.0, 700.0, "Deposit Amt"), (doc, 1, 600.0, 701.0, "Closing Balance")] if header else []
+    for i in range(n):
+        y, page = 600.0 - 20 * (i % 3), 1 + i // 3
+        items += [(doc, page, 30.0, y, f"{first + i:02d}/02/24"), (doc, page, 100.0, y - 2, f"UPI-{doc} "), (doc, page, 450.0, y + 1, f"{first + i}.50"), (doc, page + (i % 3 == 2), 100.0, 800.0 if i % 3 == 2 else y - 9, f"{i}-REST")]
+    return items
+
+
+ITEMS = "doc string, page int, x double, y double, str string"
+
+
+def test_many_printed_documents_in_one_table(spark):
+    items = printed("A", 9) + printed("B", 7, 11) + printed("C", 8, header=False) + printed("D", 3)
+    found = statements.scan_items(spark.createDataFrame(items, ITEMS).repartition(5))
+    got = sorted((r["Description"].split(" - ")[0][:1], r["Date"], r["Amount"], r["Description"][-6:]) for r in found.records.collect())
+    assert got == sorted([("A", f"2024-02-{1 + i:02d}", f"-{1 + i}.50", f"{i}-REST") for i in range(9)] + [("B", f"2024-02-{11 + i:02d}", f"-{11 + i}.50", f"{i}-REST") for i in range(7)])
+    rest = found.rejects.collect()
+    assert {r["path"] for r in rest} == {"C", "D"} and {r["reason"] for r in rest} == {statements.UNKNOWN_LAYOUT} and any("Withdrawal Amt Deposit Amt Closing Balance" == r["line"] for r in rest)
+
+
+def test_a_page_of_very_many_items(spark):
+    n = 100_000
+    items = spark.range(n).select(F.lit(1).alias("page"), (F.col("id") % 4 * 10.0).alias("x"), (-F.floor(F.col("id") / 4) * 5.0).alias("y"), F.col("id").cast("string").alias("str"))
+    lines = statements.visual_lines(items)
+    assert lines.agg(F.max("line")).first()[0] == n // 4 and lines.groupBy("line").count().where("count <> 4").isEmpty()
+
+
+def test_lines_hang_on_their_first_item(spark):
+    items = [("d", 1, 1.0, y, str(y)) for y in (100.0, 98.0, 97.0, 96.9, 94.0, 93.8)] + [("d", 2, 1.0, 100.0, "p2"), ("d", None, 1.0, 5.0, "no page"), ("d", 2, 1.0, None, "no place")]
+    got = {(r["page"], r["str"]): r["line"] for r in statements.visual_lines(spark.createDataFrame(items, ITEMS)).collect()}
+    assert got == {(1, "100.0"): 1, (1, "98.0"): 1, (1, "97.0"): 1, (1, "96.9"): 2, (1, "94.0"): 2, (1, "93.8"): 3, (2, "p2"): 1, (None, "no page"): 1}
+
+
+def test_engine_takes_items_and_searches_unknown_pages(spark, tmp_path):
+    from monthwise.plans.engine import Engine
+
+    engine = Engine(spark, str(tmp_path / "e"))
+    engine.ingest(spark.createDataFrame(printed("A", 6) + [("Z", 1, 1.0, 9.0, "gold loan"), ("Z", 1, 50.0, 9.0, "of May")], ITEMS))
+    assert engine.transactions().count() == 6 and engine.meta()["rejected"] == f"{statements.UNKNOWN_LAYOUT}: 1"
+    assert [r["line"] for r in engine.search_rejects("Gold?").collect()] == ["gold loan of May"]
+    engine.index_vectors(4)
+    assert {r["id"] for r in engine.semantic_search("upi rest", 6, None).collect()} == {r["id"] for r in engine.transactions().collect()}
