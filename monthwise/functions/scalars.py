@@ -81,25 +81,18 @@ def month_label(ym: Column) -> Column:
     return F.coalesce(F.date_format(F.try_to_timestamp(F.concat(ym, F.lit("-01")), F.lit("yyyy-MM-dd")), "MMMM yyyy"), ym)
 
 
-#: (shape, layout) of the dates of statements; two-digit years are of this century.
-DATE_SHAPES = (
-    (r"^\d{1,2}/\d{1,2}/\d\d$", "d/M/yy"), (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"), (r"^\d{1,2}-\d{1,2}-\d\d$", "d-M-yy"), (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"), (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"), (r"^\d{4}-\d\d-\d\d[ T]\d\d:\d\d(:\d\d)?$", None),
-    (r"^\d{1,2}[ -][A-Za-z]{3}[ -]\d{4}$", "d MMM yyyy"), (r"^\d{1,2}[ -][A-Za-z]{3}[ -]\d\d$", "d MMM yy"), (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "d MMMM yyyy"),
-)
+#: (shape, layout) of the dates of statements when all their separators are slashes; two-digit years are of this century.
+DATE_SHAPES = ((r"^\d{1,2}/\d{1,2}/\d\d$", "d/M/yy"), (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"), (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"), (r"^\d{1,2}/[A-Z][a-z][a-z]/\d\d$", "d/MMM/yy"), (r"^\d{1,2}/[A-Z][a-z][a-z]/\d{4}$", "d/MMM/yyyy"), (r"^\d{1,2}/[A-Z][a-z]{3,8}/\d{4}$", "d/MMMM/yyyy"))
+_TIME = r"^(\d{4}-\d\d-\d\d)[ T]\d\d:\d\d(:\d\d)?$"
 
 
 def date_iso(text: Column) -> Column:
     """Dates by day, month and year, with names or numbers of months, and ISO dates as ISO text; anything else stays."""
     t = F.trim(text)
-    named = F.initcap(F.replace(t, F.lit("-"), F.lit(" ")))
-
-    def day(shape: str, layout: str | None) -> Column:
-        if layout is None:
-            return F.when(t.rlike(shape), F.substring(t, 1, 10))
-        return F.when(t.rlike(shape), F.date_format(F.try_to_timestamp(named if "MMM" in layout else t, F.lit(layout)), "yyyy-MM-dd"))
-
-    return F.coalesce(*(day(*x) for x in DATE_SHAPES), t)
+    spaced = F.initcap(F.regexp_replace(F.regexp_replace(t, _TIME, "$1"), r"[./-]", " "))
+    named = F.replace(spaced, F.lit(" "), F.lit("/"))
+    found = [F.when(named.rlike(shape), F.date_format(F.try_to_timestamp(named, F.lit(layout)), "yyyy-MM-dd")) for shape, layout in DATE_SHAPES]
+    return F.coalesce(F.when(t.rlike(r"^\d{4}-\d\d-\d\d$"), t), *found, t)
 
 
 def payee(description: Column) -> Column:

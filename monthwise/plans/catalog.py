@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthwise.functions import scalars
+from monthwise.functions import sql as sql_functions
 from monthwise.operators import base, facts, months, postings, relational, search, vectors
 from monthwise.plans import periods
 from monthwise.sources import adapter, delimited, layout, statements
@@ -350,3 +351,42 @@ def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add_raw("vector_index_topk", vector_index_topk, "WITH x AS (SELECT 1)" + _COSINE + " SELECT * FROM sem")
+
+
+def sql_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scalar functions called from SQL text over a view of the transactions."""
+    t = transactions(spark, sf_dir)
+    sql_functions.register(spark, prefix="mw_")
+    written = _written(t).join(t.select("id", "date", "ym", "description"), "id")
+    return spark.sql("""
+        SELECT id, CAST(mw_parse_amount(written) AS DOUBLE) AS lenient, CAST(mw_parse_accounting(written) AS DOUBLE) AS accounting, mw_month_key(date) AS ym, mw_month_label(ym) AS label,
+          mw_date_iso(date_format(to_date(date), 'd-MMM-yyyy')) AS iso, mw_payee(description) AS payee, mw_narration_payee(split_part(description, ' - ', 2)) AS narrated,
+          mw_categorize(description) AS category, mw_is_upi(description) AS upi, mw_js_round(CAST(amount AS DOUBLE) / 8) AS rounded
+        FROM {written}""", written=written)
+
+
+_add_raw("sql_scalars", sql_scalars, T_SQL + """
+SELECT id, CASE WHEN id % 6 = 5 THEN 0.0 ELSE CAST(abs(amount) AS DOUBLE) END AS lenient,
+  CASE WHEN id % 6 = 5 THEN NULL WHEN id % 6 IN (2, 3) THEN CAST(-abs(amount) AS DOUBLE) ELSE CAST(abs(amount) AS DOUBLE) END AS accounting,
+  substr(date, 1, 7) AS ym, strftime(CAST(ym || '-01' AS DATE), '%B %Y') AS label, date AS iso, payee, payee AS narrated, category, is_upi AS upi, floor(CAST(amount AS DOUBLE) / 8 * 100 + 0.5) / 100 AS rounded FROM t""")
+
+
+def _orders_as_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as positioned items of seven printed statements, of which the last says nothing that names its columns."""
+    k = F.col("o_orderkey")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k, (k % 7).cast("string").alias("doc"), F.floor(k / 40).cast("int").alias("page"), (700 - k % 40 * 15).cast("double").alias("top"), F.date_format("o_orderdate", "dd/MM/yy").alias("date"), (F.col("o_orderstatus") == "F").alias("paid"), F.format_number(F.col("o_totalprice").cast("double"), 2).alias("price"))
+    item = lambda x, y, text: F.struct(x.cast("double").alias("x"), (F.col("top") + y).alias("y"), text.alias("str"))
+    parts = [item(F.lit(30), 0, F.col("date")), item(F.lit(100), 1, F.concat(F.lit("NEFT-SHOP "), k.cast("string"), F.lit("-ORDER"))), item(F.when(F.col("paid"), 500).otherwise(450), -1, F.col("price")), item(F.lit(100), -8, F.lit(" CONTINUED"))]
+    body = rows.select("doc", "page", F.explode(F.array(*parts)).alias("i")).select("doc", "page", "i.*")
+    head = spark.range(18).select((F.col("id") % 6).cast("string").alias("doc"), F.lit(-1).alias("page"), (F.col("id") * 20.0).alias("x"), F.lit(9.0).alias("y"), F.element_at(F.array(*map(F.lit, statements.HEADER_PHRASES)), (F.floor(F.col("id") / 6) + 1).cast("int")).alias("str"))
+    return body.unionByName(head)
+
+
+def printed_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions read from printed pages, by month."""
+    return statements.to_transactions(statements.scan_items(_orders_as_items(spark, sf_dir)).records).groupBy("ym").agg(*r.totals(), F.count(F.when(F.col("description").rlike("^SHOP \\d+ - NEFT-SHOP \\d+-ORDER ?CONTINUED$"), 1)).alias("whole"))
+
+
+_add_raw("printed_months", printed_months, f"""
+WITH t AS (SELECT strftime(o_orderdate, '%Y-%m') AS ym, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END * CAST(o_totalprice AS DECIMAL(18,2)) AS amount FROM orders WHERE o_orderkey % 7 < 6)
+SELECT '20' || substr(ym, 3) AS ym, {_TOTALS}, count(*) AS whole FROM t GROUP BY ym""")

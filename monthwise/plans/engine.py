@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from functools import reduce
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthwise.functions import scalars
+from monthwise.functions.sql import rules_of
 from monthwise.operators import base, facts, months, payees, postings, relational, search, vectors
 from monthwise.plans import periods
 from monthwise.plans.intent import CATEGORY_WORDS, Intent, classify
@@ -147,14 +149,21 @@ class Engine:
 
         return StructType.fromDDL(WHOLE[layer]).names
 
-    def ingest(self, source: str | DataFrame, **options) -> None:
-        """Replace all layers by a file's, by positioned items of printed pages (doc, page, x, y, str), or by canonical records. The currency is read off a file's headers and cells; lines that are no records or no transactions are kept in ``rejects``."""
+    def rules(self) -> list[tuple[str, str]]:
+        """(pattern, category) of the rules by which records without a category get one: those of ``meta``, or the usual ones."""
+        kept = self.meta().get("rules")
+        return [tuple(x) for x in json.loads(kept)] if kept else list(scalars.CATEGORY_RULES)
+
+    def ingest(self, source: str | DataFrame, rules: DataFrame | None = None, **options) -> None:
+        """Replace all layers by a file's, by positioned items of printed pages (doc, page, x, y, str), or by canonical records. The currency is read off a file's headers and cells; lines that are no records or no transactions are kept in ``rejects``. ``rules`` (place, pattern, category) are kept for the next files too."""
+        own = self.rules() if rules is None else rules_of(rules)
         scanned = statements.scan(self.spark, source, **options) if isinstance(source, str) else statements.scan_items(source) if {"page", "x", "y", "str"} <= set(source.columns) else None
         raw = source if scanned is None else scanned.records
         records = raw if scanned is None else statements.normalise(raw)
         lost = statements.untyped(records) if scanned is None else scanned.rejects.unionByName(statements.untyped(records))
         found = relational.detect_currency(raw, raw.columns, "").first()["code"]
-        self._change(statements.to_transactions(records), meta={"columns": ", ".join(raw.columns)} | ({"currency": found} if found else {}), rejects=lost)
+        meta = {"columns": ", ".join(raw.columns)} | ({"currency": found} if found else {}) | ({} if rules is None else {"rules": json.dumps(own)})
+        self._change(statements.to_transactions(records, rules=own), meta=meta, rejects=lost)
 
     def transactions(self) -> DataFrame:
         return self._layer("transactions")

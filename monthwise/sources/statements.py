@@ -185,25 +185,30 @@ def read_statement(spark: SparkSession, path: str, **options) -> DataFrame:
     return normalise(read_raw(spark, path, **options))
 
 
-def _typed(records: DataFrame, account: int) -> DataFrame:
+def _typed(records: DataFrame, account: int, rules=scalars.CATEGORY_RULES) -> DataFrame:
     """Records as transactions without an id, each with its line and the reason why it is none."""
-    date, amount = scalars.date_iso(F.coalesce("Date", F.lit(""))), scalars.parse_accounting(F.col("Amount"))
-    description = F.coalesce("Description", F.lit(""))
-    no_date = F.try_to_timestamp(date, F.lit("yyyy-MM-dd")).isNull() | ~date.rlike(r"^\d{4}-\d\d-\d\d$")
-    reason = F.when(no_date, NO_DATE).when(amount.isNull() & (F.trim(F.coalesce("Amount", F.lit(""))) != ""), NO_AMOUNT)
-    return records.select(
-        F.lit(account).cast("long").alias("account"), date.alias("date"), scalars.month_key(date).alias("ym"), description.alias("description"), scalars.payee(description).alias("payee"),
-        scalars.categorize(description, F.col("Category")).alias("category"), F.coalesce(amount, F.lit(0).cast(scalars.MONEY)).alias("amount"), scalars.parse_accounting(F.col("Balance")).alias("balance"), scalars.is_upi(description).alias("is_upi"),
-        F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in CANONICAL)).alias("line"), reason.alias("reason"),
+    # What is used more than once is computed in a projection of its own.
+    rows = records.select(
+        scalars.date_iso(F.coalesce("Date", F.lit(""))).alias("date"), F.coalesce("Description", F.lit("")).alias("description"), "Category",
+        scalars.parse_accounting(F.col("Amount")).alias("amount"), (F.trim(F.coalesce("Amount", F.lit(""))) != "").alias("written"), scalars.parse_accounting(F.col("Balance")).alias("balance"),
+        F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in CANONICAL)).alias("line"),
+    )
+    no_date = ~F.col("date").rlike(r"^\d{4}-\d\d-\d\d$") | F.try_to_timestamp("date", F.lit("yyyy-MM-dd")).isNull()
+    reason = F.when(no_date, NO_DATE).when(F.col("amount").isNull() & F.col("written"), NO_AMOUNT)
+    description = F.col("description")
+    return rows.select(
+        F.lit(account).cast("long").alias("account"), "date", scalars.month_key(F.col("date")).alias("ym"), "description", scalars.payee(description).alias("payee"),
+        scalars.categorize(description, F.col("Category"), rules).alias("category"), F.coalesce("amount", F.lit(0).cast(scalars.MONEY)).alias("amount"), "balance", scalars.is_upi(description).alias("is_upi"),
+        "line", reason.alias("reason"),
     )
 
 
-def to_transactions(records: DataFrame, account: int = 0) -> DataFrame:
+def to_transactions(records: DataFrame, account: int = 0, rules=scalars.CATEGORY_RULES) -> DataFrame:
     """Typed transactions of canonical records, with a stable id from the record's values and its repetition.
 
     A blank amount is 0. Records without a date, and those whose amount is no number, are not among them: see ``untyped``.
     """
-    out = _typed(records, account).where("reason is null").drop("line", "reason")
+    out = _typed(records, account, rules).where("reason is null").drop("line", "reason")
     counted = out.groupBy(*out.columns).agg(F.count(F.lit(1)).alias("times"))  # a record that repeats is a row a task
     each = counted.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     return each.select(F.xxhash64("account", "date", "description", "category", "amount", "balance", "again").alias("id"), *out.columns)
