@@ -61,16 +61,16 @@ _WORD = r"[\p{L}\p{N}]"
 
 
 def _frequency(lowered: Column, term: str) -> Column:
-    """How often a term is a token of a text in lower case; the expression runs only where the letters are."""
-    return F.when(F.contains(lowered, F.lit(term)), F.regexp_count(lowered, F.lit(f"(?<!{_WORD}){term}(?!{_WORD})"))).otherwise(0)
+    """How often a term is a token of a text in lower case: its letters are looked for first, and then what stands around them."""
+    return F.when(F.contains(lowered, F.lit(term)), F.regexp_count(lowered, F.lit(f"{term}(?!{_WORD})(?<!{_WORD}{term})"))).otherwise(0)
 
 
 def bm25(texts: DataFrame, query: str, n: int = 12, id_column: str = "id", content: str = "content") -> DataFrame:
     """id, score of the n best texts that hold a term; no term, no rows.
 
-    One scan counts every text's tokens and the texts with each term: one row of sums.
-    A second one keeps the texts that hold a term's letters and scores these alone;
-    nothing is shuffled but the top-k's rows.
+    One scan makes a row of numbers for each text: its tokens, and how often it has each
+    term. These rows alone are dealt out, once: both their sums and the scores come from
+    there, and nothing but the top-k's rows is shuffled behind.
     """
     terms = query_terms(query)
     spark = texts.sparkSession
@@ -78,10 +78,11 @@ def bm25(texts: DataFrame, query: str, n: int = 12, id_column: str = "id", conte
         return spark.createDataFrame([], f"{id_column} long, score double")
     text = F.lower(F.col(content))
     length = F.regexp_count(text, F.lit(f"{_WORD}{{2,}}"))
-    stats = texts.where(F.col(content).isNotNull()).agg(F.count(F.lit(1)).alias("texts"), F.avg(length).alias("mean"), *(F.count(F.when(_frequency(text, t) > 0, 1)).alias(f"df{i}") for i, t in enumerate(terms)))
-    own = texts.where(scalars.any_keyword(F.col(content), terms))
-    own = own.select(id_column, length.alias("length"), *(_frequency(text, t).alias(f"tf{i}") for i, t in enumerate(terms)))
-    scored = own.crossJoin(F.broadcast(stats))  # one row
+    counted = texts.select(F.col(id_column), length.alias("length"), *(_frequency(text, t).alias(f"tf{i}") for i, t in enumerate(terms))).repartition(F.col(id_column))
+    # The sums name all columns, so that both readers of the rows are one exchange.
+    known = F.when(F.col("length").isNotNull(), F.coalesce(F.col(id_column).cast("string"), F.lit("")))
+    stats = counted.agg(F.count(known).alias("texts"), F.avg("length").alias("mean"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))))
+    scored = counted.crossJoin(F.broadcast(stats))  # one row
 
     def part(i: int) -> Column:
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
