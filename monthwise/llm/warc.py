@@ -268,7 +268,7 @@ def resolved(records: DataFrame) -> DataFrame:
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{store.shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    rows = resolved(read_archives(spark, folder)).where("not (record_type <=> 'warcinfo')")
+    rows = resolved(store.cut(read_archives(spark, folder).drop("payload"))).where("not (record_type <=> 'warcinfo')")  # the archives are read once
     page = lambda c: F.try_to_number(F.substr(c, F.lit(len(ID) + 1)), F.lit("S9999999999999999999")).cast("long")
     return rows.select(
         page(F.col("record_id")).alias("page_id"),
