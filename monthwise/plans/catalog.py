@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from monthwise.functions import scalars
 from monthwise.functions import sql as sql_functions
-from monthwise.operators import base, facts, months, postings, relational, search, vectors
-from monthwise.plans import periods
+from monthwise.operators import base, facts, months, payees, postings, relational, search, vectors
+from monthwise.plans import answers, periods
+from monthwise.plans.intent import classify
 from monthwise.sources import adapter, delimited, layout, statements
 from monthwise.sources.adapter import T_SQL, transactions
 
@@ -390,3 +391,37 @@ def printed_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add_raw("printed_months", printed_months, f"""
 WITH t AS (SELECT strftime(o_orderdate, '%Y-%m') AS ym, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END * CAST(o_totalprice AS DECIMAL(18,2)) AS amount FROM orders WHERE o_orderkey % 7 < 6)
 SELECT '20' || substr(ym, 3) AS ym, {_TOTALS}, count(*) AS whole FROM t GROUP BY ym""")
+
+
+def _asked(question: str, similar: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """The answer to a question over the transactions."""
+
+    def build(t: DataFrame) -> DataFrame:
+        i = classify(question)
+        only = answers.months_meant(i, sorted(row["ym"] for row in r.distinct_months(t).collect()))  # a row a month
+        own = t if only is None else t.where(F.col("ym").isin(*only))
+        sums = base.base(own)
+        gold = base.month_gold(sums)
+        meant = payees.like(payees.dictionary(base.base(t).select("payee").distinct()), i.keywords) if similar else None
+        return answers.answer(i, answers.Layers(own, sums, gold, months.periods(months.month_summaries(t))), meant)
+
+    return build
+
+
+_ANSWER = f"SELECT {_SPENT} AS debit, {_EARNED} AS credit, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS net, count(*) AS count"
+_add("ask_category_year", _asked("How much did I spend on transport in 1998?"), f"{_ANSWER} FROM t WHERE category = 'Transport' AND ym LIKE '1998-%'")
+_add("ask_category_range_above", _asked("How much did I spend on food over 100,000 between March and June 1997?"), f"{_ANSWER} FROM t WHERE category = 'Food & Dining' AND ym BETWEEN '1997-03' AND '1997-06' AND abs(amount) > 100000")
+_add("ask_payees_since", _asked("Combined spending on Netflix and Spotify since February 1998?"), f"{_ANSWER} FROM t WHERE (contains(lower(description), 'netflix') OR contains(lower(description), 'spotify')) AND ym >= '1998-02'")
+_add("ask_without", _asked("How much did I spend in 1996 excluding rent and Netflix?"), f"{_ANSWER} FROM t WHERE ym LIKE '1996-%' AND category <> 'Rent' AND NOT contains(lower(description), 'netflix')")
+_add("ask_payee_by_month", _asked("Netflix spending per month in 1997"), f"SELECT ym, {_ANSWER[7:]} FROM t WHERE contains(lower(description), 'netflix') AND ym LIKE '1997-%' GROUP BY ym")
+_add("ask_average_category", _asked("average spend on groceries in the last 6 months"), """
+, m AS (SELECT DISTINCT ym FROM t ORDER BY ym DESC LIMIT 6), g AS (SELECT * FROM t WHERE category = 'Groceries' AND ym IN (SELECT ym FROM m))
+SELECT round(CAST(sum(-amount) FILTER (amount < 0) AS DOUBLE) / count(*) FILTER (amount < 0), 2) AS debit, round(CAST(sum(amount) FILTER (amount > 0) AS DOUBLE) / count(*) FILTER (amount > 0), 2) AS credit,
+  round(CAST(sum(amount) AS DOUBLE) / count(*), 2) AS transaction, round(CAST(sum(-amount) FILTER (amount < 0) AS DOUBLE) / count(DISTINCT ym) FILTER (amount < 0), 2) AS month, count(*) FILTER (amount <> 0) AS count FROM g""")
+_add("ask_largest_month", _asked("Top 4 expenses in March 1998"), f"SELECT {_ROW} FROM t WHERE t.amount < 0 AND ym = '1998-03' ORDER BY t.amount, id LIMIT 4")
+_add("ask_least_category", _asked("which category did I spend least on in 1998?"), f"SELECT category, {_SPENT} AS spend, count(*) AS count FROM t WHERE amount < 0 AND ym LIKE '1998-%' GROUP BY category ORDER BY spend, category LIMIT 8")
+_add("ask_most_paid", _asked("who did I pay the most in 1995?"), f"SELECT payee, {_SPENT} AS spend, count(*) AS count FROM t WHERE amount < 0 AND ym LIKE '1995-%' GROUP BY payee ORDER BY spend DESC, payee LIMIT 1")
+_add("ask_similar", _asked("How much did I pay Netflx and Blue-Door in 1997?", similar=True), f"{_ANSWER} FROM t WHERE payee IN ('Netflix', 'Blue Door Cafe') AND ym LIKE '1997-%'")
+_add("payee_lookup", lambda t: payees.like(payees.dictionary(base.base(t).select("payee").distinct()), ["netflx", "spotifi", "old town", "citymetro"]).select("name", "payee"), """
+, p AS (SELECT DISTINCT payee, replace(lower(payee), ' ', '') AS bare FROM t), n AS (SELECT unnest(['netflx', 'spotifi', 'old town', 'citymetro']) AS name)
+SELECT name, payee FROM n JOIN p ON levenshtein(name, bare) <= 1 OR (length(name) > 7 AND starts_with(bare, replace(name, ' ', '')))""")

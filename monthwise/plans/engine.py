@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from monthwise.functions import scalars
 from monthwise.functions.sql import rules_of
 from monthwise.operators import base, facts, months, payees, postings, relational, search, vectors
-from monthwise.plans import periods
-from monthwise.plans.intent import CATEGORY_WORDS, Intent, classify
+from monthwise.plans import answers
+from monthwise.plans.intent import Intent, classify
 from monthwise.plans.versions import Conflict, Version, Versions
 from monthwise.sources import statements
 
@@ -335,91 +335,14 @@ class Engine:
         """name, payee, way, distance: the statement's payees that names mean; only the folders of the names' letter pairs are read."""
         return payees.like(self._layer("payee_pairs").drop("ym"), names)
 
-    @staticmethod
-    def _months_meant(i: Intent, version: Version) -> list[str] | None:
-        """The months a question is about, None for all; a month without a year is the last one of its name."""
-        known = sorted(m for m in version.months if m)
-
-        def last_of(ym: str, upto: str = "9999") -> str:
-            return ym if not ym.startswith("-") else max((m for m in known if m.endswith(ym) and m <= upto), default=ym)
-
-        if i.first or i.last:
-            last = last_of(i.last) if i.last else "9999"
-            first = last_of(i.first, last) if i.first else ""
-            return [m for m in known if first <= m <= last]
-        end = (known[-1] if known else "") if i.bare_month == "this" else last_of(f"-{i.bare_month}") if i.bare_month else i.ym
-        if i.window:
-            year_end = max((m for m in known if i.year and m.startswith(i.year)), default=None)
-            return [m for m in known if m <= (end or year_end or "9999")][-i.window :]
-        if end:
-            return [end]
-        return [m for m in known if m.startswith(f"{i.year}-")] if i.year else None
-
-    def _filtered(self, i: Intent, similar: bool = False) -> tuple[DataFrame, DataFrame]:
-        """The transactions and the base rows that a question's filters leave.
-
-        Months, categories and payees are columns of the base rows; with conditions on
-        descriptions and amounts the base rows are those of the transactions left.
-        """
-        version = self.versions.last()
-        only = self._months_meant(i, version)
-        t, b = self._layer("transactions", version, only), self._layer("base", version, only)
-        wanted = F.lit(True) if i.category is None else F.col("category") == i.category
-        names = {name for _, name in CATEGORY_WORDS}
-        for name in set(i.without) & names:
-            wanted &= F.col("category") != name
-        t, b, rows = t.where(wanted), b.where(wanted), F.lit(True)
-        if i.keywords and similar:
-            meant = self.payees_like(i.keywords).select("payee").distinct()
-            t, b = t.join(meant, "payee", "left_semi"), b.join(meant, "payee", "left_semi")
-        elif i.keywords:
-            rows &= scalars.any_keyword(F.col("description"), i.keywords)
-        others = [w for w in i.without if w not in names]
-        if others:
-            rows &= ~scalars.any_keyword(F.col("description"), others)
-        if i.above is not None:
-            rows &= F.abs("amount") > i.above
-        if i.below is not None:
-            rows &= F.abs("amount") < i.below
-        if others or i.above is not None or i.below is not None or (i.keywords and not similar):
-            t = t.where(rows)
-            b = base.base(t)
-        return t, b
-
     def answer(self, intent: Intent, similar: bool = False) -> DataFrame:
         """The query of an intent over the rows that its filters leave; with ``similar`` names are looked up in the dictionary of payees."""
-        r, i = relational, intent
-        t, b = self._filtered(i, similar)
-        months_of = lambda: self._layer("months", only=self._months_meant(i, self.versions.last())).select("ym", "income", "spending", "net", "count", "upi")
-        total = lambda: base.totals(b).where("count > 0")
-        by_month = lambda: base.totals(b, "ym").orderBy("ym")
-        queries = {
-            "balance": lambda: base.current_balance(b).where("balance is not null"),
-            "upi_count": lambda: base.overview(b).select("upi", "count"),
-            "row_count": lambda: base.overview(b).select("count"),
-            "average": lambda: base.averages(b),
-            "subscriptions": lambda: base.subscriptions(b),
-            "subscriptions_total": lambda: base.subscriptions_total(b),
-            "month_extremes": lambda: base.month_extremes(b),
-            "received_from_people": lambda: r.received_from_people(t),
-            "smallest_debit": lambda: r.smallest_debits(t, i.n or 1),
-            "largest_debit": lambda: r.largest_debits(t, i.n or 1),
-            "largest_credit": lambda: r.largest_credits(t, i.n or 1),
-            "category_breakdown": lambda: base.spending(b, "category", i.n or 8, i.least),
-            "top_payees": lambda: base.spending(b, "payee", i.n or 6, i.least),
-            "top_debits": lambda: r.largest_debits(t, i.n or 5),
-            "coverage": lambda: r.coverage(t),
-            "period": lambda: periods.pick(i.question, self.periods()).orderBy("anchor", "window").select("label", "window", "income", "expense", "net", "count"),
-            "month": months_of,
-            "year": by_month,
-            "monthly": by_month,
-            "recent": lambda: r.recent(t, i.n or 12),
-            "search": lambda: self.search(" ".join(i.keywords)),
-            "overview": lambda: base.overview(b).withColumn("net", F.round(F.col("credit") - F.col("debit"), 2)),
-            "unknown": lambda: b.limit(0),
-        }
-        queries |= dict.fromkeys(("keyword", "keyword_month", "category", "category_month", "total", "net"), total) | dict.fromkeys(("keyword_by_month", "category_by_month"), by_month)
-        return queries[i.kind]()
+        version = self.versions.last()
+        only = answers.months_meant(intent, sorted(m for m in version.months if m))
+        layers = answers.Layers(self._layer("transactions", version, only), self._layer("base", version, only), self._layer("months", version, only), self._whole("periods", version))
+        if intent.kind == "search":
+            return self.search(" ".join(intent.keywords))
+        return answers.answer(intent, layers, self.payees_like(intent.keywords) if similar else None)
 
     def ask(self, question: str) -> tuple[Intent, DataFrame, str]:
         """Intent, query and a table of its rows; what the statement does not have is not found, and what is not understood is refused."""

@@ -126,6 +126,9 @@ def classify(question: str) -> Intent:
     filters |= {"above": _amount(above[1]) if above else None, "below": _amount(below[1]) if below else None, "without": without, "n": n, "credit": credit, "least": least}
     category = filters["category"]
     month, span = when.month or bare, when.first or when.last
+    lasting = has(r"\b(last|past|previous|ending|rolling)\b.*\b(months?|quarters?|years?|annual)\b|\b(months?|quarters?|years?)\b.*\bending\b|\bsummar\w+|\boverview\b|\bquarter|\bhalf[- ]?year\b|\b(this|last|whole) year\b")
+    window = when.window if lasting and not (span or month and not has(r"\bending\b")) else None
+    filters["window"] = window
     narrowed = bool(names or category or without or above or below)
 
     def make(kind: str, **more) -> Intent:
@@ -157,26 +160,25 @@ def classify(question: str) -> Intent:
         return make("top_debits")
     if has(r"\b(which|what) months\b.*\b(cover|data|have)\b|\bcoverage\b"):
         return make("coverage")
-    window = when.window if has(r"\b(last|past|previous|ending|rolling)\b|\bsummar\w+|\boverview\b|\bquarter|\bhalf[- ]?year\b|\b(this|last|whole) year\b") and not (span or month and not has(r"\bending\b")) else None
     if not narrowed and not span and (when.series or window and not number or has(r"\bsummar\w+|\boverview\b|\b(last|past)\s+\d+\s+months\b|\bquarter|\bhalf[- ]?year\b|\b(this|last|whole) year\b")):
         return make("period")
     if has(r"\bsalary\b|\binterest\b") and not names:
-        return make("keyword_by_month" if by_month or when.series else "keyword_month" if month else "keyword", keywords=("salary" if "salary" in q else "interest",), credit=True, category=None, window=window)
+        return make("keyword_by_month" if by_month or when.series else "keyword_month" if month else "keyword", keywords=("salary" if "salary" in q else "interest",), credit=True, category=None)
     if number and number[1] in ("last", "recent", "latest") and not window:
         return make("recent")
     if has(r"\bnet\b"):
-        return make("net", window=window)
+        return make("net")
     grouped = by_month or when.series
     if names:
         if not (spend or credit or month or span or when.year or window or category or above or below):
             return make("search")
-        return make("keyword_by_month" if grouped else "keyword_month" if month else "keyword", window=window)
+        return make("keyword_by_month" if grouped else "keyword_month" if month else "keyword")
     if category:
-        return make("category_by_month" if grouped else "category_month" if month else "category", window=window)
+        return make("category_by_month" if grouped else "category_month" if month else "category")
     if month and not (above or below or without):
         return make("month")
     if above or below or without:
-        return make("monthly" if grouped else "total", window=window)
+        return make("monthly" if grouped else "total")
     if span:
         return make("monthly" if grouped else "total")
     if when.year:

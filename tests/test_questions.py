@@ -101,6 +101,9 @@ def test_other_measures_keep_their_filters(engine, t):
     assert got(engine, "which month did I spend the most on groceries?")[0][0]["ym"] == max(months, key=months.get)
     assert got(engine, "What is my net total?")[0][0]["net"] == pytest.approx(sum(r["amount"] for r in t), abs=0.01)
     assert got(engine, "What is my average transaction?")[0][0]["transaction"] == pytest.approx(sum(r["amount"] for r in t) / len(t), abs=0.01)
+    late = [r for r in t if r["ym"] >= "2024-12" and r["amount"] < 0]
+    assert got(engine, "biggest expense in the last 3 months")[0][0]["amount"] == min(r["amount"] for r in late)
+    assert got(engine, "average spend in the last 3 months")[0][0]["debit"] == pytest.approx(spent(late) / len(late), abs=0.01)
     assert got(engine, "what is my balance")[1] == NOT_FOUND  # the statement has none
 
 
