@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .relational import earned, is_credit, is_debit, money, ranked, rows, spent, top_by_magnitude
 
+#: The titles of the sections.
 TITLES = {
     "facts_overview": "OVERVIEW", "facts_categories": "CATEGORY BREAKDOWN", "facts_top_categories": "TOP SPENDING CATEGORIES",
     "facts_monthly": "MONTHLY BREAKDOWN", "facts_top_payees": "TOP 20 PAYEES BY TOTAL VOLUME", "facts_top_transactions": "TOP 10 TRANSACTIONS",
