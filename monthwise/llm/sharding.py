@@ -6,7 +6,8 @@ whatever the input: a group of at least ``total / (n_shards * grain)`` bytes is
 an item of its own (there are at most ``n_shards * grain``), and the groups below
 that are hashed into ``n_shards * grain`` bundles, each of which is an item.
 Only these items reach the driver; rows look their shard up in two tables of that
-bounded size, so no text is shuffled.
+bounded size, so groups never meet. Numbering a shard's rows deals them out once, texts
+included where they are carried.
 
 Law: ``bytes`` (shards end up near equal in bytes). Slots number a shard's rows
 from 0 without gaps: rows are counted per (shard, range of the row's hash), so
