@@ -18,3 +18,15 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True, scope="module")
+def small_plans(request, spark):
+    """The statement tests run many plans over a few rows: most of their time would go into compiling code for each."""
+    modes = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    modes = {} if "tests/llm" in str(request.path) else modes
+    for k, v in modes.items():
+        spark.conf.set(k, v)
+    yield
+    for k in modes:
+        spark.conf.unset(k)
