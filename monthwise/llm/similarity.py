@@ -387,15 +387,25 @@ def similarity_components(documents: DataFrame) -> DataFrame:
 def deduplicate(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` less all but the first document of each component.
 
-    Keys are decided on narrow rows. Texts are dealt out once to meet them and are
-    not sorted, but for rows that repeat both doc_id and text, of which one stays.
+    Keys are decided on narrow rows, and texts are dealt out once to meet them. Of rows that
+    repeat both doc_id and text one stays. A row that is a thousandth of all those or more
+    is reduced where it is read, so its repeats never meet in one task.
     """
     kept = cut(similarity_components(documents).where("row_key = first_key").groupBy("row_key").agg(F.count(F.lit(1)).alias("times")))
+    n_rows = kept.agg(F.sum("times")).first()[0] or 0
+    large = kept.where((F.col("times") > 1) & (F.col("times") * LARGE_SHARE >= n_rows))
+    hot = [r["row_key"] for r in large.select("row_key").collect()]  # LARGE_SHARE rows at most
     base, of, columns = apart(documents)
     rows = base.withColumn("row_key", row_key(of["doc_id"], of["text"]))
-    single, again = (rows.join(kept.where(which).select("row_key").hint("shuffle_hash"), "row_key") for which in ("times = 1", "times > 1"))
+    is_hot = F.col("row_key").isin(hot) if hot else F.lit(False)
+    rest = rows.where(~is_hot)
+    single, again = (rest.join(kept.where(which).select("row_key").hint("shuffle_hash"), "row_key") for which in ("times = 1", "times > 1"))
     again = again.withColumn("again", F.row_number().over(W.partitionBy("row_key", of["doc_id"]).orderBy("row_key"))).where("again = 1")
-    return single.unionByName(again.drop("again")).select(*columns)
+    out = single.unionByName(again.drop("again"))
+    if hot:
+        one = rows.where(is_hot).groupBy("row_key", of["doc_id"].alias("id")).agg(F.first(F.struct(*base.columns)).alias("r"))
+        out = out.unionByName(one.select("r.*", "row_key"))
+    return out.select(*columns)
 
 
 def _node() -> Column:

@@ -38,3 +38,14 @@ def test_deduplicate_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "lonely words here"), (2, None), (3, ""), (2, "other text")]
     got = deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got) == [(False, 1, "a b c d e f"), (False, 2, ""), (False, 2, "other text"), (False, 3, ""), (True, 0, "lonely words here")]
+
+
+def test_deduplicate_rows_that_repeat_without_end(spark):
+    """Rows that are a large share of all are reduced where they are read, with their other columns; rare repeats meet in the join."""
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long, "hot")] * 3000 + [(None, None, "none")] * 2500 + [(2, "", "blank")] * 2 + [(3, "a b c", "x"), (3, "a b c", "x"), (1, "other text", "y")]
+    rows += [(100 + i, f"one of its own {i}", "z") for i in range(300)] + [(50, long + " more", "near")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_key string").repartition(5)
+    got = sorted((r.doc_id or 0, r.text or "", r.row_key) for r in deduplicate(df).collect())
+    want = sorted({(d or 0, t or "", k) for d, t, k in rows} - {(50, long + " more", "near")})
+    assert got == want
