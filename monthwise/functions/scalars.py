@@ -91,8 +91,9 @@ def date_iso(text: Column) -> Column:
     t = F.trim(text)
     spaced = F.initcap(F.regexp_replace(F.regexp_replace(t, _TIME, "$1"), r"[./-]", " "))
     named = F.replace(spaced, F.lit(" "), F.lit("/"))
-    found = [F.when(named.rlike(shape), F.date_format(F.try_to_timestamp(named, F.lit(layout)), "yyyy-MM-dd")) for shape, layout in DATE_SHAPES]
-    return F.coalesce(F.when(t.rlike(r"^\d{4}-\d\d-\d\d$"), t), *found, t)
+    found = lambda n: F.coalesce(*(F.when(n.rlike(shape), F.date_format(F.try_to_timestamp(n, F.lit(layout)), "yyyy-MM-dd")) for shape, layout in DATE_SHAPES))
+    # A transform binds the spaced text, which all shapes need, once.
+    return F.coalesce(F.when(t.rlike(r"^\d{4}-\d\d-\d\d$"), t), F.get(F.transform(F.array(named), found), F.lit(0)), t)
 
 
 def payee(description: Column) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from monthwise.functions import scalars
 from monthwise.sources import delimited, workbooks
 from monthwise.sources.layout import CANONICAL, HEADER_WORDS, REJECTS, Scan
+from monthwise.sources.stages import cut
 
 #: The most specific name is tried first: a header that says debit or credit is a side even if it says amount.
 HEADER_ORDER = ("Debit", "Credit", "Balance", "Date", "Description", "Category", "Amount")
@@ -90,77 +91,90 @@ def visual_lines(items: DataFrame) -> DataFrame:
     return rows.mapInArrow(_lined, "doc string, page int, line int, x double, str string")
 
 
-def _line_text(lines: DataFrame) -> DataFrame:
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "str"))), lambda s: s["str"]), " ")
-    return lines.groupBy("doc", "page", "line").agg(F.trim(text).alias("text"))
+def _line_items(lines: DataFrame) -> DataFrame:
+    """A row a line: its items from left to right."""
+    return lines.groupBy("doc", "page", "line").agg(F.sort_array(F.collect_list(F.struct("x", "str"))).alias("items"))
 
 
-def printed_documents(lines: DataFrame) -> DataFrame:
-    """The docs that have a line with all header phrases."""
-    found = F.lit(True)
+def _joined(items: Column, sep: str) -> Column:
+    return F.trim(F.array_join(F.transform(items, lambda i: i["str"]), sep))
+
+
+def _in_column(name: str) -> Column:
+    """The text of a line's items that stand in a column; what has no place stands in the last one."""
+    ends = dict(COLUMN_ENDS)
+    starts = dict(zip([*ends, "balance"], [float("-inf"), *ends.values()], strict=True))
+    x = lambda i: F.coalesce(i["x"], F.lit(float("inf")))
+    return _joined(F.filter("items", lambda i: (x(i) >= starts[name]) & (x(i) < ends[name]) if name in ends else x(i) >= starts[name]), "")
+
+
+def read_lines(items: DataFrame) -> DataFrame:
+    """doc, page, line, items (x, str from left to right), starts (a record, 1 or 0), goes_on (a narration alone), says (all header phrases).
+
+    Pages are read once and their lines written to the shared folder, since page sums, records and rejects all come from them.
+    """
+    rows = _line_items(visual_lines(items))
+    alone = F.lit(True)
+    for name in (*dict(COLUMN_ENDS), "balance"):
+        alone &= (_in_column(name) != "") if name == "narration" else (_in_column(name) == "")
+    text, says = F.lower(_joined(F.col("items"), " ")), F.lit(True)
     for phrase in HEADER_PHRASES:
-        found &= F.contains(F.lower("text"), F.lit(phrase))
-    return _line_text(lines).where(found).select("doc").distinct()
+        says &= F.contains(text, F.lit(phrase))
+    starts = _in_column("date").rlike(r"^\d{2}/\d{2}/\d{2}$") & F.col("page").isNotNull()
+    return cut(rows.select("*", starts.cast("int").alias("starts"), alone.alias("goes_on"), says.alias("says")))
 
 
-def looks_printed(lines: DataFrame) -> bool:
-    """Is there a line with all header phrases?"""
-    return not printed_documents(lines).isEmpty()
+def read_pages(rows: DataFrame) -> DataFrame:
+    """doc, page, before (records that start on earlier pages), records (of the document), printed (does a line of the document say all header phrases?)."""
+    pages = rows.groupBy("doc", "page").agg(F.sum("starts").alias("n"), F.max("says").alias("says"))
+    whole, earlier = W.partitionBy("doc"), W.partitionBy("doc").orderBy("page").rowsBetween(W.unboundedPreceding, -1)  # a row a page
+    return pages.select("doc", "page", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("records"), F.max("says").over(whole).alias("printed"))
 
 
-def printed_records(lines: DataFrame) -> DataFrame:
+def printed_records(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """Records of printed statements by doc and number: a dated line starts one, lines with a narration alone continue it.
 
     Records are numbered by a sum over lines, first within each page and then over the
     pages of the document before it, so a record may go on on the next page.
     """
-    bucket = F.lit("balance")
-    for name, end in reversed(COLUMN_ENDS):
-        bucket = F.when(F.col("x") < end, name).otherwise(bucket)
-    names = [n for n, _ in COLUMN_ENDS] + ["balance"]
-    text = lambda n: F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("bucket") == n, F.struct("x", "str")))), lambda s: s["str"]), ""))
-    rows = lines.withColumn("bucket", bucket).groupBy("doc", "page", "line").agg(*(text(n).alias(n) for n in names))
-    starts = F.col("date").rlike(r"^\d{2}/\d{2}/\d{2}$")
-    alone = F.lit(True)
-    for n in names:
-        alone &= (F.col(n) != "") if n == "narration" else (F.col(n) == "")
-    rows = rows.withColumn("starts", starts.cast("int")).where(starts | alone)
-    page_starts = rows.groupBy("doc", "page").agg(F.sum("starts").alias("n"))
-    before = page_starts.select("doc", "page", F.coalesce(F.sum("n").over(W.partitionBy("doc").orderBy("page").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a page
     inside = F.sum("starts").over(W.partitionBy("doc", "page").orderBy("line"))
-    rows = rows.withColumn("inside", inside).join(before, ["doc", "page"]).withColumn("number", F.col("before") + F.col("inside")).where("number > 0")
+    rows = rows.where("starts = 1 or goes_on").join(pages.select("doc", "page", "before"), ["doc", "page"])
+    rows = rows.withColumn("number", F.col("before") + inside).where("number > 0")
+    rows = rows.select("doc", "number", "page", "line", "starts", *(_in_column(n).alias(n) for n in ("date", "narration", "withdrawal", "deposit", "balance")))
     first = lambda n: F.max(F.when(F.col("starts") == 1, F.col(n)))
     narration = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "line", "narration"))), lambda s: s["narration"]), "")
     out = rows.groupBy("doc", "number").agg(first("date").alias("date"), narration.alias("narration"), *(scalars.pdf_number(first(n)).alias(n) for n in ("withdrawal", "deposit", "balance")))
     amount = F.when(F.col("withdrawal") > 0, -F.col("withdrawal")).otherwise(F.coalesce("deposit", F.lit(0)))
     signed = F.concat(F.when(amount < 0, "-").otherwise("+"), F.abs(amount).cast("string"))
     name = scalars.narration_payee(F.col("narration"))
-    return out.select("doc", "number", scalars.date_iso(F.col("date")).alias("Date"), F.concat(name, F.lit(" - "), "narration").alias("Description"), F.lit(None).cast("string").alias("Category"), signed.alias("Amount"), F.coalesce(F.col("balance").cast("string"), F.lit("")).alias("Balance"))
+    iso = F.coalesce(F.date_format(F.try_to_timestamp("date", F.lit("dd/MM/yy")), "yyyy-MM-dd"), "date")  # what is no day stays as it is
+    return out.select("doc", "number", iso.alias("Date"), F.concat(name, F.lit(" - "), "narration").alias("Description"), F.lit(None).cast("string").alias("Category"), signed.alias("Amount"), F.coalesce(F.col("balance").cast("string"), F.lit("")).alias("Balance"))
 
 
 def scan_items(items: DataFrame) -> Scan:
     """Records of all documents of positioned items that are statements with at least LEAST_ROWS records; the lines of the others are rejected, with their text."""
-    lines = visual_lines(items)
-    records = printed_records(lines.join(printed_documents(lines), "doc", "left_semi"))
-    known = records.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_ROWS).select("doc")
-    rest = _line_text(lines.join(known, "doc", "left_anti")).where("text <> ''")
-    return Scan(list(CANONICAL), records.join(known, "doc", "left_semi").select(*CANONICAL), rest.select(F.col("doc").alias("path"), F.col("text").alias("line"), F.lit(UNKNOWN_LAYOUT).alias("reason")))
+    rows = read_lines(items)
+    known = read_pages(rows).where(F.col("printed") & (F.col("records") >= LEAST_ROWS))
+    rest = rows.join(known.select("doc").distinct(), "doc", "left_anti").select(F.col("doc").alias("path"), _joined(F.col("items"), " ").alias("line"), F.lit(UNKNOWN_LAYOUT).alias("reason"))
+    return Scan(list(CANONICAL), printed_records(rows, known).select(*CANONICAL), rest.where("line <> ''"))
 
 
 def read_items(items: DataFrame) -> DataFrame:
     """Records of positioned items; an error if they are no statement with at least LEAST_ROWS rows."""
-    lines = visual_lines(items)
-    if not looks_printed(lines):
+    rows = read_lines(items)
+    pages = read_pages(rows).where("printed")
+    found = pages.select("doc", "records").distinct().agg(F.sum("records")).first()[0]
+    if found is None:
         raise ValueError("no line of the items has the headers of a statement")
-    out = printed_records(lines)
-    if len(out.limit(LEAST_ROWS).collect()) < LEAST_ROWS:
+    if found < LEAST_ROWS:
         raise ValueError(f"a statement has at least {LEAST_ROWS} rows")
-    return out.orderBy("doc", "number").drop("doc", "number")
+    return printed_records(rows, pages).orderBy("doc", "number").drop("doc", "number")
 
 
 def plain_lines(items: DataFrame) -> DataFrame:
     """page, line, text of printed items that are no known statement: what search can still use."""
-    return _line_text(visual_lines(items)).where("text <> ''").orderBy("doc", "page", "line").select("page", "line", "text")
+    text = _joined(F.col("items"), " ").alias("text")
+    return _line_items(visual_lines(items)).select("doc", "page", "line", text).where("text <> ''").orderBy("doc", "page", "line").select("page", "line", "text")
 
 
 def scan(spark: SparkSession, path: str, **options) -> Scan:
