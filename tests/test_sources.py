@@ -178,3 +178,11 @@ def test_engine_takes_items_and_searches_unknown_pages(spark, tmp_path):
     assert [r["line"] for r in engine.search_rejects("Gold?").collect()] == ["gold loan of May"]
     engine.index_vectors(4)
     assert {r["id"] for r in engine.semantic_search("upi rest", 6, None).collect()} == {r["id"] for r in engine.transactions().collect()}
+
+
+def test_items_without_page_or_place(spark):
+    """Items without a page start no record, and are rejected with their document; items without an x stand in the last column."""
+    items = printed("A", 6) + [("A", None, 30.0, 9.0, "09/02/24"), ("A", None, 450.0, 9.0, "7.00"), ("B", None, 30.0, 9.0, "loose"), ("B", 1, None, 9.0, "no place"), ("B", 1, 30.0, None, "no height")]
+    found = statements.scan_items(spark.createDataFrame(items, ITEMS).repartition(3))
+    assert found.records.count() == 6
+    assert sorted((r["path"], r["line"]) for r in found.rejects.collect()) == [("B", "loose"), ("B", "no place")]
