@@ -67,7 +67,8 @@ def under_header(rows: DataFrame, sep: str = " | ") -> Scan:
     The header is the first row in all files that looks like one, else the first row; a
     file's rows in front of it are rejected, and so are rows with more fields than it
     has, and single fields among several columns: titles, totals, notes. Blank rows
-    are nothing. All files of a scan have one header.
+    are nothing. All files of a scan have one header. Where files begin is looked up
+    by broadcast, so that the rows of a file stay the tasks that its reader made.
     """
     blank = lambda f: F.trim(F.coalesce(f, F.lit(""))) == ""
     rows = rows.withColumn("fields", F.transform("fields", lambda f: F.regexp_replace(f, "^\ufeff", "")))
@@ -82,8 +83,8 @@ def under_header(rows: DataFrame, sep: str = " | ") -> Scan:
     names = _names(head["fields"])
     same = F.array_join(F.transform(F.slice("fields", 1, len(names)), lambda f: F.trim(F.coalesce(f, F.lit("")))), "\n") == F.lit("\n".join((f or "").strip("\ufeff ") for f in head["fields"][: len(names)]))
     rows = rows.withColumn("same", same)
-    begins = rows.where("same").groupBy("path").agg(F.min(F.struct("block", "at")).alias("begin"))  # a row a file
-    rows = rows.join(begins, "path", "left").withColumn("here", F.struct("block", "at"))
+    begins = rows.where("same").groupBy("path").agg(F.min(F.struct("block", "at")).alias("begin"))  # a row a file, as the driver lists them
+    rows = rows.join(F.broadcast(begins), "path", "left").withColumn("here", F.struct("block", "at"))
     reason = F.when(F.col("here") < F.col("begin"), ABOVE).when(F.col("here") == F.col("begin"), "").when(F.col("same"), AGAIN).when(F.col("n") > len(names), MANY)
     if len(names) > 2:
         reason = reason.when(F.col("filled") == 1, FEW)

@@ -56,6 +56,21 @@ def test_several_files_each_with_titles(spark, tmp_path):
     assert found.records.count() == 9 and sorted(r["reason"] for r in found.rejects.collect()) == [layout.ABOVE] * 3
 
 
+def test_rows_of_one_file_stay_many_tasks(spark):
+    rows = [("f", 0, 0, ["Title", None, None]), ("f", 0, 1, ["Date", "Details", "Amount"]), *(("f", 0, k, ["1/2/2025", "x", str(k)]) for k in range(2, 402))]
+    was = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for k, v in zip(was, ("-1", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        found = layout.under_header(spark.createDataFrame(rows, "path string, block long, at long, fields array<string>").repartition(8))
+        tasks = found.records.groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) == 8 and sum(r["count"] for r in tasks) == 400
+        assert [tuple(r) for r in found.rejects.collect()] == [("f", "Title", layout.ABOVE)]
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def test_what_is_no_transaction_is_told(spark):
     rows = [("not a d", "x", None, "1", ""), ("31/02/2025", "x", None, "1", ""), ("45678", "x", None, "1", ""), ("", "x", None, "1", ""), (None, None, None, None, None), ("2025-01-31", "x", None, "1-2-3", ""), ("2025-01-31", "x", None, "", ""), ("1/2/2025", "y", None, "2.5", ""), ("2025-02-03 10:30", "z", None, "(3)", "")]
     records = spark.createDataFrame(rows, "Date string, Description string, Category string, Amount string, Balance string")
