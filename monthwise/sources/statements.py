@@ -26,6 +26,8 @@ HEADER_ORDER = ("Debit", "Credit", "Balance", "Date", "Description", "Category",
 #: A printed statement's columns end at these x, the last has no end.
 COLUMN_ENDS = (("date", 55), ("narration", 289), ("reference", 362), ("value_date", 405), ("withdrawal", 491), ("deposit", 564))
 LINE_GAP = 3.0
+#: Page numbers are summed in ranges of two to this power, and ranges of ranges.
+PAGE_BITS = 10
 #: What the header line of a printed statement says.
 HEADER_PHRASES = ("withdrawal amt", "deposit amt", "closing balance")
 LEAST_ROWS = 5
@@ -79,6 +81,11 @@ def _lined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32()), batch.column(2), batch.column(4)], ["doc", "page", "line", "x", "str"])
 
 
+def _by_page(rows: DataFrame) -> DataFrame:
+    """Rows dealt by page to spark.sql.shuffle.partitions tasks, which are not put together again: a task sorts what it gets."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc", "page")
+
+
 def visual_lines(items: DataFrame) -> DataFrame:
     """doc, page, line, x, str of (doc, page, x, y, str) items; without a doc all are of one. A line takes items at most LINE_GAP under its first one.
 
@@ -87,7 +94,7 @@ def visual_lines(items: DataFrame) -> DataFrame:
     """
     doc = F.coalesce(F.col("doc").cast("string"), F.lit("")) if "doc" in items.columns else F.lit("")
     rows = items.where("y is not null").select(doc.alias("doc"), F.col("page").cast("int").alias("page"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.coalesce("str", F.lit("")).alias("str"))
-    rows = rows.repartition("doc", "page").sortWithinPartitions("doc", "page", F.desc("y"), "x", "str")
+    rows = _by_page(rows).sortWithinPartitions("doc", "page", F.desc("y"), "x", "str")
     return rows.mapInArrow(_lined, "doc string, page int, line int, x double, str string")
 
 
@@ -125,22 +132,36 @@ def read_lines(items: DataFrame) -> DataFrame:
 
 
 def read_pages(rows: DataFrame) -> DataFrame:
-    """doc, page, before (records that start on earlier pages), records (of the document), printed (does a line of the document say all header phrases?)."""
-    pages = rows.groupBy("doc", "page").agg(F.sum("starts").alias("n"), F.max("says").alias("says"))
-    whole, earlier = W.partitionBy("doc"), W.partitionBy("doc").orderBy("page").rowsBetween(W.unboundedPreceding, -1)  # a row a page
-    return pages.select("doc", "page", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("records"), F.max("says").over(whole).alias("printed"))
+    """doc, page, before (records that start on earlier pages), records (of the document), printed (does a line of the document say all header phrases?).
+
+    A document is never one group: records are summed within 1,024 neighbouring page
+    numbers, within 1,024 such ranges, and over the at most 4,096 ranges of those.
+    """
+    sums = [F.sum("n").alias("n"), F.max("says").alias("says")]
+    up = lambda name: F.shiftright(name, PAGE_BITS)
+    earlier = lambda place, *group: F.coalesce(F.sum("n").over(W.partitionBy(*group).orderBy(place).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    pages = cut(rows.groupBy("doc", "page").agg(F.sum("starts").alias("n"), F.max("says").alias("says")))  # a row a page
+    pages = pages.withColumn("near", up(F.coalesce("page", F.lit(-1 << 31))))  # what has no page comes first
+    near = pages.groupBy("doc", "near").agg(*sums).withColumn("far", up("near"))
+    far, whole = near.groupBy("doc", "far").agg(*sums), W.partitionBy("doc")
+    far = far.select("doc", "far", earlier("far", "doc").alias("start"), F.sum("n").over(whole).alias("records"), F.max("says").over(whole).alias("printed"))
+    near = near.withColumn("inside", earlier("near", "doc", "far")).join(far.hint("merge"), ["doc", "far"]).select("doc", "near", (F.col("start") + F.col("inside")).alias("start"), "records", "printed")
+    pages = pages.withColumn("inside", earlier("page", "doc", "near")).join(near.hint("merge"), ["doc", "near"])
+    return pages.select("doc", "page", (F.col("start") + F.col("inside")).alias("before"), "records", "printed")
 
 
 def printed_records(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """Records of printed statements by doc and number: a dated line starts one, lines with a narration alone continue it.
 
     Records are numbered by a sum over lines, first within each page and then over the
-    pages of the document before it, so a record may go on on the next page.
+    pages of the document before it, so a record may go on on the next page. Lines are
+    many more than their plan says, so they meet their pages in a merge and are never broadcast.
     """
-    inside = F.sum("starts").over(W.partitionBy("doc", "page").orderBy("line"))
-    rows = rows.where("starts = 1 or goes_on").join(pages.select("doc", "page", "before"), ["doc", "page"])
-    rows = rows.withColumn("number", F.col("before") + inside).where("number > 0")
-    rows = rows.select("doc", "number", "page", "line", "starts", *(_in_column(n).alias(n) for n in ("date", "narration", "withdrawal", "deposit", "balance")))
+    columns = ("date", "narration", "withdrawal", "deposit", "balance")
+    rows = _by_page(rows.where("starts = 1 or goes_on").select("doc", "page", "line", "starts", *(_in_column(n).alias(n) for n in columns)))
+    rows = rows.withColumn("inside", F.sum("starts").over(W.partitionBy("doc", "page").orderBy("line")))  # the order holds for the join
+    rows = rows.join(pages.select("doc", "page", "before").hint("merge"), ["doc", "page"])
+    rows = rows.withColumn("number", F.col("before") + F.col("inside")).where("number > 0")
     first = lambda n: F.max(F.when(F.col("starts") == 1, F.col(n)))
     narration = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "line", "narration"))), lambda s: s["narration"]), "")
     out = rows.groupBy("doc", "number").agg(first("date").alias("date"), narration.alias("narration"), *(scalars.pdf_number(first(n)).alias(n) for n in ("withdrawal", "deposit", "balance")))
@@ -155,7 +176,8 @@ def scan_items(items: DataFrame) -> Scan:
     """Records of all documents of positioned items that are statements with at least LEAST_ROWS records; the lines of the others are rejected, with their text."""
     rows = read_lines(items)
     known = read_pages(rows).where(F.col("printed") & (F.col("records") >= LEAST_ROWS))
-    rest = rows.join(known.select("doc").distinct(), "doc", "left_anti").select(F.col("doc").alias("path"), _joined(F.col("items"), " ").alias("line"), F.lit(UNKNOWN_LAYOUT).alias("reason"))
+    taken = known.select(F.col("doc").alias("known_doc"), F.col("page").alias("known_page"))  # by page, so that a document is not one task
+    rest = rows.join(taken, (F.col("doc") == F.col("known_doc")) & F.col("page").eqNullSafe(F.col("known_page")), "left_anti").select(F.col("doc").alias("path"), _joined(F.col("items"), " ").alias("line"), F.lit(UNKNOWN_LAYOUT).alias("reason"))
     return Scan(list(CANONICAL), printed_records(rows, known).select(*CANONICAL), rest.where("line <> ''"))
 
 

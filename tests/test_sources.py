@@ -178,6 +178,36 @@ def test_a_page_of_very_many_items(spark):
     assert lines.agg(F.max("line")).first()[0] == n // 4 and lines.groupBy("line").count().where("count <> 4").isEmpty()
 
 
+def test_pages_of_one_document_are_many_tasks(spark):
+    was = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    lines = spark.range(16_384).select(F.lit("d").alias("doc"), F.col("id").cast("int").alias("page"), F.lit(1).alias("starts"), (F.col("id") == 0).alias("says"))
+    try:
+        for k, v in zip(was, ("-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        pages = statements.read_pages(lines)
+        tasks = [r["count"] for r in pages.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(tasks) > 1 and sum(tasks) == 16_384
+        assert pages.where("before <> page or records <> 16384 or not printed").isEmpty()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_lines_of_printed_pages_are_not_broadcast(spark):
+    found = statements.scan_items(spark.createDataFrame(printed("A", 9), ITEMS))
+    plan = found.records._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan and found.records.count() == 9
+
+
+def test_earlier_pages_are_counted_over_all_page_numbers(spark):
+    numbers = [None, -(1 << 31), -(1 << 20), -1025, -1024, -1, 0, 1, 1023, 1024, 1025, (1 << 20) - 1, 1 << 20, (1 << 20) + 1, (1 << 31) - 1]
+    n = {p: 0 if p is None else 1 + k * 7 % 5 for k, p in enumerate(numbers)}
+    lines = [(d, p, 1, d == "a" and p is None) for d in "ab" for p in numbers for _ in range(n[p])] + [("a", None, 0, True), ("b", None, 0, False), ("c", None, 0, True)]
+    got = {(r["doc"], r["page"]): (r["before"], r["records"], r["printed"]) for r in statements.read_pages(spark.createDataFrame(lines, "doc string, page int, starts int, says boolean").repartition(5)).collect()}
+    total = sum(n.values())
+    assert got == {(d, p): (sum(n[q] for q in numbers[:k]), total, d == "a") for d in "ab" for k, p in enumerate(numbers)} | {("c", None): (0, 0, True)}
+
+
 def test_lines_hang_on_their_first_item(spark):
     items = [("d", 1, 1.0, y, str(y)) for y in (100.0, 98.0, 97.0, 96.9, 94.0, 93.8)] + [("d", 2, 1.0, 100.0, "p2"), ("d", None, 1.0, 5.0, "no page"), ("d", 2, 1.0, None, "no place")]
     got = {(r["page"], r["str"]): r["line"] for r in statements.visual_lines(spark.createDataFrame(items, ITEMS)).collect()}
